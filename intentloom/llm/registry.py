@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from intentloom.llm import simhash
+from intentloom.llm import licences, simhash
 
 
 def queries() -> dict:
-    return {"op9_simhash": simhash.op9_simhash}
+    return {"op9_simhash": simhash.op9_simhash, "op10_licences": licences.op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_licences": licences.op10_sql()}
