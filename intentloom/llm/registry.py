@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from intentloom.llm import licences, simhash
+from intentloom.llm import licences, quality, simhash
 
 
 def queries() -> dict:
-    return {"op9_simhash": simhash.op9_simhash, "op10_licences": licences.op10_licences}
+    return {"op8_quality": quality.op8_quality, "op9_simhash": simhash.op9_simhash, "op10_licences": licences.op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
