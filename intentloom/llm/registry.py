@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from intentloom.llm import langid, licences, quality, simhash
+from intentloom.llm import langid, licences, mixing, quality, simhash
 
 
 def queries() -> dict:
-    return {"op2_langid": langid.op2_langid, "op8_quality": quality.op8_quality, "op9_simhash": simhash.op9_simhash, "op10_licences": licences.op10_licences}
+    return {"op1_mixing": mixing.op1_mixing, "op2_langid": langid.op2_langid, "op8_quality": quality.op8_quality, "op9_simhash": simhash.op9_simhash, "op10_licences": licences.op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
