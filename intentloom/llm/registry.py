@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from intentloom.llm import langid, licences, mixing, packing, quality, simhash
+from intentloom.llm import langid, licences, mixing, packing, quality, simhash, topk
 
 
 def queries() -> dict:
-    return {"op3_packing": packing.op3_packing, "op1_mixing": mixing.op1_mixing, "op2_langid": langid.op2_langid, "op8_quality": quality.op8_quality, "op9_simhash": simhash.op9_simhash, "op10_licences": licences.op10_licences}
+    return {
+        "op1_mixing": mixing.op1_mixing,
+        "op2_langid": langid.op2_langid,
+        "op3_packing": packing.op3_packing,
+        "op6_topk": topk.op6_topk,
+        "op8_quality": quality.op8_quality,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_licences": licences.op10_licences,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_packing": packing.op3_packing, "op10_licences": licences.op10_sql()}
+    return {"op6_topk": topk.OP6_SQL, "op10_licences": licences.op10_sql()}
