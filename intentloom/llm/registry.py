@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from intentloom.llm import langid, licences, mixing, packing, quality, simhash, topk
+from intentloom.llm import langid, licences, mixing, neardup, packing, quality, simhash, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op2_langid": langid.op2_langid,
         "op3_packing": packing.op3_packing,
+        "op5_neardup": neardup.op5_neardup,
         "op6_topk": topk.op6_topk,
         "op8_quality": quality.op8_quality,
         "op9_simhash": simhash.op9_simhash,
