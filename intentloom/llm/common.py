@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,3 +134,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _packed_blocks(batches: Iterator[pa.RecordBatch], text: str, budget: int) -> Iterator[pa.RecordBatch]:
+    task, n = TaskContext.get().partitionId(), 0
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in small_batches(batches, text, budget):
+        for at in range(0, batch.num_rows, 5000):
+            part = batch.slice(at, 5000)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+                writer.write_batch(part)
+            size = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
+            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["blk", "bytes", "payload"])
+            n += 1
+
+
+def blocks_of(docs: DataFrame, text: str = "text", budget: int = 4_000_000) -> DataFrame:
+    """`docs` as a stored table of blocks: blk, bytes of text, payload (the rows as a compressed Arrow stream).
+
+    A block holds whole rows of about `budget` bytes of text. The table is bucketed by blk, so that
+    steps that bring something back to each block move that, and not the texts.
+    """
+    spark = docs.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    rows = docs.mapInArrow(partial(_packed_blocks, text=text, budget=budget), "blk long, bytes long, payload binary")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (rows.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}")
+     .bucketBy(buckets, "blk").saveAsTable(name))
+    return spark.table(name)
+
+
+def unpacked(payload: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(payload) as reader:
+        return reader.read_next_batch()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from intentloom.llm import langid, licences, mixing, neardup, packing, quality, simhash, topk
+from intentloom.llm import langid, licences, mixing, neardup, packing, quality, simhash, substring, topk
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op5_neardup": neardup.op5_neardup,
         "op6_topk": topk.op6_topk,
+        "op7_substring": substring.op7_substring,
         "op8_quality": quality.op8_quality,
         "op9_simhash": simhash.op9_simhash,
         "op10_licences": licences.op10_licences,
