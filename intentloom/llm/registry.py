@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from intentloom.llm import langid, licences, mixing, neardup, packing, quality, simhash, substring, topk
+from intentloom.llm import hmm, langid, licences, mixing, neardup, packing, quality, simhash, substring, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op2_langid": langid.op2_langid,
         "op3_packing": packing.op3_packing,
+        "op4_hmm": hmm.op4_hmm,
         "op5_neardup": neardup.op5_neardup,
         "op6_topk": topk.op6_topk,
         "op7_substring": substring.op7_substring,
