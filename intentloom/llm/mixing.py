@@ -9,8 +9,10 @@ from intentloom.llm import common
 
 #: The golden ratio's fraction times 2**47: multiples of it modulo 2**47 are the points of the schedule.
 GOLDEN, MODULUS = 86_980_551_294_885, 1 << 47
-#: Rows in a task of the two-level rankings, and words in a block of the schedule.
-BUCKET_ROWS, BLOCK_WORDS = 20_000, 1024
+#: Rows or slots of a bucket in the two-level rankings, and words in a block of the schedule.
+BUCKET_ROWS, BLOCK_WORDS = 4096, 1024
+#: Cells of the grid in which points find their source.
+GRID = 4096
 
 
 def golden_point(i: Column) -> Column:
@@ -85,13 +87,15 @@ def schedule(spark, targets: DataFrame, block: int, most: float) -> DataFrame:
     epoch, rest = F.expr("goal div source_size"), F.col("goal") % F.col("source_size")
     needs = needs.withColumn("need", epoch * F.col("blocks") + F.ceil(rest / block).cast("long")).where("need > 0")
     one = Window.partitionBy(F.lit(0))
-    edge = F.sum("need").over(one.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("need").over(one)
-    needs = common.stored(needs.withColumn("edge", edge).withColumn("all", F.sum("need").over(one)), "needs")
+    to = F.sum("need").over(one.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    needs = common.stored(needs.withColumn("to", to).withColumn("all", F.sum("need").over(one)), "needs")
     n = needs.agg(F.max("all")).first()[0] or 0
-    edges = needs.agg(F.sort_array(F.collect_list(F.struct("edge", "rank"))).alias("edges"))
+    # Shares are met through a grid over [0, 1): a point is compared with the shares of its cell only.
+    share = needs.select("rank", ((F.col("to") - F.col("need")) / F.col("all")).alias("low"), F.when(F.col("to") < F.col("all"), F.col("to") / F.col("all")).otherwise(2.0).alias("high"))
+    cells = F.sequence(F.floor(F.col("low") * GRID), F.least(F.lit(GRID - 1).cast("long"), F.floor(F.col("high") * GRID)))
+    share = share.select("rank", "low", "high", F.explode(cells).alias("cell"))
     slots = spark.range(n).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("point"))
-    # One row of edges, one entry per source: found by a search in it rather than by a range join.
-    slots = slots.join(F.broadcast(edges), F.lit(True)).select("slot", _owner(F.col("edges"), F.col("point")).alias("rank"))
+    slots = slots.withColumn("cell", F.floor(F.col("point") * GRID)).join(share, "cell").where("low <= point and point < high").select("slot", "rank")
     chunk = F.expr(f"slot div {BUCKET_ROWS}")
     slots = slots.withColumn("chunk", chunk)
     counts = slots.groupBy("rank", "chunk").agg(F.count("*").alias("n"))
@@ -109,21 +113,19 @@ def schedule(spark, targets: DataFrame, block: int, most: float) -> DataFrame:
     return placed.select("slot", "rank", "nth", epoch.alias("epoch"), at.alias("block"), F.least(full, left).alias("words"))
 
 
-def _owner(edges: Column, point: Column) -> Column:
-    return F.coalesce(F.get(F.filter(edges, lambda e: e["edge"] > point), F.lit(0))["rank"], F.element_at(edges, -1)["rank"])
-
-
-def takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, block: int = BLOCK_WORDS, seed: int = 11, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces) of the mix.
+def takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0, block: int = BLOCK_WORDS, seed: int = 11, source: str = "source", text: str = "text", doc_id: str = "doc_id", row: str = "") -> tuple[DataFrame, DataFrame]:
+    """(rows, pieces) of the mix. `row`: a column to carry along in rows.
 
     rows: every input row with size, source_size, target, rank and nth (its place among its source's rows).
     pieces: one row per slot and document that it draws on: slot, rank, nth, epoch, start and length in words of the document.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long")
+    own = [F.col(c) for c in docs.columns]
     slim = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(text).alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash")
-    )
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(text).alias("text_hash"), F.xxhash64(*own).alias("row_hash"),
+        *([F.col(row)] if row else []),
+    )
     slim = common.stored(slim, "sizes")
     sizes = common.stored(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     ranked = slim.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, slim.source.eqNullSafe(sizes.source)).drop(sizes.source)
@@ -149,6 +151,23 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     return rows.join(taken, ["rank", "nth"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars", **options) -> DataFrame:
+    """The mix as documents: a row for every time that the mix takes a row of `docs`, with its columns.
+
+    Taken whole, a document stays as it is; the one at which its source stops is cut after the words taken, joined by
+    one space, and `chars`, if there is such a column, counts what is left. Documents without words are never taken.
+    """
+    docs = common.stored(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mixed")
+    rows, pieces = takes(docs, text=text, row="mix_row", **options)
+    taken = pieces.groupBy("rank", "nth", "epoch").agg(F.sum("length").alias("mix_length"))
+    taken = rows.select("rank", "nth", "mix_row", "size").join(taken, ["rank", "nth"]).select("mix_row", "epoch", "mix_length", (F.col("mix_length") < F.col("size")).alias("mix_cut"))
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({common.WORD})"), 1), F.lit(1), F.col("mix_length").cast("int")), " ")
+    out = docs.join(taken, "mix_row").withColumn(text, F.when(F.col("mix_cut"), words).otherwise(F.col(text)))
+    if chars in docs.columns:
+        out = out.withColumn(chars, F.when(F.col("mix_cut"), F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
+    return out.select(*[c for c in docs.columns if c != "mix_row"])
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
