@@ -1,9 +1,60 @@
-"""The corpus pipeline: five stages over `documents`."""
+"""The corpus pipeline: from `documents` to packed sequences in five stages.
+
+Every stage is a function (spark, docs, sf_dir) -> DataFrame over all rows that its predecessor kept;
+all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-#: Trained and packed stages are not SQL.
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from intentloom.llm import mixing, packing, quality, simhash, substring
+
+#: Documents below this quality score go.
+LEAST_QUALITY = 0.3
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Drops documents that the line field, fitted on a bounded sample of `labels`, scores below LEAST_QUALITY."""
+    field = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_quality(docs, field).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Keeps one document, that of the smallest id, of each group of SimHash near-duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def substring_stage(spark, docs, sf_dir):
+    """Cuts passages of 35 words and more that stand anywhere else; the text and its length follow."""
+    found = substring.without_repeats(docs)
+    cut = F.col("n_removed") > 0
+    return found.select(
+        "doc_id", F.when(cut, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source",
+        F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Repeats and cuts documents so that sources come near their target shares."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark, docs, sf_dir):
+    """Packs the mix into sequences of at most 4096 tokens: one row per piece."""
+    return packing.pack(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substrings", substring_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+#: Trained scores, hashes of 4-word shingles and token ids are not SQL.
 ORACLE_SQL = None
 
 
