@@ -19,7 +19,7 @@ from intentloom.llm import common
 
 #: Tokens in a sequence, id that ends a document, longest piece of a document's rest, pieces in a group.
 CAPACITY, END_ID, PIECE, GROUP = 4096, 2, 1024, 4096
-_HELD = 300_000
+_HELD = 800_000
 
 
 @lru_cache(maxsize=2)
@@ -29,40 +29,80 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordIds(dict):
-    """word -> its token ids as little-endian unsigned 32-bit bytes, filled by the tokenizer.
+_LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
+_POINT[33:127] = True
+_POINT[65:91] = _POINT[97:123] = False
 
-    Valid for tokenizers that drop white space, split there and treat no text across it: then a
-    text's ids are those of its words one after the other.
+
+def parts_of(text: str | None) -> list[bytes] | None:
+    """Parts of a text whose ids, one after the other, are the text's: its words, A-Z lower-cased, cut
+    between a letter (a-z, U+00C0 to U+00FF) and an ASCII digit or point. None for a text that may hold a special token.
+
+    That holds for tokenizers that lower-case, drop white space, end a token there, and end runs of letters at other characters.
     """
+    if not text:
+        return []
+    if "<|" in text:
+        return None
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    letter = _LETTER[raw[:-1]]
+    letter[1:] |= (raw[:-2] == 0xC3) & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7)  # all but the signs for times and division
+    at = np.flatnonzero(letter & _POINT[raw[1:]]) + 1
+    return np.insert(raw, at, 32).tobytes().split()
+
+
+class PartIds(dict):
+    """part -> its token ids as little-endian unsigned 32-bit bytes; parts that are not held are encoded together."""
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = _tokenizer(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.encode([word])[0]
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def of(self, texts: list[list[bytes]]) -> list[bytes]:
-        """Ids of each text; the words not yet known are encoded in one call."""
-        new = list({w for words in texts for w in words}.difference(self))
-        if len(self) + len(new) > _HELD:
-            self.clear()
-            new = list({w for words in texts for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.update(zip(part, self.encode(part), strict=True))
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def encode(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts. Latin words of letters alone are one run of the tokenizer, whose last token is marked as
+        its end; many such words are encoded as one text and cut at these marks. Others go one by one."""
+        words, odd, found = [], [], {}
+        for p in parts:  # isalpha() of bytes knows a-z and A-Z only
+            (words if p.isalpha() or (t := p.decode("utf-8", "surrogatepass")).isalpha() and max(t) < "\u0250" else odd).append(p)
+        for i in range(0, len(words), 1000):
+            these = words[i : i + 1000]
+            ids = np.array(self.ids([b" ".join(these).decode()])[0], "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(these) or ends[-1] != len(ids):
+                odd += these
+                continue
+            raw, at = ids.tobytes(), (4 * ends).tolist()
+            found.update(zip(these, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+        for i in range(0, len(odd), 5000):
+            these = odd[i : i + 5000]
+            found.update(zip(these, [np.array(x, "<u4").tobytes() for x in self.ids([p.decode("utf-8", "surrogatepass") for p in these])], strict=True))
+        return found
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; past _HELD parts only those held already stay."""
+        cut = [parts_of(t) for t in texts]
+        new = list({p for parts in cut if parts for p in parts}.difference(self))
+        self.update(self.encode(new))
         look = self.__getitem__
-        return [b"".join(map(look, words)) for words in texts]
+        out = [
+            np.array(self.ids([t])[0], "<u4").tobytes() if parts is None else b"".join(map(look, parts))
+            for t, parts in zip(texts, cut, strict=True)
+        ]
+        if len(self) > _HELD:
+            for p in new:
+                del self[p]
+        return out
 
 
 @lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def _part_ids(path: str) -> PartIds:
+    return PartIds(path)
 
 
 def pieces_of(tokens: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
@@ -79,9 +119,9 @@ def pieces_of(tokens: int, capacity: int = CAPACITY, piece: int = PIECE) -> list
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    ids_of, end = _word_ids(path), np.array([END_ID], "<u4").tobytes()
+    ids_of, end = _part_ids(path), np.array([END_ID], "<u4").tobytes()
     for batch in common.small_batches(batches, "text", 4_000_000):
-        texts = [common.words_of(t) for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
         row, starts, lengths, crcs, totals, kept = [], [], [], [], [], []
         for i, ids in enumerate(ids_of.of(texts)):
             ids += end
