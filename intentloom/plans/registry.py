@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from intentloom.plans import web
+from intentloom.plans import chat, intake, runs, web
 
-_PARTS = (web,)
+_PARTS = (intake, web, chat, runs)
 
 
 def queries() -> dict:

@@ -11,7 +11,8 @@ from intentloom.functions.text import element_text, epoch_normalise, fold_text,
 from intentloom.operators import identity, intake, leads
 from intentloom.plans import bindings as B
 
-BLOB = F.col("blob")
+def _blob():
+    return F.col("blob")
 
 
 def _blobs(spark, d):
@@ -59,7 +60,7 @@ def gated_leads(spark, d):
     """The search pass: first wins on the text, then the gates, then scores."""
     found = B.items(spark, d).withColumn("url", F.col("text"))
     order = identity.arrival(F.col("query_idx"), F.lit(0), F.col("pos"))
-    return leads.web_leads(found, LEX, B.AS_OF, order=order, gate=P.quality_gate(BLOB, F.col("published"), F.lit(B.AS_OF), LEX)).select("doc_id", "lead_id", "market", "classification")
+    return leads.web_leads(found, LEX, B.AS_OF, order=order, gate=P.quality_gate(_blob(), F.col("published"), F.lit(B.AS_OF), LEX)).select("doc_id", "lead_id", "market", "classification")
 
 
 def c1b(spark, d):
@@ -75,7 +76,7 @@ def c6(spark, d):
 
 def d4(spark, d):
     routes = spark.createDataFrame([*LEX.routes], "market string, route_to string")
-    marked = _blobs(spark, d).select("doc_id", S.market_first_match(BLOB, LEX.gazetteer).alias("market"))
+    marked = _blobs(spark, d).select("doc_id", S.market_first_match(_blob(), LEX.gazetteer).alias("market"))
     return S.route_lookup(marked, routes, LEX.default_route)
 
 
@@ -100,11 +101,8 @@ def e7(spark, d):
     return identity.group_order(groups, "name", "username", ("src3", "SRC11"), ("src5",)).select("name", "priority_rank", "folded_name")
 
 
-_ORDER = [F.ceil(F.col("query_idx") / 10), F.col("query_idx"), F.col("pos")]
-
-
 def f3(spark, d):
-    return leads.alert_top_k(all_leads(spark, d), _ORDER).select("doc_id", "lead_id", "classification")
+    return leads.alert_top_k(all_leads(spark, d), [F.ceil(F.col("query_idx") / 10), F.col("query_idx"), F.col("pos")]).select("doc_id", "lead_id", "classification")
 
 
 def f4(spark, d):
@@ -125,19 +123,19 @@ QUERIES = {
     "b1_item_blob": lambda s, d: _blobs(s, d).select("doc_id", "blob"),
     "b2_fold_text": lambda s, d: B.table(s, d, "documents").select("doc_id", fold_text(F.col("text")).alias("folded")),
     "b5_epoch_normalise": lambda s, d: B.table(s, d, "events").select("event_id", F.date_format(epoch_normalise(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("utc")),
-    "c1_phrase_hits": _flag(lambda: P.phrase_hits(BLOB, LEX.intent), "hits"),
+    "c1_phrase_hits": _flag(lambda: P.phrase_hits(_blob(), LEX.intent), "hits"),
     "c1b_phrase_hits_join": c1b,
-    "c2_listing_gate": _flag(lambda: P.listing_gate(BLOB, LEX.listing), "listing"),
-    "c3_personal_gate": _flag(lambda: P.personal_gate(BLOB, LEX.personal), "personal"),
-    "c4_negative_gate": _flag(lambda: P.negative_gate(BLOB, LEX.negative), "negative"),
-    "c5_excluded_market_gate": _flag(lambda: P.excluded_market_gate(BLOB, LEX.excluded_places), "excluded"),
+    "c2_listing_gate": _flag(lambda: P.listing_gate(_blob(), LEX.listing), "listing"),
+    "c3_personal_gate": _flag(lambda: P.personal_gate(_blob(), LEX.personal), "personal"),
+    "c4_negative_gate": _flag(lambda: P.negative_gate(_blob(), LEX.negative), "negative"),
+    "c5_excluded_market_gate": _flag(lambda: P.excluded_market_gate(_blob(), LEX.excluded_places), "excluded"),
     "c6_recency_gate": c6,
-    "c8_budget_web": _flag(lambda: P.budget_web(BLOB), "budget"),
-    "c10_timeframe_flag": _flag(lambda: P.timeframe_flag(BLOB, LEX.timeframe), "timeframe"),
-    "c11_pronoun_flag": _flag(lambda: P.pronoun_flag(BLOB, LEX.pronoun), "pronoun"),
-    "c13_quality_gate": lambda s, d: _blobs(s, d).where(P.quality_gate(BLOB, F.col("published"), F.lit(B.AS_OF), LEX)).select("doc_id"),
+    "c8_budget_web": _flag(lambda: P.budget_web(_blob()), "budget"),
+    "c10_timeframe_flag": _flag(lambda: P.timeframe_flag(_blob(), LEX.timeframe), "timeframe"),
+    "c11_pronoun_flag": _flag(lambda: P.pronoun_flag(_blob(), LEX.pronoun), "pronoun"),
+    "c13_quality_gate": lambda s, d: _blobs(s, d).where(P.quality_gate(_blob(), F.col("published"), F.lit(B.AS_OF), LEX)).select("doc_id"),
     "c14_label_filter": lambda s, d: _scored(s, d).where(P.label_filter(F.col("classification"))).select("doc_id", "classification"),
-    "d1_market_first_match": _flag(lambda: S.market_first_match(BLOB, LEX.gazetteer), "market"),
+    "d1_market_first_match": _flag(lambda: S.market_first_match(_blob(), LEX.gazetteer), "market"),
     "d2_web_scores": lambda s, d: _scored(s, d).select("doc_id", "intent_score", "credibility_score", "market_fit_score"),
     "d2b_web_label": lambda s, d: _scored(s, d).select("doc_id", "classification"),
     "d3_group_priority": d3,

@@ -11,11 +11,14 @@ from intentloom.operators.identity import first_wins_dedup, ledger_anti_join
 
 
 def read_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of the parquet files at `path`, with the schema they have now."""
+    """A stream of the parquet file or files at `path`, with the schema they have now.
+
+    The path is given as a pattern that only it matches, as a plain one must be a folder.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
