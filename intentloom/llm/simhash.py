@@ -99,13 +99,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = docs.drop("simhash", "component_id")
     prints = common.stored(with_fingerprints(docs, text, "simhash", width), "fingerprints")
+    return prints.join(_members(prints, doc_id, max_bits), "simhash").select(*docs.columns, "simhash", "component_id")
+
+
+def _members(prints: DataFrame, doc_id: str, max_bits: int) -> DataFrame:
+    """(simhash, component_id) for every fingerprint of `prints`."""
     nodes = prints.groupBy(F.col("simhash").alias("fp")).agg(F.min(doc_id).alias("low"))
     nodes = common.stored(nodes, "nodes")
     roots = common.components(links(nodes.select("fp"), max_bits))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = rooted.join(named, "root").select(F.col("fp").alias("simhash"), "component_id")
-    return prints.join(member, "simhash").select(*docs.columns, "simhash", "component_id")
+    return rooted.join(named, "root").select(F.col("fp").alias("simhash"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
@@ -113,9 +117,14 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     Rows that repeat the naming id are kept once (the smallest by text); a group of null ids keeps one row.
     """
-    found = near_duplicates(docs, doc_id, text, width, max_bits).where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    first = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.xxhash64(text), F.xxhash64(*docs.columns)))
-    return found.groupBy("component_id").agg(first.alias("row")).select("row.*")
+    columns = docs.columns
+    docs = docs.drop("simhash").withColumn("row_", F.monotonically_increasing_id())
+    prints = common.stored(with_fingerprints(docs, text, "simhash", width), "fingerprints")
+    # Rows are chosen by numbers; whole rows move once, to meet the choice.
+    slim = prints.select("row_", doc_id, "simhash", F.xxhash64(text).alias("text_hash"), F.xxhash64(*[F.col(c) for c in docs.columns if c != "row_"]).alias("row_hash"))
+    named = slim.join(_members(prints, doc_id, max_bits), "simhash").where(F.col(doc_id).eqNullSafe(F.col("component_id")))
+    first = named.groupBy("component_id").agg(F.min(F.struct("text_hash", "row_hash", "row_")).alias("first"))
+    return prints.join(first.select("first.row_"), "row_", "left_semi").select(*[c for c in columns if c != "simhash"])
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
