@@ -36,19 +36,17 @@ def any_phrase(blob: Column, phrases: Iterable[str]) -> Column:
     return reduce(or_, [F.contains(blob, F.lit(p.lower())) for p in phrases], F.lit(False))
 
 
-def phrase_hits_join(frame: DataFrame, key: str, blob: str, lexicon: DataFrame, most: int = 100_000) -> DataFrame:
-    """(key, hits): as phrase_hits, from a lexicon table with a column phrase; keys must be distinct.
+def phrase_hits_join(frame: DataFrame, key: str, blob: str, lexicon: DataFrame, most: int = 10_000) -> DataFrame:
+    """(key, hits): as phrase_hits, from a lexicon table with a column phrase.
 
-    Substrings have no key to join by, so the table, at most `most` phrases, is one array that each row explodes
-    and counts back; the counting combines before its shuffle. A larger table is refused.
+    Substrings have no key to join by. So a table of at most `most` phrases becomes one array that every row is
+    tested against, without a row per pair or a shuffle; a larger one is refused. Null phrases don't count.
     """
-    n = lexicon.count()
-    if n > most:
-        raise ValueError(f"{n} phrases; at most {most} can be matched against every row")
-    phrases = lexicon.agg(F.collect_list(F.lower("phrase")).alias("phrases")).scalar()
-    held = frame.select(key, blob, F.coalesce(phrases, F.array().cast("array<string>")).alias("phrases_")).withColumn("phrase_", F.explode_outer("phrases_"))
-    hit = F.when(F.contains(F.col(blob), F.col("phrase_")), 1).otherwise(0)
-    return held.groupBy(key).agg(F.sum(hit).cast("int").alias("hits"))
+    phrases = [r[0] for r in lexicon.where("phrase is not null").select(F.lower("phrase")).limit(most + 1).collect()]
+    if len(phrases) > most:
+        raise ValueError(f"at most {most} phrases can be matched against every row")
+    held = F.array(*map(F.lit, phrases)).cast("array<string>")
+    return frame.select(key, F.size(F.filter(held, lambda p: F.contains(F.col(blob), p))).alias("hits"))
 
 
 def listing_gate(blob: Column, phrases: Iterable[str]) -> Column:
