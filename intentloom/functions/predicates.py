@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from intentloom.functions.lexicons import ChatLexicon, Pattern, WebLexicon
 from intentloom.functions.text import fold_text, text_or_empty
 
+# What counts as a budget in web items and in chat messages.
 BUDGET_WEB = r"(?U)[$€£₺]\s?[\d,.]+|\b\d{2,3}\s?[kKmM]\b|\b\d{4,}\b"
 BUDGET_CHAT = r"(?iU)(?:£|€|\$|₺|₽)\s?\d[\d\s.,]*|\b\d[\d\s.,]*\s?(?:gbp|eur|usd|try|tl|руб|млн|million|k)\b"
 #: A date written in full, perhaps with a time: what both an ISO parser and Spark read alike.

@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from intentloom.functions import predicates as P
-from intentloom.functions.lexicons import PROSE_WEB as LEX
-from intentloom.operators import identity, leads, summary
+from intentloom.functions.lexicons import PROSE_CHAT, PROSE_WEB as LEX
+from intentloom.operators import identity, leads, run, summary
 from intentloom.plans import bindings as B
 from intentloom.plans import chat, web
 from intentloom.session import work_folder
@@ -55,6 +55,25 @@ def g6(spark, d):
     return summary.error_counts(parsed, "event_type", F.col("k").isNull())
 
 
+def _run(spark, d):
+    """A run over documents as search hits, benchmark as news and conversations as messages."""
+    news = B.table(spark, d, "benchmark").select(
+        F.lit("news").alias("source"), F.col("text").alias("url"), F.lit("").alias("title"), "text", F.lit("").alias("published"), F.lit("").alias("author"),
+        F.lit(10).alias("query_idx"), F.col("item_id").cast("int").alias("pos"),
+    )
+    search = B.items(spark, d).withColumn("url", F.col("text")).drop("doc_id")
+    folder = work_folder(spark, "run")
+    return run.scan(search, news, B.messages(spark, d), LEX, PROSE_CHAT, datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 12, 5), 33, f"{folder}/store", f"{folder}/log")
+
+
+def r1(spark, d):
+    return _run(spark, d).web.select("source", "lead_id", "market", "route_to", "intent_score", "classification")
+
+
+def r2(spark, d):
+    return _run(spark, d).record.select("scan_id", "unique_results", "new_hot_warm", "chat_messages_scanned", "chat_new_hot_warm")
+
+
 def h1(spark, d):
     """Scoring of documents as a stream; equals the batch."""
     raw = streams.read_files(spark, f"{d}/documents.parquet")
@@ -97,6 +116,8 @@ QUERIES = {
     "g4_chat_counts": g4,
     "g5_scan_summary": g5,
     "g6_error_counts": g6,
+    "r1_scan_leads": r1,
+    "r2_scan_record": r2,
     "h1_stream_score": h1,
     "h2_stream_dedup": h2,
     "h3_stream_ledger": h3,
@@ -104,7 +125,15 @@ QUERIES = {
 }
 _WEB = f"with {web.LABELLED_SQL}, leads as (select * from labelled where classification in ('HOT', 'WARM'))"
 _CHAT = f"(with {chat.LABELLED_SQL} select count(distinct group_id) as g, count(*) as m, count(*) filter (where classification in ('HOT', 'WARM')) as l from labelled)"
+_RUN = f"""with items as (select source, text as url, '' as title, text, '' as author, 0 as so, doc_id % 33 + 1 as query_idx, doc_id as pos, doc_id, lower(' ' || text) as blob from documents
+  union all select 'news', text, '', text, '', 1, 10, item_id, null, lower(' ' || text) from benchmark), {web.LABELLED_SQL.split("from documents),", 1)[1]},
+  leads as (select * from (select *, row_number() over (partition by lead_id order by ceil(query_idx / 10.0), so, query_idx, pos) as nth from labelled where url <> '')
+    where nth = 1 and (so = 1 or ({web._GATE})) and classification in ('HOT', 'WARM'))"""
+_RECENT = f"(with {chat.LABELLED_SQL} select * from labelled where 1704067200 + group_id * 60 + message_id >= 1704067200 - 43200)"
 SQL = {
+    "r1_scan_leads": _RUN + " select source, lead_id, market, route_to, intent_score, classification from leads",
+    "r2_scan_record": _RUN + f""" select '20240101T120000Z' as scan_id, (select count(distinct lead_id) from labelled where url <> '') as unique_results, (select count(*) from leads) as new_hot_warm,
+  count(*) as chat_messages_scanned, count(*) filter (where classification in ('HOT', 'WARM')) as chat_new_hot_warm from {_RECENT}""",
     "f5_lead_sink": _WEB + " select doc_id, lead_id, case when doc_id % 2 = 0 then 'run1' else 'run2' end as run_id from leads",
     "f6_scan_log_sink": _WEB + " select '20240131T000000Z' as scan_id, 'completed' as status, 33 as queries, count(*) as new_hot_warm from leads",
     "g1_source_counts": "select source, count(*) as n from documents group by source",

@@ -206,3 +206,20 @@ def test_plans(spark):
 def test_blob_keeps_its_space(spark):
     assert value(spark, item_blob(F.col("t"), F.lit(None)), t="A") == "a "
     assert isinstance(ITEMS, T.StructType)
+
+
+def test_a_run_and_its_repeat(spark, tmp_path):
+    from intentloom.operators import run
+
+    lex = WebLexicon(intent=("want to buy", "buy", "to buy", "want"), timeframe=("2026",), pronoun=("i ",), gazetteer=LEX.gazetteer, personal=("i want",))
+    good = "i want to buy 2026 alpha " + "y" * 460
+    search = items(spark, good, "nothing", good + " z")
+    news = items(spark, "to buy 2026 beta, i say " + "y" * 460, source="n").withColumn("url", F.lit("n0"))
+    go = lambda when: run.scan(search, news, messages(spark, "buy where 200k"), lex, CHAT, when, when, 3, str(tmp_path / "s"), str(tmp_path / "l"))
+    one_, again, later = go(NOW), go(NOW), go(datetime(2026, 1, 31, 1))
+    assert (one_.web.count(), one_.chat.count(), one_.alerts.count()) == (3, 1, 3)
+    assert (again.web.count(), again.chat.count()) == (3, 1)
+    assert (later.web.count(), later.chat.count(), later.alerts.count()) == (0, 0, 1)
+    record = one(one_.record)
+    assert (record.unique_results, record.new_hot_warm, record.source_counts) == (4, 3, {"Chat": 1, "n": 1, "s": 3})
+    assert spark.read.parquet(str(tmp_path / "l")).count() == 2
