@@ -138,15 +138,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _packed_blocks(batches: Iterator[pa.RecordBatch], text: str, budget: int) -> Iterator[pa.RecordBatch]:
     task, n = TaskContext.get().partitionId(), 0
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
     for batch in small_batches(batches, text, budget):
         for at in range(0, batch.num_rows, 5000):
             part = batch.slice(at, 5000)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
-                writer.write_batch(part)
             size = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
-            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["blk", "bytes", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n]), pa.array([size]), pa.array([packed(part)], pa.binary())], names=["blk", "bytes", "payload"])
             n += 1
 
 
@@ -156,15 +152,26 @@ def blocks_of(docs: DataFrame, text: str = "text", budget: int = 4_000_000) -> D
     A block holds whole rows of about `budget` bytes of text. The table is bucketed by blk, so that
     steps that bring something back to each block move that, and not the texts.
     """
-    spark = docs.sparkSession
-    name = f"blocks_{uuid.uuid4().hex}"
     rows = docs.mapInArrow(partial(_packed_blocks, text=text, budget=budget), "blk long, bytes long, payload binary")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (rows.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}")
-     .bucketBy(buckets, "blk").saveAsTable(name))
+    return bucketed(rows, "blk", "none")
+
+
+def bucketed(rows: DataFrame, key: str, compression: str) -> DataFrame:
+    """`rows` as a stored table, bucketed by `key` into as many buckets as a shuffle has partitions."""
+    spark = rows.sparkSession
+    name, buckets = f"blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.write.format("parquet").option("compression", compression).option("path", f"{shared_dir(spark)}/{name}")
+    writer.bucketBy(buckets, key).saveAsTable(name)
     return spark.table(name)
 
 
+def packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def unpacked(payload: bytes) -> pa.RecordBatch:
     with pa.ipc.open_stream(payload) as reader:
         return reader.read_next_batch()

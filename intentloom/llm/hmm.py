@@ -8,15 +8,17 @@ from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intentloom.llm import common
 
-#: Latent states, word classes besides the end's, words of a training segment, tokens of a batch, bytes of text per group of counts.
-STATES, CLASSES, SEGMENT, BATCH, CELL_BYTES = 8, 8192, 512, 1_000_000, 24_000_000
+#: Latent states, word classes besides the end's, words of a training segment, tokens of a batch, tokens per group of counts.
+STATES, CLASSES, SEGMENT, BATCH, CELL_TOKENS = 8, 8192, 512, 1_000_000, 4_000_000
 _LOW = (1 << 48) - 1
 
 
@@ -62,15 +64,31 @@ def _cell(codes: np.ndarray, cells: int) -> np.ndarray:
     return ((codes & np.uint64(_LOW)) % np.uint64(cells)).astype(np.int64)
 
 
+def _coded_blocks(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole texts as numbers: the other columns, tokens per text, distinct codes, each token's place among them, and
+    the counts of codes in training texts."""
+    task, n = TaskContext.get().partitionId(), 0
+    for batch in common.small_batches(batches, "text", budget):
+        for at in range(0, batch.num_rows, 5000):
+            part = batch.slice(at, 5000)
+            codes, sizes = coded(part.column("text").to_pylist())
+            train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), sizes)
+            ids, known = pd.factorize(codes)
+            counts = np.bincount(ids, train, len(known))
+            rows = common.packed(part.drop_columns(["text"]))
+            arrays = [sizes.astype("<i4"), known, ids.astype("<i4"), counts.astype("<i4")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(task << 32) + n]), pa.array([len(codes)]), pa.array([rows], pa.binary()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]],
+                names=["blk", "tokens", "payload", "sizes", "codes", "ids", "counts"],
+            )
+            n += 1
+
+
 def _block_counts(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
-    """Distinct codes of each block with their counts in training texts, dealt to cells."""
+    """Distinct codes of each block with their counts, dealt to cells."""
     for batch in batches:
-        for blk, payload in zip(batch.column("blk").to_pylist(), batch.column("payload"), strict=True):
-            rows = common.unpacked(payload.as_buffer())
-            codes, sizes = coded(rows.column("text").to_pylist())
-            train = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False), sizes)
-            known, at = np.unique(codes, return_inverse=True)
-            counts = np.bincount(at, train, len(known)).astype("<i4")
+        for i, blk in enumerate(batch.column("blk").to_pylist()):
+            known, counts = _array(batch, "codes", i, np.uint64), _array(batch, "counts", i, "<i4")
             cell = _cell(known, cells)
             order = np.argsort(cell, kind="stable")
             edges = np.flatnonzero(np.diff(cell[order])) + 1
@@ -82,12 +100,16 @@ def _block_counts(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.
             )
 
 
+def _array(batch: pa.RecordBatch, column: str, row: int, kind) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[row].as_buffer(), kind)
+
+
 def _totals(table: pa.Table) -> pa.Table:
     """Of a cell: per block the total count of each of its codes, in order, and what the classes sum to."""
     raw = table.column("codes").to_pylist()
     codes = np.frombuffer(b"".join(raw), np.uint64)
     counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<i4")
-    known, at = np.unique(codes, return_inverse=True)
+    at, known = pd.factorize(codes)
     total = np.bincount(at, counts, len(known)).astype("<i8")
     back = np.split(total[at], np.cumsum([len(r) // 8 for r in raw])[:-1])
     kind = (known[total > 0] >> np.uint64(48)).astype(np.int64)
@@ -127,59 +149,71 @@ class HiddenMarkov:
     def log10_likelihood(self, kinds: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """log10 of each sequence's likelihood by the scaled forward recursion, over its whole length;
         emissions of a class are multiplied by its `weight`."""
-        table = np.ascontiguousarray((self.emission * weight).T)
-        order, starts, alive = _layout(sizes)
-        out = np.zeros(len(sizes))
-        alpha = np.broadcast_to(self.start, (len(sizes), len(self.start)))
-        for t in range(len(alive)):
-            n = alive[t]
-            alpha = (alpha[:n] @ self.transition if t else alpha[:n]) * table[kinds[starts[:n] + t]]
-            scale = alpha.sum(1)
-            out[order[:n]] += np.log10(scale)
-            alpha /= scale[:, None]
+        table = self.emission * weight
+        order, alive = _layout(sizes)
+        kinds = _by_time(kinds, sizes, order, alive)
+        move, log = np.ascontiguousarray(self.transition.T), np.zeros(len(sizes))
+        alpha, at = np.repeat(self.start[:, None], len(sizes), 1), 0
+        for t, n in enumerate(alive.tolist()):
+            alpha = (move @ alpha[:, :n] if t else alpha) * table.take(kinds[at : at + n], axis=1)
+            scale = alpha.sum(0)
+            alpha /= scale
+            log[:n] += np.log10(scale)
+            at += n
+        out = np.empty(len(sizes))
+        out[order] = log
         return out
 
 
-def _layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences by falling length, where they start, and how many have more than t tokens."""
+def _layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences by falling length, and how many have more than t tokens."""
     order = np.argsort(-sizes, kind="stable")
-    starts, lens = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    return order, starts, np.searchsorted(-lens, -np.arange(int(lens[0]) if len(lens) else 0), "left")
+    lens = sizes[order]
+    return order, np.searchsorted(-lens, -np.arange(int(lens[0]) if len(lens) else 0), "left")
+
+
+def _by_time(tokens: np.ndarray, sizes: np.ndarray, order: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """The first tokens of all sequences, then the second ones, and so on, each in the order of `order`."""
+    starts = (np.cumsum(sizes) - sizes)[order]
+    return tokens[np.concatenate([starts[:n] + t for t, n in enumerate(alive.tolist())])] if len(alive) else tokens[:0]
 
 
 def expected_counts(model: HiddenMarkov, kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Baum-Welch counts of one batch of sequences: (CLASSES + 1 + K + 1, K), the rows being emissions by class,
-    transitions by state left, and starts."""
+    transitions by state left, and starts.
+
+    Arrays hold states by tokens, tokens by time, so that each step works on slices.
+    """
     k = len(model.start)
-    transition, table = model.transition.astype(np.float32), np.ascontiguousarray(model.emission.T.astype(np.float32))
-    _, starts, alive = _layout(sizes)
-    emitted = table[kinds]
-    alpha = np.empty((len(kinds), k), np.float32)
-    moves = np.zeros((k, k))
-    a = np.broadcast_to(model.start.astype(np.float32), (len(sizes), k))
-    for t in range(len(alive)):
-        at = starts[: alive[t]] + t
-        a = (a[: len(at)] @ transition if t else a[: len(at)]) * emitted[at]
-        a /= a.sum(1, keepdims=True)
-        alpha[at] = a
-    beta = np.ones((len(sizes), k), np.float32)  # of each sequence at the place it has come to, scaled
+    move = model.transition.astype(np.float32)
+    back = np.ascontiguousarray(move.T)
+    order, alive = _layout(sizes)
+    kinds = _by_time(kinds, sizes, order, alive)
+    ends = np.cumsum(alive)
+    emitted = model.emission.astype(np.float32).take(kinds, axis=1)
+    alpha = np.empty_like(emitted)
+    for t, (n, end) in enumerate(zip(alive.tolist(), ends.tolist(), strict=True)):
+        a = back @ alpha[:, begin : begin + n] if t else np.repeat(model.start.astype(np.float32)[:, None], n, 1)
+        a *= emitted[:, end - n : end]
+        a /= a.sum(0)
+        begin = end - n
+        alpha[:, begin:end] = a
+    beta, moves = np.ones((k, alive[0]), np.float32), np.zeros((k, k))  # beta: scaled, at the place each sequence has come to
     for t in range(len(alive) - 1, 0, -1):
-        n = alive[t]
-        at = starts[:n] + t
-        later = beta[:n] * emitted[at]
-        before = alpha[at - 1]
-        b = later @ transition.T
-        weight = 1 / np.einsum("ij,ij->i", before, b)
-        moves += (before * weight[:, None]).T @ later
-        alpha[at] *= beta[:n]
-        beta[:n] = b / b.sum(1, keepdims=True)
-    alpha[starts] *= beta
-    alpha /= alpha.sum(1, keepdims=True)
+        n, end = alive[t], ends[t]
+        begin, before = end - n, ends[t - 1] - alive[t - 1]
+        later = beta[:, :n] * emitted[:, begin:end]
+        a, b = alpha[:, before : before + n], move @ later
+        moves += (a / (a * b).sum(0)) @ later.T
+        alpha[:, begin:end] *= beta[:, :n]
+        beta[:, :n] = b / b.sum(0)
+    alpha[:, : alive[0]] *= beta
+    alpha /= alpha.sum(0)
     counts = np.zeros((CLASSES + 1 + k + 1, k))
     for s in range(k):
-        counts[: CLASSES + 1, s] = np.bincount(kinds, alpha[:, s], CLASSES + 1)
-    counts[CLASSES + 1 : -1] = moves * transition
-    counts[-1] = alpha[starts].sum(0)
+        counts[: CLASSES + 1, s] = np.bincount(kinds, alpha[s], CLASSES + 1)
+    counts[CLASSES + 1 : -1] = moves * model.transition
+    counts[-1] = alpha[:, : alive[0]].sum(1)
     return counts
 
 
@@ -194,17 +228,16 @@ def maximised(counts: np.ndarray, kinds: np.ndarray, prior: float = 20.0) -> Hid
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes of the training texts of each block, cut into segments."""
     for batch in batches:
-        for payload in batch.column("payload"):
-            rows = common.unpacked(payload.as_buffer())
-            codes, sizes = coded([t for t, h in zip(rows.column("text").to_pylist(), rows.column("held_out").to_pylist(), strict=True) if not h])
-            kinds = (codes >> np.uint64(48)).astype("<u2")
-            cut = []
-            for n in sizes.tolist():
-                cut += [SEGMENT] * (n // SEGMENT)
-                if n % SEGMENT:
-                    cut.append(n % SEGMENT)
-            if cut:
-                yield pa.RecordBatch.from_arrays([pa.array([kinds.tobytes()], pa.binary()), pa.array([np.array(cut, "<i4").tobytes()], pa.binary())], names=["kinds", "sizes"])
+        for i in range(batch.num_rows):
+            held = common.unpacked(batch.column("payload")[i].as_buffer()).column("held_out").to_numpy(zero_copy_only=False)
+            sizes = _array(batch, "sizes", i, "<i4").astype(np.int64)
+            kinds = (_array(batch, "codes", i, np.uint64) >> np.uint64(48)).astype("<u2")[_array(batch, "ids", i, "<i4")]
+            kinds, sizes = kinds[np.repeat(~held, sizes)], sizes[~held]
+            parts = -(-sizes // SEGMENT)
+            cut = np.full(int(parts.sum()), SEGMENT)
+            cut[np.cumsum(parts) - 1] = sizes - (parts - 1) * SEGMENT
+            if len(cut):
+                yield pa.RecordBatch.from_arrays([pa.array([kinds.tobytes()], pa.binary()), pa.array([cut.astype("<i4").tobytes()], pa.binary())], names=["kinds", "sizes"])
 
 
 def _expectation(batches: Iterator[pa.RecordBatch], model: HiddenMarkov) -> Iterator[pa.RecordBatch]:
@@ -239,7 +272,7 @@ def train(blocks: DataFrame, kinds: np.ndarray, states: int = STATES, rounds: in
     reach the driver are the classes and states of the model, whatever the input's size. Texts
     are segments of SEGMENT words here; scoring runs over whole texts.
     """
-    coded_ = common.stored(blocks.select("payload").mapInArrow(_training, "kinds binary, sizes binary"), "classes", "zstd")
+    coded_ = common.stored(blocks.select("payload", "sizes", "codes", "ids").mapInArrow(_training, "kinds binary, sizes binary"), "classes", "zstd")
     model = HiddenMarkov.first(kinds, states)
     columns = [f"s{s}" for s in range(states)]
     for _ in range(rounds):
@@ -276,18 +309,17 @@ def _scores(batches: Iterator[pa.RecordBatch], model: HiddenMarkov, weight: np.n
         held.clear()
 
     for batch in batches:
-        for payload, counts in zip(batch.column("payload"), batch.column("counts"), strict=True):
-            rows = common.unpacked(payload.as_buffer())
-            codes, sizes = coded(rows.column("text").to_pylist())
-            distinct, at = np.unique(codes, return_inverse=True)
+        for i in range(batch.num_rows):
+            rows = common.unpacked(batch.column("payload")[i].as_buffer())
+            sizes, distinct, at = _array(batch, "sizes", i, "<i4").astype(np.int64), _array(batch, "codes", i, np.uint64), _array(batch, "ids", i, "<i4")
             order = np.argsort(_cell(distinct, cells), kind="stable")
             count = np.empty(len(distinct))
-            parts = sorted(counts.as_py(), key=lambda p: p["cell"])
+            parts = sorted(batch.column("totals")[i].as_py(), key=lambda p: p["cell"])
             count[order] = np.frombuffer(b"".join(p["totals"] for p in parts), "<i8")
             text = np.repeat(np.arange(len(sizes)), sizes)
             base = np.bincount(text, np.log10((count + 0.5) / scale)[at], len(sizes))
             known = np.bincount(text, (count > 0)[at], len(sizes)).astype(np.int64)
-            held.append((rows, (codes >> np.uint64(48)).astype(np.int64), sizes, known, base))
+            held.append((rows, (distinct >> np.uint64(48)).astype(np.int64)[at], sizes, known, base))
             if sum(len(h[1]) for h in held) >= 3 * BATCH:
                 yield from flush()
     if held:
@@ -309,9 +341,10 @@ def scored(docs: DataFrame, held_out: str = "held_out", text: str = "text", stat
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in docs.columns if c not in new and c != text]
     rows = docs.select(*keep, F.col(text).alias("text"))
-    blocks = common.blocks_of(rows)
-    cells = common.partitions_for(blocks.agg(F.sum("bytes")).first()[0] or 0, CELL_BYTES)
-    counted = blocks.select("blk", "payload").mapInArrow(partial(_block_counts, cells=cells), "cell int, blk long, codes binary, counts binary")
+    coded_rows = rows.mapInArrow(partial(_coded_blocks, budget=4_000_000), "blk long, tokens long, payload binary, sizes binary, codes binary, ids binary, counts binary")
+    blocks = common.bucketed(coded_rows, "blk", "zstd")
+    cells = common.partitions_for(blocks.agg(F.sum("tokens")).first()[0] or 0, CELL_TOKENS)
+    counted = blocks.select("blk", "codes", "counts").mapInArrow(partial(_block_counts, cells=cells), "cell int, blk long, codes binary, counts binary")
     totals = common.stored(counted.groupBy("cell").applyInArrow(_totals, "blk long, cell int, totals binary, kind int, words long, tokens long"), "totals", "zstd")
     kinds = totals.where("kind is not null").groupBy("kind").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).toPandas()
     words, tokens = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
@@ -320,8 +353,8 @@ def scored(docs: DataFrame, held_out: str = "held_out", text: str = "text", stat
     model = train(blocks, share, states, rounds)
     n, types = int(tokens.sum()), int(words.sum())
     weight = (n + 0.5 * (types + 1)) / (tokens + 0.5 * (words + 1))
-    back = totals.where("blk is not null").groupBy("blk").agg(F.collect_list(F.struct("cell", "totals")).alias("counts"))
-    met = blocks.select("blk", "payload").join(back, "blk").select("payload", "counts")
+    back = totals.where("blk is not null").groupBy("blk").agg(F.collect_list(F.struct("cell", "totals")).alias("totals"))
+    met = blocks.select("blk", "payload", "sizes", "codes", "ids").join(back, "blk").drop("blk")
     schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep], "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
     return met.mapInArrow(partial(_scores, model=model, weight=weight, tokens=n, types=types, cells=cells, keep=keep), schema)
 
