@@ -19,7 +19,7 @@ from intentloom.llm import common
 
 #: Tokens in a sequence, id that ends a document, longest piece of a document's rest, pieces in a group.
 CAPACITY, END_ID, PIECE, GROUP = 4096, 2, 1024, 4096
-_HELD = 800_000
+_HELD = 100_000
 
 
 @lru_cache(maxsize=2)
