@@ -5,13 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.ipc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,21 +54,70 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-class WordCodes(dict):
-    """word -> 64-bit code, filled on demand; forgets everything once `limit` words are held."""
-
-    def __init__(self, limit: int = 400_000, seed: int = 7):
-        super().__init__()
-        self.limit, self.seed = limit, seed
-
-    def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(self) < self.limit:
-            self[word] = code
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+@lru_cache(maxsize=4)
+def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(size, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return tuple(out)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit values that spreads every bit."""
+    h = h ^ (h >> np.uint64(32))
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BYTE = np.random.default_rng(2024).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_LOWER = _BYTE.copy()
+_BYTE_LOWER[65:91] = _BYTE[97:123]
+_BASE, _CHUNK = 0xD6E8FEB86659FD93, 1 << 18
+
+
+class Words:
+    """All words of a text column, by place in its bytes: raw, starts, ends, and words per text (sizes)."""
+
+    def __init__(self, column: pa.Array):
+        column = pc.fill_null(column, "").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        self.raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        some = offsets[1:] > offsets[:-1]
+        space = _SPACE[self.raw]
+        begins, ends = ~space, ~space
+        begins[1:] &= space[:-1]
+        ends[:-1] &= space[1:]
+        first, last = offsets[:-1][some], offsets[1:][some] - 1
+        begins[first], ends[last] = ~space[first], ~space[last]  # texts follow each other without a gap
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.sizes = np.diff(np.searchsorted(self.starts, offsets))
+
+    def hashes(self, lower: bool = False, tail: int = 0) -> np.ndarray:
+        """64-bit hashes of the words, with A-Z as a-z if `lower`; with `tail`, of the last `tail` bytes of longer words.
+
+        Sums of byte values times powers, taken from running totals; a chunk of text at a time.
+        """
+        values, out = (_BYTE_LOWER if lower else _BYTE), np.empty(len(self.starts), np.uint64)
+        starts = np.maximum(self.starts, self.ends - tail) if tail else self.starts
+        at = 0
+        while at < len(starts):
+            base = starts[at]
+            stop = max(at + 1, int(np.searchsorted(self.ends, base + _CHUNK, "right")))
+            s, e = starts[at:stop] - base, self.ends[at:stop] - base
+            size = int(e[-1])
+            power, inverse = powers(_BASE, max(_CHUNK, 1 << size.bit_length()))
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(values[self.raw[base : base + size]] * power[:size], out=total[1:])
+            out[at:stop] = mixed((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+            at = stop
+        return out
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -83,6 +131,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, budget: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on after a task
 
 
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
@@ -91,6 +140,14 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=names)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or `name` with underscores at its end, so that `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions_for(rows: int, each: int) -> int:
     """How many groups of about `each` rows hold `rows`."""
     return max(1, -(-int(rows) // each))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,39 +20,26 @@ STATES, CLASSES, SEGMENT, BATCH, CELL_TOKENS = 8, 8192, 512, 1_000_000, 4_000_00
 _LOW = (1 << 48) - 1
 
 
-class _Words(common.WordCodes):
-    """word -> its class in the upper 16 bits and 48 bits of hash.
-
-    A word of up to 5 bytes has the class of its hash, a longer one that of its last 4 bytes, so
-    that rare and unseen words share what their endings tell.
-    """
-
-    def __missing__(self, word: bytes) -> int:
-        kind = zlib.crc32(word if len(word) <= 5 else b"-" + word[-4:]) % CLASSES
-        code = kind << 48 | xxhash.xxh3_64_intdigest(word, self.seed) & _LOW
-        if len(self) < self.limit:
-            self[word] = code
-        return code
-
-
 END = CLASSES << 48
 
 
-@lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
-
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all tokens (each text's words, A-Z lower-cased, then the end) and tokens per text.
 
-def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all tokens (each text's words, A-Z lower-cased, then the end) and tokens per text."""
-    words = _words()
-    parts, sizes = [], np.empty(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        parts.append(words.of(found))
-        parts.append(np.array([END], np.uint64))
-        sizes[i] = len(found) + 1
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), sizes
+    A code has the word's class in its upper 16 bits and 48 bits of hash. A word of up to 5 bytes has the
+    class of its hash, a longer one that of its last 4 bytes, so that rare and unseen words share what
+    their endings tell.
+    """
+    words = common.Words(texts)
+    h = words.hashes(lower=True)
+    short = words.ends - words.starts <= 5
+    kind = np.where(short, h, words.hashes(lower=True, tail=4)) % np.uint64(CLASSES)
+    sizes = words.sizes + 1
+    codes = np.full(int(sizes.sum()), END, np.uint64)
+    inside = np.ones(len(codes), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    codes[inside] = kind << np.uint64(48) | h >> np.uint64(16)
+    return codes, sizes
 
 
 # --- counts -------------------------------------------------------------------------------------
@@ -71,7 +56,7 @@ def _coded_blocks(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa
     for batch in common.small_batches(batches, "text", budget):
         for at in range(0, batch.num_rows, 5000):
             part = batch.slice(at, 5000)
-            codes, sizes = coded(part.column("text").to_pylist())
+            codes, sizes = coded(part.column("text"))
             train = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), sizes)
             ids, known = pd.factorize(codes)
             counts = np.bincount(ids, train, len(known))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -14,41 +15,22 @@ from pyspark.sql import types as T
 
 from intentloom.llm import common
 
-#: Words of a phrase, phrases in one automaton, bytes of text per group of hashes.
-PHRASE, SHARD, CELL_BYTES = 8, 100_000, 24_000_000
+#: Words of a phrase, letters of a word, phrases in one automaton, bytes of text per group of hashes.
+PHRASE, LETTERS, SHARD, CELL_BYTES = 8, 3, 100_000, 24_000_000
 #: Odd multipliers of the two rolling hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-@lru_cache(maxsize=1)
-def _codes() -> common.WordCodes:
-    return common.WordCodes()
-
-
-@lru_cache(maxsize=2)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(size, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return tuple(out)
-
-
 def rolling(codes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     """64-bit hashes of all runs of `width` codes: equal runs have equal hashes wherever they stand."""
     n = len(codes)
     if n < width:
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(_BASES[which], 1 << max(16, n.bit_length()))
+    power, inverse = common.powers(_BASES[which], 1 << max(16, n.bit_length()))
     if which:
         codes = (codes ^ (codes >> np.uint64(31))) * np.uint64(0xA24BAED4963EE407)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * power[:n], dtype=np.uint64)))
-    h = (total[width:] - total[:-width]) * inverse[: n - width + 1]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+    return common.mixed((total[width:] - total[:-width]) * inverse[: n - width + 1])
 
 
 def _extreme(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -66,10 +48,8 @@ class Block:
 
     def __init__(self, payload: bytes, text: str, width: int):
         self.rows, self.width = common.unpacked(payload), width
-        self.words = [common.words_of(t) for t in self.rows.column(text).to_pylist()]
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.ends = np.cumsum(self.sizes)
-        self.codes = _codes().of([w for words in self.words for w in words])
+        words = common.Words(self.rows.column(text))
+        self.sizes, self.ends, self.codes = words.sizes, np.cumsum(words.sizes), words.hashes()
 
     def inside(self, width: int) -> np.ndarray:
         """Whether the run of `width` words from each place stays in its document."""
@@ -94,14 +74,15 @@ class Block:
     def occurrences(self, recurring: np.ndarray) -> np.ndarray:
         """Places in all documents where a recurring phrase stands, found by automata over the documents.
 
-        `recurring`: hashes of phrases, all of which this block has. A word is one letter of the
-        automata (20 bits of its code); a find is confirmed by its whole hash.
+        `recurring`: hashes of phrases, all of which this block has. A word is LETTERS letters of the
+        automata, each of 6 bits of its code and from an alphabet of its own, as the automata look through a node's
+        children one by one; a find is confirmed by its whole hash.
         """
         if not len(recurring):
             return np.zeros(0, np.int64)
         h = rolling(self.codes, PHRASE)
-        letters = (self.codes >> np.uint64(44)).astype("<u4") + np.uint32(0x10000)
-        string = letters.tobytes().decode("utf-32-le")
+        letters = np.stack([((self.codes >> np.uint64(58 - 6 * k)) & np.uint64(63)) + np.uint64(0x100 + 64 * k) for k in range(LETTERS)], 1)
+        string = letters.astype("<u4").tobytes().decode("utf-32-le")
         at, hashes = self.anchors()
         hashes, first = np.unique(hashes, return_index=True)
         at = at[first][np.isin(hashes, recurring)].tolist()
@@ -109,10 +90,10 @@ class Block:
         for begin in range(0, len(at), SHARD):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
             for place in at[begin : begin + SHARD]:
-                automaton.add_word(string[place : place + PHRASE])
+                automaton.add_word(string[LETTERS * place : LETTERS * (place + PHRASE)])
             automaton.make_automaton()
             # Documents follow each other in the string; finds across an end are dropped below.
-            found.append(np.fromiter((end for end, _ in automaton.iter(string)), np.int64) - PHRASE + 1)
+            found.append(np.fromiter((end for end, _ in automaton.iter(string)), np.int64) // LETTERS - PHRASE + 1)
         places = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         places = places[self.inside(PHRASE)[places]]
         place = np.minimum(np.searchsorted(known, h[places]), len(known) - 1)
@@ -210,9 +191,10 @@ def _cleaned(batches: Iterator[pa.RecordBatch], text: str, width: int) -> Iterat
             block = Block(payload.as_buffer(), text, width)
             gone = np.split(block.covered(_joined(known)), block.ends[:-1])
             kept = []
-            for words, g in zip(block.words, gone, strict=True):
-                kept.append(b" ".join(np.array(words, object)[~g].tolist()) if g.any() else b" ".join(words))
             rows = block.rows
+            for t, g in zip(rows.column(text).to_pylist(), gone, strict=True):
+                words = common.words_of(t)
+                kept.append(b" ".join(compress(words, (~g).tolist()) if g.any() else words))
             removed = np.array([int(g.sum()) for g in gone], np.int64)
             yield common.with_columns(rows, n_words=pa.array(block.sizes), n_removed=pa.array(removed), kept_text=pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()))
 
