@@ -157,15 +157,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars",
     Taken whole, a document stays as it is; the one at which its source stops is cut after the words taken, joined by
     one space, and `chars`, if there is such a column, counts what is left. Documents without words are never taken.
     """
-    docs = common.stored(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mixed")
-    rows, pieces = takes(docs, text=text, row="mix_row", **options)
-    taken = pieces.groupBy("rank", "nth", "epoch").agg(F.sum("length").alias("mix_length"))
-    taken = rows.select("rank", "nth", "mix_row", "size").join(taken, ["rank", "nth"]).select("mix_row", "epoch", "mix_length", (F.col("mix_length") < F.col("size")).alias("mix_cut"))
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({common.WORD})"), 1), F.lit(1), F.col("mix_length").cast("int")), " ")
-    out = docs.join(taken, "mix_row").withColumn(text, F.when(F.col("mix_cut"), words).otherwise(F.col(text)))
-    if chars in docs.columns:
-        out = out.withColumn(chars, F.when(F.col("mix_cut"), F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
-    return out.select(*[c for c in docs.columns if c != "mix_row"])
+    columns, row, cut, length = docs.columns, *[common.fresh(docs, n) for n in ("mix_row", "mix_cut", "mix_length")]
+    docs = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "mixed", "zstd")
+    rows, pieces = takes(docs, text=text, row=row, **options)
+    taken = pieces.groupBy("rank", "nth", "epoch").agg(F.sum("length").alias(length))
+    taken = rows.select("rank", "nth", row, "size").join(taken, ["rank", "nth"]).select(row, length, (F.col(length) < F.col("size")).alias(cut))
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({common.WORD})"), 1), F.lit(1), F.col(length).cast("int")), " ")
+    out = docs.join(taken, row).withColumn(text, F.when(F.col(cut), words).otherwise(F.col(text)))
+    if chars in columns:
+        out = out.withColumn(chars, F.when(F.col(cut), F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
+    return out.select(*columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -98,10 +98,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("simhash", "component_id")
-    prints = common.stored(with_fingerprints(docs, text, "simhash", width), "fingerprints")
+    prints = common.stored(with_fingerprints(docs, text, "simhash", width), "fingerprints", "zstd")
     return prints.join(_members(prints, doc_id, max_bits), "simhash").select(*docs.columns, "simhash", "component_id")
 
 
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
+    """The id, simhash and component_id of every row, as near_duplicates gives them, without keeping the texts."""
+    prints = common.stored(with_fingerprints(docs.select(doc_id, text), text, "simhash", width).select(doc_id, "simhash"), "fingerprints")
+    return prints.join(_members(prints, doc_id, max_bits), "simhash").select(doc_id, "simhash", "component_id")
+
+
 def _members(prints: DataFrame, doc_id: str, max_bits: int) -> DataFrame:
     """(simhash, component_id) for every fingerprint of `prints`."""
     nodes = prints.groupBy(F.col("simhash").alias("fp")).agg(F.min(doc_id).alias("low"))
@@ -117,18 +123,16 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     Rows that repeat the naming id are kept once (the smallest by text); a group of null ids keeps one row.
     """
-    columns = docs.columns
-    docs = docs.drop("simhash").withColumn("row_", F.monotonically_increasing_id())
-    prints = common.stored(with_fingerprints(docs, text, "simhash", width), "fingerprints")
+    row, print_ = common.fresh(docs, "row"), common.fresh(docs, "simhash")
+    prints = common.stored(with_fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), text, print_, width), "fingerprints", "zstd")
     # Rows are chosen by numbers; whole rows move once, to meet the choice.
-    slim = prints.select("row_", doc_id, "simhash", F.xxhash64(text).alias("text_hash"), F.xxhash64(*[F.col(c) for c in docs.columns if c != "row_"]).alias("row_hash"))
-    named = slim.join(_members(prints, doc_id, max_bits), "simhash").where(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    first = named.groupBy("component_id").agg(F.min(F.struct("text_hash", "row_hash", "row_")).alias("first"))
-    return prints.join(first.select("first.row_"), "row_", "left_semi").select(*[c for c in columns if c != "simhash"])
+    order = F.struct(F.xxhash64(text).alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"), F.col(row).alias("row"))
+    slim = prints.select(order.alias("first"), F.col(doc_id).alias("id"), F.col(print_).alias("simhash"))
+    named = slim.join(_members(slim, "id", max_bits), "simhash").where(F.col("id").eqNullSafe(F.col("component_id")))
+    first = named.groupBy("component_id").agg(F.min("first").alias("first"))
+    return prints.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents by SimHash."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = near_duplicates(docs)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")

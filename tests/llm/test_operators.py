@@ -86,6 +86,8 @@ def test_mixed_documents_hold_the_words_taken(spark, odd):
     want = sum(r.taken for r in mixing.mixed_sizes(odd).collect())
     got = mixing.mixed_documents(odd)
     assert got.columns == odd.columns
+    clash = odd.select("*", *[F.lit(n).alias(n) for n in ("rank", "nth", "epoch", "size", "mix_row", "mix_length", "slot", "at", "target")])
+    assert mixing.mixed_documents(clash).columns == clash.columns and mixing.mixed_documents(clash).count() == got.count()
     assert sum(len(common.words_of(r.text)) for r in got.collect()) == want
 
 
@@ -435,6 +437,9 @@ def test_simhash_equals_brute_force(spark, table, odd):
     assert sorted(got, key=str) == brute_components([(r[0], r[1]) for r in ODD])
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.one_of_each(odd).columns == odd.columns
+    clash = odd.select("*", *[F.lit(n).alias(n) for n in ("row", "simhash", "first", "id", "component_id")])
+    once = simhash.one_of_each(clash)
+    assert once.columns == clash.columns and once.count() == simhash.one_of_each(odd).count() and once.first().row == "row"
 
 
 def test_links_of_near_fingerprints(spark):
