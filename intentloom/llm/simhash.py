@@ -110,26 +110,32 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
 def _members(prints: DataFrame, doc_id: str, max_bits: int) -> DataFrame:
     """(simhash, component_id) for every fingerprint of `prints`."""
+    return _rooted(prints, doc_id, max_bits).drop("root")
+
+
+def _rooted(prints: DataFrame, doc_id: str, max_bits: int) -> DataFrame:
+    """(simhash, root, component_id) for every fingerprint of `prints`; root, a fingerprint, is the component's key, which its id need not be."""
     nodes = prints.groupBy(F.col("simhash").alias("fp")).agg(F.min(doc_id).alias("low"))
     nodes = common.stored(nodes, "nodes")
     roots = common.components(links(nodes.select("fp"), max_bits))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(named, "root").select(F.col("fp").alias("simhash"), "component_id")
+    return rooted.join(named, "root").select(F.col("fp").alias("simhash"), "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of `docs` whose id names their component: one document of each near-duplicate group.
 
-    Rows that repeat the naming id are kept once (the smallest by text); a group of null ids keeps one row.
+    Of a group's rows that repeat the naming id one is kept (the smallest by text); a group of null ids keeps one row.
+    Other groups of the same id, or of null ids, keep theirs.
     """
     row, print_ = common.fresh(docs, "row"), common.fresh(docs, "simhash")
     prints = common.stored(with_fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), text, print_, width), "fingerprints", "zstd")
     # Rows are chosen by numbers; whole rows move once, to meet the choice.
     order = F.struct(F.xxhash64(text).alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"), F.col(row).alias("row"))
     slim = prints.select(order.alias("first"), F.col(doc_id).alias("id"), F.col(print_).alias("simhash"))
-    named = slim.join(_members(slim, "id", max_bits), "simhash").where(F.col("id").eqNullSafe(F.col("component_id")))
-    first = named.groupBy("component_id").agg(F.min("first").alias("first"))
+    named = slim.join(_rooted(slim, "id", max_bits), "simhash").where(F.col("id").eqNullSafe(F.col("component_id")))
+    first = named.groupBy("root").agg(F.min("first").alias("first"))
     return prints.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 

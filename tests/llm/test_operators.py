@@ -442,6 +442,13 @@ def test_simhash_equals_brute_force(spark, table, odd):
     assert once.columns == clash.columns and once.count() == simhash.one_of_each(odd).count() and once.first().row == "row"
 
 
+def test_groups_without_an_id_of_their_own_keep_a_row_each(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[3]), (None, texts[4]), (9, texts[4])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]))
+
+
 def test_links_of_near_fingerprints(spark):
     rng = np.random.default_rng(8)
     base = [int(x) for x in rng.integers(-(2**62), 2**62, 6)]
