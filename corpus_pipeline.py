@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from intentloom.llm import mixing, packing, quality, simhash, substring
+from intentloom.llm import mixing, packing, quality, shingles, substring
 
 #: Documents below this quality score go.
 LEAST_QUALITY = 0.3
@@ -23,8 +23,8 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """Keeps one document, that of the smallest id, of each group of SimHash near-duplicates."""
-    return simhash.one_of_each(docs)
+    """Keeps one document, that of the smallest id, of each group connected by 0.8 or more of five-word shingles."""
+    return shingles.one_of_each(docs)
 
 
 def substring_stage(spark, docs, sf_dir):
@@ -54,7 +54,7 @@ STAGES = [
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]
-#: Trained scores, hashes of 4-word shingles and token ids are not SQL.
+#: Trained scores, hashes of word shingles and token ids are not SQL.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from intentloom.llm import common, hmm, langid, licences, mixing, neardup, packing, quality, registry, simhash, substring, topk
+from intentloom.llm import common, hmm, langid, licences, mixing, neardup, packing, quality, registry, shingles, simhash, substring, topk
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -457,6 +457,70 @@ def test_links_of_near_fingerprints(spark):
     assert got == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) % 2**64).bit_count() <= 4}
 
 
+# --- near copies by shingles ---
+
+
+def brute_near_copies(rows, least=0.8):
+    """The rows that stay: the smallest id of each component, null ids last, by exact sets of shingles."""
+    sets = []
+    for _, text in rows:
+        w = [x.lower() for x in common.words_of(text)]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    low = list(range(len(rows)))
+    alike = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if x == y or (x and y and 10 * len(x & y) >= round(10 * least) * len(x | y))]
+    for _ in rows:
+        for i, j in alike:
+            low[i] = low[j] = min(low[i], low[j])
+    groups = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[low[i]].append((r[0] is None, r[0] or 0, i))
+    return sorted(repr(rows[min(g)[2]]) for g in groups.values())
+
+
+def planted_near_copies(rng):
+    """Originals, copies with words replaced at random (similarities on both sides of 0.8), and chains of copies of copies."""
+    rows, n = [], 0
+    for _ in range(25):
+        base = [f"v{x}" for x in rng.integers(0, 5000, rng.integers(60, 400))]
+        for edits in (0, 1, 2, 3, 4, 6, 9, 14):
+            words = list(base)
+            for at in rng.integers(0, len(words), edits):
+                words[at] = f"z{n}x{at}"
+            rows.append((int(n * 7919 % 1009), " ".join(words).upper() if n % 5 == 0 else " ".join(words)))
+            n += 1
+    words = [f"c{i}" for i in range(200)]
+    for i in range(30):
+        words[i * 6] = f"y{i}"
+        rows.append((2000 - i, " ".join(words)))
+    return rows
+
+
+def test_near_copies_equal_brute_force(spark, odd):
+    import corpus_pipeline
+
+    rows = planted_near_copies(np.random.default_rng(4))
+    same = [f"p{i}" for i in range(90)]  # many texts around one passage, most of them below 0.8 of each other
+    rows += [(3000 + i, " ".join([*same, *[f"q{i}x{j}" for j in range(i % 40)]])) for i in range(120)]
+    rows += [(None, "a text without an id"), (None, "another text without an id"), (5000, "one two"), (5000, "three four"), (5001, "ONE  two"), (5002, None), (5003, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == brute_near_copies(rows)
+    clash = odd.select("*", *[F.lit(n).alias(n) for n in ("row", "near", "node", "first", "root", "key", "a", "b")])
+    once = shingles.one_of_each(clash)
+    assert once.columns == clash.columns and once.count() == len(brute_near_copies([(r[0], r[1]) for r in ODD]))
+    assert shingles.one_of_each(empty(spark)).count() == 0
+
+
+def test_parity_maps_lose_nothing():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 900).astype(np.uint64)
+    for _ in range(200):
+        x, y = (np.unique(rng.choice(pool, rng.integers(1, 600))) for _ in range(2))
+        mx, my = (shingles._features(s)[2].view(np.uint64) for s in (x, y))
+        assert sum(int(d).bit_count() for d in mx ^ my) <= len(np.setxor1d(x, y))
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (9, 8)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)], [(5, 5)]])
 def test_components(spark, edges):
     frame = spark.createDataFrame(edges, "a long, b long")
