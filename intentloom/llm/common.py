@@ -96,9 +96,13 @@ class Words:
         ends[:-1] &= space[1:]
         first, last = offsets[:-1][some], offsets[1:][some] - 1
         begins[first], ends[last] = ~space[first], ~space[last]  # texts follow each other without a gap
+        self.split(begins, ends)
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.sizes = np.diff(np.searchsorted(self.starts, offsets))
 
+    def split(self, begins: np.ndarray, ends: np.ndarray) -> None:
+        """For subclasses that cut words further: marks more first and last bytes."""
+
     def hashes(self, lower: bool = False, tail: int = 0) -> np.ndarray:
         """64-bit hashes of the words, with A-Z as a-z if `lower`; with `tail`, of the last `tail` bytes of longer words.
 

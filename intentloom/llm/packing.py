@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -11,6 +12,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,17 @@ from intentloom.llm import common
 
 #: Tokens in a sequence, id that ends a document, longest piece of a document's rest, pieces in a group.
 CAPACITY, END_ID, PIECE, GROUP = 4096, 2, 1024, 4096
-_HELD = 100_000
+#: Bytes of part ids that a worker holds; parts beyond are encoded in each batch that has them.
+HELD_BYTES = 48_000_000
+# What a tokenizer has to do with a text before its merges, for parts to have the ids they have in the text.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_LETTER, _POINT, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_LETTER[97:123] = True
+_POINT[33:127] = True
+_POINT[65:91] = _POINT[97:123] = False
+_LOWER[65:91] += 32
 
 
 @lru_cache(maxsize=2)
@@ -29,76 +41,133 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
-_POINT[33:127] = True
-_POINT[65:91] = _POINT[97:123] = False
+def _by_parts(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and splits texts as `Parts` does."""
+    made = json.loads(tokenizer.to_str())
+    split = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    return (
+        made["normalizer"] == _NORMALIZER and made["post_processor"] is None and made["model"]["type"] == "BPE" and made["model"]["end_of_word_suffix"] == "</w>"
+        and [p.get("type") for p in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": _SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+        and not split[1]["add_prefix_space"]
+    )
 
 
-def parts_of(text: str | None) -> list[bytes] | None:
-    """Parts of a text whose ids, one after the other, are the text's: its words, A-Z lower-cased, cut
-    between a letter (a-z, U+00C0 to U+00FF) and an ASCII digit or point. None for a text that may hold a special token.
+class Parts(common.Words):
+    """Parts of a text column whose ids, one after the other, are the texts': words, A-Z lower-cased, cut between a
+    letter (a-z, U+00C0 to U+00FF) and an ASCII digit or point. Each is told by its hash, its first and last 8 bytes and its length,
+    which for parts of up to 16 bytes is the part itself."""
 
-    That holds for tokenizers that lower-case, drop white space, end a token there, and end runs of letters at other characters.
-    """
-    if not text:
-        return []
-    if "<|" in text:
-        return None
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    letter = _LETTER[raw[:-1]]
-    letter[1:] |= (raw[:-2] == 0xC3) & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7)  # all but the signs for times and division
-    at = np.flatnonzero(letter & _POINT[raw[1:]]) + 1
-    return np.insert(raw, at, 32).tobytes().split()
+    def __init__(self, column: pa.Array):
+        super().__init__(column)
+        size = self.ends - self.starts
+        padded = np.pad(self.raw, 8)
+        eights = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
+        self.keys = (self.hashes(), eights[self.starts + 8] & mask, np.where(size < 8, np.uint64(0), eights[self.ends]), size)
 
+    def split(self, begins: np.ndarray, ends: np.ndarray) -> None:
+        self.raw = _LOWER[self.raw]
+        letter = _LETTER[self.raw]
+        letter[1:] |= (self.raw[:-1] == 0xC3) & (self.raw[1:] != 0x97) & (self.raw[1:] != 0xB7)  # all but the signs for times and division
+        cut = letter[:-1] & _POINT[self.raw[1:]] & ~begins[1:]
+        begins[1:] |= cut
+        ends[:-1] |= cut
 
-class PartIds(dict):
-    """part -> its token ids as little-endian unsigned 32-bit bytes; parts that are not held are encoded together."""
+    def bytes_of(self, which: np.ndarray) -> list[bytes]:
+        raw = self.raw.tobytes()
+        return [raw[a:b] for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist(), strict=True)]
+
+
+class PartIds:
+    """Token ids of texts, by way of the ids of their parts. Those of parts met are held in flat arrays in the order of their
+    hashes, up to HELD_BYTES."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.tokenizer = _tokenizer(path)
+        self.by_parts = _by_parts(self.tokenizer)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def encode(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of parts. Latin words of letters alone are one run of the tokenizer, whose last token is marked as
-        its end; many such words are encoded as one text and cut at these marks. Others go one by one."""
-        words, odd, found = [], [], {}
-        for p in parts:  # isalpha() of bytes knows a-z and A-Z only
-            (words if p.isalpha() or (t := p.decode("utf-8", "surrogatepass")).isalpha() and max(t) < "\u0250" else odd).append(p)
+        self.keys = (*[np.zeros(0, np.uint64)] * 3, np.zeros(0, np.int64))
+        self.at, self.n, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts in one array, with the place and number of those of each part. Latin words of letters alone are one run of the
+        tokenizer, whose last token is marked as its end; many such words are encoded as one text and cut at
+        these marks. Others go one by one."""
+        words, odd, flat = [], [], []
+        at, n, size = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), 0
+        for i, p in enumerate(parts):  # isalpha() of bytes knows a-z and A-Z only
+            (words if p.isalpha() or (t := p.decode("utf-8", "surrogatepass")).isalpha() and max(t) < "\u0250" else odd).append(i)
         for i in range(0, len(words), 1000):
             these = words[i : i + 1000]
-            ids = np.array(self.ids([b" ".join(these).decode()])[0], "<u4")
+            ids = np.array(self.ids([b" ".join([parts[j] for j in these]).decode()])[0], "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(these) or ends[-1] != len(ids):
                 odd += these
                 continue
-            raw, at = ids.tobytes(), (4 * ends).tolist()
-            found.update(zip(these, [raw[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+            n[these] = np.diff(ends, prepend=0)
+            at[these] = ends - n[these] + size
+            flat.append(ids)
+            size += len(ids)
         for i in range(0, len(odd), 5000):
             these = odd[i : i + 5000]
-            found.update(zip(these, [np.array(x, "<u4").tobytes() for x in self.ids([p.decode("utf-8", "surrogatepass") for p in these])], strict=True))
-        return found
+            for j, ids in zip(these, self.ids([parts[j].decode("utf-8", "surrogatepass") for j in these]), strict=True):
+                at[j], n[j] = size, len(ids)
+                flat.append(np.array(ids, "<u4"))
+                size += len(ids)
+        return np.concatenate(flat) if flat else np.zeros(0, "<u4"), at, n
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; past _HELD parts only those held already stay."""
-        cut = [parts_of(t) for t in texts]
-        new = list({p for parts in cut if parts for p in parts}.difference(self))
-        self.update(self.encode(new))
-        look = self.__getitem__
-        out = [
-            np.array(self.ids([t])[0], "<u4").tobytes() if parts is None else b"".join(map(look, parts))
-            for t, parts in zip(texts, cut, strict=True)
-        ]
-        if len(self) > _HELD:
-            for p in new:
-                del self[p]
+    def of(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; nulls are empty texts. Texts that may hold a special token, and all if the tokenizer is of another kind, are encoded whole."""
+        column = pc.fill_null(column, "")
+        whole = pc.match_substring(column, "<|").to_numpy(zero_copy_only=False) if self.by_parts else np.ones(len(column), bool)
+        parts = Parts(pc.if_else(pa.array(whole), "", column))
+        code, _ = pd.factorize(parts.keys[0])
+        first = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        keys = tuple(k[first] for k in parts.keys)
+        if not all((k == own[code]).all() for k, own in zip(parts.keys, keys, strict=True)):  # two parts of one hash
+            parts, whole, code = Parts(pa.array([""] * len(column))), np.ones(len(column), bool), code[:0]
+            first, keys = first[:0], parts.keys
+        place, known = self._held(keys)
+        new, held = np.flatnonzero(~known), len(self.flat)
+        fresh, at, n = self.encode(parts.bytes_of(first[new]))
+        offset, tokens = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        offset[known], tokens[known] = self.at[place[known]], self.n[place[known]]
+        offset[new], tokens[new] = at + held, n
+        flat = np.concatenate([self.flat, fresh])
+        self._hold(tuple(k[new] for k in keys), at + held, n, flat)
+        tokens, offset = tokens[code], offset[code]
+        ends = np.concatenate(([0], np.cumsum(tokens)))
+        ids = flat[np.repeat(offset - ends[:-1], tokens) + np.arange(ends[-1])]
+        out = np.split(ids, ends[np.cumsum(parts.sizes)[:-1]]) if len(column) else []
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.array(self.ids([column[i].as_py()])[0], "<u4")
         return out
 
+    def _held(self, keys: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the parts held, and whether the part there is the one asked for."""
+        if not len(self.at):
+            return np.zeros(len(keys[0]), np.int64), np.zeros(len(keys[0]), bool)
+        place = np.minimum(np.searchsorted(self.keys[0], keys[0]), len(self.at) - 1)
+        return place, np.logical_and.reduce([k[place] == own for k, own in zip(self.keys, keys, strict=True)])
+
+    def _hold(self, keys: tuple, at: np.ndarray, n: np.ndarray, flat: np.ndarray) -> None:
+        """Holds as many new parts as the bound allows. `flat` has the ids of those held and then of the new."""
+        order = np.argsort(at, kind="stable")
+        cost = 48 * (len(self.at) + np.arange(1, len(at) + 1)) + 4 * (at + n)[order]
+        order = order[: int(np.searchsorted(cost, HELD_BYTES, "right"))]
+        if not len(order):
+            return
+        self.flat = flat[: int((at + n)[order[-1]])]
+        order = order[np.argsort(keys[0][order])]
+        where = np.searchsorted(self.keys[0], keys[0][order])
+        self.keys = tuple(np.insert(k, where, own[order]) for k, own in zip(self.keys, keys, strict=True))
+        self.at, self.n = np.insert(self.at, where, at[order]), np.insert(self.n, where, n[order])
+
 
 @lru_cache(maxsize=2)
 def _part_ids(path: str) -> PartIds:
@@ -121,10 +190,9 @@ def pieces_of(tokens: int, capacity: int = CAPACITY, piece: int = PIECE) -> list
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     ids_of, end = _part_ids(path), np.array([END_ID], "<u4").tobytes()
     for batch in common.small_batches(batches, "text", 4_000_000):
-        texts = batch.column("text").to_pylist()
         row, starts, lengths, crcs, totals, kept = [], [], [], [], [], []
-        for i, ids in enumerate(ids_of.of(texts)):
-            ids += end
+        for i, ids in enumerate(ids_of.of(batch.column("text"))):
+            ids = ids.tobytes() + end
             for start, length in pieces_of(len(ids) // 4, capacity, piece):
                 part = ids[4 * start : 4 * (start + length)]
                 row.append(i)

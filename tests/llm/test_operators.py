@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -179,7 +180,21 @@ def test_part_ids_equal_the_tokenizer(text):
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    assert np.frombuffer(packing._part_ids(path).of([text])[0], "<u4").tolist() == packing._tokenizer(path).encode(text, add_special_tokens=False).ids
+    want = packing._tokenizer(path).encode(text, add_special_tokens=False).ids
+    assert [x.tolist() for x in packing._part_ids(path).of(pa.array([text, None, text]))] == [want, [], want]
+
+
+def test_part_ids_past_the_bound_and_of_other_tokenizers(monkeypatch, table, tokenizer):
+    texts = pa.array(table.text.tolist() * 2)
+    want = packing.PartIds(tokenizer).of(texts)
+    monkeypatch.setattr(packing, "HELD_BYTES", 100_000)
+    small = packing.PartIds(tokenizer)
+    got = [x for i in range(0, len(texts), 40) for x in small.of(texts.slice(i, 40))]
+    assert 0 < 48 * len(small.at) + 4 * len(small.flat) <= 100_000
+    other = packing.PartIds(tokenizer.replace("word_bpe_49k", "byte_bpe_50k"))
+    assert small.by_parts and not other.by_parts
+    plain = [other.tokenizer.encode(t, add_special_tokens=False).ids for t in table.text[:20]]
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and [x.tolist() for x in other.of(texts.slice(0, 20))] == plain
 
 
 @settings(max_examples=100, deadline=None)
