@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache, partial
 
 import numpy as np
@@ -19,12 +21,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Paths and names of the tables that operators stored, by application.
+_STORED: dict[str, list[tuple[str, str]]] = defaultdict(list)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (local runs)."""
+    """The cluster's shared checkpoint folder. Where none is set, a temporary one on a local master; elsewhere that is an error,
+    as executors would not see it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -35,10 +44,31 @@ def stored(df: DataFrame, what: str, compression: str = "lz4") -> DataFrame:
     from files that survive the loss of any executor instead of recomputing the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _STORED[spark.sparkContext.applicationId].append((path, ""))
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops on leaving all tables that operators stored inside. Results that were not written by then cannot be read any more:
+
+    with scratch(spark): pack(docs, tokenizer).write.parquet(path)
+    """
+    made = _STORED[spark.sparkContext.applicationId]
+    before = len(made)
+    try:
+        yield
+    finally:
+        files = spark._jvm.org.apache.hadoop.fs.Path
+        for path, name in made[before:]:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            place = files(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del made[before:]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() cuts at exactly \\x20 and \\x09-\\x0D."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -157,14 +187,18 @@ def partitions_for(rows: int, each: int) -> int:
     return max(1, -(-int(rows) // each))
 
 
+#: Edges beyond which a round's minima are a table of their own, so that the join of a hub's edges can be split.
+HUB_EDGES = 1_000_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, by alternating star contraction.
 
     `edges` has long columns a and b. Returns (node, root): one row per node that has an edge to
     another node, root being the smallest node of its component. Each round turns neighbours into
     direct children of the smallest neighbour, first for larger, then for smaller neighbours;
-    the rounds grow with the logarithm of the component's size. Only a count and a checksum
-    reach the driver; the edges of a round are a table in the shared folder.
+    the rounds grow with the logarithm of the component's size, and more than `rounds` are an error. Only a count and a checksum
+    reach the driver; the edges of a round are a table in the shared folder. An empty graph has no rows; loops and repeated edges add nothing.
     """
 
     def mark(df: DataFrame) -> tuple:
@@ -172,7 +206,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def star(pairs: DataFrame) -> DataFrame:
         low = pairs.groupBy("a").agg(F.min("b").alias("m"))
-        return pairs.join(low, "a")
+        return pairs.join(stored(low, "minima") if seen[0] > HUB_EDGES else low, "a")
 
     now = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
@@ -197,6 +231,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def named_components(nodes: DataFrame, roots: DataFrame, node: str, low: str) -> DataFrame:
+    """(node, root, name) for every row of `nodes` (node, low): its component's root and the least `low` in it.
+
+    Only nodes that have a root are joined with names. The names are a table of their own, so that a component with
+    many nodes is a skewed partition of a plain join, which Spark splits.
+    """
+    own = nodes.select(F.col(node).alias("node"), F.col(low).alias("low"))
+    met = stored(own.join(roots, "node", "left"), "rooted")
+    bound = met.where("root is not null")
+    top = roots.select(F.col("root").alias("node")).distinct()
+    inner = bound.select("root", "low").union(own.join(top, "node").select(F.col("node").alias("root"), "low"))
+    names = stored(inner.groupBy("root").agg(F.min("low").alias("name")), "names")
+    tops = met.where("root is null").join(names.withColumnRenamed("root", "node"), "node", "left")
+    tops = tops.select("node", F.col("node").alias("root"), F.coalesce("name", "low").alias("name"))
+    return bound.join(names, "root").select("node", "root", "name").union(tops)
+
+
 def _packed_blocks(batches: Iterator[pa.RecordBatch], text: str, budget: int) -> Iterator[pa.RecordBatch]:
     task, n = TaskContext.get().partitionId(), 0
     for batch in small_batches(batches, text, budget):
@@ -207,6 +258,10 @@ def _packed_blocks(batches: Iterator[pa.RecordBatch], text: str, budget: int) ->
             n += 1
 
 
+#: Bytes of text in a bucket of a stored table.
+BUCKET_BYTES = 32_000_000
+
+
 def blocks_of(docs: DataFrame, text: str = "text", budget: int = 4_000_000) -> DataFrame:
     """`docs` as a stored table of blocks: blk, bytes of text, payload (the rows as a compressed Arrow stream).
 
@@ -214,14 +269,23 @@ def blocks_of(docs: DataFrame, text: str = "text", budget: int = 4_000_000) -> D
     steps that bring something back to each block move that, and not the texts.
     """
     rows = docs.mapInArrow(partial(_packed_blocks, text=text, budget=budget), "blk long, bytes long, payload binary")
-    return bucketed(rows, "blk", "none")
+    return bucketed(rows, "blk", "none", text_bytes(docs, text))
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def bucketed(rows: DataFrame, key: str, compression: str) -> DataFrame:
-    """`rows` as a stored table, bucketed by `key` into as many buckets as a shuffle has partitions."""
+def bucketed(rows: DataFrame, key: str, compression: str, size: int) -> DataFrame:
+    """`rows` as a stored table, bucketed by `key` into buckets of about BUCKET_BYTES of the `size` bytes of their texts, fewer bytes where
+    a shuffle has more partitions. Rows move to their bucket before they are written, one file each."""
     spark = rows.sparkSession
-    name, buckets = f"blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = rows.write.format("parquet").option("compression", compression).option("path", f"{shared_dir(spark)}/{name}")
+    name = f"blocks_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = max(partitions_for(size, BUCKET_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(size, 2_000_000)))
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    _STORED[spark.sparkContext.applicationId].append((path, name))
+    writer = rows.repartition(buckets, key).write.format("parquet").option("compression", compression).option("path", path)
     writer.bucketBy(buckets, key).saveAsTable(name)
     return spark.table(name)
 

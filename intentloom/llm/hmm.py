@@ -327,7 +327,7 @@ def scored(docs: DataFrame, held_out: str = "held_out", text: str = "text", stat
     keep = [c for c in docs.columns if c not in new and c != text]
     rows = docs.select(*keep, F.col(text).alias("text"))
     coded_rows = rows.mapInArrow(partial(_coded_blocks, budget=4_000_000), "blk long, tokens long, payload binary, sizes binary, codes binary, ids binary, counts binary")
-    blocks = common.bucketed(coded_rows, "blk", "zstd")
+    blocks = common.bucketed(coded_rows, "blk", "zstd", common.text_bytes(rows, "text"))
     cells = common.partitions_for(blocks.agg(F.sum("tokens")).first()[0] or 0, CELL_TOKENS)
     counted = blocks.select("blk", "codes", "counts").mapInArrow(partial(_block_counts, cells=cells), "cell int, blk long, codes binary, counts binary")
     totals = common.stored(counted.groupBy("cell").applyInArrow(_totals, "blk long, cell int, totals binary, kind int, words long, tokens long"), "totals", "zstd")

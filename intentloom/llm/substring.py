@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from intentloom.llm import common
 
-#: Words of a phrase, letters of a word, phrases in one automaton, bytes of text per group of hashes.
-PHRASE, LETTERS, SHARD, CELL_BYTES = 8, 3, 100_000, 24_000_000
+#: Words of a phrase, letters of a word, phrases in one automaton, words of the documents that share automata, bytes of text per cell of hashes.
+PHRASE, LETTERS, SHARD, SHARED_WORDS, CELL_BYTES = 8, 3, 50_000, 4_000_000, 24_000_000
 #: Odd multipliers of the two rolling hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -71,38 +71,15 @@ class Block:
         at = np.flatnonzero((_extreme(padded, span, np.maximum) == h) & (h > 0))
         return at, h[at]
 
-    def occurrences(self, recurring: np.ndarray) -> np.ndarray:
-        """Places in all documents where a recurring phrase stands, found by automata over the documents.
-
-        `recurring`: hashes of phrases, all of which this block has. A word is LETTERS letters of the
-        automata, each of 6 bits of its code and from an alphabet of its own, as the automata look through a node's
-        children one by one; a find is confirmed by its whole hash.
-        """
-        if not len(recurring):
-            return np.zeros(0, np.int64)
-        h = rolling(self.codes, PHRASE)
+    def letters(self) -> str:
+        """The documents as a string for the automata. A word is LETTERS letters, each of 6 bits of its code and from an alphabet of its own, as
+        the automata look through a node's children one by one; so a phrase stands for 144 bits and starts at whole words only."""
         letters = np.stack([((self.codes >> np.uint64(58 - 6 * k)) & np.uint64(63)) + np.uint64(0x100 + 64 * k) for k in range(LETTERS)], 1)
-        string = letters.astype("<u4").tobytes().decode("utf-32-le")
-        at, hashes = self.anchors()
-        hashes, first = np.unique(hashes, return_index=True)
-        at = at[first][np.isin(hashes, recurring)].tolist()
-        known, found = np.sort(recurring), []
-        for begin in range(0, len(at), SHARD):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for place in at[begin : begin + SHARD]:
-                automaton.add_word(string[LETTERS * place : LETTERS * (place + PHRASE)])
-            automaton.make_automaton()
-            # Documents follow each other in the string; finds across an end are dropped below.
-            found.append(np.fromiter((end for end, _ in automaton.iter(string)), np.int64) // LETTERS - PHRASE + 1)
-        places = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        places = places[self.inside(PHRASE)[places]]
-        place = np.minimum(np.searchsorted(known, h[places]), len(known) - 1)
-        return places[known[place] == h[places]]
-
-    def candidates(self, recurring: np.ndarray) -> np.ndarray:
-        """Places of windows that hold an occurrence of a recurring phrase."""
-        whole, places = self.inside(self.width), self.occurrences(recurring)
-        span = self.width - PHRASE + 1
+        return letters.astype("<u4").tobytes().decode("utf-32-le")
+
+    def candidates(self, places: np.ndarray) -> np.ndarray:
+        """Places of windows that hold one of the phrases that stand at `places`."""
+        whole, span = self.inside(self.width), self.width - PHRASE + 1
         change = np.zeros(len(self.codes) + 1, np.int64)
         np.add.at(change, np.maximum(places - span + 1, 0), 1)
         np.add.at(change, places + 1, -1)
@@ -120,8 +97,46 @@ class Block:
         return np.cumsum(change)[:-1] > 0
 
 
+def shards(blocks: list[Block], recurring: np.ndarray) -> Iterator[ahocorasick.Automaton]:
+    """Automata of at most SHARD phrases each, of the phrases of all `blocks` whose hashes are among `recurring`."""
+    hashes, owner, place = [], [], []
+    for i, block in enumerate(blocks):
+        at, h = block.anchors()
+        some = np.isin(h, recurring)
+        hashes.append(h[some])
+        place.append(at[some])
+        owner.append(np.full(int(some.sum()), i))
+    _, first = np.unique(np.concatenate(hashes), return_index=True)
+    owner, place = np.concatenate(owner)[first], np.concatenate(place)[first]
+    for begin in range(0, len(first), SHARD):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        these = slice(begin, begin + SHARD)
+        for i in np.unique(owner[these]).tolist():
+            string = blocks[i].letters()
+            for at in place[these][owner[these] == i].tolist():
+                automaton.add_word(string[LETTERS * at : LETTERS * (at + PHRASE)])
+        automaton.make_automaton()
+        yield automaton
+
+
+def occurrences(blocks: list[Block], recurring: np.ndarray) -> list[np.ndarray]:
+    """Places, per block, where a recurring phrase stands: all documents of the blocks streamed through every shard.
+
+    Documents follow each other in a block's string; finds across an end are dropped.
+    """
+    found = [[np.zeros(0, np.int64)] for _ in blocks]
+    for automaton in shards(blocks, recurring):
+        for block, places in zip(blocks, found, strict=True):
+            places.append(np.fromiter((end for end, _ in automaton.iter(block.letters())), np.int64) // LETTERS - PHRASE + 1)
+    out = []
+    for block, places in zip(blocks, found, strict=True):
+        places = np.unique(np.concatenate(places))
+        out.append(places[block.inside(PHRASE)[places]])
+    return out
+
+
 def _dealt(blk: int, hashes: np.ndarray, checks: np.ndarray, cells: int) -> pa.RecordBatch:
-    """Distinct hashes of a block, dealt by hash to cells: one row per cell, with how often each occurs (1 or more: 2)."""
+    """Distinct hashes of a block, dealt by hash to cells: one row per cell that has some, with how often each occurs (1 or more: 2)."""
     order = np.lexsort((checks, hashes))
     hashes, checks = hashes[order], checks[order]
     new = np.ones(len(hashes), bool)
@@ -129,10 +144,11 @@ def _dealt(blk: int, hashes: np.ndarray, checks: np.ndarray, cells: int) -> pa.R
     starts = np.flatnonzero(new)
     twice = np.diff(np.append(starts, len(hashes))) > 1
     hashes, checks = hashes[starts], checks[starts]
-    edges = np.searchsorted(hashes, [(c << 64) // cells for c in range(1, cells)]) if cells > 1 else []
-    parts = [x for x in zip(np.split(hashes, edges), np.split(checks, edges), np.split(twice, edges), range(cells), strict=True) if len(x[0])]
+    cell = ((hashes >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(cell)) + 1
+    parts = list(zip(np.split(hashes, edges), np.split(checks, edges), np.split(twice, edges), strict=True)) if len(cell) else []
     return pa.RecordBatch.from_arrays(
-        [pa.array([p[3] for p in parts], pa.int32()), pa.array([blk] * len(parts), pa.int64()), pa.array([p[0].tobytes() for p in parts], pa.binary()),
+        [pa.array(cell[np.concatenate(([0], edges))] if parts else cell, pa.int32()), pa.array([blk] * len(parts), pa.int64()), pa.array([p[0].tobytes() for p in parts], pa.binary()),
          pa.array([p[1].tobytes() for p in parts], pa.binary()), pa.array([np.packbits(p[2]).tobytes() for p in parts], pa.binary())],
         names=["cell", "blk", "hashes", "checks", "twice"],
     )
@@ -149,12 +165,24 @@ def _anchor_hashes(batches: Iterator[pa.RecordBatch], text: str, width: int, cel
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch], text: str, width: int, cells: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blk, payload, known in zip(batch.column("blk").to_pylist(), batch.column("payload"), batch.column("known"), strict=True):
-            block = Block(payload.as_buffer(), text, width)
-            at = block.candidates(_joined(known))
+    held: list[tuple[int, Block, np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        blocks = [b for _, b, _ in held]
+        places = occurrences(blocks, np.unique(np.concatenate([k for *_, k in held])))
+        for (blk, block, _), found in zip(held, places, strict=True):
+            at = block.candidates(found)
             checks = (rolling(block.codes, width, 1)[at] >> np.uint64(32)).astype("<u4")
             yield _dealt(blk, rolling(block.codes, width)[at], checks, cells)
+        held.clear()
+
+    for batch in batches:
+        for blk, payload, known in zip(batch.column("blk").to_pylist(), batch.column("payload"), batch.column("known"), strict=True):
+            held.append((blk, Block(payload.as_buffer(), text, width), _joined(known)))
+            if sum(len(b.codes) for _, b, _ in held) >= SHARED_WORDS:
+                yield from flush()
+    if held:
+        yield from flush()
 
 
 def _joined(known: pa.Scalar) -> np.ndarray:
@@ -204,8 +232,9 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = 35) -> Dat
     that also starts anywhere else is removed, windows being judged on the input.
 
     Equal windows hold equal chosen phrases of PHRASE words (the smallest hash of each window). 1. The
-    chosen phrases of all blocks are counted by hash, which confirms those that recur. 2. Each block compiles its recurring
-    phrases into automata of SHARD phrases at most and streams its documents through them; windows around a find are the only ones that can
+    chosen phrases of all blocks are counted by hash, which confirms those that recur anywhere. 2. The recurring phrases are compiled into
+    automata of SHARD phrases at most, and documents are streamed through them: all documents of a partition, SHARED_WORDS words at a time, through
+    all shards of the phrases of the list that these documents were counted for (others cannot stand in them). Windows around a find are the only ones that can
     repeat, and their 96-bit hashes are counted in turn. 3. Each block marks the words of its repeated
     windows. Hashes travel as packed arrays, one row per block and range of hashes; an array holds a
     hash once per block, so a passage in a third of all documents adds one entry per block. Texts don't travel.
