@@ -9,13 +9,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intentloom.llm import common
 
-BYTES = 8
+#: Bytes of a fingerprint, entries of one choice of positions in a cell, fingerprints per task that makes entries, members up to which a
+#: posting is compared pair by pair, pairs compared at once.
+BYTES, CELL, SPREAD, SMALL, PAIRS = 8, 250_000, 20_000, 64, 500_000
 
 
 def fingerprint(words: list[bytes], width: int, seed: int = 42, chunk: int = 100_000) -> int:
@@ -51,41 +53,98 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "simhash",
     return docs.mapInArrow(partial(_fingerprints, width=width, text=text, out=out), schema)
 
 
-def _byte(c: Column, j: int) -> Column:
-    return F.shiftrightunsigned(c, 8 * j).bitwiseAND(F.lit(255))
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of their 8 positional bytes two fingerprints share."""
+    return (np.ascontiguousarray(a ^ b).view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
+
+
+def near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which pairs stay: those that share the guaranteed number of bytes, and of these the ones at most `max_bits` apart."""
+    fit = np.flatnonzero(tally(a, b) >= BYTES - max_bits)
+    out = np.zeros(len(a), bool)
+    out[fit] = np.bitwise_count(a[fit] ^ b[fit]) <= max_bits
+    return out
+
+
+def _posted(batches: Iterator[pa.RecordBatch], masks: list[int], parts: int) -> Iterator[pa.RecordBatch]:
+    """Fingerprints under every choice of positions: one row per cell with the fingerprints whose bytes there fall into it."""
+    for batch in batches:
+        fp = batch.column("fp").to_numpy().view(np.uint64)
+        for k, mask in enumerate(masks):
+            part = (common.mixed((fp & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.diff(part[order])) + 1
+            rows = [(int(part[p[0]]), fp[p].tobytes()) for p in np.split(order, edges) if len(p)]
+            yield pa.RecordBatch.from_arrays([pa.array([k * parts + c for c, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.binary())], names=["cell", "fps"])
+
+
+def _spanning(fp: np.ndarray, max_bits: int) -> list[np.ndarray]:
+    """Links (2, n) that connect what all links among one posting's fingerprints connect: breadth first, each
+    fingerprint being compared with those that no one has reached yet. Near copies fall away at once."""
+    out, left = [], fp
+    while len(left):
+        todo, left = [left[:1]], left[1:]
+        while todo and len(left):
+            at = todo.pop()
+            for one in at:
+                found = near(np.full(len(left), one), left, max_bits)
+                if found.any():
+                    reached, left = left[found], left[~found]
+                    todo.append(reached)
+                    out.append(np.stack([np.full(len(reached), one), reached]))
+    return out
+
+
+def _linked(table: pa.Table, masks: list[int], parts: int, max_bits: int) -> pa.Table:
+    """Edges of a cell. Postings are runs of fingerprints with equal bytes at the cell's positions."""
+    fp = np.frombuffer(b"".join(table.column("fps").to_pylist()), np.uint64)
+    key = fp & np.uint64(masks[table.column("cell")[0].as_py() // parts])
+    order = np.argsort(key, kind="stable")
+    fp, key = fp[order], key[order]
+    starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    sizes = np.diff(np.append(starts, len(fp)))
+    out = [np.zeros((2, 0), np.uint64)]
+    for at, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        out += _spanning(fp[at : at + n], max_bits)
+    small = np.repeat(sizes <= SMALL, sizes)
+    later = np.where(small, np.repeat(starts + sizes, sizes) - np.arange(len(fp)) - 1, 0)
+    sums, at = np.cumsum(later), 0
+    while at < len(fp):  # pairs of small postings, some at a time
+        stop = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, "right")))
+        c = later[at:stop]
+        i = np.repeat(np.arange(at, stop), c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        fit = near(fp[i], fp[j], max_bits)
+        out.append(np.stack([fp[i[fit]], fp[j[fit]]]))
+        at = stop
+    edges = np.concatenate(out, 1).view(np.int64)
+    edges = np.unique(np.sort(edges, 0), axis=1)
+    return pa.table({"a": edges[0], "b": edges[1]})
 
 
 def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints (column fp, one row each) at most `max_bits` apart.
-
-    Two fingerprints that differ in d bits differ in d bytes at most, so they share at least
-    8 - d of their 8 positional bytes. The index holds every fingerprint under each choice of that
-    many positions with the bytes there; a pair meets in at least one posting. In a posting the
-    shared positional bytes of a pair are tallied: the pair counts only in the posting of its first
-    `8 - max_bits` shared positions, so no pair is made twice and none has to be made distinct,
-    and it is verified by its Hamming distance. Postings are joined by key, so a frequent
-    posting is split by the skew handling of the join.
+    """Edges (a, b), a < b, between fingerprints (column fp) at most `max_bits` apart, enough to connect all that such pairs connect.
+
+    Two fingerprints that differ in d bits differ in d bytes at most, so they share at least 8 - d of their 8 positional
+    bytes. The index has a posting for the bytes at each choice of that many positions, so that a pair that shares too few
+    bytes meets nowhere. Where a pair meets, the positional bytes that it shares are tallied; it stays if they reach the
+    guaranteed number, and is then verified by its Hamming distance. Postings come packed, CELL entries or so of one choice of positions in a
+    task; small ones are compared pair by pair, larger ones breadth first, and only edges leave the task. `max_bits` from 2
+    to 6 are indexed, others are a ValueError. Repeated fingerprints count once; none give no edges.
     """
-    need = BYTES - max_bits
-    if not 1 <= need <= 6:
-        raise ValueError("max_bits must be between 2 and 7")
-    # Key: bytes at the chosen positions, mixed with the choice itself; `mask` names the positions, `below` all up to the last.
-    postings = [
-        F.struct(
-            F.lit(sum(1 << j for j in c)).alias("mask"), F.lit((2 << c[-1]) - 1).alias("below"),
-            F.concat(*[F.chr(_byte(F.col("fp"), j)) for j in c]).alias("bytes") if need > 4
-            else sum((F.shiftleft(_byte(F.col("fp"), j), 8 * k) for k, j in enumerate(c)), F.lit(0).cast("long")).alias("bytes"),
-        ) for c in combinations(range(BYTES), need)
-    ]
-    index = prints.select("fp", F.explode(F.array(*postings)).alias("p")).select("fp", "p.mask", "p.below", "p.bytes")
-    a, b = index.alias("a"), index.alias("b")
-    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    shared = sum((F.when(_byte(differ, j) == 0, 1 << j).otherwise(0) for j in range(BYTES)), F.lit(0))
-    return a.join(
-        b,
-        (F.col("a.bytes") == F.col("b.bytes")) & (F.col("a.mask") == F.col("b.mask")) & (F.col("a.fp") < F.col("b.fp"))
-        & (F.bit_count(differ) <= max_bits) & (shared.bitwiseAND(F.col("a.below")) == F.col("a.mask")),
-    ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    if not 2 <= max_bits <= 6:
+        raise ValueError("max_bits must be between 2 and 6")
+    masks = [sum(0xFF << 8 * j for j in c) for c in combinations(range(BYTES), BYTES - max_bits)]
+    prints = common.stored(prints.select("fp").distinct(), "prints")
+    n = prints.count()
+    parts = common.partitions_for(n, CELL)
+    spread = prints.repartition(common.partitions_for(n, SPREAD), "fp")
+    cells = spread.mapInArrow(partial(_posted, masks=masks, parts=parts), "cell long, fps binary")
+
+    def linked(cell: pa.Table) -> pa.Table:
+        return _linked(cell, masks, parts, max_bits)
+
+    return cells.groupBy("cell").applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
@@ -118,9 +177,7 @@ def _rooted(prints: DataFrame, doc_id: str, max_bits: int) -> DataFrame:
     nodes = prints.groupBy(F.col("simhash").alias("fp")).agg(F.min(doc_id).alias("low"))
     nodes = common.stored(nodes, "nodes")
     roots = common.components(links(nodes.select("fp"), max_bits))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(named, "root").select(F.col("fp").alias("simhash"), "root", "component_id")
+    return common.named_components(nodes, roots, "fp", "low").select(F.col("node").alias("simhash"), "root", F.col("name").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:

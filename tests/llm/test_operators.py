@@ -464,12 +464,36 @@ def test_groups_without_an_id_of_their_own_keep_a_row_each(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]))
 
 
-def test_links_of_near_fingerprints(spark):
+def classes_of(prints, edges):
+    low = {p: p for p in prints}
+    for _ in prints:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+@pytest.mark.parametrize("small", [0, 64])
+def test_links_of_near_fingerprints(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)  # all postings breadth first, or pair by pair
     rng = np.random.default_rng(8)
     base = [int(x) for x in rng.integers(-(2**62), 2**62, 6)]
     prints = sorted({b ^ sum({1 << int(k) for k in rng.integers(0, 63, rng.integers(0, 7))}) for b in base for _ in range(25)})
-    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()}
-    assert got == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) % 2**64).bit_count() <= 4}
+    table = pa.table({"cell": [0] * 2, "fps": [np.array(prints[i::2], np.int64).tobytes() for i in range(2)]})
+    found = [simhash._linked(table, [m], 1, 4) for m in (0, 0xFF, 0xFFFFFFFF)]
+    near = {(a, b) for a in prints for b in prints if a < b and ((a ^ b) % 2**64).bit_count() <= 4}
+    for mask, t in zip((0, 0xFF, 0xFFFFFFFF), found, strict=True):
+        edges = {(x["a"], x["b"]) for x in t.to_pylist()}
+        here = {(a, b) for a, b in near if not (a ^ b) & mask}
+        assert edges <= here and classes_of(prints, edges) == classes_of(prints, here)
+    edges = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()}
+    assert edges <= near and classes_of(prints, edges) == classes_of(prints, near)
+
+
+def test_tally_decides_before_the_distance(monkeypatch):
+    a, b = np.array([0, 0, 0], np.uint64), np.array([0x0101010101, 0x01010101, 0xFF], np.uint64)
+    assert simhash.tally(a, b).tolist() == [3, 4, 7] and simhash.near(a, b, 4).tolist() == [False, True, False]
+    monkeypatch.setattr(simhash, "tally", lambda a, b: np.zeros(len(a), int))
+    assert not simhash.near(a, b, 4).any()
 
 
 # --- near copies by shingles ---
