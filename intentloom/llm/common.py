@@ -16,6 +16,7 @@ import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the contracts: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -174,6 +175,16 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=names)
 
 
+def _has_map(kind: T.DataType) -> bool:
+    parts = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, T.MapType) or any(map(_has_map, parts))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of `df`; those with maps, which have no hash, as JSON."""
+    return F.xxhash64(*[F.to_json(F.col(f"`{f.name}`")) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, or `name` with underscores at its end, so that `df` has no such column."""
     taken = {c.lower() for c in df.columns}

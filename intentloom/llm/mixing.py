@@ -10,9 +10,9 @@ from intentloom.llm import common
 #: The golden ratio's fraction times 2**47: multiples of it modulo 2**47 are the points of the schedule.
 GOLDEN, MODULUS = 86_980_551_294_885, 1 << 47
 #: Rows or slots of a bucket in the two-level rankings, and words in a block of the schedule.
-BUCKET_ROWS, BLOCK_WORDS = 4096, 1024
-#: Cells of the grid in which points find their source.
-GRID = 4096
+BUCKET_ROWS, BLOCK_WORDS = 512, 1024
+#: Cells of the grid in which points find their source, buckets whose totals are added up in one window.
+GRID, RUN = 4096, 4096
 
 
 def golden_point(i: Column) -> Column:
@@ -48,28 +48,35 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return leveled.withColumn("target", F.when(F.col("source_size") > 0, F.coalesce(F.least(F.lit(most) * F.col("source_size"), level * F.col("weight")), F.lit(most) * F.col("source_size"))).otherwise(0.0)).drop("mine")
 
 
+def before(totals: DataFrame, order: str, *values: str) -> DataFrame:
+    """`totals` (rank, `order`, values: one row per rank and place in order) with before_<value>, the sum over earlier places of the rank.
+
+    Places are added up inside runs of RUN places, and runs after that, so that no window holds all places of a rank.
+    """
+    run = totals.withColumn("run_", F.expr(f"{order} div {RUN}"))
+    earlier = lambda *keys: Window.partitionBy("rank", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda v, w: F.coalesce(F.sum(v).over(w), F.lit(0))
+    runs = run.groupBy("rank", "run_").agg(*[F.sum(v).alias(f"run_{v}") for v in values])
+    runs = runs.select("rank", "run_", *[total(f"run_{v}", earlier("run_")).alias(f"runs_{v}") for v in values])
+    inside = run.select("*", *[total(v, earlier("run_", order)).alias(f"in_{v}") for v in values])
+    return inside.join(runs, ["rank", "run_"]).select(*totals.columns, *[(F.col(f"in_{v}") + F.col(f"runs_{v}")).alias(f"before_{v}") for v in values])
+
+
 def shuffled(docs: DataFrame, rows: int, seed: int) -> DataFrame:
     """Rows of each source in a fixed pseudo-random order: columns at (words before in the source) and nth (rows before).
 
-    Two levels: rows are dealt to buckets by their hash, running totals are taken inside each bucket,
+    Rows are dealt to buckets by their hash, running totals are taken inside each bucket,
     and one row per bucket carries the totals before it. So a source with a third of all rows is
     ordered by many tasks. Ties of the hash fall to id, size and all columns; rows equal in all are alike.
     """
     buckets = common.partitions_for(rows, BUCKET_ROWS)
     h = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
     dealt = docs.withColumn("h", h).withColumn("bucket", F.pmod(F.shiftright("h", 7), F.lit(buckets)))
-    total = dealt.groupBy("rank", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
-    before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select(
-        F.col("rank").alias("k_rank"), F.col("bucket").alias("k_bucket"),
-        F.coalesce(F.sum("words").over(before), F.lit(0)).alias("words_before"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
-    )
+    total = before(dealt.groupBy("rank", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("rows")), "bucket", "words", "rows").drop("words", "rows")
     inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc_id", "size", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
     run = dealt.withColumn("w", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("r", F.count(F.lit(1)).over(inside))
-    on = (F.col("rank") == F.col("k_rank")) & (F.col("bucket") == F.col("k_bucket"))
-    return run.join(total, on).withColumn("at", F.col("words_before") + F.col("w")).withColumn("nth", F.col("rows_before") + F.col("r")).drop(
-        "h", "bucket", "k_rank", "k_bucket", "words_before", "rows_before", "w", "r"
-    )
+    at, nth = (F.col("before_words") + F.col("w")).alias("at"), (F.col("before_rows") + F.col("r")).alias("nth")
+    return run.join(total, ["rank", "bucket"]).select(*[F.col(c) for c in docs.columns], at, nth)
 
 
 def schedule(spark, targets: DataFrame, block: int, most: float) -> DataFrame:
@@ -78,8 +85,8 @@ def schedule(spark, targets: DataFrame, block: int, most: float) -> DataFrame:
     A source needs as many slots as blocks cover its target. Slot i draws the source in whose share of the cumulative
     needs the golden-ratio point of i falls, so every stretch of the schedule is close to the
     weights. Slots are then ranked per source: inside chunks of the schedule, plus the counts
-    of the chunks before. Slots past a source's target are dropped, and what the points leave short of it (a few slots,
-    by their discrepancy) follows at the end; the last slot takes only the words that are missing.
+    of the chunks before. Draws past a source's target are dropped; the few that the points leave short of it, by their
+    discrepancy, follow at the end. A source's last slot takes only the words that are missing.
     """
     goal = F.floor(F.col("target") + 0.5).cast("long")
     blocks = F.ceil(F.col("source_size") / block).cast("long")
@@ -98,10 +105,9 @@ def schedule(spark, targets: DataFrame, block: int, most: float) -> DataFrame:
     slots = slots.withColumn("cell", F.floor(F.col("point") * GRID)).join(share, "cell").where("low <= point and point < high").select("slot", "rank")
     chunk = F.expr(f"slot div {BUCKET_ROWS}")
     slots = slots.withColumn("chunk", chunk)
-    counts = slots.groupBy("rank", "chunk").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = before(slots.groupBy("rank", "chunk").agg(F.count("*").alias("n")), "chunk", "n")
     inside = F.row_number().over(Window.partitionBy("rank", "chunk").orderBy("slot")) - 1
-    drawn = slots.withColumn("r", inside).join(counts.select("rank", "chunk", "before"), ["rank", "chunk"]).select("slot", "rank", (F.col("before") + F.col("r")).alias("nth"))
+    drawn = slots.withColumn("r", inside).join(counts.drop("n"), ["rank", "chunk"]).select("slot", "rank", (F.col("before_n") + F.col("r")).alias("nth"))
     got = slots.groupBy("rank").agg(F.count("*").alias("got"))
     short = needs.join(got, "rank", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
     short = short.select(F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("nth"), "rank").select((F.lit(n) + F.col("nth")).alias("slot"), "rank", "nth")
@@ -121,9 +127,8 @@ def takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(common.WORD)), F.lit(0)).cast("long")
-    own = [F.col(c) for c in docs.columns]
     slim = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(text).alias("text_hash"), F.xxhash64(*own).alias("row_hash"),
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(text).alias("text_hash"), common.row_hash(docs).alias("row_hash"),
         *([F.col(row)] if row else []),
     )
     slim = common.stored(slim, "sizes")
@@ -141,32 +146,41 @@ def takes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken.
+    """One row per input row: doc_id, source, size, source_size, target, taken, first_slot (of the schedule; null if the mix never takes the row).
 
     Null texts have size 0 and are never taken; a null source is a source of its own, the last one.
-    Repeated rows and ids are rows of their own. An empty table, or one without words, takes nothing.
+    Repeated rows and ids are rows of their own. An empty table, or one without words, takes nothing. Other columns only break ties.
     """
     rows, pieces = takes(docs, **options)
-    taken = pieces.groupBy("rank", "nth").agg(F.sum("length").alias("taken"))
-    return rows.join(taken, ["rank", "nth"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.groupBy("rank", "nth").agg(F.sum("length").alias("taken"), F.min("slot").alias("first_slot"))
+    taken = rows.join(taken, ["rank", "nth"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
 
 
-def mixed_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars", **options) -> DataFrame:
-    """The mix as documents: a row for every time that the mix takes a row of `docs`, with its columns.
+def mixed_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars", slot: str = "", **options) -> DataFrame:
+    """The mix as documents: a row for every time that the mix takes a row of `docs`, with its columns, in the order of the schedule.
 
-    Taken whole, a document stays as it is; the one at which its source stops is cut after the words taken, joined by
-    one space, and `chars`, if there is such a column, counts what is left. Documents without words are never taken.
+    Rows lie in stretches of the schedule, each in its order in one partition; with a name for `slot`, a column of that name at the end has the slot at which each row
+    starts. Taken whole, a document stays as it is; the one at which its source stops is cut after the words taken, joined by
+    one space, and `chars`, if there is such a column, counts what is left. Documents without words (null, empty, white space) are never taken.
+    Repeated rows are taken each. Columns of any names pass through, maps too. An empty table, or one without words, gives no rows.
     """
-    columns, row, cut, length = docs.columns, *[common.fresh(docs, n) for n in ("mix_row", "mix_cut", "mix_length")]
+    columns = docs.columns
+    row, cut, length, at = (common.fresh(docs, n) for n in ("mix_row", "mix_cut", "mix_length", "mix_slot"))
+    spark = docs.sparkSession
     docs = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "mixed", "zstd")
     rows, pieces = takes(docs, text=text, row=row, **options)
-    taken = pieces.groupBy("rank", "nth", "epoch").agg(F.sum("length").alias(length))
-    taken = rows.select("rank", "nth", row, "size").join(taken, ["rank", "nth"]).select(row, length, (F.col(length) < F.col("size")).alias(cut))
+    taken = pieces.groupBy("rank", "nth", "epoch").agg(F.sum("length").alias(length), F.min("slot").alias(at))
+    taken = rows.select("rank", "nth", row, "size").join(taken, ["rank", "nth"]).select(row, at, length, (F.col(length) < F.col("size")).alias(cut))
+    taken = common.stored(taken, "taken")
     words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({common.WORD})"), 1), F.lit(1), F.col(length).cast("int")), " ")
     out = docs.join(taken, row).withColumn(text, F.when(F.col(cut), words).otherwise(F.col(text)))
     if chars in columns:
         out = out.withColumn(chars, F.when(F.col(cut), F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
-    return out.select(*columns)
+    slots = (taken.agg(F.max(at)).first()[0] or 0) + 1
+    stretch = max(1, min(8192, slots // (8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    out = out.repartition(F.expr(f"{at} div {stretch}")).sortWithinPartitions(at, row)
+    return out.select(*columns, *([F.col(at).alias(slot)] if slot else []))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
     schema = T.StructType([*numbered.schema.fields, T.StructField(near, _FEATURES)])
     prints = common.stored(numbered.mapInArrow(partial(_shingled, width=width, text=text, out=near), schema), "shingled", "zstd")
-    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), F.xxhash64(*docs.columns).alias("row_hash"), F.col(row).alias("row"))
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), common.row_hash(docs).alias("row_hash"), F.col(row).alias("row"))
     nodes = common.stored(prints.select(F.col(near)["node"].alias("node"), order.alias("first")).groupBy("node").agg(F.min("first").alias("first")), "nodes")
     chosen = nodes.select("node", F.col("first.row").alias("row"))
     features = prints.select(F.col(row).alias("row"), *[F.col(near)[n].alias(n) for n in _FEATURES.names if n != "node"])

@@ -92,6 +92,42 @@ def test_mixed_documents_hold_the_words_taken(spark, odd):
     assert sum(len(common.words_of(r.text)) for r in got.collect()) == want
 
 
+def unevenness(spark, sources, block=8):
+    """How many slots any stretch from the start of the schedule is away from the sources' shares, at most."""
+    targets = spark.createDataFrame([(i + 1, n, float(t)) for i, (n, t) in enumerate(sources)], "rank int, source_size long, target double")
+    slots = [r.rank for r in mixing.schedule(spark, targets, block, 3.0).orderBy("slot", "rank").collect()]
+    share, seen, worst = collections.Counter(slots), collections.Counter(), 0.0
+    for i, r in enumerate(slots, 1):
+        seen[r] += 1
+        worst = max(worst, *(abs(seen[k] - share[k] * i / len(slots)) for k in share))
+    return worst
+
+
+def test_every_stretch_of_the_schedule_is_near_the_weights(spark, monkeypatch):
+    sources = [(4000, 9000), (9000, 7000), (500, 1500), (40, 8)]
+    assert unevenness(spark, sources) < 4
+    monkeypatch.setattr(mixing, "golden_point", lambda i: F.lit(0.999999) + i * 0)
+    assert unevenness(spark, sources) > 100
+
+
+def test_the_mix_lies_in_the_order_of_the_schedule(spark, docs, monkeypatch):
+    sizes = {(r.doc_id, r.first_slot) for r in mixing.mixed_sizes(docs.select("doc_id", "text", "source"), block=16).collect() if r.taken}
+    mix = mixing.mixed_documents(docs, slot="slot", block=16)
+    rows = mix.withColumn("part", F.spark_partition_id()).collect()
+    assert sizes == {(i, min(r.slot for r in rows if r.doc_id == i)) for i in {r.doc_id for r in rows}}
+    for part in {r.part for r in rows}:
+        slots = [r.slot for r in rows if r.part == part]
+        assert slots == sorted(slots)
+    monkeypatch.setattr(mixing, "RUN", 2)  # totals in several runs
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    check_mix(mixing.mixed_sizes(docs.select("doc_id", "text", "source")).collect())
+
+
+def test_rows_with_maps(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", "s", {"k": 1}), (2, "a b c d e f", "s", {}), (3, None, None, None)], "doc_id long, text string, source string, m map<string,int>")
+    assert mixing.mixed_documents(rows).count() >= 2 and simhash.one_of_each(rows).count() == 2 and shingles.one_of_each(rows).count() == 2
+
+
 def test_golden_points_are_spread(spark):
     points = np.sort([r[0] for r in spark.range(2000).select(mixing.golden_point(F.col("id"))).collect()])
     assert np.diff(points).max() < 3 / 2000
