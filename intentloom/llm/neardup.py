@@ -10,66 +10,105 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from intentloom.llm import common
 from intentloom.llm.topk import usable
 
-#: Vectors the rotations are learned from, entries of a table's bucket above which it is split, entries of a task's group, pairs verified at once.
+#: Vectors of each dimension that rotations are learned from, entries of a table's bucket above which it is split, entries of a task's group, pairs verified at once.
 SAMPLE, SPLIT, CELL, PAIRS = 4096, 512, 15_000, 40_000
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 25) -> np.ndarray:
-    """Iterative quantisation: the rotation of the unit vectors x that brings them closest to their
-    own signs, by turns the signs of x R and the orthogonal R nearest to them, from a seeded start.
-    Components keep their origin, so that angles, and with them the recall of signs, stay."""
+    """Iterative quantisation: the rotation of the centred vectors x that brings them closest to their
+    own signs, by turns the signs of x R and the orthogonal R nearest to them, from a seeded start. With fewer vectors than components: the start."""
     d = x.shape[1]
     rng = np.random.default_rng(seed)
+    start = np.linalg.qr(rng.normal(size=(d, d)))[0]
+    if len(x) < d:
+        return start
     _, vectors = np.linalg.eigh(x.T @ x)
-    r = vectors @ np.linalg.qr(rng.normal(size=(d, d)))[0]
+    r = vectors @ start
     for _ in range(rounds):
         u, _, vt = np.linalg.svd(x.T @ np.where(x @ r >= 0, 1.0, -1.0))
         r = u @ vt
     return r
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square under- or overflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 @dataclass
 class HammingTables:
-    """Rotations per dimension of vectors, and the bits of a table's key: table t takes `bits` signs."""
+    """Per dimension of vectors the rotations and the thresholds of their components; table t's key are signs t * bits to (t + 1) * bits. Pairs at
+    the threshold of similarity differ in at most `radius` of all signs, by far."""
 
-    rotations: dict[int, np.ndarray]
+    rotations: dict[int, tuple[np.ndarray, np.ndarray]]
     bits: int
     tables: int
+    radius: int
+
+    def signs(self, x: np.ndarray) -> np.ndarray:
+        """Signs (n, tables * bits) of unit vectors of one dimension."""
+        rotation, threshold = self.rotations[x.shape[1]]
+        return x @ rotation >= threshold
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        """Keys (n, tables) of vectors of one dimension."""
-        r = self.rotations[x.shape[1]]
-        signs = (x @ r[:, : self.tables * self.bits]) >= 0
-        weights = 1 << np.arange(self.bits, dtype=np.int64)
-        return signs.reshape(len(x), self.tables, self.bits) @ weights
+    def codes(self, signs: np.ndarray) -> np.ndarray:
+        """Keys (n, tables)."""
+        return signs.reshape(len(signs), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
 def tables_for(largest: int, cosine: float, recall: float) -> tuple[int, int]:
     """Bits of a key and number of tables: keys that spread the largest label over buckets of a few
-    vectors, and so many tables that a pair at the threshold shares one with probability `recall`. Its signs differ
-    with probability angle / pi each."""
+    vectors, and so many tables that a pair at the threshold shares one with probability `recall`, if its signs differ
+    with probability angle / pi each. What is learned is measured and given more tables if it needs them."""
     bits = min(24, max(4, math.ceil(math.log2(max(2, largest))) - 2))
     same = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
 def learn(vectors: DataFrame, largest: int, cosine: float, recall: float, sample: int = SAMPLE) -> HammingTables:
-    """Tables learned on at most `sample` unit vectors, those of the smallest hash; every vector is indexed later."""
+    """Tables learned on at most `sample` unit vectors of each dimension, those of the smallest hash; every vector is indexed later.
+
+    Codes are balanced: components are cut at the sample's median after the rotation of its centred vectors. How often pairs right at the threshold
+    (a vector of the sample and one made at that angle to it) share a key is measured, and tables are added until the share is `recall`.
+    Where up to three times as many tables don't do, as with few or much alike vectors, components are cut at the origin, which has the recall of tables_for.
+    """
+    taken = vectors.select("embedding", F.size("embedding").alias("d"), F.xxhash64("embedding").alias("h"))
+    taken = taken.withColumn("n", F.row_number().over(Window.partitionBy("d").orderBy("h", "embedding"))).where(F.col("n") <= sample)
+    taken = taken.select("embedding").toPandas()["embedding"]
+    by_size = {d: unit(np.array([v for v in taken if len(v) == d], np.float64)) for d in sorted({len(v) for v in taken})}
     bits, tables = tables_for(largest, cosine, recall)
-    taken = vectors.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toPandas()["embedding"]
-    dims = [r[0] for r in vectors.select(F.size("embedding")).distinct().collect()]
-    rotations = {}
-    for d in dims:
-        x = np.array([v for v in taken if len(v) == d], np.float64).reshape(-1, d)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        rotations[d] = np.concatenate([learn_rotation(x, seed) for seed in range(-(-bits * tables // d))], 1)
-    return HammingTables(rotations, bits, tables)
+    rng = np.random.default_rng(17)
+    pairs = {}
+    for d, x in by_size.items():
+        g = rng.normal(size=(min(len(x), 1000), d))
+        g -= (g * x[: len(g)]).sum(1, keepdims=True) * x[: len(g)]
+        g /= np.maximum(np.linalg.norm(g, axis=1, keepdims=True), 1e-12)  # one component only: the vector itself
+        pairs[d] = x[: len(g)], unit(cosine * x[: len(g)] + math.sqrt(1 - cosine * cosine) * g)
+    most, centred = 3 * tables, dict.fromkeys(by_size, True)
+    while True:
+        index, short = HammingTables({}, bits, tables, 0), []
+        for d, x in by_size.items():
+            moved = x - x.mean(0) if centred[d] else x
+            rotation = np.concatenate([learn_rotation(moved, seed) for seed in range(-(-bits * tables // d))], 1)[:, : bits * tables]
+            index.rotations[d] = rotation, np.median(x @ rotation, 0) if centred[d] else np.zeros(bits * tables)
+            a, b = (index.signs(v) for v in pairs[d])
+            if centred[d] and (index.codes(a) == index.codes(b)).any(1).mean() < recall:
+                short.append(d)
+            apart = (a != b).sum(1)
+            index.radius = max(index.radius, math.ceil(max(apart.max(), apart.mean() + 6 * apart.std(), bits * tables * (math.acos(cosine) / math.pi + 0.1))))
+        if not short:
+            return index
+        if tables >= most:
+            centred.update(dict.fromkeys(short, False))
+        else:
+            tables = min(most, math.ceil(tables * 1.25) + 1)
 
 
 def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -81,30 +120,38 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, flat[offsets[at][:, None] + np.arange(d)].astype(np.float64)
 
 
+def _signs(batches: Iterator[pa.RecordBatch], index: HammingTables) -> Iterator[pa.RecordBatch]:
+    """Nodes with their packed signs."""
+    for batch in batches:
+        signs = np.empty(batch.num_rows, object)
+        for at, x in _matrices(batch.column("embedding")):
+            for i in range(0, len(at), 1000):
+                for k, row in zip(at[i : i + 1000].tolist(), np.packbits(index.signs(unit(x[i : i + 1000])), axis=1), strict=True):
+                    signs[k] = row.tobytes()
+        yield common.with_columns(batch, signs=pa.array(signs.tolist(), pa.binary()))
+
+
+def _unpacked(signs: list[bytes], index: HammingTables) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1), axis=1, count=index.tables * index.bits)
+
+
 def _entries(batches: Iterator[pa.RecordBatch], index: HammingTables, full: bool) -> Iterator[pa.RecordBatch]:
-    """Index entries of vectors: one per table, with its key; with `full` also all that linking needs."""
+    """Index entries: one per node and table, with its key; with `full` also node, table and signs."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, 1000):
-            part = batch.slice(begin, 1000)
-            for at, x in _matrices(part.column("embedding")):
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                codes = index.codes(unit)
-                label = part.column("label").to_numpy()[at].astype(np.int64)
-                keys = _mix(codes + (np.arange(index.tables) << 40), label[:, None], x.shape[1])
-                row = pa.array(np.repeat(at, index.tables))
-                columns = {"key": pa.array(keys.ravel())}
-                if full:
-                    packed = [c.tobytes() for c in codes.astype("<i4")]
-                    columns |= {
-                        "tbl": pa.array(np.tile(np.arange(index.tables, dtype=np.int32), len(at))), "label": pa.array(np.repeat(label, index.tables)),
-                        "node": part.column("node").take(row), "copies": part.column("copies").take(row),
-                        "codes": pa.array(packed, pa.binary()).take(pa.array(np.repeat(np.arange(len(at)), index.tables))), "embedding": part.column("embedding").take(row),
-                    }
-                yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
-
-
-def _mix(codes: np.ndarray, label: np.ndarray, d: int) -> np.ndarray:
-    h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + label.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(d)
+        for begin in range(0, batch.num_rows, 5000):
+            part = batch.slice(begin, 5000)
+            label, d = part.column("label").to_numpy(), part.column("d").to_numpy()
+            codes = index.codes(_unpacked(part.column("signs").to_pylist(), index))
+            keys = _mix(codes + (np.arange(index.tables) << 40), label[:, None], d[:, None])
+            columns = {"key": pa.array(keys.ravel())}
+            if full:
+                row = pa.array(np.repeat(np.arange(len(codes)), index.tables))
+                columns |= {"tbl": pa.array(np.tile(np.arange(index.tables, dtype=np.int32), len(codes))), "node": part.column("node").take(row), "signs": part.column("signs").take(row)}
+            yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
+
+
+def _mix(codes: np.ndarray, label: np.ndarray, d: np.ndarray) -> np.ndarray:
+    h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + label.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + d.astype(np.uint64)
     h ^= h >> np.uint64(29)
     return (h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
@@ -121,38 +168,59 @@ def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return low
 
 
-def _linked(cell: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links of a group of bucket parts: per vector its linked vectors (links) and edges that connect what links connect."""
-    cell = cell.sort_values(["key", "a", "b", "node"], kind="stable").reset_index(drop=True)
-    n = len(cell)
+def _runs(cell: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs to compare in a group of bucket parts (sorted by key, a and b), PAIRS or so at a time: within an undivided part all pairs, between two parts those across."""
     key, a, b, side = (cell[c].to_numpy(np.int64) for c in ("key", "a", "b", "side"))
-    label, tbl = cell["label"].to_numpy(np.int64), cell["tbl"].to_numpy(np.int64)
-    node, place = np.unique(cell["node"].to_numpy(np.int64), return_inverse=True)
+    n = len(cell)
     first = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [n]))
     later = np.repeat(first[1:], np.diff(first)) - np.arange(n) - 1  # entries after each in its run
-    codes = np.stack([np.frombuffer(c, "<i4") for c in cell["codes"]])
-    size = cell["embedding"].map(len).to_numpy()
-    x = np.zeros((n, int(size.max())))
-    for i, v in enumerate(cell["embedding"]):
-        x[i, : len(v)] = v
-    norm = np.sqrt((x * x).sum(1))
-    copies = cell["copies"].to_numpy(np.float64)
-    links, edges, sums = np.zeros(len(node)), [], np.cumsum(later)
-    at = 0
+    sums, at = np.cumsum(later), 0
     while at < n:
-        base = sums[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sums, base + PAIRS, "right")))
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS, "right")))
         c = later[at:end]
         i = np.repeat(np.arange(at, end), c)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
         at = end
-        # Within an undivided part all pairs count, between two parts those across.
-        fit = ((a[i] == b[i]) | (side[i] != side[j])) & (label[i] == label[j]) & (size[i] == size[j])
+        fit = (a[i] == b[i]) | (side[i] != side[j])
+        yield i[fit], j[fit]
+
+
+_PART = ["key", "a", "b", "node"]
+
+
+def _close(cell: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """The entries that have another one of their bucket part within `radius` of all signs."""
+    cell = cell.sort_values(_PART, kind="stable").reset_index(drop=True)
+    raw = np.frombuffer(b"".join(cell["signs"]), np.uint8).reshape(len(cell), -1)
+    signs = np.zeros((len(cell), -(-raw.shape[1] // 8) * 8), np.uint8)
+    signs[:, : raw.shape[1]] = raw
+    signs, keep = signs.view(np.uint64), np.zeros(len(cell), bool)
+    for i, j in _runs(cell):
+        fit = np.bitwise_count(signs[i] ^ signs[j]).sum(1) <= radius
+        keep[i[fit]] = keep[j[fit]] = True
+    return cell.loc[keep, ["key", "a", "b", "side", "tbl", "node"]]
+
+
+def _linked(cell: pd.DataFrame, cosine: float, index: HammingTables) -> pd.DataFrame:
+    """Links of a group of bucket parts: per vector its linked vectors (links) and edges that connect what links connect."""
+    cell = cell.sort_values(_PART, kind="stable").reset_index(drop=True)
+    label, tbl = cell["label"].to_numpy(np.int64), cell["tbl"].to_numpy(np.int64)
+    node, place = np.unique(cell["node"].to_numpy(np.int64), return_inverse=True)
+    codes = index.codes(_unpacked(cell["signs"].tolist(), index))
+    size = cell["embedding"].map(len).to_numpy()
+    x = np.zeros((len(cell), int(size.max())))
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        x[at, :d] = unit(np.stack(cell["embedding"].to_numpy()[at]).astype(np.float64))
+    copies = cell["copies"].to_numpy(np.float64)
+    links, edges = np.zeros(len(node)), []
+    for i, j in _runs(cell):
+        fit = (label[i] == label[j]) & (size[i] == size[j])
         i, j = i[fit], j[fit]
         # A pair belongs to the first table that its codes share.
-        fit = ~((codes[i] == codes[j]) & (np.arange(codes.shape[1]) < tbl[i][:, None])).any(1) & (codes[i, tbl[i]] == codes[j, tbl[j]])
+        fit = ~((codes[i] == codes[j]) & (np.arange(index.tables) < tbl[i][:, None])).any(1) & (codes[i, tbl[i]] == codes[j, tbl[j]])
         i, j = i[fit], j[fit]
-        fit = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= cosine
+        fit = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
         i, j = i[fit], j[fit]
         links += np.bincount(place[i], copies[j], len(node)) + np.bincount(place[j], copies[i], len(node))
         if len(i):
@@ -170,19 +238,23 @@ def _linked(cell: pd.DataFrame, cosine: float) -> pd.DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.98) -> DataFrame:
     """One row per row of `vectors` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
-    Rows of one label with equal vectors are one node, counted by its copies. A node is entered in
-    `tables` Hamming tables by its codes; nodes that share a bucket are compared by cosine in double precision of the original vectors, each
-    pair in the first table it shares only, and its link is counted at both ends, so that no pair of a
+    Rows of one label with equal vectors are one node, counted by its copies. A node is entered in Hamming tables by its
+    balanced codes, an entry being a key, the node and its signs. Entries that have no other one of their bucket near in all signs
+    are dropped; for the others the original vectors are fetched, and nodes that share a bucket are compared by cosine in double precision, each
+    pair in the first table it shares only. Its link is counted at both ends, so that no pair of a
     group of copies leaves the task that found it. Buckets over SPLIT entries are cut into parts that
     meet two by two in tasks of their own. `recall` is the probability that a pair right at the threshold meets;
     closer pairs meet more surely.
-    Null labels, and vectors that are null, empty, zero or hold a null or non-finite component, link with nothing. Vectors of different dimension don't link. A
+    Null labels, and vectors that are null, empty, zero or hold a null or non-finite component, link with nothing. Labels may be of any type that has
+    equality; other than integers are told by a 64-bit hash. Vectors of different dimension don't link. A
     repeated vec_id keeps its rows; an empty table gives no rows. Other columns don't take part.
     """
-    vectors = vectors.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
-    size = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    kind = vectors.schema["label"].dataType
+    label = F.col("label").cast("long") if isinstance(kind, T.IntegralType) else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    vectors = vectors.select("vec_id", "embedding", label.alias("label"))
+    most = F.aggregate("embedding", F.lit(0.0), lambda s, v: F.greatest(s, F.abs(v.cast("double"))))
     fit = F.col("label").isNotNull() & usable(F.col("embedding"))
-    marked = vectors.withColumn("fit", F.when(fit, (size > 0) & (size < float("inf"))).otherwise(F.lit(False)))
+    marked = vectors.withColumn("fit", F.when(fit, most > 0).otherwise(F.lit(False)))
     alone = marked.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     good = marked.where("fit").drop("fit")
     nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
@@ -191,26 +263,31 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     if not largest[0]:
         return alone
     index = learn(nodes, largest[0], cosine, recall)
-    counts = nodes.select("label", "embedding").mapInArrow(partial(_entries, index=index, full=False), "key long").groupBy("key").count()
+    signed = nodes.select("label", "node", "copies", "embedding", F.size("embedding").alias("d"))
+    signed = common.stored(signed.mapInArrow(partial(_signs, index=index), T.StructType([*signed.schema.fields, T.StructField("signs", T.BinaryType())])), "signs")
+    short = signed.select("label", "node", "d", "signs")
+    counts = short.mapInArrow(partial(_entries, index=index, full=False), "key long").groupBy("key").count()
     hot = common.stored(counts.where(F.col("count") > SPLIT).select("key", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")), "hot")
     more = hot.agg(F.sum(F.col("parts") * F.col("parts") * SPLIT)).first()[0] or 0
-    cells = common.partitions_for(largest[1] * index.tables + more, CELL)
-    entries = nodes.drop("low").mapInArrow(
-        partial(_entries, index=index, full=True), f"key long, tbl int, label long, node long, copies long, codes binary, embedding {nodes.schema['embedding'].dataType.simpleString()}"
-    )
+    entries = short.mapInArrow(partial(_entries, index=index, full=True), "key long, tbl int, node long, signs binary")
     entries = entries.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     entries = entries.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     entries = entries.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     entries = entries.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other"))
-    cell = F.pmod(F.xxhash64("key", "a", "b"), F.lit(cells)).alias("cell")
-    entries = entries.select(cell, "key", "a", "b", "side", "tbl", "label", "node", "copies", "codes", "embedding")
-    found = common.stored(entries.groupBy("cell").applyInPandas(partial(_linked, cosine=cosine), "node long, links long, root long"), "links")
+
+    def cell(rows: int) -> Column:
+        return F.pmod(F.xxhash64("key", "a", "b"), F.lit(common.partitions_for(rows, CELL))).alias("cell")
+
+    entries = entries.select(cell(largest[1] * index.tables + more), "key", "a", "b", "side", "tbl", "node", "signs")
+    close = entries.groupBy("cell").applyInPandas(partial(_close, radius=index.radius), "key long, a int, b int, side int, tbl int, node long")
+    close = common.stored(close, "close")
+    met = close.select(cell(close.count()), "*").join(signed.drop("d"), "node")
+    found = common.stored(met.groupBy("cell").applyInPandas(partial(_linked, cosine=cosine, index=index), "node long, links long, root long"), "links")
     roots = common.components(found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    full = nodes.join(degree, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    full = common.stored(full.select("label", "embedding", "low", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked")
-    named = full.groupBy("root").agg(F.min("low").alias("component_id"))
-    full = full.join(named, "root").select("label", "embedding", "n_links", "component_id")
+    named = common.named_components(nodes, roots, "node", "low").select("node", F.col("name").alias("component_id"))
+    full = nodes.join(degree, "node", "left").join(named, "node")
+    full = full.select("label", "embedding", (F.coalesce(F.col("links"), F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = good.join(full, ["label", "embedding"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return out.unionByName(alone)
 
