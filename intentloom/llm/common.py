@@ -270,10 +270,10 @@ def _packed_blocks(batches: Iterator[pa.RecordBatch], text: str, budget: int) ->
 
 
 #: Bytes of text in a bucket of a stored table.
-BUCKET_BYTES = 32_000_000
+BUCKET_BYTES = 16_000_000
 
 
-def blocks_of(docs: DataFrame, text: str = "text", budget: int = 4_000_000) -> DataFrame:
+def blocks_of(docs: DataFrame, text: str = "text", budget: int = 2_000_000) -> DataFrame:
     """`docs` as a stored table of blocks: blk, bytes of text, payload (the rows as a compressed Arrow stream).
 
     A block holds whole rows of about `budget` bytes of text. The table is bucketed by blk, so that
@@ -289,11 +289,11 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 
 def bucketed(rows: DataFrame, key: str, compression: str, size: int) -> DataFrame:
     """`rows` as a stored table, bucketed by `key` into buckets of about BUCKET_BYTES of the `size` bytes of their texts, fewer bytes where
-    a shuffle has more partitions. Rows move to their bucket before they are written, one file each."""
+    that would leave cores without work. Rows move to their bucket before they are written, one file each."""
     spark = rows.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    buckets = max(partitions_for(size, BUCKET_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(size, 2_000_000)))
+    buckets = max(partitions_for(size, BUCKET_BYTES), min(2 * spark.sparkContext.defaultParallelism, partitions_for(size, 1_000_000)))
     buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     _STORED[spark.sparkContext.applicationId].append((path, name))
     writer = rows.repartition(buckets, key).write.format("parquet").option("compression", compression).option("path", path)

@@ -330,7 +330,7 @@ def scored(docs: DataFrame, held_out: str = "held_out", text: str = "text", stat
     blocks = common.bucketed(coded_rows, "blk", "zstd", common.text_bytes(rows, "text"))
     cells = common.partitions_for(blocks.agg(F.sum("tokens")).first()[0] or 0, CELL_TOKENS)
     counted = blocks.select("blk", "codes", "counts").mapInArrow(partial(_block_counts, cells=cells), "cell int, blk long, codes binary, counts binary")
-    totals = common.stored(counted.groupBy("cell").applyInArrow(_totals, "blk long, cell int, totals binary, kind int, words long, tokens long"), "totals", "zstd")
+    totals = common.stored(counted.repartition(cells, "cell").groupBy("cell").applyInArrow(_totals, "blk long, cell int, totals binary, kind int, words long, tokens long"), "totals", "zstd")
     kinds = totals.where("kind is not null").groupBy("kind").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).toPandas()
     words, tokens = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     words[kinds["kind"].to_numpy()], tokens[kinds["kind"].to_numpy()] = kinds["words"].to_numpy(), kinds["tokens"].to_numpy()

@@ -21,6 +21,8 @@ _CLASS_OF = np.zeros(256, np.uint8)
 for _k, _bytes in enumerate(CLASSES, 1):
     _CLASS_OF[list(_bytes)] = _k
 OWN = len(CLASSES) + 6
+#: Shares of good documents' lines that are bad, and of bad documents' lines that are good; bytes of the longest text to train on.
+STRAY, LONGEST = (0.05, 0.2), 65_536
 
 
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,31 +132,60 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p) - np.log1p(-p)
 
 
-def train(texts: list[str | None], labels: list[int], steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> LineField:
-    """Fits the field by Adam on the conditional likelihood, every line carrying its document's label,
-    then a logistic calibration of the documents' weighted marginals. One class only, or none: a constant prior."""
+def spliced(texts: list[str | None], labels: list[int], most: int = 24, seed: int = 9) -> tuple[list[str], list[np.ndarray]]:
+    """Documents made of runs of lines of a good and of a bad one, by turns, of up to `most` lines each, with the label of every line that has words.
+
+    They show the field what the labels of whole documents don't: neighbours of different kinds, and lines that have to be told by themselves.
+    """
+    rng = np.random.default_rng(seed)
+    lines = [[x for x in (t or "").split("\n") if x.encode("utf-8", "surrogatepass").split()][:most] for t in texts]
+    good, bad = ([i for i, y in enumerate(labels) if y == k and lines[i]] for k in (1, 0))
+    out, truth = [], []
+    for i, j in zip(rng.permutation(good).tolist(), rng.permutation(bad).tolist(), strict=False):
+        rest, made, kinds = {1: list(lines[i]), 0: list(lines[j])}, [], []
+        k = int(rng.integers(2))
+        while rest[0] or rest[1]:
+            k = k if rest[k] else 1 - k
+            n = int(rng.integers(1, 5))
+            made += rest[k][:n]
+            kinds += [k] * len(rest[k][:n])
+            rest[k] = rest[k][n:]
+            k = 1 - k
+        out.append("\n".join(made))
+        truth.append(np.array(kinds, np.float64))
+    return out, truth
+
+
+def train(texts: list[str | None], labels: list[int], steps: int = 80, rate: float = 0.15, decay: float = 1e-3) -> LineField:
+    """Fits the field to labels of documents, then a logistic calibration of the documents' weighted marginals. One class only, or none
+    (also where texts are null or empty): a constant prior. Repeated rows count each; a text may be in both classes.
+
+    A line's own label is latent. It is seen through its document's label, which a good line of a bad document belies with
+    probability STRAY[1] and a bad line of a good one with STRAY[0]. Adam follows the likelihood of what is seen: per line and pair of lines, the
+    marginals given the document's label minus those of the field alone. Spliced documents are trained on alongside.
+    """
     y = np.asarray(labels, np.float64)
-    x, size, counts = line_features(texts)
-    some = counts > 0
+    real, _, real_counts = line_features(texts)
+    some = real_counts > 0
     prior = float((y.sum() + 1) / (len(y) + 2))
-    if not len(x) or len(set(y[some])) < 2:
+    if not len(real) or len(set(y[some])) < 2:
         return LineField(np.zeros(3 * OWN + 3), np.ones(3 * OWN + 3), np.zeros(3 * OWN + 3), np.zeros((2, 2)), 0.0, float(_logit(np.array(prior))), prior)
-    mean, scale = x.mean(0), x.std(0)
+    mean, scale = real.mean(0), real.std(0)
     mean[-1], scale[-1] = 0, 1
     scale[scale < 1e-9] = 1
-    x = (x - mean) / scale
-    of_line, n = np.repeat(y, counts), counts[some]
-    inside = np.ones(len(x), bool)
-    inside[np.cumsum(n) - n] = False  # lines that follow another
-    truth = np.zeros((2, 2))
-    for k in (0, 1):
-        truth[k, k] = (inside & (of_line == k)).sum()
+    made, kinds = spliced(texts, labels)
+    extra, _, extra_counts = line_features(made)
+    x = (np.concatenate([real, extra]) - mean) / scale
+    seen = np.concatenate([np.repeat(y, real_counts), *kinds])
+    n = np.concatenate([real_counts[some], extra_counts])
+    told = np.where(seen[:, None] == 1, np.log([STRAY[0], 1 - STRAY[1]]), np.log([1 - STRAY[0], STRAY[1]]))
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
-        u = x @ w
-        marginal, _, pairs = forward_backward(np.column_stack([np.zeros_like(u), u]), n, trans)
-        g = np.concatenate([x.T @ (marginal[:, 1] - of_line), (pairs - truth).ravel()]) / len(x)
+        emission = np.column_stack([np.zeros(len(x)), x @ w])
+        free, _, free_pairs = forward_backward(emission, n, trans)
+        held, _, held_pairs = forward_backward(emission + told, n, trans)
+        g = np.concatenate([x.T @ (free[:, 1] - held[:, 1]), (free_pairs - held_pairs).ravel()]) / len(x)
         g += decay * np.concatenate([w, trans.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -173,15 +204,18 @@ def train(texts: list[str | None], labels: list[int], steps: int = 150, rate: fl
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int, hidden: int, modulus: int = 5) -> DataFrame:
-    """At most `rows` labelled documents outside the held-out part, a fixed pseudo-random choice of them.
+    """At most `rows` labelled documents (text, label) of LONGEST bytes at most outside the held-out part, a fixed pseudo-random choice of
+    them: that is the bound in rows and bytes of what the driver reads.
 
-    Labels that are null or contradict each other for an id are left out; a repeated id counts once per row.
+    Labels that are null or contradict each other for an id are left out, and so are null ids; a repeated id counts once per row. Ties
+    of the hash fall to id and text. Null and empty texts may be chosen. Without labelled documents there are no rows. Other columns don't matter.
     """
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("label"))
     known = known.where("low = label").select("doc_id", "label").where(common.remainder(F.col("doc_id"), modulus) != hidden)
     # Ids are chosen first, so texts are read for the chosen ones only.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label").orderBy(F.xxhash64("text"), "text", "label").limit(rows)
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    return short.join(F.broadcast(chosen), "doc_id").select("text", "label").orderBy(F.xxhash64("text"), "text", "label").limit(rows)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], field: LineField, text: str) -> Iterator[pa.RecordBatch]:
@@ -213,7 +247,8 @@ def line_marginals(docs: DataFrame, field: LineField, doc_id: str = "doc_id", te
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, hidden: int = 0) -> LineField:
-    """A field trained on at most `rows` labelled documents (the bounded sample) whose id is not held out."""
+    """A field trained on at most `rows` labelled documents (the bounded sample, see training_rows) whose id is not held out.
+    Empty tables, or labels of one kind only, give a constant score."""
     sample = training_rows(docs, labels, rows, hidden).toPandas()
     return train(sample["text"].tolist(), sample["label"].tolist())
 

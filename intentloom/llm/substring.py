@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from intentloom.llm import common
 
 #: Words of a phrase, letters of a word, phrases in one automaton, words of the documents that share automata, bytes of text per cell of hashes.
-PHRASE, LETTERS, SHARD, SHARED_WORDS, CELL_BYTES = 8, 3, 50_000, 4_000_000, 24_000_000
+PHRASE, LETTERS, SHARD, SHARED_WORDS, CELL_BYTES = 8, 3, 50_000, 2_000_000, 16_000_000
 #: Odd multipliers of the two rolling hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -207,9 +207,9 @@ def _recurring(table: pa.Table) -> pa.Table:
     return pa.table({"blk": pa.array([r[0] for r in rows], pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _back(dealt: DataFrame) -> DataFrame:
-    """Recurring hashes of each block (blk, known)."""
-    found = dealt.groupBy("cell").applyInArrow(_recurring, "blk long, hashes binary")
+def _back(dealt: DataFrame, cells: int) -> DataFrame:
+    """Recurring hashes of each block (blk, known), counted in a task per cell."""
+    found = dealt.repartition(cells, "cell").groupBy("cell").applyInArrow(_recurring, "blk long, hashes binary")
     return found.groupBy("blk").agg(F.collect_list("hashes").alias("known"))
 
 
@@ -249,10 +249,10 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = 35) -> Dat
     cells = common.partitions_for(blocks.agg(F.sum("bytes")).first()[0] or 0, CELL_BYTES)
     options = {"text": text, "width": width}
     anchors = blocks.select("blk", "payload").mapInArrow(partial(_anchor_hashes, cells=cells, **options), _DEALT)
-    known = common.stored(_back(anchors), "phrases")
+    known = common.stored(_back(anchors, cells), "phrases")
     met = blocks.select("blk", "payload").join(known, "blk")
     windows = met.select("blk", "payload", "known").mapInArrow(partial(_window_hashes, cells=cells, **options), _DEALT)
-    repeated = common.stored(_back(windows), "windows")
+    repeated = common.stored(_back(windows, cells), "windows")
     met = blocks.select("blk", "payload").join(repeated, "blk", "left")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     return met.select("payload", "known").mapInArrow(partial(_cleaned, **options), T.StructType([*docs.schema.fields, *fields]))

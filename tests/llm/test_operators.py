@@ -353,6 +353,27 @@ def test_vector_links_equal_brute_force(spark, monkeypatch):
     assert [tuple(r) for r in neardup.near_duplicates(vectors(spark, rows[-7:-6])).collect()] == [(300, 0, 300, True)]
 
 
+def test_vectors_with_text_labels_and_tiny_or_rare_ones(spark):
+    rows = [(i, [1e-200 * (1 + (k == i % 3)) for k in range(3)], "x") for i in range(6)] + [(10, [1.0, 2.0], "x"), (11, [1.01, 2.0], "x"), (12, [1.0, 2.0], "y"), (13, [5.0], "x")]
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect())
+    want = [(i, 5, 0, i == 0) for i in range(6)] if 5 / 6 >= 0.93 else [(i, 1, i % 3, i < 3) for i in range(6)]
+    assert got == [*want, (10, 1, 10, True), (11, 1, 10, False), (12, 0, 12, True), (13, 0, 13, True)]
+
+
+@pytest.mark.parametrize("offset", [0.2, 2.0])
+def test_codes_are_balanced_and_pairs_meet(spark, offset):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 12)) + offset
+    index = neardup.learn(spark.createDataFrame([([float(v) for v in r],) for r in x], "embedding array<double>"), 1500, 0.93, 0.98)
+    units = neardup.unit(x)
+    signs = index.signs(units)
+    if offset < 1:  # vectors in a narrow cone keep signs around the origin
+        assert 0.45 < signs.mean(0).min() and signs.mean(0).max() < 0.55
+    a, b = np.nonzero(np.triu(units @ units.T >= 0.93, 1))
+    codes = index.codes(signs)
+    assert (codes[a] == codes[b]).any(1).mean() >= 0.97 and ((signs[a] != signs[b]).sum(1) <= index.radius).all()
+
+
 # --- top-k ---
 
 
@@ -434,10 +455,26 @@ def test_quality_on_odd_rows(spark, odd):
     assert scores[0] == scores[1] == scores[2] == field.prior
     assert quality.with_quality(empty(spark), field).count() == 0
     assert quality.train([], []).score(["x", None]).tolist() == [0.5, 0.5]
+    assert quality.train(["x y"], [1]).score(["x", None]).tolist() == [2 / 3, 2 / 3]
     lines = quality.line_marginals(odd, field).collect()
     assert all(0 <= r.good <= 1 for r in lines) and sum(r.id == 5 for r in lines) == 1
 
 
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r.text, labels[r.doc_id], zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.doc_id in labels]
+    field = quality.train(*zip(*[r[:2] for r in rows if not r[2]], strict=True))
+    made, kinds = quality.spliced(*zip(*[r[:2] for r in rows if r[2]], strict=True), seed=3)
+    good, _, counts = field.lines(made)
+    assert np.mean((good > 0.5) == np.concatenate(kinds)) > 0.92
+    both = [0 < (g > 0.5).mean() < 1 for g in np.split(good, np.cumsum(counts)[:-1])]
+    assert np.mean(both) > 0.7  # lines of one document differ
+    mixed = field.score(made)
+    pure = [field.score([t for t, y, held in rows if held and y == k]) for k in (0, 1)]
+    assert np.median(pure[0]) < np.median(mixed) < np.median(pure[1])
+
+
 def test_marginals_equal_brute_force():
     rng = np.random.default_rng(7)
     counts, trans = np.array([3, 1, 4]), rng.normal(size=(2, 2))
