@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from intentloom.llm import common
 
@@ -131,6 +132,13 @@ class HiddenMarkov:
         np.fill_diagonal(transition, 0.95)
         return HiddenMarkov(np.full(states, 1 / states), transition, emission / emission.sum(1, keepdims=True))
 
+    def share(self) -> np.ndarray:
+        """How often each state is taken in the long run."""
+        p = np.full(len(self.start), 1 / len(self.start))
+        for _ in range(50):
+            p = p @ self.transition
+        return p / p.sum()
+
     def log10_likelihood(self, kinds: np.ndarray, sizes: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """log10 of each sequence's likelihood by the scaled forward recursion, over its whole length;
         emissions of a class are multiplied by its `weight`."""
@@ -163,22 +171,24 @@ def _by_time(tokens: np.ndarray, sizes: np.ndarray, order: np.ndarray, alive: np
     return tokens[np.concatenate([starts[:n] + t for t, n in enumerate(alive.tolist())])] if len(alive) else tokens[:0]
 
 
-def expected_counts(model: HiddenMarkov, kinds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def expected_counts(model: HiddenMarkov, kinds: np.ndarray, sizes: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
     """Baum-Welch counts of one batch of sequences: (CLASSES + 1 + K + 1, K), the rows being emissions by class,
     transitions by state left, and starts.
 
-    Arrays hold states by tokens, tokens by time, so that each step works on slices.
+    Sequences that are not `first` of their text begin in any state, by the states' shares in the long run, and add nothing to starts. Arrays hold states by tokens, tokens by time, so that each step works on slices.
     """
     k = len(model.start)
     move = model.transition.astype(np.float32)
     back = np.ascontiguousarray(move.T)
     order, alive = _layout(sizes)
     kinds = _by_time(kinds, sizes, order, alive)
+    first = np.ones(len(sizes), bool) if first is None else first[order]
+    begun = np.where(first, model.start[:, None], model.share()[:, None]).astype(np.float32)
     ends = np.cumsum(alive)
     emitted = model.emission.astype(np.float32).take(kinds, axis=1)
     alpha = np.empty_like(emitted)
     for t, (n, end) in enumerate(zip(alive.tolist(), ends.tolist(), strict=True)):
-        a = back @ alpha[:, begin : begin + n] if t else np.repeat(model.start.astype(np.float32)[:, None], n, 1)
+        a = back @ alpha[:, begin : begin + n] if t else begun.copy()
         a *= emitted[:, end - n : end]
         a /= a.sum(0)
         begin = end - n
@@ -198,7 +208,7 @@ def expected_counts(model: HiddenMarkov, kinds: np.ndarray, sizes: np.ndarray) -
     for s in range(k):
         counts[: CLASSES + 1, s] = np.bincount(kinds, alpha[s], CLASSES + 1)
     counts[CLASSES + 1 : -1] = moves * model.transition
-    counts[-1] = alpha[:, : alive[0]].sum(1)
+    counts[-1] = alpha[:, : alive[0]][:, first].sum(1)
     return counts
 
 
@@ -221,6 +231,7 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = -(-sizes // SEGMENT)
             cut = np.full(int(parts.sum()), SEGMENT)
             cut[np.cumsum(parts) - 1] = sizes - (parts - 1) * SEGMENT
+            cut[np.cumsum(parts) - parts] *= -1  # a text's first segment
             if len(cut):
                 yield pa.RecordBatch.from_arrays([pa.array([kinds.tobytes()], pa.binary()), pa.array([cut.astype("<i4").tobytes()], pa.binary())], names=["kinds", "sizes"])
 
@@ -232,7 +243,8 @@ def _expectation(batches: Iterator[pa.RecordBatch], model: HiddenMarkov) -> Iter
 
     def add():
         nonlocal total, kinds, sizes, held
-        found = expected_counts(model, np.concatenate(kinds).astype(np.int64), np.concatenate(sizes).astype(np.int64))
+        size = np.concatenate(sizes).astype(np.int64)
+        found = expected_counts(model, np.concatenate(kinds).astype(np.int64), np.abs(size), size < 0)
         total = found if total is None else total + found
         kinds, sizes, held = [], [], 0
 
@@ -255,7 +267,7 @@ def train(blocks: DataFrame, kinds: np.ndarray, states: int = STATES, rounds: in
 
     Each round adds up the expected counts of all partitions, one row per class and task; the rows that
     reach the driver are the classes and states of the model, whatever the input's size. Texts
-    are segments of SEGMENT words here; scoring runs over whole texts.
+    are segments of SEGMENT words here, of which a text's first one alone tells how texts start; scoring runs over whole texts.
     """
     coded_ = common.stored(blocks.select("payload", "sizes", "codes", "ids").mapInArrow(_training, "kinds binary, sizes binary"), "classes", "zstd")
     model = HiddenMarkov.first(kinds, states)
@@ -312,7 +324,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model: HiddenMarkov, weight: np.n
 
 
 def scored(docs: DataFrame, held_out: str = "held_out", text: str = "text", states: int = STATES, rounds: int = 6) -> DataFrame:
-    """`docs` with n_tokens, n_known, train_tokens, base_score and score, learned from the rows where `held_out` is false.
+    """`docs` without its text, with n_tokens, n_known, train_tokens, base_score and score, learned from the rows where `held_out` is false.
 
     score is log10 P(tokens) under the hidden Markov model whose states emit a class of words and, of that class, a
     word by its smoothed count: P(w | state) = P(class | state) * (c(w) + 0.5) / (class tokens + 0.5 * (class types + 1)),
@@ -320,17 +332,20 @@ def scored(docs: DataFrame, held_out: str = "held_out", text: str = "text", stat
     needs classes: score = base_score + log10 of the forward likelihood with weighted classes.
     Counts of words are taken by hash over all training texts: each block sends its distinct words to groups by hash
     range and gets their totals back, so a frequent word is one entry per block.
-    Null texts are empty: their one token is the end. Repeated rows are scored each; other columns but the text pass through. Without
+    Null texts are empty: their one token is the end. A null in `held_out` counts as true, so that nothing is learned from that row. Repeated rows are scored each. Other
+    columns pass through, whatever their names and types, but those named as one of the new columns in any case of letters, which are replaced. Without
     training texts all words are unseen. An empty table stays empty.
     """
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    keep = [c for c in docs.columns if c not in new and c != text]
-    rows = docs.select(*keep, F.col(text).alias("text"))
+    keep = [c for c in docs.columns if c.lower() not in new and c != text]
+    names = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(f"`{held_out}`"), F.lit(True)).alias("held_out"), F.col(f"`{text}`").alias("text"))
     coded_rows = rows.mapInArrow(partial(_coded_blocks, budget=4_000_000), "blk long, tokens long, payload binary, sizes binary, codes binary, ids binary, counts binary")
     blocks = common.bucketed(coded_rows, "blk", "zstd", common.text_bytes(rows, "text"))
     cells = common.partitions_for(blocks.agg(F.sum("tokens")).first()[0] or 0, CELL_TOKENS)
     counted = blocks.select("blk", "codes", "counts").mapInArrow(partial(_block_counts, cells=cells), "cell int, blk long, codes binary, counts binary")
-    totals = common.stored(counted.repartition(cells, "cell").groupBy("cell").applyInArrow(_totals, "blk long, cell int, totals binary, kind int, words long, tokens long"), "totals", "zstd")
+    counted = counted.repartition(cells, "cell").groupBy("cell")
+    totals = common.stored(counted.applyInArrow(_totals, "blk long, cell int, totals binary, kind int, words long, tokens long"), "totals", "zstd")
     kinds = totals.where("kind is not null").groupBy("kind").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).toPandas()
     words, tokens = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     words[kinds["kind"].to_numpy()], tokens[kinds["kind"].to_numpy()] = kinds["words"].to_numpy(), kinds["tokens"].to_numpy()
@@ -340,8 +355,10 @@ def scored(docs: DataFrame, held_out: str = "held_out", text: str = "text", stat
     weight = (n + 0.5 * (types + 1)) / (tokens + 0.5 * (words + 1))
     back = totals.where("blk is not null").groupBy("blk").agg(F.collect_list(F.struct("cell", "totals")).alias("totals"))
     met = blocks.select("blk", "payload", "sizes", "codes", "ids").join(back, "blk").drop("blk")
-    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep], "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    return met.mapInArrow(partial(_scores, model=model, weight=weight, tokens=n, types=types, cells=cells, keep=keep), schema)
+    kind = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
+    schema = T.StructType([*[rows.schema[c] for c in names], *[T.StructField(c, kind[c]) for c in new]])
+    out = met.mapInArrow(partial(_scores, model=model, weight=weight, tokens=n, types=types, cells=cells, keep=names), schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *new)
 
 
 def op4_hmm(spark, sf_dir: str) -> DataFrame:
