@@ -15,8 +15,8 @@ from intentloom.llm import common
 
 #: Queries in a block, candidates in a block, bins of a histogram, blocks of histograms a task holds at once.
 QUERY_BLOCK, ROW_BLOCK, BINS, HELD = 256, 2048, 1024, 16
-#: Query blocks are broadcast up to so many bytes, and joined by block number beyond.
-BROADCAST_BYTES = 4_000_000
+#: Query blocks are broadcast up to so many bytes, and joined with ranges of RANGE blocks of candidates beyond.
+BROADCAST_BYTES, RANGE = 4_000_000, 16
 
 
 def usable(vector: Column) -> Column:
@@ -73,7 +73,7 @@ def _met(batch: pa.RecordBatch) -> Iterator[tuple]:
         qs = batch.column("queries")[r].values
         v = qs.field("v")
         q = _rows(v.values.to_numpy(), v.offsets.to_numpy())
-        columns = {n: qs.field(n).to_numpy(zero_copy_only=False) for n in ("query_id", "low", "step")}
+        columns = {n: qs.field(n).to_numpy(zero_copy_only=False) for n in ("query", "query_id", "low", "step")}
         width = batch.column("width")[r].as_py()
         ids = np.frombuffer(batch.column("ids")[r].as_buffer(), "<i8")
         c = np.frombuffer(batch.column("matrix")[r].as_buffer(), "<i8").reshape(len(ids), width)
@@ -81,7 +81,7 @@ def _met(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _histograms(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(query_id, bin, n): counts of scores per bin from `low` in steps of `step`, bin BINS for all above.
+    """(query, bin, n): counts of scores per bin from `low` in steps of `step`, bin BINS for all above.
 
     One task adds up its blocks; of each query it sends the bins down to where its own counts
     reach k, as the k-th score of all rows is no lower than that of some.
@@ -92,7 +92,7 @@ def _histograms(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         for ids, counts in held.values():
             above = counts[:, ::-1].cumsum(1)[:, ::-1]
             query, where = np.nonzero((counts > 0) & (above - counts < k))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(where.astype(np.int32)), pa.array(counts[query, where])], names=["query_id", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(where.astype(np.int32)), pa.array(counts[query, where])], names=["query", "bin", "n"])
         held.clear()
 
     for batch in batches:
@@ -100,7 +100,7 @@ def _histograms(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             if block not in held:
                 if len(held) == HELD:
                     yield from sent()
-                held[block] = (q["query_id"], np.zeros((len(s), BINS + 1), np.int64))
+                held[block] = (q["query"], np.zeros((len(s), BINS + 1), np.int64))
             counts = held[block][1]
             bins = np.clip((s - q["low"][:, None]) // q["step"][:, None], -1, BINS)
             flat = (bins + np.arange(len(s))[:, None] * (BINS + 1))[other & (bins >= 0)]
@@ -109,7 +109,7 @@ def _histograms(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
 
 
 def _found(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(query_id, vec_id, score) of scores from `low` on, the best k of each block of candidates."""
+    """(query, query_id, vec_id, score) of scores from `low` on, the best k of each block of candidates."""
     for batch in batches:
         for _, q, ids, s, other in _met(batch):
             query, row = np.nonzero(other & (s >= q["low"][:, None]))
@@ -118,7 +118,9 @@ def _found(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             query, score, vec = query[order], score[order], vec[order]
             place = np.arange(len(query)) - np.searchsorted(query, query, "left")
             best = place < k
-            yield pa.RecordBatch.from_arrays([pa.array(q["query_id"][query[best]]), pa.array(vec[best]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q["query"][query[best]]), pa.array(q["query_id"][query[best]]), pa.array(vec[best]), pa.array(score[best])], names=["query", "query_id", "vec_id", "score"]
+            )
 
 
 def search(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
@@ -126,7 +128,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
 
     v are arrays of longs. Ties go to the smaller vec_id. Rows that carry the query's own id are no candidates of
     it; null ids or vectors take no part; a query with fewer candidates gets all, one without any gets no row.
-    Repeated candidate rows count each; queries must have distinct ids. Shorter vectors count as ending in zeros. Scores must fit 63 bits.
+    Repeated candidate rows count each. Query rows that repeat an id are queries of their own: each has its k rows. Shorter vectors count as ending in zeros. Scores must fit
+    63 bits; Spark's arithmetic error tells if their bound does not. More than 30 rounds, which halve 63 bits away ten at a time, are an error.
 
     Scores are never stored. A query's k-th highest score lies in an interval that starts at
     the bound of the products' sizes; every round scores all rows anew, adds up a histogram of each query's interval over all tasks and keeps the
@@ -134,38 +137,44 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     round returns the rows from there on, of which the first k by score and id remain.
     """
     rows = rows.where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v")
-    queries = queries.where("query_id is not null and v is not null").select(F.col("query_id").cast("long").alias("query_id"), "v")
+    queries = queries.where("query_id is not null and v is not null").select(F.monotonically_increasing_id().alias("query"), F.col("query_id").cast("long").alias("query_id"), "v")
     size = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: F.greatest(a, F.abs(x)))
-    most, _ = rows.agg(F.max(size), F.count("*")).first()
+    most, total = rows.agg(F.max(size), F.count("*")).first()
     n, width = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = common.partitions_for(n or 0, QUERY_BLOCK)
     reach = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + F.abs(x)) * F.lit(int(most or 0)) + 1
-    state = queries.select("query_id", "v", (-reach).alias("low"), reach.alias("high"), F.lit(False).alias("done"))
+    state = queries.select("query", "query_id", "v", (-reach).alias("low"), reach.alias("high"), F.lit(False).alias("done"))
     state = common.stored(state, "queries")
     chunks = rows.mapInArrow(_row_blocks, "ids binary, matrix binary, width int")
     small = (n or 0) * (width or 0) * 8 <= BROADCAST_BYTES
+    ranges = common.partitions_for(-(-(total or 0) // ROW_BLOCK), RANGE)
     step = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low")) / BINS)).cast("long")
 
     def met(queries: DataFrame) -> DataFrame:
-        one = F.struct("query_id", "v", "low", step.alias("step"))
-        block = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(one).alias("queries"))
+        """Blocks of queries with blocks of candidates: broadcast where they are small, else joined by block and range of candidates, so
+        that a task has one block of queries and RANGE or so of candidates at a time."""
+        one = F.struct("query", "query_id", "v", "low", step.alias("step"))
+        block = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list(one).alias("queries"))
         dealt = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        return dealt.join(F.broadcast(block) if small else block, "block")
+        if small:
+            return dealt.join(F.broadcast(block), "block")
+        block = block.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long"))))
+        return dealt.withColumn("range", F.pmod(F.xxhash64("ids"), F.lit(ranges))).join(block.hint("merge"), ["block", "range"])
 
     for _ in range(30):
         open_ = state.where("not done")
         if not open_.head(1):
             break
-        counts = met(open_).mapInArrow(partial(_histograms, k=k), "query_id long, bin int, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("query_id").orderBy(F.col("bin").desc())
-        total = F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        counts = met(open_).mapInArrow(partial(_histograms, k=k), "query long, bin int, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("query").orderBy(F.col("bin").desc())
+        upward = F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         # Scores above the interval fall into bin BINS; their number was known.
-        at = counts.withColumn("to", total).where(F.col("to") >= k).groupBy("query_id").agg(F.max("bin").alias("bin"), F.min_by("to", F.struct(-F.col("bin"))).alias("to"))
+        at = counts.withColumn("to", upward).where(F.col("to") >= k).groupBy("query").agg(F.max("bin").alias("bin"), F.min_by("to", F.struct(-F.col("bin"))).alias("to"))
         new_low = F.col("low") + F.col("bin") * step
         settled = (step == 1) | (F.col("to") <= 4 * k)
         state = common.stored(
-            state.join(at, "query_id", "left").select(
-                "query_id", "v",
+            state.join(at, "query", "left").select(
+                "query", "query_id", "v",
                 F.when(F.col("done"), F.col("low")).when(F.col("bin").isNull(), F.col("low")).otherwise(new_low).alias("low"),
                 F.when(F.col("done") | F.col("bin").isNull(), F.col("high")).otherwise(new_low + step).alias("high"),
                 (F.col("done") | F.col("bin").isNull() | settled).alias("done"),
@@ -173,8 +182,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
         )
     else:
         raise RuntimeError("the intervals did not close")
-    best = met(state).mapInArrow(partial(_found, k=k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    best = met(state).mapInArrow(partial(_found, k=k), "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -188,10 +197,10 @@ def op6_topk(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) as bigint) as score
+  select q.r, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) as bigint) as score
   from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id)
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10"""
+from (select *, row_number() over (partition by r order by score desc, vec_id) as rank from s) where rank <= 10"""
