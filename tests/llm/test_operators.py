@@ -273,13 +273,15 @@ def test_expected_counts_equal_brute_force():
     model = hmm.HiddenMarkov.first(np.full(hmm.CLASSES + 1, 1 / (hmm.CLASSES + 1)), 3)
     sizes = np.array([2, 4, 1])
     kinds = rng.integers(0, 50, sizes.sum())
-    counts = hmm.expected_counts(model, kinds, sizes)
+    first = np.array([True, False, True])
+    counts = hmm.expected_counts(model, kinds, sizes, first)
     want = np.zeros_like(counts)
-    for part in np.split(kinds, np.cumsum(sizes)[:-1]):
+    for part, whole in zip(np.split(kinds, np.cumsum(sizes)[:-1]), first, strict=True):
         paths = list(np.ndindex(*[3] * len(part)))
-        p = np.array([model.start[s[0]] * np.prod([model.transition[a, b] for a, b in zip(s, s[1:], strict=False)]) * np.prod([model.emission[a, k] for a, k in zip(s, part, strict=True)]) for s in paths])
+        start = model.start if whole else model.share()
+        p = np.array([start[s[0]] * np.prod([model.transition[a, b] for a, b in zip(s, s[1:], strict=False)]) * np.prod([model.emission[a, k] for a, k in zip(s, part, strict=True)]) for s in paths])
         for s, w in zip(paths, p / p.sum(), strict=True):
-            want[-1, s[0]] += w
+            want[-1, s[0]] += w * whole
             for a, k in zip(s, part, strict=True):
                 want[k, a] += w
             for a, b in zip(s, s[1:], strict=False):
@@ -313,6 +315,18 @@ def test_model_on_odd_rows(spark, odd):
     assert (alone[0].n_known, alone[0].train_tokens, alone[0].base_score) == (0, 0, 0.0)
 
 
+def test_model_on_clashing_names_and_many_cells(spark, docs, monkeypatch):
+    few = docs.limit(40).select("doc_id", F.col("text").alias("body"), F.lit("x").alias("text"), F.lit(1).alias("Score"), F.lit(2).alias("c0"), F.create_map(F.lit("k"), F.lit(1)).alias("m.n"))
+    few = few.withColumn("hidden", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 == 1))
+    plain = {r.doc_id: r for r in hmm.scored(few, held_out="hidden", text="body", rounds=1).collect()}
+    assert len(plain) == 40 and set(next(iter(plain.values())).asDict()) == {"doc_id", "text", "c0", "m.n", "hidden", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
+    monkeypatch.setattr(hmm, "CELL_TOKENS", 100)
+    rows = hmm.scored(few, held_out="hidden", text="body", rounds=1).collect()
+    assert all((r.n_known, r.train_tokens) == plain[r.doc_id][6:8] and r.score == pytest.approx(plain[r.doc_id].score) for r in rows)
+    bodies = {r.doc_id: r.body for r in few.collect()}
+    check_base(rows, [bodies[r.doc_id] for r in rows], [r.hidden is None or r.hidden for r in rows])
+
+
 # --- vector near-duplicates ---
 
 
@@ -392,6 +406,22 @@ def test_topk_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_topk_by_blocks_and_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = rng.integers(-50, 51, (400, 5))
+    frame = spark.createDataFrame([(i % 390, [int(x) for x in v[i]]) for i in range(400)], "vec_id long, v array<long>")  # ids 0 to 9 twice
+    queries = frame.where("vec_id % 6 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    want = []
+    for q in (i for i in range(400) if i % 390 % 6 == 0):
+        best = sorted((-int(v[q] @ v[i]), i % 390) for i in range(400) if i % 390 != q % 390)[:4]
+        want += [(q % 390, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for name, value in (("BROADCAST_BYTES", 0), ("QUERY_BLOCK", 20), ("ROW_BLOCK", 16), ("RANGE", 2), ("BINS", 8), ("HELD", 1)):
+        monkeypatch.setattr(topk, name, value)
+    found = topk.search(queries, frame, 4)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def test_topk_few_rows_and_large_values(spark):
     frame = spark.createDataFrame([(0, [2**30, 1]), (1, [2**30, 2]), (2, [-5])], "vec_id long, v array<long>")
     queries = frame.select(F.col("vec_id").alias("query_id"), "v")
