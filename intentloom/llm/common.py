@@ -50,6 +50,21 @@ def stored(df: DataFrame, what: str, compression: str = "lz4") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, what: str) -> str:
+    """Path of a new table in the shared folder with the rows of `df`, which `scratch` leaves alone."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def drop(spark: SparkSession, path: str, name: str = "") -> None:
+    """Deletes a table's files, and its entry in the catalogue if it has a name."""
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Drops on leaving all tables that operators stored inside. Results that were not written by then cannot be read any more:
@@ -61,12 +76,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        files = spark._jvm.org.apache.hadoop.fs.Path
         for path, name in made[before:]:
-            if name:
-                spark.sql(f"DROP TABLE IF EXISTS {name}")
-            place = files(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            drop(spark, path, name)
         del made[before:]
 
 
@@ -175,6 +186,16 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=names)
 
 
+def column(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def own(df: DataFrame) -> list[Column]:
+    """All columns of `df`, of whatever names."""
+    return [column(c) for c in df.columns]
+
+
 def _has_map(kind: T.DataType) -> bool:
     parts = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
     return isinstance(kind, T.MapType) or any(map(_has_map, parts))
@@ -182,7 +203,7 @@ def _has_map(kind: T.DataType) -> bool:
 
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns of `df`; those with maps, which have no hash, as JSON."""
-    return F.xxhash64(*[F.to_json(F.col(f"`{f.name}`")) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    return F.xxhash64(*[F.to_json(column(f.name)) if _has_map(f.dataType) else column(f.name) for f in df.schema.fields])
 
 
 def fresh(df: DataFrame, name: str) -> str:

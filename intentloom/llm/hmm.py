@@ -339,7 +339,7 @@ def scored(docs: DataFrame, held_out: str = "held_out", text: str = "text", stat
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     keep = [c for c in docs.columns if c.lower() not in new and c != text]
     names = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(f"`{held_out}`"), F.lit(True)).alias("held_out"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(*[common.column(c).alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(common.column(held_out), F.lit(True)).alias("held_out"), common.column(text).alias("text"))
     coded_rows = rows.mapInArrow(partial(_coded_blocks, budget=4_000_000), "blk long, tokens long, payload binary, sizes binary, codes binary, ids binary, counts binary")
     blocks = common.bucketed(coded_rows, "blk", "zstd", common.text_bytes(rows, "text"))
     cells = common.partitions_for(blocks.agg(F.sum("tokens")).first()[0] or 0, CELL_TOKENS)

@@ -165,7 +165,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars",
     one space, and `chars`, if there is such a column, counts what is left. Documents without words (null, empty, white space) are never taken.
     Repeated rows are taken each. Columns of any names pass through, maps too. An empty table, or one without words, gives no rows.
     """
-    columns = docs.columns
+    columns, mine = docs.columns, common.own(docs)
     row, cut, length, at = (common.fresh(docs, n) for n in ("mix_row", "mix_cut", "mix_length", "mix_slot"))
     spark = docs.sparkSession
     docs = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "mixed", "zstd")
@@ -180,7 +180,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars",
     slots = (taken.agg(F.max(at)).first()[0] or 0) + 1
     stretch = max(1, min(8192, slots // (8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     out = out.repartition(F.expr(f"{at} div {stretch}")).sortWithinPartitions(at, row)
-    return out.select(*columns, *([F.col(at).alias(slot)] if slot else []))
+    return out.select(*mine, *([F.col(at).alias(slot)] if slot else []))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -284,19 +284,27 @@ def _packed(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pd.DataFrame({"piece": group["piece"], "sequence_id": (group["grp"].to_numpy(np.int64) << 20) + window, "offset": offset})
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False, in_order: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
 
     Documents are tokenized once; whole sequences are cut off their front and the rest cut into parts of PIECE
     tokens at most. Pieces are dealt evenly to groups of about GROUP by a number given to each piece, so neither a long
-    document nor copies fill a group, and only piece sizes reach the grouped step. Null texts
+    document nor copies fill a group, and only piece sizes reach the grouped step. `in_order` deals them by their place instead: a group is a stretch of
+    GROUP to 2 GROUP pieces as they lie in a partition of `docs`, so that the sequences of a mix follow its schedule. Null texts
     are empty documents; repeated rows are packed each. Other columns don't take part. An
     empty table gives no rows.
     """
     cut = tokenized_pieces(docs, tokenizer, doc_id, text, capacity, keep_ids=keep_ids)
     cut = common.stored(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
-    groups = common.partitions_for(cut.count(), GROUP)
-    slim = cut.select("piece", "length", "ids_crc32", F.pmod(F.xxhash64("piece"), F.lit(groups)).alias("grp"))
+    slim = cut.select("piece", "length", "ids_crc32")
+    if in_order:  # a piece's number is its partition's number and its place there
+        slim = slim.withColumn("part", F.shiftright("piece", 33))
+        parts = slim.groupBy("part").agg(F.greatest(F.lit(1), F.expr(f"count(*) div {GROUP}")).alias("groups"))
+        before = F.sum("groups").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("groups")  # a row per task
+        place = F.expr(f"(piece & {(1 << 33) - 1}) div {GROUP}")
+        slim = slim.join(parts.withColumn("before", before), "part").withColumn("grp", F.col("before") + F.least(place, F.col("groups") - 1)).drop("part", "groups", "before")
+    else:
+        slim = slim.withColumn("grp", F.pmod(F.xxhash64("piece"), F.lit(common.partitions_for(cut.count(), GROUP))))
     placed = slim.groupBy("grp").applyInPandas(partial(_packed, capacity=capacity), "piece long, sequence_id long, offset long")
     return cut.join(placed, "piece").drop("piece")
 

@@ -218,17 +218,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int, hidden: int, mo
     return short.join(F.broadcast(chosen), "doc_id").select("text", "label").orderBy(F.xxhash64("text"), "text", "label").limit(rows)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], field: LineField, text: str) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], field: LineField, text: str, out: str) -> Iterator[pa.RecordBatch]:
     for batch in common.small_batches(batches, text):
-        yield common.with_columns(batch, quality_score=pa.array(field.score(batch.column(text).to_pylist())))
+        yield common.with_columns(batch, **{out: pa.array(field.score(batch.column(text).to_pylist()))})
 
 
-def with_quality(docs: DataFrame, field: LineField, text: str = "text") -> DataFrame:
-    """`docs` with quality_score (0 to 1), replacing a column of that name. Texts that are null, empty or
-    all white space get the training rows' share of good ones. Other columns and repeated rows pass through."""
-    docs = docs.drop("quality_score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
-    return docs.mapInArrow(partial(_scored, field=field, text=text), schema)
+def with_quality(docs: DataFrame, field: LineField, text: str = "text", out: str = "quality_score") -> DataFrame:
+    """`docs` with its quality (0 to 1) in column `out`, replacing a column of that name. Texts that are null, empty or
+    all white space get the training rows' share of good ones. Other columns and repeated rows pass through; an empty table stays empty."""
+    docs = docs.drop(out)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
+    return docs.mapInArrow(partial(_scored, field=field, text=text, out=out), schema)
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch], field: LineField, doc_id: str, text: str) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash candidates, each verified exactly."""
+"""Near copies by the Jaccard similarity of word shingles: candidates by SimHash and MinHash, each verified exactly.
+
+SimHash alone cannot find them: fingerprints of texts at a similarity of 0.8 differ in some ten of 64 bits, while an index of 8 byte positions
+guarantees four. So the SimHash index finds the closest pairs, and MinHash bands those down to the threshold.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from intentloom.llm import common
+from intentloom.llm import common, simhash
 
 #: Bands of the index and minima in each: a pair at similarity 0.8 shares one with probability 1 - (1 - 0.8**5)**30, or 0.999993.
 BANDS, ROWS = 30, 5
@@ -24,6 +28,7 @@ _FLIP = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1)).astype(np.uint32)
 _POWERS = _RNG.integers(0, 1 << 63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _FEATURES = T.StructType([
     T.StructField("node", T.LongType()), T.StructField("size", T.LongType()),
+    T.StructField("print", T.LongType()),
     *[T.StructField(f"m{i}", T.LongType()) for i in range(MAP_WORDS)], T.StructField("keys", T.ArrayType(T.LongType())),
 ])
 
@@ -42,9 +47,9 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def _features(s: np.ndarray) -> tuple:
-    """Of a set of shingles: a hash of it, its size, its parity map, and the keys of its bands (none for an empty set)."""
+    """Of a set of shingles: a hash of it, its size, its SimHash, its parity map, and the keys of its bands (none for an empty set)."""
     if not len(s):
-        return 0, 0, np.zeros(MAP_WORDS, np.int64), np.zeros(0, np.int64)
+        return 0, 0, 0, np.zeros(MAP_WORDS, np.int64), np.zeros(0, np.int64)
     node = common.mixed(common.mixed(s * _POWERS[8]).sum(dtype=np.uint64)[None] + np.uint64(len(s)))
     odd = np.bincount((s & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
     h, least = (s >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
@@ -53,15 +58,15 @@ def _features(s: np.ndarray) -> tuple:
     key = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T.astype(np.uint64):
         key = common.mixed((key + column) * _POWERS[9])
-    return int(node.view(np.int64)[0]), len(s), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64), key.view(np.int64)
+    return int(node.view(np.int64)[0]), len(s), int(simhash.majority(s).view(np.int64)[0]), np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64), key.view(np.int64)
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], width: int, text: str, out: str) -> Iterator[pa.RecordBatch]:
     for batch in common.small_batches(batches, text):
-        nodes, sizes, maps, keys = zip(*map(_features, shingle_sets(batch.column(text), width)), strict=True)
+        nodes, sizes, prints, maps, keys = zip(*map(_features, shingle_sets(batch.column(text), width)), strict=True)
         m = np.stack(maps)
         ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-        columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(m[:, i]) for i in range(MAP_WORDS)]]
+        columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), *[pa.array(m[:, i]) for i in range(MAP_WORDS)]]
         columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys))))
         yield common.with_columns(batch, **{out: pa.StructArray.from_arrays(columns, names=_FEATURES.names)})
 
@@ -93,23 +98,30 @@ def _may_reach(least: float) -> Column:
 def links(features: DataFrame, sets_of, least: float) -> DataFrame:
     """Edges (a, b) between nodes of similarity `least` or more, enough to connect all such pairs that share a band.
 
-    `features` has one row per node; sets_of(nodes) gives node, shingles. First every node is compared with the smallest node of each of its buckets,
-    and takes the smallest that it is linked to as its label. Nodes of one label are connected, so only
+    `features` has one row per node; sets_of(nodes) gives node, shingles. First every node is compared with the smallest node of each of its buckets, and of
+    its SimHash, as are the smallest nodes of linked SimHashes, and takes the smallest that it is linked to as its label. Nodes of one label are connected, so only
     pairs of different labels remain, in buckets that hold some: a large group of near copies costs a
     comparison per member, not one per pair. Nothing is verified by less than both whole sets.
     """
-    slim = features.drop("keys")
+    slim = features.drop("keys", "print")
+    of = features.where("size > 0").select("print", "node")
+    tops = common.stored(of.groupBy("print").agg(F.min("node").alias("center")), "tops")
+    near = simhash.links(tops.select(F.col("print").alias("fp")))
+    low, high = tops.select(F.col("print").alias("a"), F.col("center").alias("x")), tops.select(F.col("print").alias("b"), F.col("center").alias("y"))
+    alike = near.join(low, "a").join(high, "b").select(F.least("x", "y").alias("center"), F.greatest("x", "y").alias("node"))
+    alike = common.stored(alike.unionByName(of.join(tops, "print").where("node <> center").select("center", "node")), "alike")
     index = features.select("node", F.explode("keys").alias("key"))
     buckets = index.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
     met = common.stored(index.join(buckets, "key").select("key", "node", "center"), "met")
-    sets = common.stored(sets_of(met.select("node").distinct()), "shingles")
+    wanted = met.select("node").union(alike.select("node")).union(alike.select("center"))
+    sets = common.stored(sets_of(wanted.distinct()), "shingles")
 
     def checked(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         return common.stored(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(partial(_verified, least=least), "a long, b long"), "links")
 
     a, b = slim.alias("a"), slim.alias("b")
-    near = met.where("node <> center").select("center", "node").distinct()
+    near = met.where("node <> center").select("center", "node").unionByName(alike).distinct()
     near = near.join(b, near.node == F.col("b.node")).join(a, near.center == F.col("a.node")).where(_may_reach(least))
     first = checked(near.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
     label = common.stored(first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "labels")
@@ -133,7 +145,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     Sets hold shingles of `width` words, A-Z lower-cased; a shorter text is one shingle, and texts without words are alike.
     Of rows that repeat an id in a group the smallest by text stays; null ids come last. Rows with equal sets are one
     node, so copies never form pairs. Sets are told apart, and shingles compared, by 64-bit hashes. A pair
-    right at `least` = 0.8 is found with the probability given at BANDS, a closer one more surely. Columns of any names pass through.
+    right at `least` = 0.8 is found with the probability given at BANDS, a closer one more surely. Columns of any names and types pass through. An empty table stays empty.
     """
     row, near = common.fresh(docs, "row"), common.fresh(docs, "near")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
@@ -153,4 +165,4 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
     roots = common.components(links(features, sets_of, least)).select("node", "root")
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return prints.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
+    return prints.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*common.own(docs))

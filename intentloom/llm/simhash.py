@@ -33,12 +33,17 @@ def fingerprint(words: list[bytes], width: int, seed: int = 42, chunk: int = 100
         starts, ends = starts[:1], ends[-1:]
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(text[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return int(majority(hashes, chunk)[0])
+
+
+def majority(hashes: np.ndarray, chunk: int = 100_000) -> np.ndarray:
+    """The 64-bit SimHash (as an array of one) of 64-bit hashes: bits that are set in over half of them."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), chunk):
         bits = np.unpackbits(hashes[at : at + chunk].view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little")
         for row in range(0, len(bits), 255):  # sums of 255 bits stay in a byte
             counts += bits[row : row + 255].sum(0, dtype=np.uint8)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, text: str, out: str) -> Iterator[pa.RecordBatch]:
@@ -158,7 +163,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = docs.drop("simhash", "component_id")
     prints = common.stored(with_fingerprints(docs, text, "simhash", width), "fingerprints", "zstd")
-    return prints.join(_members(prints, doc_id, max_bits), "simhash").select(*docs.columns, "simhash", "component_id")
+    return prints.join(_members(prints, doc_id, max_bits), "simhash").select(*common.own(docs), "simhash", "component_id")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
@@ -180,12 +185,18 @@ def _rooted(prints: DataFrame, doc_id: str, max_bits: int) -> DataFrame:
     return common.named_components(nodes, roots, "fp", "low").select(F.col("node").alias("simhash"), "root", F.col("name").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of `docs` whose id names their component: one document of each near-duplicate group.
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4, least: float | None = None) -> DataFrame:
+    """One row of `docs` of each near-duplicate group: of fingerprints linked at `max_bits` or fewer bits or, with `least`, of texts connected by
+    a Jaccard similarity of `least` or more of their shingles (see shingles.one_of_each, which has this index propose pairs and finds those that
+    lie too far apart for it).
 
-    Of a group's rows that repeat the naming id one is kept (the smallest by text); a group of null ids keeps one row.
-    Other groups of the same id, or of null ids, keep theirs.
+    Of fingerprints, the row stays whose id names the group; of rows that repeat the naming id one is kept (the smallest by text); a group of null ids keeps one row.
+    Other groups of the same id, or of null ids, keep theirs. Texts without words are alike. Columns of any names and types pass through; an empty table stays empty.
     """
+    if least is not None:
+        from intentloom.llm import shingles
+
+        return shingles.one_of_each(docs, doc_id, text, width, least)
     row, print_ = common.fresh(docs, "row"), common.fresh(docs, "simhash")
     prints = common.stored(with_fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), text, print_, width), "fingerprints", "zstd")
     # Rows are chosen by numbers; whole rows move once, to meet the choice.
@@ -193,7 +204,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     slim = prints.select(order.alias("first"), F.col(doc_id).alias("id"), F.col(print_).alias("simhash"))
     named = slim.join(_rooted(slim, "id", max_bits), "simhash").where(F.col("id").eqNullSafe(F.col("component_id")))
     first = named.groupBy("root").agg(F.min("first").alias("first"))
-    return prints.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
+    return prints.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*common.own(docs))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ def _back(dealt: DataFrame, cells: int) -> DataFrame:
     return found.groupBy("blk").agg(F.collect_list("hashes").alias("known"))
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch], text: str, width: int) -> Iterator[pa.RecordBatch]:
+def _cleaned(batches: Iterator[pa.RecordBatch], text: str, width: int, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for payload, known in zip(batch.column("payload"), batch.column("known"), strict=True):
             block = Block(payload.as_buffer(), text, width)
@@ -224,11 +224,12 @@ def _cleaned(batches: Iterator[pa.RecordBatch], text: str, width: int) -> Iterat
                 words = common.words_of(t)
                 kept.append(b" ".join(compress(words, (~g).tolist()) if g.any() else words))
             removed = np.array([int(g.sum()) for g in gone], np.int64)
-            yield common.with_columns(rows, n_words=pa.array(block.sizes), n_removed=pa.array(removed), kept_text=pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()))
+            columns = pa.array(block.sizes), pa.array(removed), pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string())
+            yield common.with_columns(rows, **dict(zip(names, columns, strict=True)))
 
 
-def without_repeats(docs: DataFrame, text: str = "text", width: int = 35) -> DataFrame:
-    """`docs` with n_words, n_removed and kept_text: every word covered by a window of `width` words
+def without_repeats(docs: DataFrame, text: str = "text", width: int = 35, names: tuple[str, str, str] = ("n_words", "n_removed", "kept_text")) -> DataFrame:
+    """`docs` with n_words, n_removed and kept_text, or three other `names`: every word covered by a window of `width` words
     that also starts anywhere else is removed, windows being judged on the input.
 
     Equal windows hold equal chosen phrases of PHRASE words (the smallest hash of each window). 1. The
@@ -244,7 +245,7 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = 35) -> Dat
     """
     if width < PHRASE:
         raise ValueError(f"a window holds {PHRASE} words at least")
-    docs = docs.drop("n_words", "n_removed", "kept_text")
+    docs = docs.drop(*names)
     blocks = common.blocks_of(docs, text)
     cells = common.partitions_for(blocks.agg(F.sum("bytes")).first()[0] or 0, CELL_BYTES)
     options = {"text": text, "width": width}
@@ -254,8 +255,8 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = 35) -> Dat
     windows = met.select("blk", "payload", "known").mapInArrow(partial(_window_hashes, cells=cells, **options), _DEALT)
     repeated = common.stored(_back(windows, cells), "windows")
     met = blocks.select("blk", "payload").join(repeated, "blk", "left")
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    return met.select("payload", "known").mapInArrow(partial(_cleaned, **options), T.StructType([*docs.schema.fields, *fields]))
+    fields = [T.StructField(n, kind) for n, kind in zip(names, (T.LongType(), T.LongType(), T.StringType()), strict=True)]
+    return met.select("payload", "known").mapInArrow(partial(_cleaned, names=names, **options), T.StructType([*docs.schema.fields, *fields]))
 
 
 def op7_substring(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,17 @@
 """Queries with SQL against it, the pipeline, and both on tables read whole."""
 
+import collections
+import hashlib
+import zlib
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from intentloom.llm import registry
+from intentloom.llm.common import words_of as common_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,4 +49,145 @@ def test_pipeline_stages(spark, tmp_path):
     assert abs(words(mixed) - words(before)) <= 20  # every source within a word of its target
     pieces = docs.collect()
     assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
-    assert corpus_pipeline.run(spark, SF).columns == docs.columns
+
+
+def rows_of(frame):
+    return sorted(repr(tuple(r)) for r in frame.collect())
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Documents with nulls in any column, empty and long texts, ties, repeated rows and clashing names."""
+    long = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t ", "en", "a", 4), (4, "One line.\nAnother line of words here.", "en", "b", 39), (5, long, "de", "a", len(long)),
+        (6, "the same text twice, here it is.", "en", "a", 32), (7, "the same text twice, here it is.", "en", None, 32), (7, "the same text twice, here it is.", "en", None, 32),
+        (None, "no id here, but a sentence.", None, "c", 27), (9, long[:3000] + " and more", "fr", "c", 3009), (10, "\x1cnot a space\x85 \u00e9", "fr", "c", 15),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("quality_score", "N_words", "n_removed", "kept_text", "row", "near", "mix_row", "rank", "slot", "nth", "size", "target", "node", "blk", "component_id")
+    return docs.select("*", *[F.lit(n).alias(n) for n in clash], F.map_from_arrays(F.array(F.lit("k")), F.array("doc_id")).alias("extra"))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, odd_docs, tmp_path, empty):
+    import corpus_pipeline
+
+    docs = odd_docs.limit(0) if empty else odd_docs
+    first = docs.count()
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        own = docs if i in (0, 4) else (odd_docs.limit(0) if empty else odd_docs)  # each stage on all odd rows too
+        out = stage(spark, own, SF)
+        if i < 4:
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        out.write.parquet(str(tmp_path / str(i)))
+        out = spark.read.parquet(str(tmp_path / str(i)))
+        counts = {"near_duplicates": 7, "substrings": 11}
+        if name in counts:
+            assert out.count() == (0 if empty else counts[name]), name
+        assert empty <= (out.count() == 0)
+        if name == "substrings" and not empty:
+            text = {r.doc_id: r.text for r in out.collect()}
+            assert text[1] is None and text[3] == " \n\t " and text[4].startswith("One line.\n") and text[9].endswith("and more") and len(text[9]) < 20
+    assert first == (0 if empty else 11)
+
+
+def test_pieces_of_a_mix_stay_in_its_order(spark, monkeypatch):
+    import corpus_pipeline
+
+    from intentloom.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP", 16)
+    docs = spark.range(0, 400, numPartitions=3).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 300 + cast(id % 7 as int))").alias("text"))
+    rows = packing.pack(docs, corpus_pipeline.TOKENIZER, in_order=True).collect()
+    assert len(rows) == 400 and max(r.offset + r.length for r in rows) <= 4096
+    spans = {}
+    for r in rows:
+        low, high = spans.get(r.sequence_id, (r.doc_id, r.doc_id))
+        spans[r.sequence_id] = min(low, r.doc_id), max(high, r.doc_id)
+    assert max(b - a for a, b in spans.values()) < 32
+
+
+def test_run_equals_the_stages_and_leaves_no_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    from intentloom.llm import common
+
+    before = {t.name for t in spark.catalog.listTables()}
+    with common.scratch(spark):
+        got = rows_of(corpus_pipeline.run(spark, SF).drop("sequence_id", "offset"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+    assert got == rows_of(docs.drop("sequence_id", "offset"))
+
+
+CACHED = {}
+
+
+def query(spark, name, folder=SF):
+    if (name, folder) not in CACHED:
+        CACHED[name, folder] = registry.queries()[name](spark, folder).collect()
+    return CACHED[name, folder]
+
+
+def test_queries_as_registered(spark):
+    """The columns that the queries derive, on the whole table."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    words = {i: common_words(r.text) for i, r in docs.items()}
+    mix = query(spark, "op1_mixing")
+    assert {r.doc_id: r.size for r in mix} == {i: len(w) for i, w in words.items()}
+    shares = collections.defaultdict(int)
+    for r in mix:
+        shares[docs[r.doc_id].source] += r.taken
+    assert all(abs(shares[docs[r.doc_id].source] - r.target) <= 1 and r.taken <= 3 * r.size and (r.taken > 0) == (r.first_slot is not None) for r in mix)
+    langs = query(spark, "op2_langid")
+    assert {r.doc_id: r.held_out for r in langs} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs}
+    right = [r.lang_pred == docs[r.doc_id].lang for r in langs if r.held_out]
+    assert sum(right) / len(right) > 0.9 and all(0 <= r.score <= 1 for r in langs)
+    pieces = query(spark, "op3_packing")
+    assert sorted(r.doc_id for r in pieces if r.start == 0) == sorted(docs)
+    sequences = collections.defaultdict(list)
+    for r in pieces:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
+    gone = query(spark, "op7_substring")
+    counts = collections.Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    for r in gone:
+        w = words[r.doc_id]
+        covered = {j for i in range(len(w) - 34) if counts[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        assert (r.n_words, r.n_removed) == (len(w), len(covered))
+        assert r.kept_sha256 == hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in covered)).hexdigest()
+    vectors = {r.vec_id: r for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    unit = {i: np.array(r.embedding, float) / np.linalg.norm(r.embedding) for i, r in vectors.items() if r.label is not None and r.embedding and np.isfinite(np.array(r.embedding, float)).all() and any(r.embedding)}
+    near = {i: sum(j != i and vectors[i].label == vectors[j].label and unit[i] @ unit[j] >= 0.93 for j in unit) for i in unit}
+    links = {r.vec_id: r.n_links for r in query(spark, "op5_neardup")}
+    assert len(links) == len(vectors) and all(n <= near.get(i, 0) for i, n in links.items()) and sum(links.values()) >= 0.95 * sum(near.values())
+
+
+@pytest.fixture(scope="module")
+def changed(spark, tmp_path_factory):
+    """The tables with other lang, source and labels, and other texts, for held-out documents."""
+    folder = str(tmp_path_factory.mktemp("changed"))
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    hidden = {"op2_langid": crc % 4 == 2, "op4_hmm": crc % 5 == 1, "op8_quality": crc % 5 == 0}
+    for name, held in hidden.items():
+        docs.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang"))).withColumn("source", F.lit("other")).withColumn(
+            "text", F.when(held & (F.col("doc_id") % 2 == 0), F.lit("Something !!! else\n\u00e4\u00f6 || 12")).otherwise(F.col("text"))
+        ).write.parquet(f"{folder}/{name}/documents.parquet")
+        labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("toxic", F.lit(1)).write.parquet(f"{folder}/{name}/labels.parquet")
+    return folder
+
+
+@pytest.mark.parametrize(("name", "columns"), [("op2_langid", ("lang_pred", "score")), ("op4_hmm", ("n_known", "train_tokens", "base_score", "score")), ("op8_quality", ("score", "predicted"))])
+def test_nothing_is_learned_from_what_is_held_out(spark, changed, name, columns):
+    """With other labels and texts of held-out rows, rows whose text stayed get the same results."""
+    same = {r.doc_id: r for r in query(spark, name)}
+    for r in query(spark, name, f"{changed}/{name}"):
+        if not (r.held_out and r.doc_id % 2 == 0):
+            assert all(getattr(r, c) == (pytest.approx(getattr(same[r.doc_id], c), abs=1e-9) if isinstance(getattr(r, c), float) else getattr(same[r.doc_id], c)) for c in columns), r
