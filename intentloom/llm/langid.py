@@ -19,6 +19,8 @@ from intentloom.llm import common
 WINDOW = 256
 #: Filter widths in bytes, and filters of each width.
 WIDTHS, FILTERS = (2, 3, 4), 8
+#: Fewest training steps.
+STEPS = 250
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -96,7 +98,7 @@ class ByteNet:
 
 
 def train(snippets: list[str], labels: list[str], epochs: int = 5, rate: float = 0.01, batch: int = 64, seed: int = 5) -> ByteNet:
-    """Adam on the cross-entropy; each snippet is one window, half of them cut short so that short texts are learned too."""
+    """Adam on the cross-entropy, for STEPS steps at least; each snippet is one window, half of them cut short so that short texts are learned too."""
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
     k = max(1, len(langs))
@@ -116,7 +118,7 @@ def train(snippets: list[str], labels: list[str], epochs: int = 5, rate: float =
     params = [*tables, *bias, dense, dense_bias]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * batch // len(x)))):
         order = rng.permutation(len(x))
         for at in range(0, len(x), batch):
             b, t = x[order[at : at + batch]], y[order[at : at + batch]]
