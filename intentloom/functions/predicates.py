@@ -28,6 +28,11 @@ def steady(c: Column) -> Column:
     return c + (F.rand(1) * 0).cast("int")
 
 
+def held(c: Column) -> Column:
+    """`c` of any type, evaluated once: Spark may not copy it into filters or later projections."""
+    return F.when(F.rand(1) * 0 >= 0, c)
+
+
 def phrase_hits(blob: Column, phrases: Iterable[str]) -> Column:
     """How many of the phrases occur as substrings; each counts once."""
     return reduce(lambda a, b: a + b, [F.contains(blob, F.lit(p.lower())).cast("int") for p in phrases], F.lit(0))
@@ -38,16 +43,41 @@ def any_phrase(blob: Column, phrases: Iterable[str]) -> Column:
 
 
 def phrase_hits_join(frame: DataFrame, key: str, blob: str, lexicon: DataFrame, most: int = 10_000) -> DataFrame:
-    """(key, hits): as phrase_hits, from a lexicon table with a column phrase.
+    """(key, hits): as phrase_hits, from a lexicon table with a column phrase. Keys are distinct; null phrases don't count, a repeated one counts again.
 
-    Substrings have no key to join by. So a table of at most `most` phrases becomes one array that every row is
-    tested against, without a row per pair or a shuffle; a larger one is refused. Null phrases don't count.
+    A table of at most `most` phrases becomes one array that every row is tested against, without a row per pair or a
+    shuffle. A larger one is joined by grams, see _hits_by_gram.
     """
     phrases = [r[0] for r in lexicon.where("phrase is not null").select(F.lower("phrase")).limit(most + 1).collect()]
     if len(phrases) > most:
-        raise ValueError(f"at most {most} phrases can be matched against every row")
-    held = F.array(*map(F.lit, phrases)).cast("array<string>")
-    return frame.select(key, F.size(F.filter(held, lambda p: F.contains(F.col(blob), p))).alias("hits"))
+        return _hits_by_gram(frame.select(key, blob), key, blob, lexicon)
+    known = F.array(*map(F.lit, phrases)).cast("array<string>")
+    return frame.select(key, F.size(F.filter(known, lambda p: F.contains(F.col(blob), p))).alias("hits"))
+
+
+def _grams(text: Column, size: int) -> Column:
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))))
+
+
+def _hits_by_gram(frame: DataFrame, key: str, blob: str, lexicon: DataFrame, size: int = 5) -> DataFrame:
+    """(key, hits) for lexicons of any size: an equality join of texts and phrases by gram.
+
+    A phrase can only stand in a text that has all its grams, so it is met by one of them: that of `size` letters (of the whole phrase, if it is shorter) which the fewest
+    phrases have. Texts send their distinct grams, without the text, and only those that some phrase is met by; what meets is then tested as a whole.
+    """
+    phrases = lexicon.where("phrase is not null").groupBy(F.lower("phrase").alias("phrase")).agg(F.count("*").alias("times"))
+    every = phrases.where("phrase = ''").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("every"))
+    phrases = phrases.where("phrase <> ''").withColumn("n", F.least(F.lit(size), F.length("phrase")))
+    grams = reduce(lambda a, b: a.unionByName(b), [phrases.where(F.col("n") == n).select("phrase", "times", F.explode(_grams(F.col("phrase"), n)).alias("gram")) for n in range(1, size + 1)])
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    chosen = grams.join(often, "gram").groupBy("phrase", "times").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
+    wanted = chosen.select("gram").distinct()
+    sent = frame.select(F.col(key).alias("key_"), F.explode(F.flatten(F.array(*[F.coalesce(_grams(F.col(blob), n), F.array().cast("array<string>")) for n in range(1, size + 1)]))).alias("gram"))
+    met = sent.join(wanted, "gram", "left_semi").join(chosen, "gram").select("key_", "phrase", "times")
+    found = met.join(frame.select(F.col(key).alias("key_"), F.col(blob).alias("blob_")), "key_").where(F.contains("blob_", F.col("phrase")))
+    hits = found.groupBy("key_").agg(F.sum("times").alias("some"))
+    total = F.coalesce("some", F.lit(0)) + F.when(F.col(blob).isNotNull(), F.col("every")).otherwise(0)
+    return frame.join(hits, F.col(key) == F.col("key_"), "left").join(F.broadcast(every)).select(key, total.cast("int").alias("hits"))
 
 
 def listing_gate(blob: Column, phrases: Iterable[str]) -> Column:
@@ -83,9 +113,9 @@ def budget_chat(text: Column) -> Column:
     return text_or_empty(text).rlike(BUDGET_CHAT)
 
 
-def buyer_question(folded: Column, context: Column, buy: Column, budget: Column, nouns: Iterable[str]) -> Column:
+def buyer_question(noun: Column, context: Column, buy: Column, budget: Column) -> Column:
     """A question of a buyer: context, and a buying phrase, a budget or a property noun."""
-    return (F.size(context) > 0) & ((F.size(buy) > 0) | budget | any_phrase(folded, nouns))
+    return (F.size(context) > 0) & ((F.size(buy) > 0) | budget | noun)
 
 
 def quality_gate(blob: Column, published: Column, as_of: Column, lex: WebLexicon) -> Column:

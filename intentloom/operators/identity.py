@@ -35,8 +35,8 @@ def first_wins_dedup(frame: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def ledger_anti_join(frame: DataFrame, ledger: DataFrame, key: str = "lead_id") -> DataFrame:
-    """Rows whose key is not recorded yet."""
-    return frame.join(ledger.select(key).distinct(), key, "left_anti")
+    """Rows whose key is not recorded yet; the ledger may repeat keys."""
+    return frame.join(ledger.select(key), key, "left_anti")
 
 
 def window_cutoff(frame: DataFrame, when: str, as_of: Column, hours: int = 24) -> DataFrame:

@@ -31,17 +31,24 @@ def host_of(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
-def domain_allow_filter(items: DataFrame, domains: DataFrame, url: str = "url") -> DataFrame:
+def domain_allow_filter(items: DataFrame, domains: DataFrame, url: str = "url", by: str | None = None) -> DataFrame:
     """Items whose host is a listed domain or lies under one: a semi join of the host's suffixes with the list.
 
     A host has a handful of suffixes (www.a.example: itself, a.example, example), so the join is by
-    equality whatever the number of domains.
+    equality whatever the number of domains. Distinct hosts are tested, so items move once, and only by their host. With `by`, a column of both
+    tables, an item is held against the domains of its own value there; values without any domain (none, or null ones) are not restricted.
     """
-    keyed = items.withColumn("row_", F.monotonically_increasing_id())
-    labels = F.split(host_of(F.col(url)), r"\.")
+    keys = [by] if by else []
+    found = items.withColumn("host_", host_of(F.col(url)))
+    labels = F.split("host_", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    listed = domains.select(F.lower("domain").alias("suffix_")).distinct()
-    return keyed.withColumn("suffix_", F.explode(F.array_distinct(suffixes))).join(listed, "suffix_", "left_semi").dropDuplicates(["row_"]).drop("row_", "suffix_")
+    listed = domains.where("domain is not null").select(*keys, F.lower("domain").alias("suffix_"))
+    hosts = found.where("host_ is not null").select(*keys, "host_").distinct().withColumn("suffix_", F.explode(F.array_distinct(suffixes)))
+    allowed = hosts.join(listed, [*keys, "suffix_"], "left_semi").select(*keys, "host_")
+    kept = found.join(allowed, [*keys, "host_"], "left_semi")
+    if by:
+        kept = kept.unionByName(found.join(listed.select(by), by, "left_anti"))
+    return kept.select(*items.columns)
 
 
 def domain_allowed(url: Column, domains: list[str]) -> Column:

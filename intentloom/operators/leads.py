@@ -12,14 +12,16 @@ from intentloom.functions import scoring as S
 from intentloom.functions.lexicons import ChatLexicon, WebLexicon
 from intentloom.functions.text import fold_text, group_blob, item_blob, strip_text
 from intentloom.operators.identity import fingerprint, first_wins_dedup, ledger_anti_join, message_key
+from intentloom.session import has_files
 
 WEB_LEAD = ("source", "url", "title", "text", "published", "author", "lead_id", "market", "route_to", "intent_score", "credibility_score", "market_fit_score", "classification", "found_at")
 
 
-def scored_items(items: DataFrame, lex: WebLexicon) -> DataFrame:
+def scored_items(items: DataFrame, lex: WebLexicon, routes: DataFrame | None = None) -> DataFrame:
     """`items` with blob, market, the three scores, classification and route_to.
 
-    All lexicon work happens in one projection, behind a term that keeps later filters from repeating it.
+    All lexicon work happens in one projection, behind a term that keeps later filters from repeating it. Routes come from
+    the table `routes` (market, route_to) if there is one, else from the lexicon.
     """
     blob = F.col("blob")
     signals = items.withColumn("blob", item_blob(F.col("title"), F.col("text"))).withColumns({
@@ -34,10 +36,13 @@ def scored_items(items: DataFrame, lex: WebLexicon) -> DataFrame:
         "market_fit_score": S.market_fit_score(F.col("market"), F.col("budget"), lex.premium),
     })
     label = S.web_label(F.col("intent_score"), F.col("credibility_score"), F.col("market_fit_score"))
-    return scores.withColumn("classification", label).withColumn("route_to", S.route_of(F.col("market"), lex.routes, lex.default_route))
+    labelled = scores.withColumn("classification", label)
+    if routes is not None:
+        return S.route_lookup(labelled, routes, lex.default_route)
+    return labelled.withColumn("route_to", S.route_of(F.col("market"), lex.routes, lex.default_route))
 
 
-def web_leads(items: DataFrame, lex: WebLexicon, found_at: datetime, ledger: DataFrame | None = None, order: Column | None = None, gate: Column | None = None) -> DataFrame:
+def web_leads(items: DataFrame, lex: WebLexicon, found_at: datetime, ledger: DataFrame | None = None, order: Column | None = None, gate: Column | None = None, routes: DataFrame | None = None) -> DataFrame:
     """HOT and WARM items as leads: require a url, drop copies (first wins), gate, score, drop what the ledger has.
 
     Copies are dropped before the gates, so that a gated first copy also hides later ones. `order` is the
@@ -49,28 +54,38 @@ def web_leads(items: DataFrame, lex: WebLexicon, found_at: datetime, ledger: Dat
     kept = kept.withColumn("blob", item_blob(F.col("title"), F.col("text")))
     if gate is not None:
         kept = kept.where(gate)
-    found = scored_items(kept, lex).where(P.label_filter(F.col("classification")))
+    found = scored_items(kept, lex, routes).where(P.label_filter(F.col("classification")))
     if ledger is not None:
         found = ledger_anti_join(found, ledger)
     extra = [c for c in items.columns if c not in WEB_LEAD]
     return found.withColumn("found_at", F.lit(found_at)).select(*WEB_LEAD, *extra)
 
 
-def scored_messages(messages: DataFrame, lex: ChatLexicon, group: str = "group", text: str = "text") -> DataFrame:
-    """`messages` with evidence arrays, budget, negative, priority, market, chat_score and classification."""
+def scored_messages(messages: DataFrame, lex: ChatLexicon, group: str = "group", text: str = "text", priorities: DataFrame | None = None) -> DataFrame:
+    """`messages` with evidence arrays, budget, negative, priority, market, chat_score and classification.
+
+    What is read from the text is held as one value, so that filters on the score or label don't match the patterns again. Priorities come from the
+    table `priorities` (name, priority) if there is one, else from the lexicon.
+    """
     c, folded = F.col, fold_text(F.col(text))
-    found = messages.withColumns(P.chat_matches(c(text), lex)).withColumns({
-        "budget_detected": P.budget_chat(c(text)), "negative_status": P.any_phrase(folded, lex.negative), "group_priority": S.group_priority(c(group), lex.high, lex.medium),
+    told = P.chat_matches(c(text), lex) | {
+        "budget_detected": P.budget_chat(c(text)), "negative_status": P.any_phrase(folded, lex.negative), "noun": P.any_phrase(folded, lex.nouns),
         "market": S.market_argmax(group_blob(c(group), c(text)), lex.gazetteer),
-    })
-    question = P.buyer_question(folded, c("context_matches"), c("buy_matches"), c("budget_detected"), lex.nouns)
-    found = found.withColumn("buyer_question", question)
+    }
+    found = messages.withColumn("told_", P.held(F.struct(*[v.alias(k) for k, v in told.items()])))
+    found = found.select(*messages.columns, *[c(f"told_.{k}").alias(k) for k in told])
+    if priorities is not None:
+        found = S.group_priority_join(found, group, priorities)
+    else:
+        found = found.withColumn("group_priority", S.group_priority(c(group), lex.high, lex.medium))
+    question = P.buyer_question(c("noun"), c("context_matches"), c("buy_matches"), c("budget_detected"))
+    found = found.withColumn("buyer_question", question).drop("noun")
     evidence = [c(f"{k}_matches") for k in ("buy", "weak", "sell", "rent", "context")]
     found = found.withColumn("chat_score", S.chat_score(*evidence, c("budget_detected"), c("negative_status"), c("group_priority")))
     return found.withColumn("classification", S.chat_label(c("chat_score"), c("buy_matches"), c("sell_matches"), c("rent_matches"), c("buyer_question"), c("negative_status"), c("group_priority")))
 
 
-def chat_leads(messages: DataFrame, lex: ChatLexicon, found_at: datetime, tag: str = "chat", base: str = "https://chat.example/", ledger: DataFrame | None = None) -> DataFrame:
+def chat_leads(messages: DataFrame, lex: ChatLexicon, found_at: datetime, tag: str = "chat", base: str = "https://chat.example/", ledger: DataFrame | None = None, priorities: DataFrame | None = None) -> DataFrame:
     """HOT and WARM messages as leads of 22 columns.
 
     messages: group_id, group, group_username, message_id, text, date, sender (username, first_name, last_name).
@@ -79,7 +94,7 @@ def chat_leads(messages: DataFrame, lex: ChatLexicon, found_at: datetime, tag: s
     c = F.col
     kept = messages.where((F.length(F.coalesce("text", F.lit(""))) > 0) & c("date").isNotNull())
     kept = first_wins_dedup(kept.withColumn("lead_id", message_key(tag, c("group_id"), c("message_id"))), "lead_id", F.struct("date", "text"))
-    found = scored_messages(kept, lex).where(P.label_filter(c("classification")))
+    found = scored_messages(kept, lex, priorities=priorities).where(P.label_filter(c("classification")))
     if ledger is not None:
         found = ledger_anti_join(found, ledger)
     return found.select(
@@ -119,16 +134,13 @@ def lead_sink(leads: DataFrame, path: str, run_id: str) -> DataFrame:
     A run that is repeated under its id finds its keys stored and adds nothing.
     """
     spark = leads.sparkSession
-    try:
-        have = spark.read.parquet(path)
-    except Exception as e:  # the store starts with the first run
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        have = None
+    have = spark.read.parquet(path) if has_files(spark, path) else None  # the store starts with the first run
     fresh = first_wins_dedup(leads, "lead_id", F.struct("lead_id"))
     fresh = fresh if have is None else ledger_anti_join(fresh, have)
-    fresh.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
-    return spark.read.parquet(path).where(F.col("run_id") == run_id)
+    fresh = fresh.withColumn("run_id", F.lit(run_id))
+    fresh.write.mode("append").partitionBy("run_id").parquet(path)
+    # With its schema, as a store without leads has no file to tell it.
+    return spark.read.schema(fresh.schema).parquet(path).where(F.col("run_id") == run_id)
 
 
 def scan_log_sink(summary: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ from intentloom.functions import predicates as P
 from intentloom.functions.lexicons import ChatLexicon, WebLexicon
 from intentloom.operators import leads as L
 from intentloom.operators import summary
-from intentloom.operators.identity import arrival, window_cutoff
+from intentloom.operators.identity import arrival, latest_n_per_group, window_cutoff
+from intentloom.operators.intake import bridge_query_select, domain_allow_filter, groups_only, require_fields
 
 
 @dataclass
@@ -25,31 +27,60 @@ class Run:
     record: DataFrame
 
 
-def web_pass(search: DataFrame, news: DataFrame, lex: WebLexicon, as_of: datetime, ledger: DataFrame | None = None) -> DataFrame:
+def web_pass(search: DataFrame, news: DataFrame, lex: WebLexicon, as_of: datetime, ledger: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame:
     """Leads of both sources in one plan: copies are dropped across them in arrival order, and only search hits are gated."""
     both = search.withColumn("source_ord", F.lit(0)).unionByName(news.withColumn("source_ord", F.lit(1)), allowMissingColumns=True)
     order = arrival(F.col("query_idx"), F.col("source_ord"), F.col("pos"))
     gate = (F.col("source_ord") == 1) | P.quality_gate(F.col("blob"), F.col("published"), F.lit(as_of), lex)
-    return L.web_leads(both, lex, as_of, ledger=ledger, order=order, gate=gate)
+    return L.web_leads(both, lex, as_of, ledger=ledger, order=order, gate=gate, routes=routes)
 
 
-def scan(search: DataFrame, news: DataFrame, messages: DataFrame, lex: WebLexicon, chat: ChatLexicon, started: datetime, completed: datetime, queries: int, store: str, log: str, hours: int = 24) -> Run:
+def recent_messages(messages: DataFrame, as_of: datetime, hours: int = 24, per_group: int = 500, groups: DataFrame | None = None) -> DataFrame:
+    """What a scan reads of each group: of its newest `per_group` messages, empty ones counted, those with text and date of the last `hours`.
+
+    With `groups` (group_id, is_group) only messages of real groups are read.
+    """
+    if groups is not None:
+        messages = messages.join(groups_only(groups).select("group_id"), "group_id", "left_semi")
+    newest = latest_n_per_group(messages, "group_id", [F.col("date").desc_nulls_last(), F.col("message_id").desc()], per_group)
+    return window_cutoff(require_fields(newest, "text", "date"), "date", F.lit(as_of), hours)
+
+
+def scan(
+    search: DataFrame, news: DataFrame, messages: DataFrame, lex: WebLexicon, chat: ChatLexicon, started: datetime, completed: datetime, queries: int, store: str, log: str, hours: int = 24, *,
+    per_group: int = 500, domains: DataFrame | None = None, groups: DataFrame | None = None, priorities: DataFrame | None = None, routes: DataFrame | None = None, failures: DataFrame | None = None,
+) -> Run:
     """Runs both passes against the stores under `store` (web and chat leads) and writes the record to `log`.
 
-    Leads are appended if their key is new; a run that is repeated under its start second finds them stored under its
-    own id and returns them. Alerts are the first ten new web leads in arrival order, else one digest.
+    Search hits are held to the domains of their query (`domains`: query_idx, domain), news are those of bridge queries, and of each group the newest
+    messages are read. Leads are appended if their key is new; a run that is repeated under its start second finds them stored under its
+    own id and returns them. Alerts are the first ten new web leads in arrival order, else one digest. `priorities` and `routes` are tables in place of the
+    lexicons' lists. The record counts all groups met, messages with text and date in the window, and `failures` (source, errors) of
+    the sources; a chat pass that fails is told by chat_status "error" with counts of 0, and the run goes on.
     """
-    run_id = started.strftime("%Y%m%dT%H%M%SZ")
-    web = L.lead_sink(web_pass(search, news, lex, started), f"{store}/web", run_id)
-    recent = window_cutoff(messages, "date", F.lit(started), hours)
-    found = L.lead_sink(L.chat_leads(recent, chat, started), f"{store}/chat", run_id)
+    run_id, spark = started.strftime("%Y%m%dT%H%M%SZ"), messages.sparkSession
+    if domains is not None:
+        search = domain_allow_filter(search, domains, by="query_idx")
+    news = bridge_query_select(news, queries, "query_idx")
+    web = L.lead_sink(web_pass(search, news, lex, started, routes=routes), f"{store}/web", run_id)
+    counts, status = "chat_groups long, chat_messages_scanned long", "completed"
+    try:
+        recent = recent_messages(messages, started, hours, per_group, groups)
+        found = L.lead_sink(L.chat_leads(recent, chat, started, priorities=priorities), f"{store}/chat", run_id)
+        met = groups_only(groups).agg(F.count("*").alias("chat_groups")) if groups is not None else messages.agg(F.count_distinct("group_id").alias("chat_groups"))
+        chats = spark.createDataFrame([(met.first()[0], recent.count())], counts)
+    except PySparkException:
+        status, chats = "error", spark.createDataFrame([(0, 0)], counts)
+        found = spark.createDataFrame([], "lead_id string")
     first = L.alert_top_k(web, [F.ceil(F.col("query_idx") / 10), "source_ord", "query_idx", "pos"])
     items = search.select("source", "url", "title", "author").unionByName(news.select("source", "url", "title", "author"))
     alerts = first.select(L.alert_message().alias("message")).unionByName(L.empty_digest(web, queries, items))
-    sources = summary.source_counts(items).unionByName(found.agg(F.lit("Chat").alias("source"), F.count("*").alias("n")))
-    chats = recent.agg(F.count_distinct("group_id").alias("chat_groups"), F.count("*").alias("chat_messages_scanned"))
+    raw = summary.source_counts(items)
+    sources = raw.unionByName(found.agg(F.lit("Chat").alias("source"), F.count("*").alias("n")))
+    none = raw.select("source", F.lit(0).cast("long").alias("errors"))
+    failed = none if failures is None else none.unionByName(failures.select("source", F.col("errors").cast("long").alias("errors")))
     record = summary.scan_summary(
-        started, completed, queries, unique=summary.unique_results(items), new=summary.new_lead_counts(web), chat=chats,
+        started, completed, queries, status, unique=summary.unique_results(items), new=summary.new_lead_counts(web), failed=summary.failure_counts(failed), chat=chats,
         chat_new=found.agg(F.count("*").alias("chat_new_hot_warm")), sources=summary.counts_map(sources.withColumnRenamed("n", "source_counts"), "source", "source_counts"),
     )
     L.scan_log_sink(record, log)

@@ -35,12 +35,19 @@ def error_counts(frame: DataFrame, source: str, failed: Column) -> DataFrame:
     return frame.groupBy(source).agg(F.count_if(failed).alias("errors"))
 
 
+def failure_counts(failures: DataFrame, source: str = "source", errors: str = "errors") -> DataFrame:
+    """One row from failures per source: errors (their sum) and source_errors (a map; one entry per source)."""
+    total = failures.agg(F.coalesce(F.sum(errors), F.lit(0)).cast("long").alias("errors"))
+    per = failures.groupBy(source).agg(F.sum(errors).cast("long").alias("source_errors"))
+    return total.withColumn("k_", F.lit(1)).join(counts_map(per, source, "source_errors").withColumn("k_", F.lit(1)), "k_").drop("k_")
+
+
 def counts_map(counts: DataFrame, key: str, value: str) -> DataFrame:
     """Counts per key as one map, keys in order; one entry per source."""
     return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce(key, F.lit("")), value)))).alias(value))
 
 
-def scan_summary(started: datetime, completed: datetime, queries: int, **parts: DataFrame) -> DataFrame:
+def scan_summary(started: datetime, completed: datetime, queries: int, chat_status: str = "completed", **parts: DataFrame) -> DataFrame:
     """One row for the run: each part is a frame of one row, whose columns are put side by side."""
     out = None
     for part in parts.values():
@@ -48,5 +55,5 @@ def scan_summary(started: datetime, completed: datetime, queries: int, **parts:
         out = part if out is None else out.join(part, "one_")
     return out.drop("one_").select(
         F.lit(started.strftime("%Y%m%dT%H%M%SZ")).alias("scan_id"), F.lit("completed").alias("status"), F.lit(started).alias("started_at"),
-        F.lit(completed).alias("completed_at"), F.lit(queries).alias("queries"), "*",
+        F.lit(completed).alias("completed_at"), F.lit(queries).alias("queries"), "*", F.lit(chat_status).alias("chat_status"),
     )

@@ -42,10 +42,11 @@ def g5(spark, d):
     docs, found = B.items(spark, d), web.all_leads(spark, d)
     parts = {
         "unique": summary.unique_results(docs), "new": summary.new_lead_counts(found), "chat": g4(spark, d),
+        "failed": summary.failure_counts(g6(spark, d), "event_type"),
         "sources": summary.counts_map(summary.source_counts(docs).withColumnRenamed("n", "source_counts"), "source", "source_counts"),
     }
     done = summary.scan_summary(B.AS_OF, datetime(2024, 1, 31, 0, 5), 33, **parts)
-    return done.select("scan_id", "status", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "queries", "unique_results", "new_hot_warm", "chat_groups", "chat_messages", "chat_leads", F.to_json("source_counts").alias("source_counts"))
+    return done.select("scan_id", "status", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "queries", "unique_results", "new_hot_warm", "chat_groups", "chat_messages", "chat_leads", F.to_json("source_counts").alias("source_counts"), "errors", F.to_json("source_errors").alias("source_errors"), "chat_status")
 
 
 def g6(spark, d):
@@ -63,7 +64,10 @@ def _run(spark, d):
     )
     search = B.items(spark, d).withColumn("url", F.col("text")).drop("doc_id")
     folder = work_folder(spark, "run")
-    return run.scan(search, news, B.messages(spark, d), LEX, PROSE_CHAT, datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 12, 5), 33, f"{folder}/store", f"{folder}/log")
+    failures = spark.createDataFrame([("news", 2), ("feed", 1)], "source string, errors long")
+    return run.scan(
+        search, news, B.messages(spark, d), LEX, PROSE_CHAT, datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 12, 5), 33, f"{folder}/store", f"{folder}/log", per_group=5, failures=failures
+    )
 
 
 def r1(spark, d):
@@ -71,7 +75,7 @@ def r1(spark, d):
 
 
 def r2(spark, d):
-    return _run(spark, d).record.select("scan_id", "unique_results", "new_hot_warm", "chat_messages_scanned", "chat_new_hot_warm")
+    return _run(spark, d).record.select("scan_id", "unique_results", "new_hot_warm", "chat_groups", "chat_messages_scanned", "chat_new_hot_warm", "errors", F.col("source_errors")["news"].alias("news_errors"), "chat_status")
 
 
 def h1(spark, d):
@@ -129,11 +133,14 @@ _RUN = f"""with items as (select source, text as url, '' as title, text, '' as a
   union all select 'news', text, '', text, '', 1, 10, item_id, null, lower(' ' || text) from benchmark), {web.LABELLED_SQL.split("from documents),", 1)[1]},
   leads as (select * from (select *, row_number() over (partition by lead_id order by ceil(query_idx / 10.0), so, query_idx, pos) as nth from labelled where url <> '')
     where nth = 1 and (so = 1 or ({web._GATE})) and classification in ('HOT', 'WARM'))"""
-_RECENT = f"(with {chat.LABELLED_SQL} select * from labelled where 1704067200 + group_id * 60 + message_id >= 1704067200 - 43200)"
+# Of each group the newest 5 messages, empty ones counted; of these the ones with text, of the last day.
+_RECENT = f"""(with {chat.LABELLED_SQL} select * from (select *, row_number() over (partition by group_id order by message_id desc) as back from labelled)
+  where back <= 5 and text <> '' and 1704067200 + group_id * 60 + message_id >= 1704067200 - 43200)"""
 SQL = {
     "r1_scan_leads": _RUN + " select source, lead_id, market, route_to, intent_score, classification from leads",
     "r2_scan_record": _RUN + f""" select '20240101T120000Z' as scan_id, (select count(distinct lead_id) from labelled where url <> '') as unique_results, (select count(*) from leads) as new_hot_warm,
-  count(*) as chat_messages_scanned, count(*) filter (where classification in ('HOT', 'WARM')) as chat_new_hot_warm from {_RECENT}""",
+  (select count(distinct conv_id) from conversations) as chat_groups, count(*) as chat_messages_scanned, count(*) filter (where classification in ('HOT', 'WARM')) as chat_new_hot_warm,
+  3 as errors, 2 as news_errors, 'completed' as chat_status from {_RECENT}""",
     "f5_lead_sink": _WEB + " select doc_id, lead_id, case when doc_id % 2 = 0 then 'run1' else 'run2' end as run_id from leads",
     "f6_scan_log_sink": _WEB + " select '20240131T000000Z' as scan_id, 'completed' as status, 33 as queries, count(*) as new_hot_warm from leads",
     "g1_source_counts": "select source, count(*) as n from documents group by source",
@@ -142,7 +149,10 @@ SQL = {
     "g4_chat_counts": f"select g as chat_groups, m as chat_messages, l as chat_leads from {_CHAT}",
     "g5_scan_summary": _WEB + f""" select '20240131T000000Z' as scan_id, 'completed' as status, '{B.FOUND_AT}' as started_at, 33 as queries, (select count(*) from documents) as unique_results,
   (select count(*) from leads) as new_hot_warm, g as chat_groups, m as chat_messages, l as chat_leads,
-  '{{' || (select string_agg('"' || source || '":' || n, ',' order by source) from (select source, count(*) as n from documents group by source)) || '}}' as source_counts from {_CHAT}""",
+  '{{' || (select string_agg('"' || source || '":' || n, ',' order by source) from (select source, count(*) as n from documents group by source)) || '}}' as source_counts,
+  (select count(*) from events where event_id % 7 = 0) as errors,
+  '{{' || (select string_agg('"' || event_type || '":' || n, ',' order by event_type) from (select event_type, count(*) filter (where event_id % 7 = 0) as n from events group by event_type)) || '}}' as source_errors,
+  'completed' as chat_status from {_CHAT}""",
     "g6_error_counts": "select event_type, count(*) filter (where event_id % 7 = 0) as errors from events group by event_type",
     "h1_stream_score": _WEB + " select doc_id, intent_score, classification from leads",
     "h2_stream_dedup": "select distinct user_id, event_type from events",

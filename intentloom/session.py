@@ -17,6 +17,17 @@ def build_session(app: str = "intentloom", **conf: str) -> SparkSession:
 
 
 def work_folder(spark: SparkSession, what: str) -> str:
-    """A new folder for tables and checkpoints: in the cluster's shared checkpoint folder, or a temporary one where none is set."""
+    """A new folder for tables and checkpoints: in the cluster's shared checkpoint folder, or a temporary one where none is set and the master is local."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/{what}-{uuid.uuid4().hex}"
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    return f"{shared}/{what}-{uuid.uuid4().hex}"
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written at `path`, in whatever store that is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and any(not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(place))

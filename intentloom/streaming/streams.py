@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intentloom.operators.identity import first_wins_dedup, ledger_anti_join
+from intentloom.session import has_files
 
 
 def read_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -48,17 +49,14 @@ def stream_ledger(stream: DataFrame, path: str, checkpoint: str, key: str = "lea
     def insert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = first_wins_dedup(batch, key, F.struct(key))
-        try:
-            have = spark.read.parquet(path).where(F.col("batch_id") != batch_id)
-            fresh = ledger_anti_join(fresh, have, key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        if has_files(spark, path):
+            fresh = ledger_anti_join(fresh, spark.read.parquet(path).where(F.col("batch_id") != batch_id), key)
         fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_score(items: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The batch scoring of items, applied to a stream of them."""
-    return score(items)
+def stream_score(items: DataFrame, score: Callable[[DataFrame], DataFrame], keys: list[str] | None = None, when: str = "ts", horizon: str = "24 hours") -> DataFrame:
+    """The batch scoring of items, applied to a stream of them. With `keys`, only the first item of each key within the
+    horizon is scored: copies go before the scoring, as they do in a batch."""
+    return score(stream_dedup(items, keys, when, horizon) if keys else items)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from intentloom.functions import predicates as P
 from intentloom.functions import scoring as S
-from intentloom.functions.lexicons import ChatLexicon, Pattern, WebLexicon, words
+from intentloom.functions.lexicons import PROSE_CHAT, ChatLexicon, Pattern, WebLexicon, words
 from intentloom.functions.text import fold_text, item_blob, strip_text
 from intentloom.operators import identity, intake, leads, summary
 from intentloom.schemas import ITEMS
@@ -152,6 +152,19 @@ def test_domains(spark):
     found = intake.domain_allow_filter(pages, spark.createDataFrame([("A.example",), ("a.example",)], "domain string"))
     assert sorted(r.url for r in found.collect()) == ["http://a.example/x", "http://b.a.example/"]
     assert pages.where(intake.domain_allowed(F.col("url"), ["a.example"])).count() == 2
+    hits = spark.createDataFrame([(1, "http://a.example/1"), (1, "http://b.example/"), (2, "http://b.example/"), (3, "http://c.example/"), (3, None), (1, "http://a.example/1")], "query_idx int, url string")
+    allowed = spark.createDataFrame([(1, "a.example"), (2, "a.example"), (2, "b.example"), (3, None)], "query_idx int, domain string")
+    assert sorted((r.query_idx, r.url or "") for r in intake.domain_allow_filter(hits, allowed, by="query_idx").collect()) == [(1, "http://a.example/1"), (1, "http://a.example/1"), (2, "http://b.example/"), (3, ""), (3, "http://c.example/")]
+
+
+def test_lexicons_beyond_the_array(spark):
+    phrases = ["", "a", "the ", "the cat", "cat", "cat", None, "straße nach", "zz", "eee", "ee"]
+    texts = ["the cat sat", "THE CAT".lower(), "", None, "straße nach", "eeee", "aa"]
+    rows, lexicon = spark.createDataFrame(list(enumerate(texts)), "k int, t string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    want = {i: sum(p in t for p in phrases if p is not None) if t is not None else 0 for i, t in enumerate(texts)}
+    for most in (100, 3):
+        got = {r.k: r.hits for r in P.phrase_hits_join(rows, "k", "t", lexicon, most).collect()}
+        assert {i: max(0, n) for i, n in got.items()} == want
 
 
 def test_bridge_queries(spark):
@@ -201,6 +214,9 @@ def test_plans(spark):
     assert capped.count("WindowGroupLimit") == 2
     scored = leads.scored_items(items(spark, "a"), LEX).where("intent_hits > 0")
     assert plan(scored).count("want to buy") == 1
+    found = leads.chat_leads(messages(spark, "a"), PROSE_CHAT, NOW)
+    patterns = sum(len(getattr(PROSE_CHAT, k)) for k in ("buy", "weak", "sell", "rent", "context"))
+    assert patterns == 16 and found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == patterns
 
 
 def test_blob_keeps_its_space(spark):
@@ -214,12 +230,38 @@ def test_a_run_and_its_repeat(spark, tmp_path):
     lex = WebLexicon(intent=("want to buy", "buy", "to buy", "want"), timeframe=("2026",), pronoun=("i ",), gazetteer=LEX.gazetteer, personal=("i want",))
     good = "i want to buy 2026 alpha " + "y" * 460
     search = items(spark, good, "nothing", good + " z")
-    news = items(spark, "to buy 2026 beta, i say " + "y" * 460, source="n").withColumn("url", F.lit("n0"))
-    go = lambda when: run.scan(search, news, messages(spark, "buy where 200k"), lex, CHAT, when, when, 3, str(tmp_path / "s"), str(tmp_path / "l"))
+    news = items(spark, "to buy 2026 beta, i say " + "y" * 460, source="n", query_idx=7).withColumn("url", F.lit("n0"))
+    go = lambda when: run.scan(search, news, messages(spark, "buy where 200k"), lex, CHAT, when, when, 10, str(tmp_path / "s"), str(tmp_path / "l"))
     one_, again, later = go(NOW), go(NOW), go(datetime(2026, 1, 31, 1))
     assert (one_.web.count(), one_.chat.count(), one_.alerts.count()) == (3, 1, 3)
     assert (again.web.count(), again.chat.count()) == (3, 1)
     assert (later.web.count(), later.chat.count(), later.alerts.count()) == (0, 0, 1)
     record = one(one_.record)
     assert (record.unique_results, record.new_hot_warm, record.source_counts) == (4, 3, {"Chat": 1, "n": 1, "s": 3})
+    assert (record.errors, record.source_errors, record.chat_status, record.chat_groups, record.chat_messages_scanned) == (0, {"n": 0, "s": 0}, "completed", 1, 1)
     assert spark.read.parquet(str(tmp_path / "l")).count() == 2
+
+
+def test_what_a_scan_reads_and_counts(spark, tmp_path):
+    from intentloom.operators import run
+
+    text = ["buy where 200k"] * 3 + [None, ""] * 249 + ["buy where 200k"]  # the newest 500 of 502 messages
+    chat = messages(spark, *text).withColumn("date", F.expr("date - make_interval(0, 0, 0, 0, 0, 0, 600 - message_id)"))
+    chat = chat.unionByName(chat.limit(1).withColumn("group_id", F.lit(2).cast("long")).withColumn("date", F.lit(None).cast("timestamp")))
+    chat = chat.unionByName(chat.limit(1).withColumn("group_id", F.lit(3).cast("long")))
+    groups = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True)], "group_id long, is_group boolean")
+    assert sorted(r.message_id for r in run.recent_messages(chat, NOW, groups=groups).collect()) == [2, 501]
+    assert run.recent_messages(chat, NOW, per_group=1000, groups=groups).count() == 4 and run.recent_messages(chat, NOW).count() == 3
+    search = items(spark, "x").withColumn("url", F.lit("http://a.example/")).unionByName(items(spark, "y").withColumn("url", F.lit("http://b.example/")))
+    news = items(spark, "n", "m", source="news", query_idx=11)
+    more = {
+        "groups": groups, "domains": spark.createDataFrame([(1, "a.example")], "query_idx int, domain string"), "failures": spark.createDataFrame([("s", 2), ("feed", 1)], "source string, errors int"),
+        "priorities": spark.createDataFrame([("club", "MEDIUM")], "name string, priority string"), "routes": spark.createDataFrame([("first", "Way")], "market string, route_to string"),
+    }
+    found = run.scan(search, news, chat, LEX, CHAT, NOW, NOW, 13, str(tmp_path / "s"), str(tmp_path / "l"), **more)
+    r = one(found.record)
+    assert (r.chat_groups, r.chat_messages_scanned, r.errors, r.source_errors, r.source_counts, r.unique_results) == (3, 2, 3, {"feed": 1, "s": 2}, {"Chat": 2, "s": 1}, 1)
+    assert {x.group_priority for x in found.chat.collect()} == {"MEDIUM"}
+    broken = run.scan(search, news, chat.drop("date"), LEX, CHAT, NOW, NOW, 13, str(tmp_path / "s2"), str(tmp_path / "l2"))
+    r = one(broken.record)
+    assert (r.chat_status, r.chat_groups, r.chat_messages_scanned, r.chat_new_hot_warm) == ("error", 0, 0, 0)
