@@ -278,11 +278,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     def cell(rows: int) -> Column:
         return F.pmod(F.xxhash64("key", "a", "b"), F.lit(common.partitions_for(rows, CELL))).alias("cell")
 
+    def close_of(part):
+        return _close(part, index.radius)
+
+    def links_of(part):
+        return _linked(part, cosine, index)
+
     entries = entries.select(cell(largest[1] * index.tables + more), "key", "a", "b", "side", "tbl", "node", "signs")
-    close = entries.groupBy("cell").applyInPandas(partial(_close, radius=index.radius), "key long, a int, b int, side int, tbl int, node long")
+    close = entries.groupBy("cell").applyInPandas(close_of, "key long, a int, b int, side int, tbl int, node long")
     close = common.stored(close, "close")
     met = close.select(cell(close.count()), "*").join(signed.drop("d"), "node")
-    found = common.stored(met.groupBy("cell").applyInPandas(partial(_linked, cosine=cosine, index=index), "node long, links long, root long"), "links")
+    found = common.stored(met.groupBy("cell").applyInPandas(links_of, "node long, links long, root long"), "links")
     roots = common.components(found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = common.named_components(nodes, roots, "node", "low").select("node", F.col("name").alias("component_id"))

@@ -305,7 +305,11 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         slim = slim.join(parts.withColumn("before", before), "part").withColumn("grp", F.col("before") + F.least(place, F.col("groups") - 1)).drop("part", "groups", "before")
     else:
         slim = slim.withColumn("grp", F.pmod(F.xxhash64("piece"), F.lit(common.partitions_for(cut.count(), GROUP))))
-    placed = slim.groupBy("grp").applyInPandas(partial(_packed, capacity=capacity), "piece long, sequence_id long, offset long")
+
+    def packed(group):
+        return _packed(group, capacity)
+
+    placed = slim.groupBy("grp").applyInPandas(packed, "piece long, sequence_id long, offset long")
     return cut.join(placed, "piece").drop("piece")
 
 
