@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +34,24 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
+def lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def normalised(text: Column) -> Column:
     """A-Z lower-cased, every run of other characters than a-z and 0-9 one space, trimmed."""
-    return F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(lower(text), "[^a-z0-9]+", " "))
+
+
+def needed_words(grams: list[str], least: float) -> set[str]:
+    """Words of which every text that reaches `least` against a template has one.
+
+    The text's bigrams and the template's share at least least / (2 - least) of the template's, so any choice of more bigrams than may be missing
+    has one that is shared, and of each of these its longer word will do. Of the choices the one with the longest words is taken.
+    """
+    missing = len(grams) - math.ceil(len(grams) * least / (2 - least) - 1e-9)
+    longer = sorted((max(g.split(), key=lambda w: (len(w), w)) for g in grams), key=lambda w: (-len(w), w))
+    return set(longer[: missing + 1])
 
 
 def hits(text: Column, templates: dict[str, str] = TEMPLATES, least: float = 0.8, unit: str = "line") -> Column:
@@ -46,6 +63,7 @@ def hits(text: Column, templates: dict[str, str] = TEMPLATES, least: float = 0.8
     a unit is compared only with templates of such a size, and units with too few or
     too many words for any template are dropped before their bigrams are made. (A unit of w words has w - 1
     bigrams at most; repeats lower that, so only the lower bound prunes on words.)
+    Before that, texts without any of a few words that all matches have one of (see needed_words) are passed by.
     A null text has a null result, an empty one an empty array; a unit of one word matches nothing.
     """
     if not templates or not 0 < least <= 1:
@@ -58,6 +76,7 @@ def hits(text: Column, templates: dict[str, str] = TEMPLATES, least: float = 0.8
         low, high = math.ceil(len(grams) * least / (2 - least) - 1e-9), math.floor(len(grams) * (2 - least) / least + 1e-9)
         known.append((name, grams, low, high))
     fewest = min(k[2] for k in known)
+    marks = [F.contains(lower(text), F.lit(w)) for w in sorted({w for _, grams, *_ in known for w in needed_words(grams, least)})]
     units = F.transform(F.split(text, UNITS[unit], -1), lambda s, i: F.struct((i + 1).alias("at"), normalised(s).alias("norm")))
     units = F.filter(units, lambda u: F.length(u["norm"]) - F.length(F.replace(u["norm"], F.lit(" "), F.lit(""))) >= fewest)
 
@@ -77,7 +96,9 @@ def hits(text: Column, templates: dict[str, str] = TEMPLATES, least: float = 0.8
     most = max(k[3] for k in known)
     with_grams = F.transform(units, lambda u: F.struct(u["at"].alias("at"), bigrams(u["norm"]).alias("grams")))
     fitting = F.filter(with_grams, lambda u: F.size(u["grams"]).between(fewest, most))
-    return F.flatten(F.transform(fitting, scored))
+    found = F.flatten(F.transform(fitting, scored))
+    none = F.array().cast("array<struct<at:int,licence:string,dice:double>>")
+    return F.when(text.isNull(), F.lit(None)).when(reduce(or_, marks), found).otherwise(none)
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, least: float = 0.8, unit: str = "line") -> DataFrame:

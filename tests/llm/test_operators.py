@@ -693,4 +693,5 @@ def test_size_bounds_lose_nothing(words):
     for t in licences.TEMPLATES.values():
         other = set(licences.template_bigrams(t))
         if grams and 2 * len(grams & other) / (len(grams) + len(other)) >= 0.8:
+            assert licences.needed_words(licences.template_bigrams(t), 0.8) & set(words)
             assert math.ceil(len(other) * 0.8 / 1.2 - 1e-9) <= len(grams) <= math.floor(len(other) * 1.2 / 0.8 + 1e-9)
