@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache, partial
 
@@ -57,6 +57,16 @@ def kept(df: DataFrame, what: str) -> str:
     return path
 
 
+def outcome(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What `make` returns as a stored table; tables that it stored on the way are dropped."""
+    with scratch(spark):
+        made = make()
+        path, schema = kept(made, what), made.schema
+        del made
+    _STORED[spark.sparkContext.applicationId].append((path, ""))
+    return spark.read.schema(schema).parquet(path)
+
+
 def drop(spark: SparkSession, path: str, name: str = "") -> None:
     """Deletes a table's files, and its entry in the catalogue if it has a name."""
     if name:
@@ -79,6 +89,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path, name in made[before:]:
             drop(spark, path, name)
         del made[before:]
+        spark._jvm.java.lang.System.gc()  # Spark deletes shuffles when the plans that made them are collected
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -158,28 +158,24 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars", slot: str = "", **options) -> DataFrame:
-    """The mix as documents: a row for every time that the mix takes a row of `docs`, with its columns, in the order of the schedule.
+    """The mix as documents: a row for every time that the mix takes a row of `docs`, with its columns, in every partition in the order of the schedule.
 
-    Rows lie in stretches of the schedule, each in its order in one partition; with a name for `slot`, a column of that name at the end has the slot at which each row
+    Rows are dealt to partitions by hash, so each partition is a thinner mix of its own; with a name for `slot`, a column of that name at the end has the slot at which each row
     starts. Taken whole, a document stays as it is; the one at which its source stops is cut after the words taken, joined by
     one space, and `chars`, if there is such a column, counts what is left. Documents without words (null, empty, white space) are never taken.
     Repeated rows are taken each. Columns of any names pass through, maps too. An empty table, or one without words, gives no rows.
     """
     columns, mine = docs.columns, common.own(docs)
     row, cut, length, at = (common.fresh(docs, n) for n in ("mix_row", "mix_cut", "mix_length", "mix_slot"))
-    spark = docs.sparkSession
     docs = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "mixed", "zstd")
     rows, pieces = takes(docs, text=text, row=row, **options)
     taken = pieces.groupBy("rank", "nth", "epoch").agg(F.sum("length").alias(length), F.min("slot").alias(at))
     taken = rows.select("rank", "nth", row, "size").join(taken, ["rank", "nth"]).select(row, at, length, (F.col(length) < F.col("size")).alias(cut))
-    taken = common.stored(taken, "taken")
     words = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({common.WORD})"), 1), F.lit(1), F.col(length).cast("int")), " ")
     out = docs.join(taken, row).withColumn(text, F.when(F.col(cut), words).otherwise(F.col(text)))
     if chars in columns:
         out = out.withColumn(chars, F.when(F.col(cut), F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
-    slots = (taken.agg(F.max(at)).first()[0] or 0) + 1
-    stretch = max(1, min(8192, slots // (8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    out = out.repartition(F.expr(f"{at} div {stretch}")).sortWithinPartitions(at, row)
+    out = out.sortWithinPartitions(at, row)
     return out.select(*mine, *([F.col(at).alias(slot)] if slot else []))
 
 

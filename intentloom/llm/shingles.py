@@ -152,17 +152,22 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     schema = T.StructType([*numbered.schema.fields, T.StructField(near, _FEATURES)])
     prints = common.stored(numbered.mapInArrow(partial(_shingled, width=width, text=text, out=near), schema), "shingled", "zstd")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), common.row_hash(docs).alias("row_hash"), F.col(row).alias("row"))
-    nodes = common.stored(prints.select(F.col(near)["node"].alias("node"), order.alias("first")).groupBy("node").agg(F.min("first").alias("first")), "nodes")
-    chosen = nodes.select("node", F.col("first.row").alias("row"))
-    features = prints.select(F.col(row).alias("row"), *[F.col(near)[n].alias(n) for n in _FEATURES.names if n != "node"])
-    features = common.stored(features.join(chosen, "row").select(*_FEATURES.names), "features")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        rows = common.stored(chosen.join(wanted, "node", "left_semi"), "wanted")
+        rows = common.stored(wanted.join(chosen, "node"), "wanted")
         few = rows.count() <= BROADCAST_ROWS
         texts = prints.select(F.col(row).alias("row"), F.col(text).alias("text")).join(F.broadcast(rows) if few else rows, "row")
         return texts.select("node", "text").mapInArrow(partial(_sets, width=width, text="text"), "node long, shingles binary")
 
-    roots = common.components(links(features, sets_of, least)).select("node", "root")
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return prints.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").select(*common.own(docs))
+    nodes = common.stored(prints.select(F.col(near)["node"].alias("node"), order.alias("first")).groupBy("node").agg(F.min("first").alias("first")), "nodes")
+    chosen = nodes.select("node", F.col("first.row").alias("row"))
+
+    def survivors() -> DataFrame:
+        features = prints.select(F.col(row).alias("row"), *[F.col(near)[n].alias(n) for n in _FEATURES.names if n != "node"])
+        features = common.stored(features.join(chosen, "row").select(*_FEATURES.names), "features")
+        edges = common.outcome(docs.sparkSession, lambda: links(features, sets_of, least), "near")
+        roots = common.components(edges)
+        first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+        return first.select(F.col("first.row").alias(row))
+
+    return prints.join(common.outcome(docs.sparkSession, survivors, "survivors"), row, "left_semi").select(*common.own(docs))
