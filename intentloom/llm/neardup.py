@@ -18,7 +18,9 @@ from intentloom.llm import common
 from intentloom.llm.topk import usable
 
 #: Vectors of each dimension that rotations are learned from, entries of a table's bucket above which it is split, entries of a task's group, pairs verified at once.
-SAMPLE, SPLIT, CELL, PAIRS = 4096, 512, 15_000, 40_000
+SAMPLE, SPLIT, CELL, PAIRS = 4096, 512, 15_000, 100_000
+#: Signs of a vector at least, those of its keys included; entries in a task's group before vectors are fetched.
+SIGNS, SHORT_CELL = 128, 250_000
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 25) -> np.ndarray:
@@ -45,29 +47,47 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class HammingTables:
-    """Per dimension of vectors the rotations and the thresholds of their components; table t's key are signs t * bits to (t + 1) * bits. Pairs at
-    the threshold of similarity differ in at most `radius` of all signs, by far."""
+    """Per dimension of vectors the rotations and the thresholds of their components, `length` of them; table t's key are signs t * bits to (t + 1) * bits.
+    Pairs at the threshold of similarity differ in at most `radius` of all signs, by far."""
 
     rotations: dict[int, tuple[np.ndarray, np.ndarray]]
     bits: int
     tables: int
     radius: int
 
+    @property
+    def length(self) -> int:
+        return max(SIGNS, self.bits * self.tables)
+
+    @property
+    def names(self) -> list[str]:
+        """Columns of packed signs, 64 in each."""
+        return [f"s{i}" for i in range(-(-self.length // 64))]
+
     def signs(self, x: np.ndarray) -> np.ndarray:
-        """Signs (n, tables * bits) of unit vectors of one dimension."""
+        """Signs (n, length) of unit vectors of one dimension."""
         rotation, threshold = self.rotations[x.shape[1]]
         return x @ rotation >= threshold
 
     def codes(self, signs: np.ndarray) -> np.ndarray:
         """Keys (n, tables)."""
-        return signs.reshape(len(signs), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return signs[:, : self.tables * self.bits].reshape(len(signs), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+
+    def packed(self, signs: np.ndarray) -> np.ndarray:
+        raw = np.zeros((len(signs), 8 * len(self.names)), np.uint8)
+        short = np.packbits(signs, axis=1)
+        raw[:, : short.shape[1]] = short
+        return raw.view("<i8")
+
+    def unpacked(self, columns: list[np.ndarray]) -> np.ndarray:
+        return np.unpackbits(np.stack(columns, 1).astype("<i8").view(np.uint8), axis=1, count=self.length)
 
 
 def tables_for(largest: int, cosine: float, recall: float) -> tuple[int, int]:
-    """Bits of a key and number of tables: keys that spread the largest label over buckets of a few
+    """Bits of a key and number of tables: keys that spread the largest label over buckets of some dozens of
     vectors, and so many tables that a pair at the threshold shares one with probability `recall`, if its signs differ
     with probability angle / pi each. What is learned is measured and given more tables if it needs them."""
-    bits = min(24, max(4, math.ceil(math.log2(max(2, largest))) - 2))
+    bits = min(32, max(4, math.ceil(math.log2(max(2, largest))) - 6))
     same = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
@@ -96,13 +116,13 @@ def learn(vectors: DataFrame, largest: int, cosine: float, recall: float, sample
         index, short = HammingTables({}, bits, tables, 0), []
         for d, x in by_size.items():
             moved = x - x.mean(0) if centred[d] else x
-            rotation = np.concatenate([learn_rotation(moved, seed) for seed in range(-(-bits * tables // d))], 1)[:, : bits * tables]
-            index.rotations[d] = rotation, np.median(x @ rotation, 0) if centred[d] else np.zeros(bits * tables)
+            rotation = np.concatenate([learn_rotation(moved, seed) for seed in range(-(-index.length // d))], 1)[:, : index.length]
+            index.rotations[d] = rotation, np.median(x @ rotation, 0) if centred[d] else np.zeros(index.length)
             a, b = (index.signs(v) for v in pairs[d])
             if centred[d] and (index.codes(a) == index.codes(b)).any(1).mean() < recall:
                 short.append(d)
             apart = (a != b).sum(1)
-            index.radius = max(index.radius, math.ceil(max(apart.max(), apart.mean() + 6 * apart.std(), bits * tables * (math.acos(cosine) / math.pi + 0.1))))
+            index.radius = max(index.radius, math.ceil(max(apart.max(), apart.mean() + 6 * apart.std(), index.length * (math.acos(cosine) / math.pi + 0.1))))
         if not short:
             return index
         if tables >= most:
@@ -121,18 +141,15 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _signs(batches: Iterator[pa.RecordBatch], index: HammingTables) -> Iterator[pa.RecordBatch]:
-    """Nodes with their packed signs."""
+    """Nodes with their packed signs in place of their vectors."""
     for batch in batches:
-        signs = np.empty(batch.num_rows, object)
+        packed, size = np.empty((batch.num_rows, len(index.names)), "<i8"), np.empty(batch.num_rows, np.int32)
         for at, x in _matrices(batch.column("embedding")):
+            size[at] = x.shape[1]
             for i in range(0, len(at), 1000):
-                for k, row in zip(at[i : i + 1000].tolist(), np.packbits(index.signs(unit(x[i : i + 1000])), axis=1), strict=True):
-                    signs[k] = row.tobytes()
-        yield common.with_columns(batch, signs=pa.array(signs.tolist(), pa.binary()))
-
-
-def _unpacked(signs: list[bytes], index: HammingTables) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), -1), axis=1, count=index.tables * index.bits)
+                packed[at[i : i + 1000]] = index.packed(index.signs(unit(x[i : i + 1000])))
+        arrays = [batch.column("node"), batch.column("label"), pa.array(size), *[pa.array(np.ascontiguousarray(c)) for c in packed.T]]
+        yield pa.RecordBatch.from_arrays(arrays, names=["node", "label", "d", *index.names])
 
 
 def _entries(batches: Iterator[pa.RecordBatch], index: HammingTables, full: bool) -> Iterator[pa.RecordBatch]:
@@ -141,12 +158,12 @@ def _entries(batches: Iterator[pa.RecordBatch], index: HammingTables, full: bool
         for begin in range(0, batch.num_rows, 5000):
             part = batch.slice(begin, 5000)
             label, d = part.column("label").to_numpy(), part.column("d").to_numpy()
-            codes = index.codes(_unpacked(part.column("signs").to_pylist(), index))
+            codes = index.codes(index.unpacked([part.column(n).to_numpy() for n in index.names]))
             keys = _mix(codes + (np.arange(index.tables) << 40), label[:, None], d[:, None])
             columns = {"key": pa.array(keys.ravel())}
             if full:
-                row = pa.array(np.repeat(np.arange(len(codes)), index.tables))
-                columns |= {"tbl": pa.array(np.tile(np.arange(index.tables, dtype=np.int32), len(codes))), "node": part.column("node").take(row), "signs": part.column("signs").take(row)}
+                columns["tbl"] = pa.array(np.tile(np.arange(index.tables, dtype=np.int32), len(codes)))
+                columns |= {n: pa.array(np.repeat(part.column(n).to_numpy(), index.tables)) for n in ("node", *index.names)}
             yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
 
@@ -168,10 +185,9 @@ def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return low
 
 
-def _runs(cell: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs to compare in a group of bucket parts (sorted by key, a and b), PAIRS or so at a time: within an undivided part all pairs, between two parts those across."""
-    key, a, b, side = (cell[c].to_numpy(np.int64) for c in ("key", "a", "b", "side"))
-    n = len(cell)
+def _runs(key: np.ndarray, a: np.ndarray, b: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs to compare in a group of bucket parts (in the order of key, a and b), PAIRS or so at a time: within an undivided part all pairs, between two parts those across."""
+    n = len(key)
     first = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [n]))
     later = np.repeat(first[1:], np.diff(first)) - np.arange(n) - 1  # entries after each in its run
     sums, at = np.cumsum(later), 0
@@ -185,28 +201,28 @@ def _runs(cell: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield i[fit], j[fit]
 
 
-_PART = ["key", "a", "b", "node"]
+_PART = ["key", "a", "b", "side", "tbl", "node"]
 
 
-def _close(cell: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """The entries that have another one of their bucket part within `radius` of all signs."""
-    cell = cell.sort_values(_PART, kind="stable").reset_index(drop=True)
-    raw = np.frombuffer(b"".join(cell["signs"]), np.uint8).reshape(len(cell), -1)
-    signs = np.zeros((len(cell), -(-raw.shape[1] // 8) * 8), np.uint8)
-    signs[:, : raw.shape[1]] = raw
-    signs, keep = signs.view(np.uint64), np.zeros(len(cell), bool)
-    for i, j in _runs(cell):
-        fit = np.bitwise_count(signs[i] ^ signs[j]).sum(1) <= radius
+def _close(cell: pa.Table, index: HammingTables) -> pa.Table:
+    """The entries that have another one of their bucket part within the radius of all signs."""
+    part = {n: cell.column(n).to_numpy() for n in _PART}
+    order = np.lexsort((part["node"], part["b"], part["a"], part["key"]))
+    part = {n: v[order] for n, v in part.items()}
+    signs = np.stack([cell.column(n).to_numpy()[order] for n in index.names], 1).view(np.uint64)
+    keep = np.zeros(len(order), bool)
+    for i, j in _runs(*[part[n] for n in ("key", "a", "b", "side")]):
+        fit = np.bitwise_count(signs[i] ^ signs[j]).sum(1) <= index.radius
         keep[i[fit]] = keep[j[fit]] = True
-    return cell.loc[keep, ["key", "a", "b", "side", "tbl", "node"]]
+    return cell.take(pa.array(order[keep])).select([*_PART, *index.names])
 
 
 def _linked(cell: pd.DataFrame, cosine: float, index: HammingTables) -> pd.DataFrame:
     """Links of a group of bucket parts: per vector its linked vectors (links) and edges that connect what links connect."""
-    cell = cell.sort_values(_PART, kind="stable").reset_index(drop=True)
+    cell = cell.sort_values(["key", "a", "b", "node"], kind="stable").reset_index(drop=True)
     label, tbl = cell["label"].to_numpy(np.int64), cell["tbl"].to_numpy(np.int64)
     node, place = np.unique(cell["node"].to_numpy(np.int64), return_inverse=True)
-    codes = index.codes(_unpacked(cell["signs"].tolist(), index))
+    codes = index.codes(index.unpacked([cell[n].to_numpy(np.int64) for n in index.names]))
     size = cell["embedding"].map(len).to_numpy()
     x = np.zeros((len(cell), int(size.max())))
     for d in np.unique(size):
@@ -214,7 +230,7 @@ def _linked(cell: pd.DataFrame, cosine: float, index: HammingTables) -> pd.DataF
         x[at, :d] = unit(np.stack(cell["embedding"].to_numpy()[at]).astype(np.float64))
     copies = cell["copies"].to_numpy(np.float64)
     links, edges = np.zeros(len(node)), []
-    for i, j in _runs(cell):
+    for i, j in _runs(*[cell[n].to_numpy(np.int64) for n in ("key", "a", "b", "side")]):
         fit = (label[i] == label[j]) & (size[i] == size[j])
         i, j = i[fit], j[fit]
         # A pair belongs to the first table that its codes share.
@@ -256,45 +272,47 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
     fit = F.col("label").isNotNull() & usable(F.col("embedding"))
     marked = vectors.withColumn("fit", F.when(fit, most > 0).otherwise(F.lit(False)))
     alone = marked.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = marked.where("fit").drop("fit")
-    nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    # Equal vectors have equal pairs of hashes; with these, what is found goes back to rows without their vectors.
+    hashes = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7), "embedding", F.lit(7)).alias("h2")]
+    good = marked.where("fit").select("vec_id", "label", *hashes)
+    nodes = marked.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
     nodes = common.stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     largest = nodes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
     if not largest[0]:
         return alone
     index = learn(nodes, largest[0], cosine, recall)
-    signed = nodes.select("label", "node", "copies", "embedding", F.size("embedding").alias("d"))
-    signed = common.stored(signed.mapInArrow(partial(_signs, index=index), T.StructType([*signed.schema.fields, T.StructField("signs", T.BinaryType())])), "signs")
-    short = signed.select("label", "node", "d", "signs")
-    counts = short.mapInArrow(partial(_entries, index=index, full=False), "key long").groupBy("key").count()
+    words = ", ".join(f"{n} long" for n in index.names)
+    signed = nodes.select("label", "node", "embedding").mapInArrow(partial(_signs, index=index), f"node long, label long, d int, {words}")
+    signed = common.stored(signed, "signs")
+    counts = signed.mapInArrow(partial(_entries, index=index, full=False), "key long").groupBy("key").count()
     hot = common.stored(counts.where(F.col("count") > SPLIT).select("key", F.ceil(F.col("count") / SPLIT).cast("int").alias("parts")), "hot")
     more = hot.agg(F.sum(F.col("parts") * F.col("parts") * SPLIT)).first()[0] or 0
-    entries = short.mapInArrow(partial(_entries, index=index, full=True), "key long, tbl int, node long, signs binary")
+    entries = signed.mapInArrow(partial(_entries, index=index, full=True), f"key long, tbl int, node long, {words}")
     entries = entries.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     entries = entries.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     entries = entries.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     entries = entries.withColumn("a", F.least("side", "other")).withColumn("b", F.greatest("side", "other"))
 
-    def cell(rows: int) -> Column:
-        return F.pmod(F.xxhash64("key", "a", "b"), F.lit(common.partitions_for(rows, CELL))).alias("cell")
+    def cell(rows: int, each: int) -> Column:
+        return F.pmod(F.xxhash64("key", "a", "b"), F.lit(common.partitions_for(rows, each))).alias("cell")
 
-    def close_of(part):
-        return _close(part, index.radius)
+    def close_of(part: pa.Table) -> pa.Table:
+        return _close(part, index)
 
     def links_of(part):
         return _linked(part, cosine, index)
 
-    entries = entries.select(cell(largest[1] * index.tables + more), "key", "a", "b", "side", "tbl", "node", "signs")
-    close = entries.groupBy("cell").applyInPandas(close_of, "key long, a int, b int, side int, tbl int, node long")
+    entries = entries.select(cell(largest[1] * index.tables + more, SHORT_CELL), *_PART, *index.names)
+    close = entries.groupBy("cell").applyInArrow(close_of, f"key long, a int, b int, side int, tbl int, node long, {words}")
     close = common.stored(close, "close")
-    met = close.select(cell(close.count()), "*").join(signed.drop("d"), "node")
+    met = close.select(cell(close.count(), CELL), "*").join(nodes.select("node", "label", "copies", "embedding"), "node")
     found = common.stored(met.groupBy("cell").applyInPandas(links_of, "node long, links long, root long"), "links")
     roots = common.components(found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = common.named_components(nodes, roots, "node", "low").select("node", F.col("name").alias("component_id"))
-    full = nodes.join(degree, "node", "left").join(named, "node")
-    full = full.select("label", "embedding", (F.coalesce(F.col("links"), F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = good.join(full, ["label", "embedding"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = nodes.select("node", "label", "copies", *hashes).join(degree, "node", "left").join(named, "node")
+    full = full.select("label", "h1", "h2", (F.coalesce(F.col("links"), F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = good.join(full, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return out.unionByName(alone)
 
 
