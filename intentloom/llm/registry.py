@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from intentloom.llm import hmm, langid, licences, merkle, mixing, neardup, packing, quality, simhash, substring, topk
+from intentloom.llm import hmm, langid, licences, merkle, mixing, neardup, packing, quality, simhash, substring, topk, vectorcodes
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_licences": licences.op10_licences,
         "op11_merkle": merkle.op11_merkle,
+        "op12_vectorcodes": vectorcodes.op12_vectorcodes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.OP6_SQL, "op10_licences": licences.op10_sql(), "op11_merkle": merkle.op11_sql()}
+    return {"op6_topk": topk.OP6_SQL, "op10_licences": licences.op10_sql(), "op11_merkle": merkle.op11_sql(), "op12_vectorcodes": vectorcodes.op12_sql()}
