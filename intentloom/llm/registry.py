@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from intentloom.llm import hmm, langid, licences, merkle, mixing, neardup, packing, quality, simhash, substring, topk, vectorcodes
+from intentloom.llm import hmm, langid, licences, merkle, mixing, neardup, packing, quality, simhash, substring, topk, toxicity, vectorcodes
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_licences": licences.op10_licences,
         "op11_merkle": merkle.op11_merkle,
         "op12_vectorcodes": vectorcodes.op12_vectorcodes,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
