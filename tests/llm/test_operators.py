@@ -659,7 +659,9 @@ def test_parity_maps_lose_nothing():
     pool = rng.integers(0, 1 << 63, 900).astype(np.uint64)
     for _ in range(200):
         x, y = (np.unique(rng.choice(pool, rng.integers(1, 600))) for _ in range(2))
-        mx, my = (shingles._features(s)[2].view(np.uint64) for s in (x, y))
+        (_, nx, _, mx, _), (_, ny, _, my, _) = (shingles._features(s) for s in (x, y))
+        assert (nx, ny) == (len(x), len(y))
+        mx, my = mx.view(np.uint64), my.view(np.uint64)
         assert sum(int(d).bit_count() for d in mx ^ my) <= len(np.setxor1d(x, y))
 
 

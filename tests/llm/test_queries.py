@@ -175,16 +175,16 @@ def changed(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("changed"))
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    hidden = {"op2_langid": crc % 4 == 2, "op4_hmm": crc % 5 == 1, "op8_quality": crc % 5 == 0}
+    hidden = {"op2_langid": crc % 4 == 2, "op4_hmm": crc % 5 == 1, "op8_quality": crc % 5 == 0, "op13_toxicity": crc % 4 == 2}
     for name, held in hidden.items():
         docs.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang"))).withColumn("source", F.lit("other")).withColumn(
             "text", F.when(held & (F.col("doc_id") % 2 == 0), F.lit("Something !!! else\n\u00e4\u00f6 || 12")).otherwise(F.col("text"))
         ).write.parquet(f"{folder}/{name}/documents.parquet")
-        labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("toxic", F.lit(1)).write.parquet(f"{folder}/{name}/labels.parquet")
+        labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))).withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")) if name == "op13_toxicity" else F.lit(1)).write.parquet(f"{folder}/{name}/labels.parquet")
     return folder
 
 
-@pytest.mark.parametrize(("name", "columns"), [("op2_langid", ("lang_pred", "score")), ("op4_hmm", ("n_known", "train_tokens", "base_score", "score")), ("op8_quality", ("score", "predicted"))])
+@pytest.mark.parametrize(("name", "columns"), [("op2_langid", ("lang_pred", "score")), ("op4_hmm", ("n_known", "train_tokens", "base_score", "score")), ("op8_quality", ("score", "predicted")), ("op13_toxicity", ("score", "predicted"))])
 def test_nothing_is_learned_from_what_is_held_out(spark, changed, name, columns):
     """With other labels and texts of held-out rows, rows whose text stayed get the same results."""
     same = {r.doc_id: r for r in query(spark, name)}
