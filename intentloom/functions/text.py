@@ -39,9 +39,3 @@ def group_blob(group: Column, text: Column) -> Column:
 def epoch_normalise(c: Column) -> Column:
     """A timestamp without zone as an instant; sessions of this library run in UTC."""
     return c.cast("timestamp")
-
-
-def element_text(html: Column) -> Column:
-    """Text of a markup fragment: scripts, styles, comments and tags dropped, the pieces joined by single spaces."""
-    plain = F.regexp_replace(text_or_empty(html), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>", " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))

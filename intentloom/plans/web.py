@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from intentloom.functions import predicates as P
 from intentloom.functions import scoring as S
 from intentloom.functions.lexicons import PROSE_WEB as LEX
-from intentloom.functions.text import element_text, epoch_normalise, fold_text, item_blob
+from intentloom.functions.markup import NAMES, element_text
+from intentloom.functions.text import epoch_normalise, fold_text, item_blob
 from intentloom.operators import identity, leads
 from intentloom.plans import bindings as B
 
@@ -158,8 +159,19 @@ def _leads(columns: str) -> str:
     return f"with {LABELLED_SQL} select {columns} from labelled where classification in ('HOT', 'WARM')"
 
 
+def _element_text_sql() -> str:
+    """Tags go one kind after the other; references are tokens of their own that meet the table of names by a join."""
+    names = ", ".join(f"({B.quoted(n)}, {B.quoted(c)})" for n, c in NAMES.items())
+    return rf"""with names(name, c) as (values {names}),
+plain as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs') as t from pages),
+cut as (select page_id, unnest(regexp_extract_all(t, '&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;|&|[^&]+')) as tok, generate_subscripts(regexp_extract_all(t, '&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;|&|[^&]+'), 1) as i from plain),
+read as (select page_id, i, case when tok like '&#x%' or tok like '&#X%' then chr(cast('0x' || regexp_extract(tok, '[0-9a-fA-F]+', 0) as integer)) when tok like '&#%' then chr(cast(regexp_extract(tok, '[0-9]+', 0) as integer))
+  else coalesce(c, tok) end as tok from cut left join names on tok = '&' || name)
+select page_id, trim(regexp_replace(coalesce(string_agg(tok, '' order by i), ''), '\s+', ' ', 'g')) as text from plain left join read using (page_id) group by page_id"""
+
+
 SQL = {
-    "a9_element_text": r"""select page_id, trim(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as text from pages""",
+    "a9_element_text": _element_text_sql(),
     "b1_item_blob": _ITEMS + "select doc_id, blob from items",
     "b2_fold_text": f"select doc_id, {B.folded_sql('text')} as folded from documents",
     "b5_epoch_normalise": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as utc from events",
