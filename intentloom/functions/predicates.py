@@ -6,6 +6,7 @@ from being evaluated a second time when a filter on them is pushed below their p
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from functools import reduce
 from operator import and_, or_
@@ -42,42 +43,87 @@ def any_phrase(blob: Column, phrases: Iterable[str]) -> Column:
     return reduce(or_, [F.contains(blob, F.lit(p.lower())) for p in phrases], F.lit(False))
 
 
-def phrase_hits_join(frame: DataFrame, key: str, blob: str, lexicon: DataFrame, most: int = 10_000) -> DataFrame:
-    """(key, hits): as phrase_hits, from a lexicon table with a column phrase. Keys are distinct; null phrases don't count, a repeated one counts again.
-
-    A table of at most `most` phrases becomes one array that every row is tested against, without a row per pair or a
-    shuffle. A larger one is joined by grams, see _hits_by_gram.
-    """
-    phrases = [r[0] for r in lexicon.where("phrase is not null").select(F.lower("phrase")).limit(most + 1).collect()]
-    if len(phrases) > most:
-        return _hits_by_gram(frame.select(key, blob), key, blob, lexicon)
-    known = F.array(*map(F.lit, phrases)).cast("array<string>")
-    return frame.select(key, F.size(F.filter(known, lambda p: F.contains(F.col(blob), p))).alias("hits"))
-
+#: 64-bit words of the bitmap of gram hashes, letters of the longest gram.
+BITMAP_WORDS, GRAM = 1 << 14, 5
 
-def _grams(text: Column, size: int) -> Column:
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))))
 
+def phrase_hits_join(frame: DataFrame, key: str, blob: str, lexicon: DataFrame, most: int = 10_000) -> DataFrame:
+    """(key, hits): as phrase_hits, from a lexicon table with a column phrase. Keys are distinct, one may be null; null phrases don't count, a repeated one counts again.
 
-def _hits_by_gram(frame: DataFrame, key: str, blob: str, lexicon: DataFrame, size: int = 5) -> DataFrame:
-    """(key, hits) for lexicons of any size: an equality join of texts and phrases by gram.
-
-    A phrase can only stand in a text that has all its grams, so it is met by one of them: that of `size` letters (of the whole phrase, if it is shorter) which the fewest
-    phrases have. Texts send their distinct grams, without the text, and only those that some phrase is met by; what meets is then tested as a whole.
+    A table of at most `most` phrases becomes one array that every row is tested against, without a row per pair or a
+    shuffle. A larger one is joined by grams, see phrase_matches. Either way gives the same.
     """
     phrases = lexicon.where("phrase is not null").groupBy(F.lower("phrase").alias("phrase")).agg(F.count("*").alias("times"))
-    every = phrases.where("phrase = ''").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("every"))
-    phrases = phrases.where("phrase <> ''").withColumn("n", F.least(F.lit(size), F.length("phrase")))
-    grams = reduce(lambda a, b: a.unionByName(b), [phrases.where(F.col("n") == n).select("phrase", "times", F.explode(_grams(F.col("phrase"), n)).alias("gram")) for n in range(1, size + 1)])
-    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
-    chosen = grams.join(often, "gram").groupBy("phrase", "times").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
-    wanted = chosen.select("gram").distinct()
-    sent = frame.select(F.col(key).alias("key_"), F.explode(F.flatten(F.array(*[F.coalesce(_grams(F.col(blob), n), F.array().cast("array<string>")) for n in range(1, size + 1)]))).alias("gram"))
-    met = sent.join(wanted, "gram", "left_semi").join(chosen, "gram").select("key_", "phrase", "times")
-    found = met.join(frame.select(F.col(key).alias("key_"), F.col(blob).alias("blob_")), "key_").where(F.contains("blob_", F.col("phrase")))
-    hits = found.groupBy("key_").agg(F.sum("times").alias("some"))
-    total = F.coalesce("some", F.lit(0)) + F.when(F.col(blob).isNotNull(), F.col("every")).otherwise(0)
-    return frame.join(hits, F.col(key) == F.col("key_"), "left").join(F.broadcast(every)).select(key, total.cast("int").alias("hits"))
+    found = phrase_matches(frame, key, blob, phrases, most)
+    if isinstance(found, Column):
+        each = [r[0] for r in phrases.select("times").distinct().collect()]
+        if each in ([], [1]):
+            return frame.select(key, F.coalesce(F.size(found), F.lit(0)).alias("hits"))
+        found = frame.select(F.col(key).alias("key_"), F.explode(found).alias("phrase"))
+    hits = found.join(phrases, "phrase").groupBy("key_").agg(F.sum("times").alias("some"))
+    return frame.join(hits, F.col(key).eqNullSafe(F.col("key_")), "left").select(key, F.coalesce("some", F.lit(0)).cast("int").alias("hits"))
+
+
+def phrase_matches(frame: DataFrame, key: str, blob: str, phrases: DataFrame, most: int = 10_000) -> Column | DataFrame:
+    """Which of the distinct, non-null `phrases` (column phrase, taken as they are) occur in each row's blob.
+
+    Up to `most` phrases: an array column for `frame`. More: a table (key_, phrase), by an equality join of texts and phrases by gram. A phrase
+    can only stand in a text that has all its grams, so it is met by one of them: that of GRAM letters (of the whole phrase, if it is shorter) which the fewest
+    phrases have. Texts make grams of the lengths in use only, test each against a bitmap of fixed size of the hashes of those that some phrase
+    is met by, and send the few that pass, without the text; what meets is then tested as a whole. Null blobs match nothing, the empty phrase all others.
+    """
+    known = [r[0] for r in phrases.select("phrase").limit(most + 1).collect()]
+    if len(known) <= most:
+        return F.filter(F.array(*map(F.lit, known)).cast("array<string>"), lambda p: F.contains(F.col(blob), p))
+    text, whole = F.col("blob_"), frame.select(F.col(key).alias("key_"), F.col(blob).alias("blob_"))
+    chosen = chosen_grams(phrases.where("phrase <> ''").select("phrase"))
+    met = sent_grams(whole, chosen).join(chosen, "gram").select("key_", "phrase")
+    # Keys are equal, or null in both.
+    same = met.select(F.col("key_").alias("of_"), "phrase").join(whole, F.col("of_").eqNullSafe(F.col("key_")))
+    found = same.where(F.contains(text, F.col("phrase"))).select("key_", "phrase")
+    if phrases.where("phrase = ''").limit(1).count():
+        found = found.unionByName(whole.where(text.isNotNull()).select("key_", F.lit("").alias("phrase")))
+    return found
+
+
+def chosen_grams(phrases: DataFrame) -> DataFrame:
+    """(phrase, gram, n): the gram of n letters that each phrase is met by."""
+    sized = phrases.withColumn("n", F.least(F.lit(GRAM), F.length("phrase")))
+    each = sized.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("phrase") - F.col("n") + 1), lambda i: F.substr("phrase", i, F.col("n"))))))
+    often = each.groupBy("gram").agg(F.count("*").alias("often"))
+    return each.join(often, "gram").groupBy("phrase", "n").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
+
+
+def _place(gram: Column) -> Column:
+    return F.xxhash64(gram).bitwiseAND(64 * BITMAP_WORDS - 1)
+
+
+def gram_bitmap(chosen: DataFrame) -> list[int]:
+    """A bit for the hash of each chosen gram; what reaches the driver is at most the bitmap."""
+    words = chosen.select(F.shiftright(_place(F.col("gram")), 6).alias("w"), F.expr("shiftleft(1L, cast(xxhash64(gram) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = [0] * BITMAP_WORDS
+    for w, bits in words.collect():
+        out[w] = bits
+    return out
+
+
+def sent_grams(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(key_, gram) of `texts` (key_, blob_): the distinct grams of each text whose hash is in the bitmap of the chosen ones."""
+    lengths = sorted(r[0] for r in chosen.select("n").distinct().collect())
+    bitmap = F.from_json(F.lit(json.dumps(gram_bitmap(chosen))), "array<bigint>")  # one constant, folded once
+
+    def marked(gram: Column) -> Column:
+        at = _place(gram)
+        # The bit is tested in the word's own arithmetic: shifted to the lowest place.
+        return F.call_function("shiftrightunsigned", F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    def grams(letters: Column) -> Column:
+        of = lambda n: F.transform(letters, lambda c, i: F.concat(c, *[F.get(letters, i + k) for k in range(1, n)]))  # noqa: E731  null past the end
+        return F.flatten(F.array(*[F.filter(of(n), lambda g: g.isNotNull() & marked(g)) for n in lengths]))
+
+    # The letters are an array of one element to the outer step, so that they are cut once a text.
+    found = F.flatten(F.transform(F.array(F.split("blob_", "")), grams)) if lengths else F.array().cast("array<string>")
+    return texts.where("blob_ is not null").select("key_", F.explode(F.array_distinct(found)).alias("gram"))
 
 
 def listing_gate(blob: Column, phrases: Iterable[str]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intentloom.functions.predicates import any_phrase
+from intentloom.functions.predicates import any_phrase, phrase_matches
 from intentloom.functions.text import fold_text, text_or_empty
 
 Gazetteer = Sequence[tuple[str, Sequence[str]]]
@@ -23,6 +23,39 @@ def market_first_match(blob: Column, gazetteer: Gazetteer) -> Column:
     return F.coalesce(*found, F.lit("unknown"))
 
 
+def _matched_terms(frame: DataFrame, key: str, blob: str, gazetteer: DataFrame, term: Column, most: int) -> DataFrame:
+    """(key_, market, market_ord), a row per row of `gazetteer` whose term occurs."""
+    terms = gazetteer.select("market", "market_ord", term.alias("phrase")).where("phrase is not null")
+    found = phrase_matches(frame, key, blob, terms.select("phrase").distinct(), most)
+    if isinstance(found, Column):
+        found = frame.select(F.col(key).alias("key_"), F.explode(found).alias("phrase"))
+    return found.join(terms, "phrase").select("key_", "market", "market_ord")
+
+
+def _with_market(frame: DataFrame, key: str, best: DataFrame) -> DataFrame:
+    out = frame.join(best, F.col(key).eqNullSafe(F.col("key_")), "left").drop("key_")
+    return out.withColumn("market", F.coalesce("market", F.lit("unknown")))
+
+
+def market_first_match_join(frame: DataFrame, key: str, blob: str, gazetteer: DataFrame, most: int = 10_000) -> DataFrame:
+    """`frame` with market as market_first_match gives it, from a table (market, market_ord, term) of any size: of the markets whose terms occur the one of least market_ord.
+
+    Terms are matched as in phrase_matches; a match is a row of two names, combined before the shuffle. Keys are distinct, one may be null. A column market is replaced.
+    """
+    frame = frame.drop("market")
+    found = _matched_terms(frame, key, blob, gazetteer, F.lower("term"), most)
+    return _with_market(frame, key, found.groupBy("key_").agg(F.min_by("market", F.struct("market_ord", "market")).alias("market")))
+
+
+def market_argmax_join(frame: DataFrame, key: str, blob: str, gazetteer: DataFrame, most: int = 10_000) -> DataFrame:
+    """`frame` with market as market_argmax gives it, from a table (market, market_ord, term) of any size: the market with most of its terms present, of equals that of
+    the least market_ord. Terms are compared as they are, repeated ones count again; else as market_first_match_join."""
+    frame = frame.drop("market")
+    votes = _matched_terms(frame, key, blob, gazetteer, F.col("term"), most).groupBy("key_", "market").agg(F.count("*").alias("n"), F.min("market_ord").alias("ord"))
+    best = votes.groupBy("key_").agg(F.max_by("market", F.struct("n", (-F.col("ord")).alias("ord"))).alias("market"))
+    return _with_market(frame, key, best)
+
+
 def intent_score(intent: Column, exclude: Column, budget: Column, timeframe: Column, personal: Column) -> Column:
     """At most 100, without a floor."""
     return F.least(F.lit(100), 35 + intent * 7 + _if(budget, 12) + _if(timeframe, 10) + _if(personal, 8) - exclude * 20)

@@ -11,8 +11,8 @@ from intentloom.functions import predicates as P
 from intentloom.functions import scoring as S
 from intentloom.functions.lexicons import ChatLexicon, WebLexicon
 from intentloom.functions.text import fold_text, group_blob, item_blob, strip_text
+from intentloom.operators import ledger as ledgers
 from intentloom.operators.identity import fingerprint, first_wins_dedup, ledger_anti_join, message_key
-from intentloom.session import has_files
 
 WEB_LEAD = ("source", "url", "title", "text", "published", "author", "lead_id", "market", "route_to", "intent_score", "credibility_score", "market_fit_score", "classification", "found_at")
 
@@ -128,19 +128,13 @@ def empty_digest(leads: DataFrame, queries: int, results: DataFrame) -> DataFram
     return found.select(F.format_string("No new leads since the last run. Queries: %d. Results: %d.", F.lit(queries), "results").alias("message"))
 
 
-def lead_sink(leads: DataFrame, path: str, run_id: str) -> DataFrame:
-    """Appends the leads that the store at `path` lacks, in a partition of this run; returns what was new.
+def lead_sink(leads: DataFrame, path: str, run_id: str, order: Column | None = None) -> DataFrame:
+    """Appends the leads that the ledger at `path` lacks, tagged by this run; returns what the run has stored.
 
-    A run that is repeated under its id finds its keys stored and adds nothing.
+    Of leads with one key the first by `order`, the arrival order, stays. A run that is repeated under its id finds its keys stored and adds nothing. Only partitions of the ledger that the run's keys
+    fall into are read (see ledger).
     """
-    spark = leads.sparkSession
-    have = spark.read.parquet(path) if has_files(spark, path) else None  # the store starts with the first run
-    fresh = first_wins_dedup(leads, "lead_id", F.struct("lead_id"))
-    fresh = fresh if have is None else ledger_anti_join(fresh, have)
-    fresh = fresh.withColumn("run_id", F.lit(run_id))
-    fresh.write.mode("append").partitionBy("run_id").parquet(path)
-    # With its schema, as a store without leads has no file to tell it.
-    return spark.read.schema(fresh.schema).parquet(path).where(F.col("run_id") == run_id)
+    return ledgers.append(leads, path, "lead_id", order, run_id=run_id)
 
 
 def scan_log_sink(summary: DataFrame, path: str) -> None:

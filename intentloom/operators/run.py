@@ -62,11 +62,11 @@ def scan(
     if domains is not None:
         search = domain_allow_filter(search, domains, by="query_idx")
     news = bridge_query_select(news, queries, "query_idx")
-    web = L.lead_sink(web_pass(search, news, lex, started, routes=routes), f"{store}/web", run_id)
+    web = L.lead_sink(web_pass(search, news, lex, started, routes=routes), f"{store}/web", run_id, arrival(F.col("query_idx"), F.col("source_ord"), F.col("pos")))
     counts, status = "chat_groups long, chat_messages_scanned long", "completed"
     try:
         recent = recent_messages(messages, started, hours, per_group, groups)
-        found = L.lead_sink(L.chat_leads(recent, chat, started, priorities=priorities), f"{store}/chat", run_id)
+        found = L.lead_sink(L.chat_leads(recent, chat, started, priorities=priorities), f"{store}/chat", run_id, F.struct("message_time", "message_id"))
         met = groups_only(groups).agg(F.count("*").alias("chat_groups")) if groups is not None else messages.agg(F.count_distinct("group_id").alias("chat_groups"))
         chats = spark.createDataFrame([(met.first()[0], recent.count())], counts)
     except PySparkException:

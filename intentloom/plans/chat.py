@@ -10,6 +10,7 @@ from intentloom.functions.lexicons import PROSE_CHAT as LEX
 from intentloom.functions.text import fold_text, group_blob, strip_text
 from intentloom.operators import identity, leads
 from intentloom.plans import bindings as B
+from intentloom.plans import web
 
 ID = ["group_id", "message_id"]
 KINDS = ("buy", "weak", "sell", "rent", "context")
@@ -27,6 +28,12 @@ def _matches(kind):
     return query
 
 
+def d5b(spark, d):
+    """Markets by votes over a table of places that grows with the documents."""
+    found = B.messages(spark, d).withColumn("blob", group_blob(F.col("group"), F.col("text"))).withColumn("key", F.concat_ws("|", "group_id", "message_id"))
+    return S.market_argmax_join(found, "key", "blob", web._gazetteer(spark, d), most=20).select(*ID, "market")
+
+
 def e5(spark, d):
     events = B.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return identity.window_cutoff(events, "ts", F.lit("2024-01-30 12:00:00").cast("timestamp")).select("event_id")
@@ -93,6 +100,7 @@ QUERIES = {
     "c9_budget_chat": lambda s, d: B.messages(s, d).select(*ID, P.budget_chat(F.col("text")).alias("budget")),
     "c12_buyer_question": lambda s, d: scored(s, d).select(*ID, "buyer_question"),
     "d5_market_argmax": lambda s, d: scored(s, d).select(*ID, "market"),
+    "d5b_market_argmax_join": d5b,
     "d6_chat_score": lambda s, d: scored(s, d).select(*ID, "chat_score"),
     "d7_chat_label": lambda s, d: scored(s, d).select(*ID, "classification"),
     "e2_message_key": lambda s, d: B.messages(s, d).select(*ID, identity.message_key("chat", F.col("group_id"), F.col("message_id")).alias("lead_id")),
@@ -115,6 +123,7 @@ SQL = {
     "c9_budget_chat": _from("group_id, message_id, budget"),
     "c12_buyer_question": _from("group_id, message_id, question as buyer_question"),
     "d5_market_argmax": _from("group_id, message_id, market"),
+    "d5b_market_argmax_join": f"with {_SIGNALS}, gazetteer(market, ord, term) as ({web.GAZETTEER_SQL}), votes as (select group_id, message_id, market, ord, count(*) as n from messages join gazetteer on contains(g, term) group by all) select group_id, message_id, coalesce(arg_max(market, n * 100 - ord), 'unknown') as market from messages left join votes using (group_id, message_id) group by all",
     "d6_chat_score": _from("group_id, message_id, chat_score"),
     "d7_chat_label": _from("group_id, message_id, classification"),
     "e2_message_key": _from(f"group_id, message_id, {_KEY} as lead_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from intentloom.functions import predicates as P
 from intentloom.functions.lexicons import PROSE_CHAT, PROSE_WEB as LEX
-from intentloom.operators import identity, leads, run, summary
+from intentloom.operators import identity, leads, ledger, run, summary
 from intentloom.plans import bindings as B
 from intentloom.plans import chat, web
 from intentloom.session import work_folder
@@ -16,12 +16,13 @@ from intentloom.streaming import streams
 
 
 def f5(spark, d):
-    """Two runs into an empty store: the even documents first, then all; then the second run again."""
+    """Two runs into an empty store: the even documents first, then all; then the second run again, and compaction."""
     path = work_folder(spark, "store")
     found = web.all_leads(spark, d)
     leads.lead_sink(found.where("doc_id % 2 = 0"), path, "run1")
-    leads.lead_sink(found, path, "run2")
-    leads.lead_sink(found, path, "run2")
+    for _ in range(2):
+        leads.lead_sink(found, path, "run2")
+    ledger.compact(spark, path, files=1)
     return spark.read.parquet(path).select("doc_id", "lead_id", "run_id")
 
 

@@ -69,6 +69,29 @@ def c1b(spark, d):
     return P.phrase_hits_join(_blobs(spark, d), "doc_id", "blob", phrases)
 
 
+def _word_lexicon(spark, d):
+    """The first two words of every document, lower-cased, and the lexicon's phrases: a table of phrases that grows with the documents."""
+    own = spark.createDataFrame([(p,) for p in (*LEX.intent, "", *LEX.intent[:2])], "phrase string")
+    return B.table(spark, d, "documents").select(F.lower(F.regexp_extract("text", "^[A-Za-z]+ [a-z]+", 0)).alias("phrase")).where("phrase <> ''").unionByName(own)
+
+
+def c1c(spark, d):
+    """A lexicon beyond the bound of the array: matched by grams."""
+    return P.phrase_hits_join(_blobs(spark, d), "doc_id", "blob", _word_lexicon(spark, d), most=20)
+
+
+def _gazetteer(spark, d):
+    """Places from documents, ten markets by turns, behind those of the lexicon."""
+    own = spark.createDataFrame([(m, i, t) for i, (m, terms) in enumerate(LEX.gazetteer) for t in terms], "market string, market_ord int, term string")
+    word = F.lower(F.regexp_extract("text", "^[A-Za-z]+ [a-z]+", 0))
+    made = B.table(spark, d, "documents").where("doc_id % 4 = 0").select(F.concat(F.lit("m"), (F.col("doc_id") % 10).cast("string")).alias("market"), (F.col("doc_id") % 10 + 3).cast("int").alias("market_ord"), word.alias("term"))
+    return made.where("term <> ''").unionByName(own)
+
+
+def d1b(spark, d):
+    return S.market_first_match_join(_blobs(spark, d), "doc_id", "blob", _gazetteer(spark, d), most=20).select("doc_id", "market")
+
+
 def c6(spark, d):
     events = B.table(spark, d, "events")
     published = F.when(F.col("event_id") % 10 == 0, "garbage").when(F.col("event_id") % 10 == 1, "").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
@@ -126,6 +149,7 @@ QUERIES = {
     "b5_epoch_normalise": lambda s, d: B.table(s, d, "events").select("event_id", F.date_format(epoch_normalise(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("utc")),
     "c1_phrase_hits": _flag(lambda: P.phrase_hits(_blob(), LEX.intent), "hits"),
     "c1b_phrase_hits_join": c1b,
+    "c1c_phrase_hits_grams": c1c,
     "c2_listing_gate": _flag(lambda: P.listing_gate(_blob(), LEX.listing), "listing"),
     "c3_personal_gate": _flag(lambda: P.personal_gate(_blob(), LEX.personal), "personal"),
     "c4_negative_gate": _flag(lambda: P.negative_gate(_blob(), LEX.negative), "negative"),
@@ -137,6 +161,7 @@ QUERIES = {
     "c13_quality_gate": lambda s, d: _blobs(s, d).where(P.quality_gate(_blob(), F.col("published"), F.lit(B.AS_OF), LEX)).select("doc_id"),
     "c14_label_filter": lambda s, d: _scored(s, d).where(P.label_filter(F.col("classification"))).select("doc_id", "classification"),
     "d1_market_first_match": _flag(lambda: S.market_first_match(_blob(), LEX.gazetteer), "market"),
+    "d1b_market_first_match_join": d1b,
     "d2_web_scores": lambda s, d: _scored(s, d).select("doc_id", "intent_score", "credibility_score", "market_fit_score"),
     "d2b_web_label": lambda s, d: _scored(s, d).select("doc_id", "classification"),
     "d3_group_priority": d3,
@@ -155,6 +180,12 @@ QUERIES = {
 _FIRST = "row_number() over (partition by {key} order by ceil(query_idx / 10.0), query_idx, pos) = 1"
 
 
+_FIRST_WORDS = "lower(regexp_extract(text, '^[A-Za-z]+ [a-z]+', 0))"
+_LEXICON_SQL = f"select {_FIRST_WORDS} as phrase from documents where {_FIRST_WORDS} <> '' union all select unnest([{', '.join(map(B.quoted, (*LEX.intent, '', *LEX.intent[:2])))}])"
+GAZETTEER_SQL = f"""select 'm' || doc_id % 10, doc_id % 10 + 3, {_FIRST_WORDS} from documents where doc_id % 4 = 0 and {_FIRST_WORDS} <> ''
+  union all values {', '.join(f"({B.quoted(m)}, {i}, {B.quoted(t)})" for i, (m, terms) in enumerate(LEX.gazetteer) for t in terms)}"""
+
+
 def _leads(columns: str) -> str:
     return f"with {LABELLED_SQL} select {columns} from labelled where classification in ('HOT', 'WARM')"
 
@@ -177,6 +208,7 @@ SQL = {
     "b5_epoch_normalise": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as utc from events",
     "c1_phrase_hits": _ITEMS + f"select doc_id, cast({B.hits_sql('blob', LEX.intent)} as integer) as hits from items",
     "c1b_phrase_hits_join": _ITEMS + f", lexicon(phrase) as (values {', '.join(f'({B.quoted(p)})' for p in LEX.intent)}) select doc_id, cast(count(phrase) as integer) as hits from items left join lexicon on contains(blob, phrase) group by doc_id",
+    "c1c_phrase_hits_grams": _ITEMS + f", lexicon(phrase) as ({_LEXICON_SQL}) select doc_id, cast(count(phrase) as integer) as hits from items left join lexicon on contains(blob, phrase) group by doc_id",
     "c2_listing_gate": _ITEMS + f"select doc_id, {B.hits_sql('blob', LEX.listing)} >= 2 as listing from items",
     "c3_personal_gate": _ITEMS + f"select doc_id, {B.any_sql('blob', LEX.personal)} as personal from items",
     "c4_negative_gate": _ITEMS + f"select doc_id, {B.any_sql('blob', LEX.negative)} as negative from items",
@@ -188,6 +220,7 @@ SQL = {
     "c13_quality_gate": _ITEMS + f"select doc_id from items where {_GATE}",
     "c14_label_filter": _leads("doc_id, classification"),
     "d1_market_first_match": _ITEMS + f"select doc_id, {B.market_sql('blob', LEX.gazetteer)} as market from items",
+    "d1b_market_first_match_join": _ITEMS + f", gazetteer(market, ord, term) as ({GAZETTEER_SQL}) select doc_id, coalesce(arg_min(market, ord), 'unknown') as market from items left join gazetteer on contains(blob, term) group by doc_id",
     "d2_web_scores": f"with {LABELLED_SQL} select doc_id, intent_score, credibility_score, market_fit_score from labelled",
     "d2b_web_label": f"with {LABELLED_SQL} select doc_id, classification from labelled",
     "d3_group_priority": "select distinct source, case when lower(source) = 'src1' then 'HIGH' when lower(source) in ('src2', 'src3') then 'MEDIUM' else 'NORMAL' end as group_priority from documents",

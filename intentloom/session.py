@@ -26,8 +26,21 @@ def work_folder(spark: SparkSession, what: str) -> str:
     return f"{shared}/{what}-{uuid.uuid4().hex}"
 
 
-def has_files(spark: SparkSession, path: str) -> bool:
-    """Whether a table has been written at `path`, in whatever store that is."""
+def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def has_files(spark: SparkSession, path: str, marker: bool = False) -> bool:
+    """Whether a table has been written at `path`, in whatever store that is; with `marker`, whether just that file is there."""
+    place, files = _place(spark, path)
+    if marker:
+        return files.exists(place)
     return files.exists(place) and any(not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(place))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table's files, if there are any."""
+    place, files = _place(spark, path)
+    if files.exists(place):
+        files.delete(place, True)

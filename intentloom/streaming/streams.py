@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intentloom.operators.identity import first_wins_dedup, ledger_anti_join
-from intentloom.session import has_files
+from intentloom.operators import ledger
 
 
 def read_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -39,19 +38,15 @@ def stream_counts(events: DataFrame, by: str, when: str = "ts", width: str = "1
     return timed.groupBy(F.window(when, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), by, "n")
 
 
-def stream_ledger(stream: DataFrame, path: str, checkpoint: str, key: str = "lead_id") -> None:
+def stream_ledger(stream: DataFrame, path: str, checkpoint: str, key: str = "lead_id", order: Column | None = None) -> None:
     """Insert-if-absent of a stream into the ledger at `path`.
 
-    Each micro-batch overwrites its own partition, named by its id, after an anti join with the others, so a
-    batch that is run again after a failure leaves the ledger as it was meant to be.
+    Each micro-batch reads the partitions that its keys fall into and appends what they lack, tagged by its id. A batch that is run again after a failure
+    finds what it had stored and adds the rest. Of rows with one key in a batch the first by `order` stays.
     """
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = first_wins_dedup(batch, key, F.struct(key))
-        if has_files(spark, path):
-            fresh = ledger_anti_join(fresh, spark.read.parquet(path).where(F.col("batch_id") != batch_id), key)
-        fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        ledger.append(batch, path, key, order, batch_id=batch_id)
 
     stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

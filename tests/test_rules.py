@@ -161,13 +161,39 @@ def test_domains(spark):
 
 
 def test_lexicons_beyond_the_array(spark):
-    phrases = ["", "a", "the ", "the cat", "cat", "cat", None, "straße nach", "zz", "eee", "ee"]
-    texts = ["the cat sat", "THE CAT".lower(), "", None, "straße nach", "eeee", "aa"]
-    rows, lexicon = spark.createDataFrame(list(enumerate(texts)), "k int, t string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")
-    want = {i: sum(p in t for p in phrases if p is not None) if t is not None else 0 for i, t in enumerate(texts)}
+    phrases = ["", "a", "the ", "the cat", "cat", "cat", None, "straße nach", "zz", "eee", "ee", "\U0001f600x"]
+    texts = ["the cat sat", "THE CAT".lower(), "", None, "straße nach", "eeee", "aa", "a\U0001f600xy"]
+    keys = [None, *range(1, len(texts))]  # one key is null
+    rows, lexicon = spark.createDataFrame(list(zip(keys, texts, strict=True)), "k int, t string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    want = {k: sum(p in t for p in phrases if p is not None) if t is not None else 0 for k, t in zip(keys, texts, strict=True)}
     for most in (100, 3):
-        got = {r.k: r.hits for r in P.phrase_hits_join(rows, "k", "t", lexicon, most).collect()}
-        assert {i: max(0, n) for i, n in got.items()} == want
+        assert {r.k: r.hits for r in P.phrase_hits_join(rows, "k", "t", lexicon, most).collect()} == want
+    none = spark.createDataFrame([], "phrase string")
+    assert {r.hits for r in P.phrase_hits_join(rows, "k", "t", none).collect()} == {0}
+
+
+def test_few_grams_are_sent(spark):
+    """Of texts without a phrase next to nothing leaves the task, whatever the size of the lexicon."""
+    lexicon = spark.range(30_000).select(F.concat(F.lit("phrase "), F.hex("id")).alias("phrase"))
+    chosen = P.chosen_grams(lexicon)
+    texts = spark.range(2_000).select(F.col("id").alias("key_"), F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 512), F.when(F.col("id") % 50 == 0, F.concat(F.lit("phrase "), F.hex(F.col("id"))))).alias("blob_"))
+    grams = texts.agg(F.sum(F.length("blob_") - 4)).first()[0]
+    assert P.sent_grams(texts, chosen).count() < 0.05 * grams
+    found = P.phrase_matches(texts.withColumnsRenamed({"key_": "k", "blob_": "t"}), "k", "t", lexicon, 10)
+    assert {r.key_ for r in found.where("phrase like 'phrase %'").collect()} == set(range(0, 2_000, 50))
+
+
+@pytest.mark.parametrize("most", [100, 2])
+def test_gazetteer_tables_equal_lists(spark, most):
+    lists = (("first", ("shared", "Alpha", "alpha", "alpha")), ("second", ("shared", "beta", "gamma")), ("third", ("",)))
+    texts = ["in shared beta", "beta gamma shared", "Alpha", "alpha", "nothing", "", None]
+    rows = spark.createDataFrame([(None if i == 2 else i, t, "old") for i, t in enumerate(texts)], "k int, t string, market string")
+    for gazetteer in (lists, lists[:2]):
+        table = spark.createDataFrame([(m, i, t) for i, (m, terms) in enumerate(gazetteer) for t in (*terms, None)], "market string, market_ord int, term string")
+        for by_list, by_table in ((S.market_first_match, S.market_first_match_join), (S.market_argmax, S.market_argmax_join)):
+            want = {r.k: r.market for r in rows.select("k", by_list(F.coalesce("t", F.lit("\0")), gazetteer if by_list is S.market_argmax else gazetteer).alias("market")).where("k < 6 or k is null").collect()}
+            got = {r.k: r.market for r in by_table(rows, "k", "t", table, most).collect()}
+            assert {k: v for k, v in got.items() if k != 6} == want and got[6] == "unknown"
 
 
 def test_bridge_queries(spark):
