@@ -120,12 +120,14 @@ def alert_message() -> Column:
     )
 
 
-def empty_digest(leads: DataFrame, queries: int, results: DataFrame) -> DataFrame:
-    """One digest row with the run's counts if there are no leads, else none."""
-    counts = results.agg(F.count("*").alias("results"))
+def empty_digest(leads: DataFrame, queries: int, results: DataFrame, errors: int | Column = 0) -> DataFrame:
+    """One digest row with the run's counts if there are no leads, else none. `results` has the results per source (source, n), in whose order they are told."""
+    told = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("source"), "n"))), lambda r: F.concat(r["source"], F.lit(" "), r["n"].cast("string")))
+    counts = results.agg(F.array_join(told, ", ").alias("results"))
     none = leads.agg(F.count("*").alias("n")).where("n = 0")
     found = none.withColumn("k", F.lit(1)).join(counts.withColumn("k", F.lit(1)), "k")
-    return found.select(F.format_string("No new leads since the last run. Queries: %d. Results: %d.", F.lit(queries), "results").alias("message"))
+    errors = errors if isinstance(errors, Column) else F.lit(errors)
+    return found.select(F.format_string("No new leads since the last run.\n\nQueries: %d\nResults: %s\nErrors: %d", F.lit(queries), F.when(F.col("results") == "", "none").otherwise(F.col("results")), errors).alias("message"))
 
 
 def lead_sink(leads: DataFrame, path: str, run_id: str, order: Column | None = None) -> DataFrame:

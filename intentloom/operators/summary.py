@@ -21,6 +21,21 @@ def unique_results(items: DataFrame) -> DataFrame:
     return known.agg(F.count_distinct(fingerprint(F.col("url"), F.col("title"), F.col("author"))).alias("unique_results"))
 
 
+#: Logarithm of the buckets of a sketch of distinct results: an error of about 1 % of the count.
+SKETCH = 14
+
+
+def unique_sketch(items: DataFrame) -> DataFrame:
+    """One row with unique_sketch: a mergeable sketch of the fingerprints among items with a url, to be kept in the scan log."""
+    known = items.where(F.length(text_or_empty(F.col("url"))) > 0)
+    return known.agg(F.hll_sketch_agg(fingerprint(F.col("url"), F.col("title"), F.col("author")), F.lit(SKETCH)).alias("unique_sketch"))
+
+
+def unique_over_runs(log: DataFrame) -> DataFrame:
+    """About how many distinct results the runs of a scan log have had together, from their sketches alone: no items are read."""
+    return log.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("unique_sketch")), F.lit(0).cast("long")).alias("unique_results"))
+
+
 def new_lead_counts(leads: DataFrame) -> DataFrame:
     return leads.agg(F.count("*").alias("new_hot_warm"))
 

@@ -41,6 +41,17 @@ def a3(spark, d):
     return feeds.json_result_items(packed.select("query_idx", reply.alias("json")))
 
 
+def a3b(spark, d):
+    """Every response once: with the items it has, or its fault."""
+    replies = B.table(spark, d, "documents").groupBy(F.expr("cast(doc_id div 8 as int)").alias("query_idx")).agg(F.count("*").alias("n"), F.min("text").alias("text"))
+    good = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.struct(F.concat(F.lit("u"), i.cast("string")).alias("url"), F.col("text").alias("text"))).alias("results")))
+    q = F.col("query_idx") % 10
+    raw = F.when(q == 9, "{not json").when(q == 7, F.lit(None)).when(q == 5, F.substr(good, F.lit(1), F.length(good) - 1)).when(q == 3, '{"results": 5}').when(q == 1, "{}").otherwise(good)
+    parsed = feeds.json_results(replies.select("query_idx", raw.alias("json")))
+    counts = parsed.items.groupBy("query_idx").agg(F.count("*").alias("items"))
+    return counts.select("query_idx", "items", F.lit(None).cast("string").alias("fault")).unionByName(parsed.quarantined.select("query_idx", F.lit(0).cast("long").alias("items"), "fault"))
+
+
 def a4(spark, d):
     docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     bench = B.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
@@ -70,6 +81,7 @@ QUERIES = {
     "a1_feed_atom_items": a1,
     "a2_feed_rss_items": a2,
     "a3_json_result_items": a3,
+    "a3b_quarantine": a3b,
     "a4_union_items": a4,
     "a5_cap_per_source": lambda s, d: intake.cap_per_source(B.table(s, d, "documents"), "source", "doc_id", 15).select("source", "doc_id"),
     "a6_query_catalog_explode": a6,
@@ -81,6 +93,8 @@ SQL = {
     "a1_feed_atom_items": f"select 'atom' as source, 'https://b.example/' || item_id as url, 'Item ' || item_id as title, {TEXT} as text, '' as published, 'A' || item_id as author, cast(item_id // 20 as integer) as query_idx, cast(n - 1 as integer) as pos from {_FEED}",
     "a2_feed_rss_items": f"select 'rss' as source, 'https://b.example/' || item_id as url, 'Item ' || item_id as title, {TEXT} as text, 'Mon, 01 Jan 2024 00:00:00 GMT' as published, '' as author, cast(item_id // 20 as integer) as query_idx, cast(n - 1 as integer) as pos from {_FEED}",
     "a3_json_result_items": f"select 'search' as source, 'doc://' || doc_id as url, source as title, {TEXT} as text, '' as published, '' as author, cast(q as integer) as query_idx, cast(n - 1 as integer) as pos from (select doc_id, source as s, text, doc_id // 8 as q, row_number() over (partition by doc_id // 8 order by doc_id) as n, source from documents) where n <= 5 and q % 10 <> 9".replace("source as title", "s as title", 1),
+    "a3b_quarantine": """with r as (select cast(doc_id // 8 as integer) as query_idx, count(*) as n from documents group by 1)
+  select query_idx, case when query_idx % 10 in (3, 5, 7, 9) then 0 else least(n, 5) end as items, case query_idx % 10 when 7 then 'missing' when 3 then 'corrupt' when 5 then 'corrupt' when 9 then 'corrupt' end as fault from r where query_idx % 10 <> 1""",
     "a4_union_items": "select 'documents' as source, doc_id as id, text from documents union all select 'benchmark', item_id, text from benchmark",
     "a5_cap_per_source": "select source, doc_id from documents qualify row_number() over (partition by source order by doc_id) <= 15",
     "a6_query_catalog_explode": "select cast(doc_id as integer) as query_idx, source as query, lang || '.example' as domain from documents where doc_id % 3 > 0 union all select cast(doc_id as integer), source, source || '.example' from documents where doc_id % 3 > 0 union all select cast(doc_id as integer), source, null from documents where doc_id % 3 = 0",

@@ -12,6 +12,7 @@ from intentloom.operators import identity, leads, ledger, run, summary
 from intentloom.plans import bindings as B
 from intentloom.plans import chat, web
 from intentloom.session import work_folder
+from intentloom.sources import feeds
 from intentloom.streaming import streams
 
 
@@ -51,10 +52,18 @@ def g5(spark, d):
 
 
 def g6(spark, d):
+    """Failures per event type: properties that are cut off, and some that are not there."""
     events = B.table(spark, d, "events")
-    props = F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
-    parsed = events.withColumn("k", F.from_json(props, "k long")["k"])
-    return summary.error_counts(parsed, "event_type", F.col("k").isNull())
+    props = F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise(F.col("props"))
+    return summary.error_counts(feeds.records(events.withColumn("raw", props), "raw", "k long"), "event_type", F.col("fault").isNotNull())
+
+
+def g2b(spark, d):
+    """Distinct results of two runs together from the sketches of their records, beside the exact count."""
+    pages = B.table(spark, d, "pages").withColumn("title", F.lit("")).withColumn("author", F.lit(""))
+    log = summary.unique_sketch(pages.where("page_id % 3 <> 0")).unionByName(summary.unique_sketch(pages.where("page_id % 3 <> 1")))
+    both = summary.unique_results(pages).withColumnRenamed("unique_results", "exact").withColumn("k", F.lit(1)).join(summary.unique_over_runs(log).withColumn("k", F.lit(1)), "k")
+    return both.select("exact", (F.abs(F.col("unique_results") - F.col("exact")) <= 0.02 * F.col("exact")).alias("near"))
 
 
 def _run(spark, d):
@@ -117,6 +126,7 @@ QUERIES = {
     "f6_scan_log_sink": f6,
     "g1_source_counts": lambda s, d: summary.source_counts(B.items(s, d)),
     "g2_unique_results": lambda s, d: summary.unique_results(B.table(s, d, "pages").withColumn("title", F.lit("")).withColumn("author", F.lit(""))),
+    "g2b_unique_over_runs": g2b,
     "g3_new_lead_counts": lambda s, d: summary.new_lead_counts(web.all_leads(s, d)),
     "g4_chat_counts": g4,
     "g5_scan_summary": g5,
@@ -146,15 +156,16 @@ SQL = {
     "f6_scan_log_sink": _WEB + " select '20240131T000000Z' as scan_id, 'completed' as status, 33 as queries, count(*) as new_hot_warm from leads",
     "g1_source_counts": "select source, count(*) as n from documents group by source",
     "g2_unique_results": "select count(distinct lower(url)) as unique_results from pages where url <> ''",
+    "g2b_unique_over_runs": "select count(distinct lower(url)) as exact, true as near from pages where url <> ''",
     "g3_new_lead_counts": _WEB + " select count(*) as new_hot_warm from leads",
     "g4_chat_counts": f"select g as chat_groups, m as chat_messages, l as chat_leads from {_CHAT}",
     "g5_scan_summary": _WEB + f""" select '20240131T000000Z' as scan_id, 'completed' as status, '{B.FOUND_AT}' as started_at, 33 as queries, (select count(*) from documents) as unique_results,
   (select count(*) from leads) as new_hot_warm, g as chat_groups, m as chat_messages, l as chat_leads,
   '{{' || (select string_agg('"' || source || '":' || n, ',' order by source) from (select source, count(*) as n from documents group by source)) || '}}' as source_counts,
-  (select count(*) from events where event_id % 7 = 0) as errors,
-  '{{' || (select string_agg('"' || event_type || '":' || n, ',' order by event_type) from (select event_type, count(*) filter (where event_id % 7 = 0) as n from events group by event_type)) || '}}' as source_errors,
+  (select count(*) from events where event_id % 7 = 0 or event_id % 11 = 0) as errors,
+  '{{' || (select string_agg('"' || event_type || '":' || n, ',' order by event_type) from (select event_type, count(*) filter (where event_id % 7 = 0 or event_id % 11 = 0) as n from events group by event_type)) || '}}' as source_errors,
   'completed' as chat_status from {_CHAT}""",
-    "g6_error_counts": "select event_type, count(*) filter (where event_id % 7 = 0) as errors from events group by event_type",
+    "g6_error_counts": "select event_type, count(*) filter (where event_id % 7 = 0 or event_id % 11 = 0) as errors from events group by event_type",
     "h1_stream_score": _WEB + " select doc_id, intent_score, classification from leads",
     "h2_stream_dedup": "select distinct user_id, event_type from events",
     "h3_stream_ledger": "select distinct sha256(lower(coalesce(text, '') || '||')) as lead_id from documents",

@@ -9,7 +9,7 @@ from intentloom.functions import scoring as S
 from intentloom.functions.lexicons import PROSE_WEB as LEX
 from intentloom.functions.markup import NAMES, element_text
 from intentloom.functions.text import epoch_normalise, fold_text, item_blob
-from intentloom.operators import identity, leads
+from intentloom.operators import identity, leads, summary
 from intentloom.plans import bindings as B
 
 def _blob():
@@ -135,7 +135,7 @@ def f4(spark, d):
 
 def f4b(spark, d):
     none = all_leads(spark, d).where("intent_score > 100")
-    return leads.empty_digest(none, 33, B.items(spark, d))
+    return leads.empty_digest(none, 33, summary.source_counts(B.items(spark, d)), 3)
 
 
 def f7(spark, d):
@@ -233,6 +233,6 @@ SQL = {
     "f1b_gated_leads": f"with {LABELLED_SQL}, firsts as (select *, sha256(lower(text || '||')) as key from labelled where text <> '' qualify {_FIRST.format(key='sha256(lower(text))')}) select doc_id, key as lead_id, market, classification from firsts where {_GATE} and classification in ('HOT', 'WARM')",
     "f3_alert_top_k": _leads("doc_id, lead_id, classification") + " order by ceil(query_idx / 10.0), query_idx, pos limit 10",
     "f4_alert_message": _leads("doc_id, case when classification = 'HOT' then '!!' else '!' end || ' LEAD - ' || classification || chr(10) || chr(10) || source || chr(10) || market || ' | ' || route_to || chr(10) || chr(10) || title || chr(10) || chr(10) || 'Intent: ' || intent_score || '/100' || chr(10) || 'Credibility: ' || credibility_score || '/100' || chr(10) || 'Market fit: ' || market_fit_score || '/100' || chr(10) || chr(10) || url as message"),
-    "f4b_empty_digest": "select 'No new leads since the last run. Queries: 33. Results: ' || count(*) || '.' as message from documents",
+    "f4b_empty_digest": "select 'No new leads since the last run.' || chr(10) || chr(10) || 'Queries: 33' || chr(10) || 'Results: ' || string_agg(source || ' ' || n, ', ' order by source) || chr(10) || 'Errors: 3' as message from (select source, count(*) as n from documents group by source)",
     "f7_json_export": _leads("'{\"doc_id\":' || doc_id || ',\"lead_id\":\"' || lead_id || '\",\"market\":\"' || market || '\",\"intent_score\":' || intent_score || ',\"classification\":\"' || classification || '\"}' as json"),
 }

@@ -15,5 +15,3 @@ SENDER = T.StructType(_strings("username", "first_name", "last_name"))
 MESSAGES = T.StructType([T.StructField("group_id", T.LongType()), T.StructField("message_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("date", T.TimestampType()), T.StructField("sender", SENDER)])
 GROUPS = T.StructType([T.StructField("group_id", T.LongType()), *_strings("name", "username"), T.StructField("is_group", T.BooleanType())])
 LEDGER = T.StructType([T.StructField("lead_id", T.StringType()), T.StructField("found_at", T.TimestampType()), T.StructField("run_id", T.StringType())])
-#: JSON of a result response.
-RESULTS = T.StructType([T.StructField("results", T.ArrayType(T.StructType(_strings("url", "title", "text", "publishedDate", "author"))))])
