@@ -68,7 +68,7 @@ PROSE_WEB = WebLexicon(
 )
 PROSE_CHAT = ChatLexicon(
     buy=words("the", "with", "les", "und", "para", "that", "avec", "nicht"),
-    weak=(),
+    weak=(*words("is", "der", "con"), *words("is")),
     sell=words("from", "dans", "als"),
     rent=words("this", "pour"),
     context=words("and", "qui", "ist"),

@@ -22,6 +22,13 @@ BUDGET_WEB = r"(?U)[$€£₺]\s?[\d,.]+|\b\d{2,3}\s?[kKmM]\b|\b\d{4,}\b"
 BUDGET_CHAT = r"(?iU)(?:£|€|\$|₺|₽)\s?\d[\d\s.,]*|\b\d[\d\s.,]*\s?(?:gbp|eur|usd|try|tl|руб|млн|million|k)\b"
 #: A date written in full, perhaps with a time: what both an ISO parser and Spark read alike.
 FULL_DATE = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
+WEEK_DATE = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?=$|[T ])"
+#: Steps from basic ISO forms to extended ones: date, times of three, two and one part, fractions, offsets of two and one part.
+EXTENDED = (
+    (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"), (r"([T ]\d{2})(\d{2})(\d{2})(?=$|[.,Z+-])", "$1:$2:$3"), (r"([T ]\d{2})(\d{2})(?=$|[Z+-])", "$1:$2"), (r"([T ]\d{2})(?=$|[Z+-])", "$1:00"),
+    (r"(:\d{2}:\d{2})[.,](\d{1,6})\d*", "$1.$2"), (r"([T ][\d:.]+[+-]\d{2})(\d{2})$", "$1:$2"), (r"([T ][\d:.]+[+-]\d{2})$", "$1:00"),
+)
+
 
 
 def steady(c: Column) -> Column:
@@ -134,10 +141,34 @@ def listing_gate(blob: Column, phrases: Iterable[str]) -> Column:
 personal_gate = negative_gate = excluded_market_gate = timeframe_flag = pronoun_flag = any_phrase
 
 
+def iso_timestamp(text: Column) -> Column:
+    """The instant of an ISO date: 2024-01-31, 20240131, 2024-W05-3 or 2024W053, alone (midnight) or with a time such as T10:30, T103000.5 or T10+0200; without offset UTC.
+
+    Null for anything else, also for dates that no calendar has. Between date and time stands a T or a space.
+    """
+    week = lambda t, i: F.regexp_extract(t, WEEK_DATE, i)
+    number = lambda t, i: F.when(week(t, i) != "", week(t, i).cast("int"))
+
+    def by_week(t: Column) -> Column:
+        first = F.date_trunc("week", F.make_date(number(t, 1), F.lit(1), F.lit(4))).cast("date")
+        day = F.date_add(first, (number(t, 2) - 1) * 7 + F.coalesce(number(t, 3), F.lit(1)) - 1)
+        return _once(day, lambda d: F.when(number(t, 2).between(1, 53) & (F.weekofyear(d) == number(t, 2)), F.concat(d.cast("string"), F.regexp_replace(t, WEEK_DATE, ""))))
+
+    def extended(t: Column) -> Column:
+        full = reduce(lambda c, step: F.regexp_replace(c, *map(F.lit, step)), EXTENDED, t)
+        return _once(full, lambda c: F.when(c.rlike(FULL_DATE), F.try_to_timestamp(c)))
+
+    return _once(F.when(text.rlike(WEEK_DATE), by_week(text)).otherwise(text), extended)
+
+
+def _once(c: Column, use) -> Column:
+    """`use(c)` with `c` evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def recency_gate(published: Column, as_of: Column, days: int = 90) -> Column:
-    """Keeps what was published in the last `days`, the bound included, and what has no full date."""
-    when = F.when(text_or_empty(published).rlike(FULL_DATE), F.try_to_timestamp(published))
-    return F.coalesce(when >= as_of - F.make_dt_interval(F.lit(days)), F.lit(True))
+    """Keeps what was published in the last `days`, the bound included, and what has no ISO date in full."""
+    return F.coalesce(iso_timestamp(text_or_empty(published)) >= as_of - F.make_dt_interval(F.lit(days)), F.lit(True))
 
 
 def pattern_matches(text: Column, patterns: Iterable[Pattern]) -> Column:

@@ -44,10 +44,10 @@ def window_cutoff(frame: DataFrame, when: str, as_of: Column, hours: int = 24) -
     return frame.where(F.col(when) >= as_of - F.make_dt_interval(F.lit(0), F.lit(hours)))
 
 
-def latest_n_per_group(frame: DataFrame, group: str, when: list[Column], n: int = 500) -> DataFrame:
-    """The newest n rows of each group, ranked before any other filter; cut before the shuffle as well."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*when))
-    return frame.withColumn("rank_", rank).where(F.col("rank_") <= n).drop("rank_")
+def latest_n_per_group(frame: DataFrame, group: str, when: list[Column], n: int = 500, rank: str | None = None) -> DataFrame:
+    """The newest n rows of each group, ranked before any other filter; cut before the shuffle as well. The rank, from 1, is kept as column `rank`, if that is given."""
+    ranked = frame.withColumn(rank or "rank_", F.row_number().over(Window.partitionBy(group).orderBy(*when))).where(F.col(rank or "rank_") <= n)
+    return ranked if rank else ranked.drop("rank_")
 
 
 def group_order(groups: DataFrame, name: str, username: str, high: tuple[str, ...], medium: tuple[str, ...]) -> DataFrame:

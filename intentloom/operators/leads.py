@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from intentloom.functions import predicates as P
@@ -13,6 +13,7 @@ from intentloom.functions.lexicons import ChatLexicon, WebLexicon
 from intentloom.functions.text import fold_text, group_blob, item_blob, strip_text
 from intentloom.operators import ledger as ledgers
 from intentloom.operators.identity import fingerprint, first_wins_dedup, ledger_anti_join, message_key
+from intentloom.operators.summary import SKETCH
 
 WEB_LEAD = ("source", "url", "title", "text", "published", "author", "lead_id", "market", "route_to", "intent_score", "credibility_score", "market_fit_score", "classification", "found_at")
 
@@ -42,15 +43,18 @@ def scored_items(items: DataFrame, lex: WebLexicon, routes: DataFrame | None = N
     return labelled.withColumn("route_to", S.route_of(F.col("market"), lex.routes, lex.default_route))
 
 
-def web_leads(items: DataFrame, lex: WebLexicon, found_at: datetime, ledger: DataFrame | None = None, order: Column | None = None, gate: Column | None = None, routes: DataFrame | None = None) -> DataFrame:
+def web_leads(items: DataFrame, lex: WebLexicon, found_at: datetime, ledger: DataFrame | None = None, order: Column | None = None, gate: Column | None = None, routes: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
     """HOT and WARM items as leads: require a url, drop copies (first wins), gate, score, drop what the ledger has.
 
     Copies are dropped before the gates, so that a gated first copy also hides later ones. `order` is the
-    arrival order (without it items are taken as distinct); `gate` a predicate on blob and published.
+    arrival order (without it items are taken as distinct); `gate` a predicate on blob and published. `seen` is told the distinct items before the gates
+    (unique_results, unique_sketch) while the leads are made.
     """
     kept = items.where(F.length(F.coalesce("url", F.lit(""))) > 0).withColumn("lead_id", fingerprint(F.col("url"), F.col("title"), F.col("author")))
     if order is not None:
         kept = first_wins_dedup(kept, "lead_id", order)
+    if seen is not None:
+        kept = kept.observe(seen, F.count(F.lit(1)).alias("unique_results"), F.hll_sketch_agg("lead_id", F.lit(SKETCH)).alias("unique_sketch"))
     kept = kept.withColumn("blob", item_blob(F.col("title"), F.col("text")))
     if gate is not None:
         kept = kept.where(gate)
@@ -130,13 +134,13 @@ def empty_digest(leads: DataFrame, queries: int, results: DataFrame, errors: int
     return found.select(F.format_string("No new leads since the last run.\n\nQueries: %d\nResults: %s\nErrors: %d", F.lit(queries), F.when(F.col("results") == "", "none").otherwise(F.col("results")), errors).alias("message"))
 
 
-def lead_sink(leads: DataFrame, path: str, run_id: str, order: Column | None = None) -> DataFrame:
+def lead_sink(leads: DataFrame, path: str, run_id: str, order: Column | None = None, prefix: int | None = None) -> DataFrame:
     """Appends the leads that the ledger at `path` lacks, tagged by this run; returns what the run has stored.
 
     Of leads with one key the first by `order`, the arrival order, stays. A run that is repeated under its id finds its keys stored and adds nothing. Only partitions of the ledger that the run's keys
     fall into are read (see ledger).
     """
-    return ledgers.append(leads, path, "lead_id", order, run_id=run_id)
+    return ledgers.append(leads, path, "lead_id", order, prefix, run_id=run_id)
 
 
 def scan_log_sink(summary: DataFrame, path: str) -> None:

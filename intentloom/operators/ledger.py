@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intentloom.operators.identity import first_wins_dedup, ledger_anti_join
-from intentloom.session import delete, has_files
+from intentloom.session import delete, has_files, work_folder
 
-#: Letters of the key that name its partition; keys are hexadecimal, so there are 16 partitions a letter.
+#: Letters of the key that name its partition, unless a ledger is made with other ones; keys are hexadecimal, so two letters are 256 partitions.
 PREFIX = 2
 #: A partition of more files than this is written anew by compaction.
 FILES = 16
 
 
-def _parts(key: str) -> Column:
-    return F.coalesce(F.substring(F.col(key), 1, PREFIX), F.lit(""))
+def _parts(key: str, prefix: int | None) -> Column:
+    return F.coalesce(F.substring(F.col(key), 1, PREFIX if prefix is None else prefix), F.lit(""))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -30,15 +30,15 @@ def read(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.option("basePath", path).schema(_schema(spark, path)).parquet(path)
 
 
-def known(frame: DataFrame, path: str, key: str = "lead_id") -> DataFrame | None:
+def known(frame: DataFrame, path: str, key: str = "lead_id", prefix: int | None = None) -> DataFrame | None:
     """The ledger's rows in the partitions that keys of `frame` fall into; None before anything was stored.
 
-    The prefixes of a run, at most 16**PREFIX, are collected and become a filter on the partition, so that a small run lists and reads its own partitions only.
+    The prefixes of a run, at most 16 to the power of their letters, are collected and become a filter on the partition, so that a small run lists and reads its own partitions only.
     """
     found = read(frame.sparkSession, path)
     if found is None:
         return None
-    hit = sorted(r[0] for r in frame.select(_parts(key)).distinct().collect())
+    hit = sorted(r[0] for r in frame.select(_parts(key, prefix)).distinct().collect())
     return found.where(F.col("prefix").isin(hit) if hit else F.lit(False))
 
 
@@ -48,21 +48,25 @@ def _schema(spark: SparkSession, path: str):
     return T.StructType([T.StructField("prefix", T.StringType()) if f.name == "prefix" else f for f in kinds.fields])
 
 
-def append(frame: DataFrame, path: str, key: str = "lead_id", order: Column | None = None, **tags: str | int | datetime) -> DataFrame:
+def append(frame: DataFrame, path: str, key: str = "lead_id", order: Column | None = None, prefix: int | None = None, **tags: str | int | datetime) -> DataFrame:
     """Stores the rows of `frame` whose key the ledger at `path` lacks, tagged by constant columns, and returns the ledger's rows with these tags.
 
     Of rows that repeat a key the first by `order` stays (else the least row by all its columns), so that a rerun stores the same. A run that broke off is run again under its tags: what it had stored
-    is found, the rest is added. Rows move by prefix before they are written: a file per partition hit and run.
+    is found, the rest is added. A ledger is always given the `prefix` that it was made with. Rows move by prefix before they are written: a file per partition hit and run.
     """
     spark = frame.sparkSession
     recover(spark, path)
     first = first_wins_dedup(frame, key, order if order is not None else F.struct(*[F.to_json(F.struct(F.col(c))) for c in frame.columns]))
-    have = known(first, path, key)
+    new = work_folder(spark, "new")
+    first.write.parquet(new)  # made once: its prefixes and its rows are read from there
+    first = spark.read.schema(first.schema).parquet(new)
+    have = known(first, path, key, prefix)
     fresh = first if have is None else ledger_anti_join(first, have, key)
     for name, value in tags.items():
         fresh = fresh.withColumn(name, F.lit(value))
-    fresh = fresh.withColumn("prefix", _parts(key))
+    fresh = fresh.withColumn("prefix", _parts(key, prefix))
     fresh.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+    delete(spark, new)
     # With its schema, as a store without rows has no file to tell it.
     mine = spark.read.schema(fresh.schema).option("basePath", path).parquet(path)
     for name, value in tags.items():

@@ -62,13 +62,14 @@ def counts_map(counts: DataFrame, key: str, value: str) -> DataFrame:
     return counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce(key, F.lit("")), value)))).alias(value))
 
 
-def scan_summary(started: datetime, completed: datetime, queries: int, chat_status: str = "completed", **parts: DataFrame) -> DataFrame:
-    """One row for the run: each part is a frame of one row, whose columns are put side by side."""
+def scan_summary(started: datetime, completed: datetime, queries: int, chat_status: str = "completed", results_per_query: int | None = None, quality_gate: str | None = None, **parts: DataFrame) -> DataFrame:
+    """One row for the run: each part is a frame of one row, whose columns are put side by side. The results asked for per query and the name of the gates are told if given."""
     out = None
     for part in parts.values():
         part = part.withColumn("one_", F.lit(1))
         out = part if out is None else out.join(part, "one_")
     return out.drop("one_").select(
         F.lit(started.strftime("%Y%m%dT%H%M%SZ")).alias("scan_id"), F.lit("completed").alias("status"), F.lit(started).alias("started_at"),
-        F.lit(completed).alias("completed_at"), F.lit(queries).alias("queries"), "*", F.lit(chat_status).alias("chat_status"),
+        F.lit(completed).alias("completed_at"), F.lit(queries).alias("queries"),
+        *([F.lit(results_per_query).alias("results_per_query")] if results_per_query is not None else []), *([F.lit(quality_gate).alias("quality_gate")] if quality_gate is not None else []), "*", F.lit(chat_status).alias("chat_status"),
     )

@@ -30,15 +30,20 @@ ITEMS_SQL = """items as (select source, 'doc://' || doc_id as url, '' as title,
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as messages: the group is named by role, a minute lies between conversations."""
+    """conversations as messages: the group is named by role, a minute lies between conversations; some name a sum."""
     c = F.col
-    return table(spark, sf_dir, "conversations").select(
+    sums = F.when((c("conv_id") % 5 == 0) & (c("turn") % 2 == 0), F.concat(F.lit(" up to "), c("conv_id").cast("string"), F.lit("k"))).when(c("conv_id") % 7 == 0, F.concat(F.lit(" £"), c("conv_id").cast("string"))).otherwise("")
+    return table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", sums)).select(
         c("conv_id").alias("group_id"), c("role").alias("group"), F.when(c("role") == "user", c("role")).alias("group_username"), c("turn").alias("message_id"), "text",
         F.timestamp_seconds(F.lit(1704067200) + c("conv_id") * 60 + c("turn")).alias("date"),
         F.struct(F.when(c("role") == "user", F.concat(F.lit("u"), c("conv_id").cast("string"))).alias("username"), c("role").alias("first_name"), c("conv_id").cast("string").alias("last_name")).alias("sender"),
     )
 
 
+#: The conversations' texts, some of which name a sum.
+TEXT_SQL = "(text || case when conv_id % 5 = 0 and turn % 2 = 0 then ' up to ' || conv_id || 'k' when conv_id % 7 = 0 then ' £' || conv_id else '' end)"
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -68,8 +68,8 @@ def f2a(spark, d):
     return B.table(spark, d, "customer").select("c_custkey", S.sender_label(user, F.when(n % 2 == 0, F.col("c_name")), F.when(n % 5 > 0, F.col("c_mktsegment"))).alias("author"))
 
 
-_SIGNALS = f"""messages as (select conv_id as group_id, role as "group", case when role = 'user' then role else '' end as group_username, turn as message_id, coalesce(text, '') as text,
-  {B.folded_sql('text')} as f, {B.folded_sql("role || ' ' || coalesce(text, '')")} as g from conversations),
+_SIGNALS = f"""messages as (select conv_id as group_id, role as "group", case when role = 'user' then role else '' end as group_username, turn as message_id, coalesce({B.TEXT_SQL}, '') as text,
+  {B.folded_sql(B.TEXT_SQL)} as f, {B.folded_sql(f"role || ' ' || coalesce({B.TEXT_SQL}, '')")} as g from conversations),
 signals as (select *, {', '.join(f"{B.matches_sql('f', getattr(LEX, k))} as {k}" for k in KINDS)},
   regexp_matches(text, '(?i)(£|€|\\$|₺|₽)\\s?\\d|\\b\\d[\\d\\s.,]*\\s?(gbp|eur|usd|try|tl|руб|млн|million|k)\\b') as budget,
   {B.any_sql('f', LEX.negative)} as negative, case "group" when 'user' then 'HIGH' when 'system' then 'MEDIUM' else 'NORMAL' end as priority,
@@ -93,7 +93,7 @@ QUERIES = {
     "b3_strip_text": lambda s, d: B.messages(s, d).select(*ID, strip_text(F.concat(F.lit(" \n\t"), "text", F.lit("\n "))).alias("stripped")),
     "b4_group_blob": lambda s, d: B.messages(s, d).select(*ID, group_blob(F.col("group"), F.col("text")).alias("blob")),
     "c7a_buy_matches": _matches("buy"),
-    "c7b_weak_matches": lambda s, d: B.messages(s, d).select(*ID, F.array_join(P.pattern_matches(fold_text(F.col("text")), (*LEX.buy[:2], *LEX.buy[:1])), ",").alias("matches")),
+    "c7b_weak_matches": _matches("weak"),
     "c7c_sell_matches": _matches("sell"),
     "c7d_rent_matches": _matches("rent"),
     "c7e_context_matches": _matches("context"),
@@ -113,10 +113,10 @@ QUERIES = {
     "f2c_group_label": f2c,
 }
 SQL = {
-    "b3_strip_text": "select conv_id as group_id, turn as message_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as stripped from conversations",
-    "b4_group_blob": f"select conv_id as group_id, turn as message_id, {B.folded_sql(chr(34) + 'role' + chr(34) + ' || ' + chr(39) + ' ' + chr(39) + ' || text')} as blob from conversations",
+    "b3_strip_text": f"select conv_id as group_id, turn as message_id, regexp_replace({B.TEXT_SQL}, '^\\s+|\\s+$', '', 'g') as stripped from conversations",
+    "b4_group_blob": f"select conv_id as group_id, turn as message_id, {B.folded_sql("role || ' ' || " + B.TEXT_SQL)} as blob from conversations",
     "c7a_buy_matches": _from("group_id, message_id, array_to_string(buy, ',') as matches"),
-    "c7b_weak_matches": f"with {_SIGNALS} select group_id, message_id, array_to_string({B.matches_sql('f', (*LEX.buy[:2], *LEX.buy[:1]))}, ',') as matches from messages",
+    "c7b_weak_matches": _from("group_id, message_id, array_to_string(weak, ',') as matches"),
     "c7c_sell_matches": _from("group_id, message_id, array_to_string(sell, ',') as matches"),
     "c7d_rent_matches": _from("group_id, message_id, array_to_string(rent, ',') as matches"),
     "c7e_context_matches": _from("group_id, message_id, array_to_string(context, ',') as matches"),
@@ -129,7 +129,7 @@ SQL = {
     "e2_message_key": _from(f"group_id, message_id, {_KEY} as lead_id"),
     "e5_window_cutoff": "select event_id from events where ts >= timestamp '2024-01-29 12:00:00'",
     "e6_latest_n_per_group": "select event_type, event_id from (select * from events qualify row_number() over (partition by event_type order by ts desc, event_id desc) <= 500) where value > 5",
-    "e6b_message_dedup": "select conv_id as group_id, turn as message_id, text from conversations",
+    "e6b_message_dedup": f"select conv_id as group_id, turn as message_id, {B.TEXT_SQL} as text from conversations",
     "f2_chat_leads": _from(
         f"""{_KEY} as lead_id, 'Chat' as source, 'joined_group' as source_type, "group", priority as group_priority, group_username, message_id,
         strftime(make_timestamp((1704067200 + group_id * 60 + message_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') as message_time,

@@ -20,9 +20,9 @@ def f5(spark, d):
     """Two runs into an empty store: the even documents first, then all; then the second run again, and compaction."""
     path = work_folder(spark, "store")
     found = web.all_leads(spark, d)
-    leads.lead_sink(found.where("doc_id % 2 = 0"), path, "run1")
+    leads.lead_sink(found.where("doc_id % 2 = 0"), path, "run1", prefix=1)
     for _ in range(2):
-        leads.lead_sink(found, path, "run2")
+        leads.lead_sink(found, path, "run2", prefix=1)
     ledger.compact(spark, path, files=1)
     return spark.read.parquet(path).select("doc_id", "lead_id", "run_id")
 
@@ -74,9 +74,10 @@ def _run(spark, d):
     )
     search = B.items(spark, d).withColumn("url", F.col("text")).drop("doc_id")
     folder = work_folder(spark, "run")
+    sources = sorted(r[0] for r in search.select("source").distinct().collect())
     failures = spark.createDataFrame([("news", 2), ("feed", 1)], "source string, errors long")
     return run.scan(
-        search, news, B.messages(spark, d), LEX, PROSE_CHAT, datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 12, 5), 33, f"{folder}/store", f"{folder}/log", per_group=5, failures=failures
+        search, news, B.messages(spark, d), LEX, PROSE_CHAT, datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 12, 5), 33, f"{folder}/store", f"{folder}/log", per_group=5, failures=failures, sources=["news", *sources], prefix=1,
     )
 
 
@@ -85,7 +86,7 @@ def r1(spark, d):
 
 
 def r2(spark, d):
-    return _run(spark, d).record.select("scan_id", "unique_results", "new_hot_warm", "chat_groups", "chat_messages_scanned", "chat_new_hot_warm", "errors", F.col("source_errors")["news"].alias("news_errors"), "chat_status")
+    return _run(spark, d).record.select("scan_id", "unique_results", "new_hot_warm", "chat_groups", "chat_messages_scanned", "chat_new_hot_warm", "errors", F.col("source_errors")["news"].alias("news_errors"), "chat_status", F.to_json("source_counts").alias("source_counts"), "results_per_query")
 
 
 def h1(spark, d):
@@ -110,7 +111,7 @@ def h3(spark, d):
     keyed = raw.select(identity.fingerprint(F.col("text"), F.lit(""), F.lit("")).alias("lead_id"))
     folder = work_folder(spark, "ledger")
     for n in (1, 2):
-        streams.stream_ledger(keyed, f"{folder}/ledger", f"{folder}/checkpoint{n}")
+        streams.stream_ledger(keyed, f"{folder}/ledger", f"{folder}/checkpoint{n}", prefix=1)
     return spark.read.parquet(f"{folder}/ledger").select("lead_id")
 
 
@@ -151,7 +152,9 @@ SQL = {
     "r1_scan_leads": _RUN + " select source, lead_id, market, route_to, intent_score, classification from leads",
     "r2_scan_record": _RUN + f""" select '20240101T120000Z' as scan_id, (select count(distinct lead_id) from labelled where url <> '') as unique_results, (select count(*) from leads) as new_hot_warm,
   (select count(distinct conv_id) from conversations) as chat_groups, count(*) as chat_messages_scanned, count(*) filter (where classification in ('HOT', 'WARM')) as chat_new_hot_warm,
-  3 as errors, 2 as news_errors, 'completed' as chat_status from {_RECENT}""",
+  3 as errors, 2 as news_errors, 'completed' as chat_status, 5 as results_per_query,
+  '{{"Chat":' || count(*) filter (where classification in ('HOT', 'WARM')) || ',' || (select string_agg('"' || source || '":' || n, ',' order by source) from
+    (select source, count(*) as n from (select source from documents union all select 'news' from benchmark) group by source)) || '}}' as source_counts from {_RECENT}""",
     "f5_lead_sink": _WEB + " select doc_id, lead_id, case when doc_id % 2 = 0 then 'run1' else 'run2' end as run_id from leads",
     "f6_scan_log_sink": _WEB + " select '20240131T000000Z' as scan_id, 'completed' as status, 33 as queries, count(*) as new_hot_warm from leads",
     "g1_source_counts": "select source, count(*) as n from documents group by source",

@@ -94,7 +94,9 @@ def d1b(spark, d):
 
 def c6(spark, d):
     events = B.table(spark, d, "events")
-    published = F.when(F.col("event_id") % 10 == 0, "garbage").when(F.col("event_id") % 10 == 1, "").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    published = F.when(F.col("event_id") % 10 == 0, "garbage").when(F.col("event_id") % 10 == 1, "").when(F.col("event_id") % 10 == 2, F.date_format("ts", "yyyyMMdd'T'HHmmss"))
+    published = published.when(F.col("event_id") % 10 == 3, F.concat(F.date_format("ts", "yyyy"), F.lit("-W"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"), F.lit("-"), (F.weekday("ts") + 1).cast("string")))
+    published = published.when(F.col("event_id") % 10 == 4, F.concat(F.date_format(F.col("ts") + F.expr("interval 150 minutes"), "yyyy-MM-dd HH:mm:ss"), F.lit("+02:30"))).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     return events.select("event_id", P.recency_gate(published, F.lit("2024-04-05 12:00:00").cast("timestamp")).alias("keep"))
 
 
@@ -213,7 +215,7 @@ SQL = {
     "c3_personal_gate": _ITEMS + f"select doc_id, {B.any_sql('blob', LEX.personal)} as personal from items",
     "c4_negative_gate": _ITEMS + f"select doc_id, {B.any_sql('blob', LEX.negative)} as negative from items",
     "c5_excluded_market_gate": _ITEMS + f"select doc_id, {B.any_sql('blob', LEX.excluded_places)} as excluded from items",
-    "c6_recency_gate": "select event_id, event_id % 10 < 2 or date_trunc('second', ts) >= timestamp '2024-01-06 12:00:00' as keep from events",
+    "c6_recency_gate": "select event_id, event_id % 10 < 2 or date_trunc(case when event_id % 10 = 3 then 'day' else 'second' end, ts) >= timestamp '2024-01-06 12:00:00' as keep from events",
     "c8_budget_web": _ITEMS + f"select doc_id, {_BUDGET} as budget from items",
     "c10_timeframe_flag": _ITEMS + f"select doc_id, {B.any_sql('blob', LEX.timeframe)} as timeframe from items",
     "c11_pronoun_flag": _ITEMS + f"select doc_id, {B.any_sql('blob', LEX.pronoun)} as pronoun from items",

@@ -38,7 +38,7 @@ def stream_counts(events: DataFrame, by: str, when: str = "ts", width: str = "1
     return timed.groupBy(F.window(when, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), by, "n")
 
 
-def stream_ledger(stream: DataFrame, path: str, checkpoint: str, key: str = "lead_id", order: Column | None = None) -> None:
+def stream_ledger(stream: DataFrame, path: str, checkpoint: str, key: str = "lead_id", order: Column | None = None, prefix: int | None = None) -> None:
     """Insert-if-absent of a stream into the ledger at `path`.
 
     Each micro-batch reads the partitions that its keys fall into and appends what they lack, tagged by its id. A batch that is run again after a failure
@@ -46,7 +46,7 @@ def stream_ledger(stream: DataFrame, path: str, checkpoint: str, key: str = "lea
     """
 
     def insert(batch: DataFrame, batch_id: int) -> None:
-        ledger.append(batch, path, key, order, batch_id=batch_id)
+        ledger.append(batch, path, key, order, prefix, batch_id=batch_id)
 
     stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -1,6 +1,6 @@
 """Rules worked out by hand on small tables."""
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +294,21 @@ def test_what_a_scan_reads_and_counts(spark, tmp_path):
     broken = run.scan(search, news, chat.drop("date"), LEX, CHAT, NOW, NOW, 13, str(tmp_path / "s2"), str(tmp_path / "l2"))
     r = one(broken.record)
     assert (r.chat_status, r.chat_groups, r.chat_messages_scanned, r.chat_new_hot_warm) == ("error", 0, 0, 0)
+
+
+def test_iso_dates_as_the_standard_library_reads_them(spark):
+    texts = [
+        "2024-01-31", "20240131", "2024-01-31T10:30:05", "20240131T103005", "20240131T1030", "2024-01-31T10", "2024-01-31 10:30:05.123456", "20240131T103005,5", "2024-01-31T10:30:05.1234567", "2024-01-31T10:30Z",
+        "20240131T103005Z", "20240131T103005+0230", "2024-01-31T10:30:05-05:00", "20240131T10+02", "2024-W05-3", "2024W053", "2024-W05", "2024W05T1030", "2026-W53-1", "2025-W53-1", "2024-W00-1", "2024-02-30", "20240230",
+        "2024-01-31T24:30", "2024", "2024-11", "202411", "10:00", "garbage", "", "Mon, 01 Jan 2024 00:00:00 GMT", "2024-1-3", "2024-01-31T10:30:05+0230x",
+    ]
+
+    def read(t):
+        try:
+            at = datetime.fromisoformat(t)
+        except ValueError:
+            return None
+        return at.astimezone(timezone.utc).replace(tzinfo=None) if at.tzinfo else at
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", F.date_format(P.iso_timestamp(F.col("t")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).collect()
+    assert {r.t: r.at for r in rows} == {t: read(t) and read(t).strftime("%Y-%m-%d %H:%M:%S.%f") for t in texts}
