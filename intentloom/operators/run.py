@@ -120,7 +120,9 @@ def scan(
         by_source = spark.createDataFrame([(s, raw.get[f"n{i}"]) for i, s in enumerate(sources) if raw.get[f"n{i}"]], "source string, n long")
     unique = spark.createDataFrame([(seen.get["unique_results"], seen.get["unique_sketch"])], "unique_results long, unique_sketch binary")
     all_sources = by_source.unionByName(found.agg(F.lit("Chat").alias("source"), F.count("*").alias("n")))
-    failed = by_source.select("source", F.lit(0).cast("long").alias("errors")).unionByName(spark.createDataFrame([("Chat", chat_errors)], "source string, errors long"))
+    failed = by_source.select("source", F.lit(0).cast("long").alias("errors"))
+    if chat_errors:
+        failed = failed.unionByName(spark.createDataFrame([("Chat", chat_errors)], "source string, errors long"))
     if failures is not None:
         failed = failed.unionByName(failures.select("source", F.col("errors").cast("long").alias("errors")))
     record = summary.scan_summary(

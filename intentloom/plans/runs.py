@@ -105,6 +105,21 @@ def h2(spark, d):
     return found.select("user_id", "event_type")
 
 
+def h2b(spark, d):
+    """First sights of a user's kind of event, three days apart, over a stream of eight files; every eleventh event of the last hours of a file comes with the next one."""
+    folder, day = work_folder(spark, "sights"), F.unix_date(F.to_date("ts"))
+    events = B.table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    low = events.agg(F.min(day)).first()[0]
+    part = F.floor((day - F.lit(low)) / 4)
+    late = (F.col("event_id") % 11 == 0) & ((day - F.lit(low)) % 4 == 3) & (F.hour("ts") >= 12)
+    dealt = events.withColumn("part", F.least(F.when(late, part + 1).otherwise(part), F.lit(7)))
+    for i in range(8):
+        dealt.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    raw = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    found = streams.run_to_table(streams.stream_first_sights(raw, ["user_id", "event_type"], horizon="3 days"), f"{folder}/out", f"{folder}/checkpoint")
+    return found.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sight"))
+
+
 def h3(spark, d):
     """The ledger after the stream has run twice from nothing."""
     raw = streams.read_files(spark, f"{d}/documents.parquet")
@@ -136,6 +151,7 @@ QUERIES = {
     "r2_scan_record": r2,
     "h1_stream_score": h1,
     "h2_stream_dedup": h2,
+    "h2b_stream_first_sights": h2b,
     "h3_stream_ledger": h3,
     "h4_stream_counts": h4,
 }
@@ -171,6 +187,10 @@ SQL = {
     "g6_error_counts": "select event_type, count(*) filter (where event_id % 7 = 0 or event_id % 11 = 0) as errors from events group by event_type",
     "h1_stream_score": _WEB + " select doc_id, intent_score, classification from leads",
     "h2_stream_dedup": "select distinct user_id, event_type from events",
+    "h2b_stream_first_sights": """with recursive e as (select user_id, event_type, ts from events where ts < (select max(ts) from events) - interval 24 hours),
+  s(user_id, event_type, ts) as (select user_id, event_type, min(ts) from e group by all
+    union all select s.user_id, s.event_type, min(e.ts) from s join e on e.user_id = s.user_id and e.event_type = s.event_type and e.ts >= s.ts + interval 3 days group by s.user_id, s.event_type, s.ts)
+  select user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') as sight from s""",
     "h3_stream_ledger": "select distinct sha256(lower(coalesce(text, '') || '||')) as lead_id from documents",
     "h4_stream_counts": "select strftime(w, '%Y-%m-%d %H:%M:%S') as window_start, event_type, n from (select date_trunc('day', ts) as w, event_type, count(*) as n from events group by all) where w + interval 1 day <= (select max(ts) from events) - interval 24 hours",
 }

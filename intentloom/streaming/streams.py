@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from intentloom.operators import ledger
 
@@ -32,6 +34,38 @@ def stream_dedup(events: DataFrame, keys: list[str], when: str = "ts", horizon:
     return events.withColumn(when, F.col(when).cast("timestamp")).withWatermark(when, horizon).dropDuplicatesWithinWatermark(keys)
 
 
+def stream_first_sights(events: DataFrame, keys: list[str], when: str = "ts", horizon: str = "24 hours", late: str = "24 hours") -> DataFrame:
+    """(keys, when): each sight of a key that comes `horizon` or more after the last one given out, the first one included.
+
+    That is decided in the order of event time, whatever the order of arrival: times wait in the key's state until the watermark, `late` behind the newest event, has passed them, so the result is that of the whole
+    history sorted, for rows less than `late` behind. State has the last sight and the waiting times of a key; a timer gives out what waits, and drops the state of keys whose horizon has passed.
+    Null times are left out.
+    """
+    span = int(pd.Timedelta(horizon) / pd.Timedelta(microseconds=1))
+    timed = events.where(F.col(when).isNotNull()).select(*keys, F.col(when).cast("timestamp").alias(when)).withWatermark(when, late)
+    kinds = timed.select(*keys, when).schema
+    micros = timed.withColumn("micros_", F.unix_micros(when))
+
+    def sights(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, [])
+        waiting = sorted([*waiting, *(t for b in batches for t in b["micros_"].tolist())]) if not state.hasTimedOut else list(waiting)
+        passed, out = state.getCurrentWatermarkMs() * 1000, []
+        while waiting and waiting[0] < passed:
+            t = waiting.pop(0)
+            if last is None or t >= last + span:
+                last = t
+                out.append(t)
+        if not waiting and (last is None or last + span <= passed):
+            state.remove()
+        else:
+            state.update((last, waiting))
+            state.setTimeoutTimestamp(max(passed // 1000, (waiting[0] if waiting else last + span) // 1000) + 1)
+        if out:
+            yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(keys, key, strict=True)}, when: pd.to_datetime(out, unit="us")})
+
+    return micros.groupBy(*keys).applyInPandasWithState(sights, kinds, "last long, waiting array<long>", "append", "EventTimeTimeout")
+
+
 def stream_counts(events: DataFrame, by: str, when: str = "ts", width: str = "1 day", late: str = "24 hours") -> DataFrame:
     """Rows per tumbling window and key, given out once the watermark has passed the window."""
     timed = events.withColumn(when, F.col(when).cast("timestamp")).withWatermark(when, late)

@@ -10,7 +10,7 @@ from intentloom.functions import predicates as P
 from intentloom.functions import scoring as S
 from intentloom.functions.lexicons import PROSE_CHAT, ChatLexicon, Pattern, WebLexicon, words
 from intentloom.functions.text import fold_text, item_blob, strip_text
-from intentloom.operators import identity, intake, leads, summary
+from intentloom.operators import identity, intake, leads, ledger, run, summary
 from intentloom.schemas import ITEMS
 from intentloom.sources import feeds
 from intentloom.streaming import streams
@@ -211,8 +211,10 @@ def test_sinks_run_again_add_nothing(spark, tmp_path):
 
 def test_digest_only_without_leads(spark):
     some, none = spark.range(2), spark.range(0)
-    assert leads.empty_digest(some, 3, some).count() == 0
-    assert "Queries: 3. Results: 2." in one(leads.empty_digest(none, 3, some)).message
+    counts = spark.createDataFrame([("news", 2), ("hits", 5), (None, 1)], "source string, n long")
+    assert leads.empty_digest(some, 3, counts).count() == 0
+    assert one(leads.empty_digest(none, 3, counts, 4)).message.split("\n\n")[1] == "Queries: 3\nResults:  1, hits 5, news 2\nErrors: 4"
+    assert "Results: none" in one(leads.empty_digest(none, 3, counts.limit(0))).message
 
 
 def test_priority_by_table_and_list(spark):
@@ -245,7 +247,7 @@ def test_plans(spark):
     assert plan(scored).count("want to buy") == 1
     found = leads.chat_leads(messages(spark, "a"), PROSE_CHAT, NOW)
     patterns = sum(len(getattr(PROSE_CHAT, k)) for k in ("buy", "weak", "sell", "rent", "context"))
-    assert patterns == 16 and found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == patterns
+    assert patterns == 20 and found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == patterns
 
 
 def test_blob_keeps_its_space(spark):
@@ -294,6 +296,35 @@ def test_what_a_scan_reads_and_counts(spark, tmp_path):
     broken = run.scan(search, news, chat.drop("date"), LEX, CHAT, NOW, NOW, 13, str(tmp_path / "s2"), str(tmp_path / "l2"))
     r = one(broken.record)
     assert (r.chat_status, r.chat_groups, r.chat_messages_scanned, r.chat_new_hot_warm) == ("error", 0, 0, 0)
+    assert (r.errors, r.source_errors["Chat"], r.results_per_query, r.quality_gate[:8]) == (1, 1, 5, "personal")
+    late = datetime(2026, 2, 1)  # what was stored before the failure counts
+    ledger.append(found.chat.drop("run_id"), str(tmp_path / "s3/chat"), run_id=late.strftime("%Y%m%dT%H%M%SZ"))
+    broken = run.scan(search, news, chat.drop("date"), LEX, CHAT, late, late, 13, str(tmp_path / "s3"), str(tmp_path / "l3"))
+    assert (one(broken.record).chat_new_hot_warm, broken.chat.count(), one(broken.record).errors) == (2, 2, 1)
+    for reason in run.SKIPPED:
+        r = one(run.scan(search, news, chat, LEX, CHAT, NOW, NOW, 13, str(tmp_path / "s4"), str(tmp_path / "l4"), chat_skipped=reason).record)
+        assert (r.chat_status, r.chat_groups, r.errors, r.source_counts["Chat"]) == (reason, 0, 0, 0)
+    assert one(run.scan(search, news, None, LEX, CHAT, NOW, NOW, 13, str(tmp_path / "s5"), str(tmp_path / "l5")).record).chat_status == "skipped"
+    with pytest.raises(ValueError):
+        run.scan(search, news, chat, LEX, CHAT, NOW, NOW, 13, str(tmp_path / "s6"), str(tmp_path / "l6"), chat_skipped="tired")
+
+
+def test_a_run_reads_each_input_once(spark, tmp_path):
+    """The record's counts come from the jobs that make the leads."""
+    hits = [("s" if i % 3 else "t", f"http://a.example/{i % 7}", "", f"i want to buy 2026 alpha {i % 7}", None, "", 1, i) for i in range(30)]
+    names = "source string, url string, title string, text string, published string, author string, query_idx int, pos int"
+    spark.createDataFrame(hits, names).write.parquet(str(tmp_path / "hits"))
+    messages(spark, "buy where 200k", "hello", "").write.parquet(str(tmp_path / "chat"))
+    read = lambda n: spark.read.parquet(str(tmp_path / n))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    found = run.scan(read("hits"), read("hits").limit(0), read("chat"), LEX, CHAT, NOW, NOW, 9, str(tmp_path / "s"), str(tmp_path / "l"), sources=("s", "t", "none"))
+    r = one(found.record)
+    executions = store.executionsList()
+    plans = [executions.apply(i).physicalPlanDescription() for i in range(before, executions.size())]
+    assert [sum(f"{tmp_path}/{n}]" in p for p in plans) for n in ("hits", "chat")] == [1, 1]
+    assert (r.unique_results, r.source_counts, r.chat_groups, r.chat_messages_scanned) == (7, {"Chat": r.chat_new_hot_warm, "s": 20, "t": 10}, 1, 2)
+    assert one(summary.unique_over_runs(spark.read.parquet(str(tmp_path / "l")))).unique_results == 7
 
 
 def test_iso_dates_as_the_standard_library_reads_them(spark):
