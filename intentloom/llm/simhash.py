@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -63,14 +63,35 @@ def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.ascontiguousarray(a ^ b).view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
 
 
+def retained(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Which of the pairs that met share `least` or more positional bytes: the count filter."""
+    return np.flatnonzero(tally(a, b) >= least)
+
+
 def near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
     """Which pairs stay: those that share the guaranteed number of bytes, and of these the ones at most `max_bits` apart."""
-    fit = np.flatnonzero(tally(a, b) >= BYTES - max_bits)
+    fit = retained(a, b, BYTES - max_bits)
     out = np.zeros(len(a), bool)
     out[fit] = np.bitwise_count(a[fit] ^ b[fit]) <= max_bits
     return out
 
 
+@lru_cache
+def positions(max_bits: int) -> list[tuple[int, ...]]:
+    """Choices of one byte position less than a fitting pair must share, such that any positions that it shares include one of them.
+
+    Chosen greedily, those that stand for most sets of shared positions first; for pairs of 4 bits, where 4 bytes are shared, some twenty of the 56 threes will do.
+    """
+    shared = 8 - max_bits
+    open_ = set(combinations(range(BYTES), shared))
+    choices, out = list(combinations(range(BYTES), shared - 1)), []
+    while open_:
+        best = max(choices, key=lambda c: (sum(set(c) <= set(s) for s in open_), c))
+        out.append(best)
+        open_ = {s for s in open_ if not set(best) <= set(s)}
+    return out
+
+
 def _posted(batches: Iterator[pa.RecordBatch], masks: list[int], parts: int) -> Iterator[pa.RecordBatch]:
     """Fingerprints under every choice of positions: one row per cell with the fingerprints whose bytes there fall into it."""
     for batch in batches:
@@ -131,15 +152,15 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """Edges (a, b), a < b, between fingerprints (column fp) at most `max_bits` apart, enough to connect all that such pairs connect.
 
     Two fingerprints that differ in d bits differ in d bytes at most, so they share at least 8 - d of their 8 positional
-    bytes. The index has a posting for the bytes at each choice of that many positions, so that a pair that shares too few
-    bytes meets nowhere. Where a pair meets, the positional bytes that it shares are tallied; it stays if they reach the
+    bytes. The index has postings for the bytes at choices of one position less (see positions), in one of which every such pair meets, and others do too. Where a
+    pair meets, all positional bytes that it shares are tallied; it stays if they reach the
     guaranteed number, and is then verified by its Hamming distance. Postings come packed, CELL entries or so of one choice of positions in a
     task; small ones are compared pair by pair, larger ones breadth first, and only edges leave the task. `max_bits` from 2
     to 6 are indexed, others are a ValueError. Repeated fingerprints count once; none give no edges.
     """
     if not 2 <= max_bits <= 6:
         raise ValueError("max_bits must be between 2 and 6")
-    masks = [sum(0xFF << 8 * j for j in c) for c in combinations(range(BYTES), BYTES - max_bits)]
+    masks = [sum(0xFF << 8 * j for j in c) for c in positions(max_bits)]
     prints = common.stored(prints.select("fp").distinct(), "prints")
     n = prints.count()
     parts = common.partitions_for(n, CELL)

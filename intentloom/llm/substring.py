@@ -33,14 +33,10 @@ def rolling(codes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     return common.mixed((total[width:] - total[:-width]) * inverse[: n - width + 1])
 
 
-def _extreme(x: np.ndarray, width: int, of) -> np.ndarray:
-    """of (minimum or maximum) over each `width` neighbours, by doubling."""
-    step, out = 1, x
-    while step * 2 <= width:
-        out = of(out[:-step], out[step:])
-        step *= 2
-    rest = width - step
-    return of(out[: len(out) - rest], out[rest:]) if rest else out
+def spelled(sixes: np.ndarray) -> str:
+    """Words of LETTERS numbers as a string. A letter has 6 bits of a word's code and is of the alphabet of its place in the word, as
+    the automata look through a node's children one by one; so a phrase stands for 144 bits and starts at whole words only."""
+    return (sixes.reshape(-1, LETTERS).astype("<u4") + (0x100 + 64 * np.arange(LETTERS)).astype("<u4")).tobytes().decode("utf-32-le")
 
 
 class Block:
@@ -59,23 +55,23 @@ class Block:
         left = np.repeat(self.ends, self.sizes) - np.arange(len(self.codes))
         return left[:n] >= width
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of phrases chosen by content: the smallest of every window of words, so that equal
-        windows have equal phrases at equal places."""
-        h, span = rolling(self.codes, PHRASE), self.width - PHRASE + 1
-        whole = self.inside(self.width)
-        if not whole.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        low = np.where(whole, _extreme(h, span, np.minimum), 0)
-        padded = np.concatenate((np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)))
-        at = np.flatnonzero((_extreme(padded, span, np.maximum) == h) & (h > 0))
-        return at, h[at]
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the phrases at all places, whether each place counts (the phrase stays in its document, which holds a window), and whether it is picked.
+
+        Picked are places of a grid: every width - PHRASE + 1 words from a document's start on, so that every window holds a picked phrase.
+        """
+        h = rolling(self.codes, PHRASE)
+        counts = self.inside(PHRASE) & (np.repeat(self.sizes, self.sizes)[: len(h)] >= self.width)
+        at = (np.arange(len(self.codes)) - np.repeat(self.ends - self.sizes, self.sizes))[: len(h)]
+        return h, counts, counts & (at % (self.width - PHRASE + 1) == 0)
+
+    def sixes(self) -> np.ndarray:
+        """The words as LETTERS numbers of 6 bits each."""
+        return np.stack([(self.codes >> np.uint64(58 - 6 * k)) & np.uint64(63) for k in range(LETTERS)], 1).astype(np.uint8)
 
     def letters(self) -> str:
-        """The documents as a string for the automata. A word is LETTERS letters, each of 6 bits of its code and from an alphabet of its own, as
-        the automata look through a node's children one by one; so a phrase stands for 144 bits and starts at whole words only."""
-        letters = np.stack([((self.codes >> np.uint64(58 - 6 * k)) & np.uint64(63)) + np.uint64(0x100 + 64 * k) for k in range(LETTERS)], 1)
-        return letters.astype("<u4").tobytes().decode("utf-32-le")
+        """The documents as a string for the automata, see spelled."""
+        return spelled(self.sixes())
 
     def candidates(self, places: np.ndarray) -> np.ndarray:
         """Places of windows that hold one of the phrases that stand at `places`."""
@@ -97,37 +93,26 @@ class Block:
         return np.cumsum(change)[:-1] > 0
 
 
-def shards(blocks: list[Block], recurring: np.ndarray) -> Iterator[ahocorasick.Automaton]:
-    """Automata of at most SHARD phrases each, of the phrases of all `blocks` whose hashes are among `recurring`."""
-    hashes, owner, place = [], [], []
-    for i, block in enumerate(blocks):
-        at, h = block.anchors()
-        some = np.isin(h, recurring)
-        hashes.append(h[some])
-        place.append(at[some])
-        owner.append(np.full(int(some.sum()), i))
-    _, first = np.unique(np.concatenate(hashes), return_index=True)
-    owner, place = np.concatenate(owner)[first], np.concatenate(place)[first]
-    for begin in range(0, len(first), SHARD):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        these = slice(begin, begin + SHARD)
-        for i in np.unique(owner[these]).tolist():
-            string = blocks[i].letters()
-            for at in place[these][owner[these] == i].tolist():
-                automaton.add_word(string[LETTERS * at : LETTERS * (at + PHRASE)])
+def shards(phrases: np.ndarray) -> Iterator[ahocorasick.Automaton]:
+    """Automata of at most SHARD of the confirmed phrases each, as spelled (rows of PHRASE * LETTERS numbers)."""
+    for begin in range(0, len(phrases), SHARD):
+        automaton, some = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), phrases[begin : begin + SHARD]
+        text, size = spelled(some), PHRASE * LETTERS
+        for at in range(0, len(text), size):
+            automaton.add_word(text[at : at + size])
         automaton.make_automaton()
         yield automaton
 
 
-def occurrences(blocks: list[Block], recurring: np.ndarray) -> list[np.ndarray]:
-    """Places, per block, where a recurring phrase stands: all documents of the blocks streamed through every shard.
+def occurrences(blocks: list[Block], phrases: np.ndarray) -> list[np.ndarray]:
+    """Places, per block, where a confirmed phrase stands: all documents of the blocks streamed through every shard.
 
     Documents follow each other in a block's string; finds across an end are dropped.
     """
-    found = [[np.zeros(0, np.int64)] for _ in blocks]
-    for automaton in shards(blocks, recurring):
-        for block, places in zip(blocks, found, strict=True):
-            places.append(np.fromiter((end for end, _ in automaton.iter(block.letters())), np.int64) // LETTERS - PHRASE + 1)
+    found, strings = [[np.zeros(0, np.int64)] for _ in blocks], [b.letters() for b in blocks]
+    for automaton in shards(phrases):
+        for string, places in zip(strings, found, strict=True):
+            places.append(np.fromiter((end for end, _ in automaton.iter(string)), np.int64) // LETTERS - PHRASE + 1)
     out = []
     for block, places in zip(blocks, found, strict=True):
         places = np.unique(np.concatenate(places))
@@ -135,6 +120,51 @@ def occurrences(blocks: list[Block], recurring: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _posted(blk: int, block: Block, cells: int) -> pa.RecordBatch:
+    """A block's phrases, dealt by hash to cells: one row per cell that has some, with the distinct hashes (32 bits; the cell stands for more), which of them
+    stand at two places, and the picked ones, as spelled."""
+    h, counts, picked = block.phrases()
+    hashes, times = np.unique(h[counts], return_counts=True)
+    grid, at = np.unique(h[picked], return_index=True)
+    at, sixes = np.flatnonzero(picked)[at], block.sixes()
+    spelt = sixes[at[:, None] + np.arange(PHRASE)].reshape(len(at), PHRASE * LETTERS)
+    cell, grid_cell = (((x >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64) for x in (hashes, grid))
+    some, starts = np.unique(cell, return_index=True)
+    ends, low, high = np.append(starts, len(cell))[1:], np.searchsorted(grid_cell, some), np.searchsorted(grid_cell, some, "right")
+    short, grid = hashes.astype("<u4"), grid.astype("<u4")  # the low 32 bits
+    cut = lambda x, begin, end: pa.array([x[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+    twice = pa.array([np.packbits(times[a:b] > 1).tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blk] * len(some), pa.int64()), cut(short, starts, ends), twice, cut(grid, low, high), cut(spelt, low, high)], names=_POSTED_NAMES)
+
+
+_POSTED = "cell int, blk long, hashes binary, twice binary, picked binary, spelled binary"
+_POSTED_NAMES = [f.split()[0] for f in _POSTED.split(", ")]
+
+
+def _confirmed(table: pa.Table) -> pa.Table:
+    """Of a cell's picked phrases those that stand at two places or more of all blocks, as spelled, for each block that has them anywhere."""
+    column = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    hashes = column("hashes", "<u4")
+    sizes = [len(x) for x in hashes]
+    times = 1 + np.concatenate([np.unpackbits(t, count=n) for t, n in zip(column("twice", np.uint8), sizes, strict=True)]).astype(np.int8)
+    every = np.concatenate(hashes)
+    order = np.argsort(every, kind="stable")
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(every[order])) + 1))
+    again = every[order][starts][np.add.reduceat(times[order].astype(np.int64), starts) > 1]
+    picked, spelt = np.concatenate(column("picked", "<u4")), np.concatenate(column("spelled", np.uint8)).reshape(-1, PHRASE * LETTERS)
+    keep = np.isin(picked, again)
+    rows = np.unique(np.column_stack([picked[keep].astype(">u4").view(np.uint8).reshape(-1, 4), spelt[keep]]), axis=0)
+    known = rows[:, :4].copy().view(">u4").ravel() if len(rows) else np.zeros(0, np.uint32)
+    out = []
+    for blk, own in zip(table.column("blk").to_pylist(), hashes, strict=True):
+        low, high = np.searchsorted(known, own), np.searchsorted(known, own, "right")
+        count = high - low
+        if count.any():
+            at = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            out.append((blk, rows[at, 4:].tobytes()))
+    return pa.table({"blk": pa.array([r[0] for r in out], pa.int64()), "hashes": pa.array([r[1] for r in out], pa.binary())})
+
+
 def _dealt(blk: int, hashes: np.ndarray, checks: np.ndarray, cells: int) -> pa.RecordBatch:
     """Distinct hashes of a block, dealt by hash to cells: one row per cell that has some, with how often each occurs (1 or more: 2)."""
     order = np.lexsort((checks, hashes))
@@ -157,11 +187,10 @@ def _dealt(blk: int, hashes: np.ndarray, checks: np.ndarray, cells: int) -> pa.R
 _DEALT = "cell int, blk long, hashes binary, checks binary, twice binary"
 
 
-def _anchor_hashes(batches: Iterator[pa.RecordBatch], text: str, width: int, cells: int) -> Iterator[pa.RecordBatch]:
+def _phrase_hashes(batches: Iterator[pa.RecordBatch], text: str, width: int, cells: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blk, payload in zip(batch.column("blk").to_pylist(), batch.column("payload"), strict=True):
-            _, hashes = Block(payload.as_buffer(), text, width).anchors()
-            yield _dealt(blk, hashes, np.zeros(len(hashes), np.uint8), cells)
+            yield _posted(blk, Block(payload.as_buffer(), text, width), cells)
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch], text: str, width: int, cells: int) -> Iterator[pa.RecordBatch]:
@@ -169,7 +198,7 @@ def _window_hashes(batches: Iterator[pa.RecordBatch], text: str, width: int, cel
 
     def flush() -> Iterator[pa.RecordBatch]:
         blocks = [b for _, b, _ in held]
-        places = occurrences(blocks, np.unique(np.concatenate([k for *_, k in held])))
+        places = occurrences(blocks, np.unique(np.concatenate([k for *_, k in held]), axis=0))
         for (blk, block, _), found in zip(held, places, strict=True):
             at = block.candidates(found)
             checks = (rolling(block.codes, width, 1)[at] >> np.uint64(32)).astype("<u4")
@@ -178,7 +207,7 @@ def _window_hashes(batches: Iterator[pa.RecordBatch], text: str, width: int, cel
 
     for batch in batches:
         for blk, payload, known in zip(batch.column("blk").to_pylist(), batch.column("payload"), batch.column("known"), strict=True):
-            held.append((blk, Block(payload.as_buffer(), text, width), _joined(known)))
+            held.append((blk, Block(payload.as_buffer(), text, width), np.frombuffer(b"".join(known.as_py()), np.uint8).reshape(-1, PHRASE * LETTERS)))
             if sum(len(b.codes) for _, b, _ in held) >= SHARED_WORDS:
                 yield from flush()
     if held:
@@ -207,9 +236,9 @@ def _recurring(table: pa.Table) -> pa.Table:
     return pa.table({"blk": pa.array([r[0] for r in rows], pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _back(dealt: DataFrame, cells: int) -> DataFrame:
-    """Recurring hashes of each block (blk, known), counted in a task per cell."""
-    found = dealt.repartition(cells, "cell").groupBy("cell").applyInArrow(_recurring, "blk long, hashes binary")
+def _back(dealt: DataFrame, cells: int, counted=_recurring) -> DataFrame:
+    """What recurs of each block (blk, known), counted in a task per cell."""
+    found = dealt.repartition(cells, "cell").groupBy("cell").applyInArrow(counted, "blk long, hashes binary")
     return found.groupBy("blk").agg(F.collect_list("hashes").alias("known"))
 
 
@@ -232,13 +261,13 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = 35, names:
     """`docs` with n_words, n_removed and kept_text, or three other `names`: every word covered by a window of `width` words
     that also starts anywhere else is removed, windows being judged on the input.
 
-    Equal windows hold equal chosen phrases of PHRASE words (the smallest hash of each window). 1. The
-    chosen phrases of all blocks are counted by hash, which confirms those that recur anywhere. 2. The recurring phrases are compiled into
-    automata of SHARD phrases at most, and documents are streamed through them: all documents of a partition, SHARED_WORDS words at a time, through
-    all shards of the phrases of the list that these documents were counted for (others cannot stand in them). Windows around a find are the only ones that can
+    1. Phrases of PHRASE words are picked on a grid, so that every window holds one, and those are confirmed that stand anywhere else, on the grid or not: the hashes of
+    the phrases at all places are counted in cells. 2. Confirmed phrases are compiled into
+    automata of SHARD phrases at most, and documents are streamed through them to locate every occurrence: all documents of a partition, SHARED_WORDS words at a time, through
+    all shards of the phrases that these documents were counted to have (others cannot stand in them). Windows around a find are the only ones that can
     repeat, and their 96-bit hashes are counted in turn. 3. Each block marks the words of its repeated
     windows. Hashes travel as packed arrays, one row per block and range of hashes; an array holds a
-    hash once per block, so a passage in a third of all documents adds one entry per block. Texts don't travel.
+    hash once per block, so a passage in a third of all documents adds one entry per block. Of texts only picked phrases travel.
     Null texts have no words; their kept_text is empty. Repeated rows repeat all their windows. Texts under
     `width` words lose nothing; kept words are joined by one space. Other columns pass through, those of
     the three names are replaced. An empty table stays empty.
@@ -249,8 +278,8 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = 35, names:
     blocks = common.blocks_of(docs, text)
     cells = common.partitions_for(blocks.agg(F.sum("bytes")).first()[0] or 0, CELL_BYTES)
     options = {"text": text, "width": width}
-    anchors = blocks.select("blk", "payload").mapInArrow(partial(_anchor_hashes, cells=cells, **options), _DEALT)
-    known = common.stored(_back(anchors, cells), "phrases")
+    phrases = blocks.select("blk", "payload").mapInArrow(partial(_phrase_hashes, cells=cells, **options), _POSTED)
+    known = common.stored(_back(phrases, cells, _confirmed), "phrases")
     met = blocks.select("blk", "payload").join(known, "blk")
     windows = met.select("blk", "payload", "known").mapInArrow(partial(_window_hashes, cells=cells, **options), _DEALT)
     repeated = common.stored(_back(windows, cells), "windows")

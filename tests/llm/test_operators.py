@@ -457,6 +457,28 @@ def test_passages_equal_brute_force(spark, docs, table, odd):
     assert substring.without_repeats(empty(spark)).count() == 0
 
 
+def test_phrases_are_found_by_the_automata(spark, docs, table, monkeypatch):
+    """Picked places alone, without the search through all documents, miss passages; and so does a search without the confirmed phrases."""
+    blocks = [substring.Block(r.payload, "text", 35) for r in common.blocks_of(docs.select("doc_id", "text").repartition(1), budget=40_000).collect()]
+    posted = [substring._posted(i, b, 3) for i, b in enumerate(blocks)]
+    known = collections.defaultdict(list)
+    merged = pa.Table.from_batches(posted)
+    for cell in set(merged.column("cell").to_pylist()):
+        for r in substring._confirmed(merged.filter(pa.compute.equal(merged.column("cell"), cell))).to_pylist():
+            known[r["blk"]].append(np.frombuffer(r["hashes"], np.uint8).reshape(-1, substring.PHRASE * substring.LETTERS))
+    found = substring.occurrences(blocks, np.unique(np.concatenate([k for v in known.values() for k in v]), axis=0))
+    counts = collections.Counter(tuple(b.codes[i : i + 35].tolist()) for b in blocks for i in np.flatnonzero(b.inside(35)).tolist())
+    assert max(counts.values()) > 1
+    missed = 0
+    for block, places in zip(blocks, found, strict=True):
+        repeated = {i for i in np.flatnonzero(block.inside(35)).tolist() if counts[tuple(block.codes[i : i + 35].tolist())] > 1}
+        assert repeated <= set(block.candidates(places).tolist())
+        picked = np.flatnonzero(block.phrases()[2])
+        missed += len(set(places.tolist()) - set(picked.tolist()))
+        assert len(places) < len(block.codes) / 2
+    assert missed > 100
+
+
 def test_passages_that_meet_and_overlap(spark, monkeypatch):
     monkeypatch.setattr(substring, "CELL_BYTES", 500)
     rng = np.random.default_rng(6)
@@ -592,11 +614,54 @@ def test_links_of_near_fingerprints(spark, monkeypatch, small):
     assert edges <= near and classes_of(prints, edges) == classes_of(prints, near)
 
 
-def test_tally_decides_before_the_distance(monkeypatch):
-    a, b = np.array([0, 0, 0], np.uint64), np.array([0x0101010101, 0x01010101, 0xFF], np.uint64)
-    assert simhash.tally(a, b).tolist() == [3, 4, 7] and simhash.near(a, b, 4).tolist() == [False, True, False]
-    monkeypatch.setattr(simhash, "tally", lambda a, b: np.zeros(len(a), int))
-    assert not simhash.near(a, b, 4).any()
+def index_of(prints, max_bits):
+    """What meets in the index: the cells that fingerprints are posted to, linked one by one."""
+    masks = [sum(0xFF << 8 * j for j in c) for c in simhash.positions(max_bits)]
+    batch = pa.record_batch({"fp": pa.array(np.array(prints, np.uint64).view(np.int64))})
+    cells = collections.defaultdict(list)
+    for out in simhash._posted(iter([batch]), masks, 2):
+        for c, f in zip(out.column("cell").to_pylist(), out.column("fps").to_pylist(), strict=True):
+            cells[c].append(f)
+    edges = set()
+    for c, fps in cells.items():
+        edges |= {(x["a"], x["b"]) for x in simhash._linked(pa.table({"cell": [c] * len(fps), "fps": fps}), masks, 2, max_bits).to_pylist()}
+    return edges
+
+
+@pytest.mark.parametrize("max_bits", [2, 4, 6])
+def test_index_positions_meet_every_fitting_pair(max_bits):
+    from itertools import combinations
+
+    chosen = simhash.positions(max_bits)
+    assert {len(c) for c in chosen} == {7 - max_bits} and len(chosen) < math.comb(8, 7 - max_bits) or max_bits == 6
+    assert all(any(set(c) <= set(shared) for c in chosen) for shared in combinations(range(8), 8 - max_bits))
+
+
+@pytest.mark.parametrize("small", [64, 1])
+def test_the_count_of_shared_bytes_decides(monkeypatch, small):
+    """On pairs as the index makes them: a bound one lower lets more candidates through, one higher loses links."""
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng, real, seen = np.random.default_rng(6), simhash.retained, []
+    prints = set()
+    for base in rng.integers(0, 1 << 62, 40).tolist():
+        prints.add(base)
+        for n in (1, 4, 4, 5, 5, 5):  # so many bytes differ, by one bit each
+            prints.add(base ^ sum(1 << (8 * int(j) + int(rng.integers(8))) for j in rng.permutation(8)[:n]))
+    want = {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4}
+    results = {}
+    for change in (0, -1, 1):
+        def counted(a, b, least, change=change):
+            out = real(a, b, least + change)
+            seen.append(len(out))
+            return out
+
+        monkeypatch.setattr(simhash, "retained", counted)
+        seen.clear()
+        edges = {tuple(sorted((a % 2**64, b % 2**64))) for a, b in index_of(sorted(prints), 4)}
+        results[change] = (classes_of(sorted(prints), edges), sum(seen))
+    assert results[0][0] == classes_of(sorted(prints), want)
+    assert results[-1][0] == results[0][0] and results[-1][1] > results[0][1] + 50
+    assert results[1][0] != results[0][0]
 
 
 # --- near copies by shingles ---
