@@ -7,6 +7,8 @@ of them and stays empty; null texts are empty texts, and repeated rows are rows
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -19,6 +21,26 @@ WIDTH, LEAST_ALIKE = 5, 0.8
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What the last stage stored on its way, by application.
+_LEFT: dict[str, list] = {}
+
+
+def _tidy(stage):
+    """A stage that first drops what the stage before stored on its way: its result has been written by then, and if `docs` still reads any of it, that stays."""
+
+    @wraps(stage)
+    def run(spark, docs, sf_dir):
+        app = spark.sparkContext.applicationId
+        common.let_go(spark, _LEFT.pop(app, []), docs)
+        had = common.since(spark, 0)
+        out = stage(spark, docs, sf_dir)
+        _LEFT[app] = [t for t in common.since(spark, 0) if t not in had]
+        return out
+
+    return run
+
+
+@_tidy
 def quality_stage(spark, docs, sf_dir):
     """Drops documents that the line field, fitted on a bounded sample of `labels`, scores below LEAST_QUALITY.
 
@@ -28,6 +50,7 @@ def quality_stage(spark, docs, sf_dir):
     return quality.with_quality(docs, field, out=score).where(F.col(score) >= LEAST_QUALITY).select(*common.own(docs))
 
 
+@_tidy
 def near_duplicate_stage(spark, docs, sf_dir):
     """Keeps one document, that of the smallest id, of each group connected by LEAST_ALIKE or more of shingles of WIDTH words.
 
@@ -36,6 +59,7 @@ def near_duplicate_stage(spark, docs, sf_dir):
     return simhash.one_of_each(docs, width=WIDTH, least=LEAST_ALIKE)
 
 
+@_tidy
 def substring_stage(spark, docs, sf_dir):
     """Cuts passages of 35 words and more that stand anywhere else; the text and its length follow. Every document stays, even
     one that is left without words; texts without such a passage, null ones too, are not touched."""
@@ -45,6 +69,7 @@ def substring_stage(spark, docs, sf_dir):
     return found.select(*[changed.get(c, common.column(c)) for c in docs.columns])
 
 
+@_tidy
 def mixing_stage(spark, docs, sf_dir):
     """Repeats and cuts documents so that sources come near their target shares, in the order of the schedule.
 
@@ -53,6 +78,7 @@ def mixing_stage(spark, docs, sf_dir):
     return mixing.mixed_documents(docs)
 
 
+@_tidy
 def packing_stage(spark, docs, sf_dir):
     """Packs the mix, as it lies, into sequences of at most 4096 tokens: one row per piece. A text without words is its end id."""
     return packing.pack(docs, TOKENIZER, in_order=True)

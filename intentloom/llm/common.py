@@ -75,6 +75,22 @@ def drop(spark: SparkSession, path: str, name: str = "") -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def since(spark: SparkSession, n: int) -> list[tuple[str, str]]:
+    """Path and name of the tables that operators of this session stored after the first `n`."""
+    return _STORED[spark.sparkContext.applicationId][n:]
+
+
+def let_go(spark: SparkSession, tables: list[tuple[str, str]], reader: DataFrame) -> None:
+    """Drops stored tables that nobody needs any more, but not those that `reader` reads."""
+    made = _STORED[spark.sparkContext.applicationId]
+    read = reader.inputFiles() if tables else []
+    for table in tables:
+        place = table[0].split("://", 1)[-1].lstrip("/")
+        if table in made and not any(f"/{place}/" in f for f in read):
+            drop(spark, *table)
+            made.remove(table)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Drops on leaving all tables that operators stored inside. Results that were not written by then cannot be read any more:

@@ -114,7 +114,8 @@ def links(features: DataFrame, sets_of, least: float) -> DataFrame:
     buckets = index.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
     met = common.stored(index.join(buckets, "key").select("key", "node", "center"), "met")
     wanted = met.select("node").union(alike.select("node")).union(alike.select("center"))
-    sets = common.stored(sets_of(wanted.distinct()), "shingles")
+    # Bucketed by node: pairs come to the sets, and a set only moves to meet another one.
+    sets = common.bucketed(sets_of(wanted.distinct()), "node", "none", 8 * (features.agg(F.sum("size")).first()[0] or 0))
 
     def checked(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
