@@ -76,7 +76,9 @@ def hits(text: Column, templates: dict[str, str] = TEMPLATES, least: float = 0.8
         low, high = math.ceil(len(grams) * least / (2 - least) - 1e-9), math.floor(len(grams) * (2 - least) / least + 1e-9)
         known.append((name, grams, low, high))
     fewest = min(k[2] for k in known)
-    marks = [F.contains(lower(text), F.lit(w)) for w in sorted({w for _, grams, *_ in known for w in needed_words(grams, least)})]
+    needed = sorted({w for _, grams, *_ in known for w in needed_words(grams, least)})
+    # Lower-cased once a text; that other letters are too can only let more texts through.
+    marked = F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in needed]))
     units = F.transform(F.split(text, UNITS[unit], -1), lambda s, i: F.struct((i + 1).alias("at"), normalised(s).alias("norm")))
     units = F.filter(units, lambda u: F.length(u["norm"]) - F.length(F.replace(u["norm"], F.lit(" "), F.lit(""))) >= fewest)
 
@@ -98,7 +100,7 @@ def hits(text: Column, templates: dict[str, str] = TEMPLATES, least: float = 0.8
     fitting = F.filter(with_grams, lambda u: F.size(u["grams"]).between(fewest, most))
     found = F.flatten(F.transform(fitting, scored))
     none = F.array().cast("array<struct<at:int,licence:string,dice:double>>")
-    return F.when(text.isNull(), F.lit(None)).when(reduce(or_, marks), found).otherwise(none)
+    return F.when(text.isNull(), F.lit(None)).when(marked, found).otherwise(none)
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, least: float = 0.8, unit: str = "line") -> DataFrame:

@@ -93,14 +93,18 @@ def tables_for(largest: int, cosine: float, recall: float) -> tuple[int, int]:
 
 
 def learn(vectors: DataFrame, largest: int, cosine: float, recall: float, sample: int = SAMPLE) -> HammingTables:
-    """Tables learned on at most `sample` unit vectors of each dimension, those of the smallest hash; every vector is indexed later.
+    """Tables learned on at most `sample` unit vectors of each dimension, of small hashes; every vector is indexed later.
 
     Codes are balanced: components are cut at the sample's median after the rotation of its centred vectors. How often pairs right at the threshold
     (a vector of the sample and one made at that angle to it) share a key is measured, and tables are added until the share is `recall`.
     Where up to three times as many tables don't do, as with few or much alike vectors, components are cut at the origin, which has the recall of tables_for.
     """
     taken = vectors.select("embedding", F.size("embedding").alias("d"), F.xxhash64("embedding").alias("h"))
-    taken = taken.withColumn("n", F.row_number().over(Window.partitionBy("d").orderBy("h", "embedding"))).where(F.col("n") <= sample)
+    # Of many vectors only those of small hash compete, some four times the sample, in slices that are cut before the shuffle as well.
+    share = taken.groupBy(F.col("d").alias("of")).agg((F.lit(4.0 * sample + 400) / F.count("*")).alias("share"))
+    taken = taken.join(share, F.col("d") == F.col("of")).where(F.pmod(F.shiftright("h", 8), F.lit(1_000_003)) <= F.col("share") * 1_000_003)
+    slices = Window.partitionBy("d", F.pmod("h", F.lit(16))).orderBy("h", "embedding")
+    taken = taken.withColumn("n", F.row_number().over(slices)).where(F.col("n") <= max(1, sample // 16)).orderBy("h", "embedding")
     taken = taken.select("embedding").toPandas()["embedding"]
     by_size = {d: unit(np.array([v for v in taken if len(v) == d], np.float64)) for d in sorted({len(v) for v in taken})}
     bits, tables = tables_for(largest, cosine, recall)
