@@ -47,6 +47,50 @@ class ChatLexicon:
     medium: tuple[str, ...] = ("expat chat",)
 
 
+# Points, caps and bounds of scores and labels, as results have to have them.
+
+
+@dataclass(frozen=True)
+class WebWeights:
+    """Points of web items: bases, per hit or flag; and the least intent, credibility and fit of a label."""
+
+    intent: int = 35
+    per_intent: int = 7
+    per_exclude: int = 20
+    credibility: int = 55
+    long_text: int = 10
+    long_over: int = 450
+    per_doubt: int = 25
+    budget: int = 12
+    timeframe: int = 10
+    pronoun: int = 8
+    known_market: int = 55
+    unknown_market: int = 35
+    premium: int = 8
+    hot: tuple[int, int, int] = (82, 75, 60)
+    warm: tuple[int, int, int] = (62, 65, 45)
+
+
+@dataclass(frozen=True)
+class ChatWeights:
+    """Points of messages: (each, at most) for evidence, then flags and priorities; and the least score of a label, with and without a question."""
+
+    buy: tuple[int, int] = (18, 60)
+    weak: tuple[int, int] = (5, 18)
+    context: tuple[int, int] = (4, 12)
+    sell: tuple[int, int] = (30, 75)
+    rent: tuple[int, int] = (35, 75)
+    budget: int = 12
+    negative: int = 50
+    high: int = 14
+    medium: int = 7
+    hot: int = 65
+    hot_question: int = 50
+    warm: int = 35
+    warm_question: int = 30
+    review: int = 15
+
+
 def words(*found: str) -> tuple[Pattern, ...]:
     """Patterns for whole words."""
     return tuple(Pattern(rf"\b{w}\b", w) for w in found)

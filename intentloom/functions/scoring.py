@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intentloom.functions.lexicons import ChatWeights, WebWeights
 from intentloom.functions.predicates import any_phrase, phrase_matches
 from intentloom.functions.text import fold_text, text_or_empty
 
@@ -56,28 +57,26 @@ def market_argmax_join(frame: DataFrame, key: str, blob: str, gazetteer: DataFra
     return _with_market(frame, key, best)
 
 
-def intent_score(intent: Column, exclude: Column, budget: Column, timeframe: Column, personal: Column) -> Column:
+def intent_score(intent: Column, exclude: Column, budget: Column, timeframe: Column, personal: Column, w: WebWeights = WebWeights()) -> Column:
     """At most 100, without a floor."""
-    return F.least(F.lit(100), 35 + intent * 7 + _if(budget, 12) + _if(timeframe, 10) + _if(personal, 8) - exclude * 20)
+    return F.least(F.lit(100), w.intent + intent * w.per_intent + _if(budget, w.budget) + _if(timeframe, w.timeframe) + _if(personal, w.pronoun) - exclude * w.per_exclude)
 
 
-def credibility_score(blob: Column, exclude: Column, budget: Column, timeframe: Column, personal: Column) -> Column:
-    """At most 100, without a floor; texts over 450 characters gain."""
-    return F.least(F.lit(100), 55 + _if(budget, 12) + _if(timeframe, 10) + _if(F.length(blob) > 450, 10) + _if(personal, 8) - exclude * 25)
+def credibility_score(blob: Column, exclude: Column, budget: Column, timeframe: Column, personal: Column, w: WebWeights = WebWeights()) -> Column:
+    """At most 100, without a floor; texts over `long_over` characters gain."""
+    raw = w.credibility + _if(budget, w.budget) + _if(timeframe, w.timeframe) + _if(F.length(blob) > w.long_over, w.long_text) + _if(personal, w.pronoun) - exclude * w.per_doubt
+    return F.least(F.lit(100), raw)
 
 
-def market_fit_score(market: Column, budget: Column, premium: Sequence[str]) -> Column:
+def market_fit_score(market: Column, budget: Column, premium: Sequence[str], w: WebWeights = WebWeights()) -> Column:
     """0 to 100."""
-    raw = F.when(market != "unknown", 55).otherwise(35) + _if(budget, 12) + _if(market.isin(*premium), 8)
+    raw = F.when(market != "unknown", w.known_market).otherwise(w.unknown_market) + _if(budget, w.budget) + _if(market.isin(*premium), w.premium)
     return F.greatest(F.lit(0), F.least(F.lit(100), raw))
 
 
-def web_label(intent: Column, credibility: Column, fit: Column) -> Column:
-    return (
-        F.when((intent >= 82) & (credibility >= 75) & (fit >= 60), "HOT")
-        .when((intent >= 62) & (credibility >= 65) & (fit >= 45), "WARM")
-        .otherwise("REVIEW")
-    )
+def web_label(intent: Column, credibility: Column, fit: Column, w: WebWeights = WebWeights()) -> Column:
+    reaches = lambda least: (intent >= least[0]) & (credibility >= least[1]) & (fit >= least[2])
+    return F.when(reaches(w.hot), "HOT").when(reaches(w.warm), "WARM").otherwise("REVIEW")
 
 
 def group_priority(name: Column, high: Sequence[str], medium: Sequence[str]) -> Column:
@@ -118,27 +117,27 @@ def market_argmax(blob: Column, gazetteer: Gazetteer) -> Column:
     return F.when(best["n"] > 0, best["market"]).otherwise("unknown")
 
 
-def chat_score(buy: Column, weak: Column, sell: Column, rent: Column, context: Column, budget: Column, negative: Column, priority: Column) -> Column:
+def chat_score(buy: Column, weak: Column, sell: Column, rent: Column, context: Column, budget: Column, negative: Column, priority: Column, w: ChatWeights = ChatWeights()) -> Column:
     """0 to 100 from the evidence arrays and flags."""
-    capped = lambda c, each, most: F.least(F.lit(most), F.size(c) * each)
+    capped = lambda c, points: F.least(F.lit(points[1]), F.size(c) * points[0])
     raw = (
-        capped(buy, 18, 60) + capped(weak, 5, 18) + capped(context, 4, 12) + _if(budget, 12)
-        + F.when(priority == "HIGH", 14).when(priority == "MEDIUM", 7).otherwise(0)
-        - capped(sell, 30, 75) - capped(rent, 35, 75) - _if(negative, 50)
+        capped(buy, w.buy) + capped(weak, w.weak) + capped(context, w.context) + _if(budget, w.budget)
+        + F.when(priority == "HIGH", w.high).when(priority == "MEDIUM", w.medium).otherwise(0)
+        - capped(sell, w.sell) - capped(rent, w.rent) - _if(negative, w.negative)
     )
     return F.greatest(F.lit(0), F.least(F.lit(100), raw))
 
 
-def chat_label(score: Column, buy: Column, sell: Column, rent: Column, question: Column, negative: Column, priority: Column) -> Column:
+def chat_label(score: Column, buy: Column, sell: Column, rent: Column, question: Column, negative: Column, priority: Column, w: ChatWeights = ChatWeights()) -> Column:
     """Rejections first, in this order, then the score's bands."""
     asks = (F.size(buy) > 0) | question
     return (
         F.when((F.size(rent) > 0) & ~asks, "REJECT_RENT")
         .when((F.size(sell) > 0) & ~asks, "REJECT_SELLER")
         .when(negative, "REJECT_STATUS")
-        .when((score >= 65) | (question & (priority == "HIGH") & (score >= 50)), "HOT")
-        .when((score >= 35) | (question & priority.isin("HIGH", "MEDIUM") & (score >= 30)), "WARM")
-        .when(score >= 15, "REVIEW")
+        .when((score >= w.hot) | (question & (priority == "HIGH") & (score >= w.hot_question)), "HOT")
+        .when((score >= w.warm) | (question & priority.isin("HIGH", "MEDIUM") & (score >= w.warm_question)), "WARM")
+        .when(score >= w.review, "REVIEW")
         .otherwise("LOW")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from intentloom.functions import predicates as P
 from intentloom.functions import scoring as S
-from intentloom.functions.lexicons import ChatLexicon, WebLexicon
+from intentloom.functions.lexicons import ChatLexicon, ChatWeights, WebLexicon, WebWeights
 from intentloom.functions.text import fold_text, group_blob, item_blob, strip_text
 from intentloom.operators import ledger as ledgers
 from intentloom.operators.identity import fingerprint, first_wins_dedup, ledger_anti_join, message_key
@@ -18,7 +18,7 @@ from intentloom.operators.summary import SKETCH
 WEB_LEAD = ("source", "url", "title", "text", "published", "author", "lead_id", "market", "route_to", "intent_score", "credibility_score", "market_fit_score", "classification", "found_at")
 
 
-def scored_items(items: DataFrame, lex: WebLexicon, routes: DataFrame | None = None) -> DataFrame:
+def scored_items(items: DataFrame, lex: WebLexicon, routes: DataFrame | None = None, weights: WebWeights = WebWeights()) -> DataFrame:
     """`items` with blob, market, the three scores, classification and route_to.
 
     All lexicon work happens in one projection, behind a term that keeps later filters from repeating it. Routes come from
@@ -32,18 +32,18 @@ def scored_items(items: DataFrame, lex: WebLexicon, routes: DataFrame | None = N
     })
     flags = [F.col(c) for c in ("budget", "timeframe", "pronoun")]
     scores = signals.withColumns({
-        "intent_score": S.intent_score(F.col("intent_hits"), F.col("exclude_hits"), *flags),
-        "credibility_score": S.credibility_score(blob, F.col("exclude_hits"), *flags),
-        "market_fit_score": S.market_fit_score(F.col("market"), F.col("budget"), lex.premium),
+        "intent_score": S.intent_score(F.col("intent_hits"), F.col("exclude_hits"), *flags, weights),
+        "credibility_score": S.credibility_score(blob, F.col("exclude_hits"), *flags, weights),
+        "market_fit_score": S.market_fit_score(F.col("market"), F.col("budget"), lex.premium, weights),
     })
-    label = S.web_label(F.col("intent_score"), F.col("credibility_score"), F.col("market_fit_score"))
+    label = S.web_label(F.col("intent_score"), F.col("credibility_score"), F.col("market_fit_score"), weights)
     labelled = scores.withColumn("classification", label)
     if routes is not None:
         return S.route_lookup(labelled, routes, lex.default_route)
     return labelled.withColumn("route_to", S.route_of(F.col("market"), lex.routes, lex.default_route))
 
 
-def web_leads(items: DataFrame, lex: WebLexicon, found_at: datetime, ledger: DataFrame | None = None, order: Column | None = None, gate: Column | None = None, routes: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
+def web_leads(items: DataFrame, lex: WebLexicon, found_at: datetime, ledger: DataFrame | None = None, order: Column | None = None, gate: Column | None = None, routes: DataFrame | None = None, seen: Observation | None = None, weights: WebWeights = WebWeights()) -> DataFrame:
     """HOT and WARM items as leads: require a url, drop copies (first wins), gate, score, drop what the ledger has.
 
     Copies are dropped before the gates, so that a gated first copy also hides later ones. `order` is the
@@ -58,14 +58,14 @@ def web_leads(items: DataFrame, lex: WebLexicon, found_at: datetime, ledger: Dat
     kept = kept.withColumn("blob", item_blob(F.col("title"), F.col("text")))
     if gate is not None:
         kept = kept.where(gate)
-    found = scored_items(kept, lex, routes).where(P.label_filter(F.col("classification")))
+    found = scored_items(kept, lex, routes, weights).where(P.label_filter(F.col("classification")))
     if ledger is not None:
         found = ledger_anti_join(found, ledger)
     extra = [c for c in items.columns if c not in WEB_LEAD]
     return found.withColumn("found_at", F.lit(found_at)).select(*WEB_LEAD, *extra)
 
 
-def scored_messages(messages: DataFrame, lex: ChatLexicon, group: str = "group", text: str = "text", priorities: DataFrame | None = None) -> DataFrame:
+def scored_messages(messages: DataFrame, lex: ChatLexicon, group: str = "group", text: str = "text", priorities: DataFrame | None = None, weights: ChatWeights = ChatWeights()) -> DataFrame:
     """`messages` with evidence arrays, budget, negative, priority, market, chat_score and classification.
 
     What is read from the text is held as one value, so that filters on the score or label don't match the patterns again. Priorities come from the
@@ -85,11 +85,11 @@ def scored_messages(messages: DataFrame, lex: ChatLexicon, group: str = "group",
     question = P.buyer_question(c("noun"), c("context_matches"), c("buy_matches"), c("budget_detected"))
     found = found.withColumn("buyer_question", question).drop("noun")
     evidence = [c(f"{k}_matches") for k in ("buy", "weak", "sell", "rent", "context")]
-    found = found.withColumn("chat_score", S.chat_score(*evidence, c("budget_detected"), c("negative_status"), c("group_priority")))
-    return found.withColumn("classification", S.chat_label(c("chat_score"), c("buy_matches"), c("sell_matches"), c("rent_matches"), c("buyer_question"), c("negative_status"), c("group_priority")))
+    found = found.withColumn("chat_score", S.chat_score(*evidence, c("budget_detected"), c("negative_status"), c("group_priority"), weights))
+    return found.withColumn("classification", S.chat_label(c("chat_score"), c("buy_matches"), c("sell_matches"), c("rent_matches"), c("buyer_question"), c("negative_status"), c("group_priority"), weights))
 
 
-def chat_leads(messages: DataFrame, lex: ChatLexicon, found_at: datetime, tag: str = "chat", base: str = "https://chat.example/", ledger: DataFrame | None = None, priorities: DataFrame | None = None) -> DataFrame:
+def chat_leads(messages: DataFrame, lex: ChatLexicon, found_at: datetime, tag: str = "chat", base: str = "https://chat.example/", ledger: DataFrame | None = None, priorities: DataFrame | None = None, weights: ChatWeights = ChatWeights()) -> DataFrame:
     """HOT and WARM messages as leads of 22 columns.
 
     messages: group_id, group, group_username, message_id, text, date, sender (username, first_name, last_name).
@@ -98,7 +98,7 @@ def chat_leads(messages: DataFrame, lex: ChatLexicon, found_at: datetime, tag: s
     c = F.col
     kept = messages.where((F.length(F.coalesce("text", F.lit(""))) > 0) & c("date").isNotNull())
     kept = first_wins_dedup(kept.withColumn("lead_id", message_key(tag, c("group_id"), c("message_id"))), "lead_id", F.struct("date", "text"))
-    found = scored_messages(kept, lex, priorities=priorities).where(P.label_filter(c("classification")))
+    found = scored_messages(kept, lex, priorities=priorities, weights=weights).where(P.label_filter(c("classification")))
     if ledger is not None:
         found = ledger_anti_join(found, ledger)
     return found.select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from intentloom.functions import predicates as P
-from intentloom.functions.lexicons import ChatLexicon, WebLexicon
+from intentloom.functions.lexicons import ChatLexicon, ChatWeights, WebLexicon, WebWeights
 from intentloom.operators import leads as L
 from intentloom.operators import ledger, summary
 from intentloom.operators.identity import arrival, latest_n_per_group, window_cutoff
@@ -35,7 +35,7 @@ SKIPPED = ("skipped", "skipped_no_session", "skipped_unauthorized")
 
 def web_pass(
     search: DataFrame, news: DataFrame, lex: WebLexicon, as_of: datetime, ledger: DataFrame | None = None, routes: DataFrame | None = None, raw: Observation | None = None, seen: Observation | None = None,
-    sources: Sequence[str] = (),
+    sources: Sequence[str] = (), weights: WebWeights = WebWeights(),
 ) -> DataFrame:
     """Leads of both sources in one plan: copies are dropped across them in arrival order, and only search hits are gated.
 
@@ -46,7 +46,7 @@ def web_pass(
         both = both.observe(raw, F.count(F.lit(1)).alias("items"), *[F.count_if(F.col("source") == s).alias(f"n{i}") for i, s in enumerate(sources)])
     order = arrival(F.col("query_idx"), F.col("source_ord"), F.col("pos"))
     gate = (F.col("source_ord") == 1) | P.quality_gate(F.col("blob"), F.col("published"), F.lit(as_of), lex)
-    return L.web_leads(both, lex, as_of, ledger=ledger, order=order, gate=gate, routes=routes, seen=seen)
+    return L.web_leads(both, lex, as_of, ledger=ledger, order=order, gate=gate, routes=routes, seen=seen, weights=weights)
 
 
 def recent_messages(
@@ -66,11 +66,11 @@ def recent_messages(
     return recent if read is None else recent.observe(read, F.count(F.lit(1)).alias("chat_messages_scanned"))
 
 
-def _chat_pass(messages: DataFrame, chat: ChatLexicon, started: datetime, hours: int, per_group: int, groups: DataFrame | None, priorities: DataFrame | None, path: str, run_id: str, prefix: int | None) -> tuple[DataFrame, int, int]:
+def _chat_pass(messages: DataFrame, chat: ChatLexicon, started: datetime, hours: int, per_group: int, groups: DataFrame | None, priorities: DataFrame | None, path: str, run_id: str, prefix: int | None, weights: ChatWeights) -> tuple[DataFrame, int, int]:
     """New leads, groups met and messages read, of one pass over the messages."""
     met, read = Observation(), Observation()
     recent = recent_messages(messages, started, hours, per_group, groups, met, read)
-    found = L.lead_sink(L.chat_leads(recent, chat, started, priorities=priorities), path, run_id, F.struct("message_time", "message_id"), prefix)
+    found = L.lead_sink(L.chat_leads(recent, chat, started, priorities=priorities, weights=weights), path, run_id, F.struct("message_time", "message_id"), prefix)
     count = met.get["chat_groups"] if groups is None else groups_only(groups).count()
     return found, count, read.get["chat_messages_scanned"]
 
@@ -79,7 +79,7 @@ def scan(
     search: DataFrame, news: DataFrame, messages: DataFrame | None, lex: WebLexicon, chat: ChatLexicon, started: datetime, completed: datetime, queries: int, store: str, log: str, hours: int = 24, *,
     per_group: int = 500, domains: DataFrame | None = None, groups: DataFrame | None = None, priorities: DataFrame | None = None, routes: DataFrame | None = None, failures: DataFrame | None = None,
     sources: Sequence[str] | None = None, chat_skipped: str = "", results_per_query: int = RESULT_CAP, quality_gate: str = "personal_no_excluded_place_no_negative_no_listing_90d",
-    prefix: int | None = None,
+    prefix: int | None = None, web_weights: WebWeights = WebWeights(), chat_weights: ChatWeights = ChatWeights(),
 ) -> Run:
     """Runs both passes against the stores under `store` (web and chat leads) and writes the record to `log`.
 
@@ -101,12 +101,12 @@ def scan(
     news = bridge_query_select(news, queries, "query_idx")
     raw, seen = Observation(), Observation()
     order = arrival(F.col("query_idx"), F.col("source_ord"), F.col("pos"))
-    web = L.lead_sink(web_pass(search, news, lex, started, routes=routes, raw=raw, seen=seen, sources=sources or ()), f"{store}/web", run_id, order, prefix)
+    web = L.lead_sink(web_pass(search, news, lex, started, routes=routes, raw=raw, seen=seen, sources=sources or (), weights=web_weights), f"{store}/web", run_id, order, prefix)
     status, chat_errors, met, read = chat_skipped or ("completed" if messages is not None else SKIPPED[0]), 0, 0, 0
     found = spark.createDataFrame([], "lead_id string")
     if status == "completed":
         try:
-            found, met, read = _chat_pass(messages, chat, started, hours, per_group, groups, priorities, f"{store}/chat", run_id, prefix)
+            found, met, read = _chat_pass(messages, chat, started, hours, per_group, groups, priorities, f"{store}/chat", run_id, prefix, chat_weights)
         except PySparkException:
             status, chat_errors = "error", 1
             stored = ledger.read(spark, f"{store}/chat")
@@ -129,8 +129,9 @@ def scan(
         started, completed, queries, status, results_per_query, quality_gate, unique=unique, new=summary.new_lead_counts(web), failed=summary.failure_counts(failed), chat=counted,
         chat_new=found.agg(F.count("*").alias("chat_new_hot_warm")), sources=summary.counts_map(all_sources.withColumnRenamed("n", "source_counts"), "source", "source_counts"),
     )
+    row = record.first()
+    record = spark.createDataFrame([row], record.schema)  # one row, made once
     L.scan_log_sink(record, log)
-    record = spark.read.schema(record.schema).parquet(log).where(F.col("scan_id") == run_id)
     first = L.alert_top_k(web, [F.ceil(F.col("query_idx") / 10), "source_ord", "query_idx", "pos"])
-    alerts = first.select(L.alert_message().alias("message")).unionByName(L.empty_digest(web, queries, by_source, F.lit(record.first()["errors"])))
+    alerts = first.select(L.alert_message().alias("message")).unionByName(L.empty_digest(web, queries, by_source, F.lit(row["errors"])))
     return Run(web, found, alerts, record)

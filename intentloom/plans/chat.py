@@ -68,6 +68,7 @@ def f2a(spark, d):
     return B.table(spark, d, "customer").select("c_custkey", S.sender_label(user, F.when(n % 2 == 0, F.col("c_name")), F.when(n % 5 > 0, F.col("c_mktsegment"))).alias("author"))
 
 
+# Fixed value in it: the pattern of chat budgets, shortened to what tells whether there is one.
 _SIGNALS = f"""messages as (select conv_id as group_id, role as "group", case when role = 'user' then role else '' end as group_username, turn as message_id, coalesce({B.TEXT_SQL}, '') as text,
   {B.folded_sql(B.TEXT_SQL)} as f, {B.folded_sql(f"role || ' ' || coalesce({B.TEXT_SQL}, '')")} as g from conversations),
 signals as (select *, {', '.join(f"{B.matches_sql('f', getattr(LEX, k))} as {k}" for k in KINDS)},

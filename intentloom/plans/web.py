@@ -25,6 +25,7 @@ def _flag(predicate, name):
 
 
 _ITEMS = f"with {B.ITEMS_SQL} "
+# Fixed value: the pattern of web budgets, as DuckDB writes it.
 _BUDGET = r"regexp_matches(blob, '[$€£₺]\s?[\d,.]+|\b\d{2,3}\s?[kKmM]\b|\b\d{4,}\b')"
 _SIGNALS = f"""{B.ITEMS_SQL}, signals as (select *, {B.hits_sql('blob', LEX.intent)} as ih, {B.hits_sql('blob', LEX.exclude)} as xh,
   cast({_BUDGET} as integer) as b, cast({B.any_sql('blob', LEX.timeframe)} as integer) as t, cast({B.any_sql('blob', LEX.pronoun)} as integer) as p,

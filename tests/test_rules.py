@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from intentloom.functions import predicates as P
 from intentloom.functions import scoring as S
-from intentloom.functions.lexicons import PROSE_CHAT, ChatLexicon, Pattern, WebLexicon, words
+from intentloom.functions.lexicons import PROSE_CHAT, ChatLexicon, ChatWeights, Pattern, WebLexicon, WebWeights, words
 from intentloom.functions.text import fold_text, item_blob, strip_text
 from intentloom.operators import identity, intake, leads, ledger, run, summary
 from intentloom.schemas import ITEMS
@@ -343,3 +343,14 @@ def test_iso_dates_as_the_standard_library_reads_them(spark):
 
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", F.date_format(P.iso_timestamp(F.col("t")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).collect()
     assert {r.t: r.at for r in rows} == {t: read(t) and read(t).strftime("%Y-%m-%d %H:%M:%S.%f") for t in texts}
+
+
+def test_weights_are_parameters(spark):
+    rows = items(spark, "i want to buy 2026 alpha for sale")
+    plain, other = (one(leads.scored_items(rows, LEX, weights=w)) for w in (WebWeights(), WebWeights(intent=50, per_exclude=1, per_doubt=2, known_market=90, hot=(80, 50, 90))))
+    assert (plain.intent_score, plain.credibility_score, plain.market_fit_score, plain.classification) == (35 + 7 + 12 + 10 + 8 - 20, 55 + 12 + 10 + 8 - 25, 67, "REVIEW")
+    assert (other.intent_score, other.credibility_score, other.market_fit_score, other.classification) == (86, 83, 100, "HOT")
+    chat = messages(spark, "buy where 200k")
+    usual = one(leads.scored_messages(chat, CHAT))
+    more = one(leads.scored_messages(chat, CHAT, weights=ChatWeights(buy=(40, 40), budget=1, hot=200, hot_question=200, warm=1)))
+    assert more.chat_score - usual.chat_score == 40 - 18 + 1 - 12 and more.classification == "WARM"
