@@ -213,6 +213,17 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=names)
 
 
+def mapped(docs: DataFrame, step: Callable, text: str, *fields: T.StructField) -> DataFrame:
+    """`docs` with the columns `fields` at its end, which `step`, called with the name of the text column as text, adds to each Arrow batch.
+
+    Columns go under plain names inside, so theirs may have dots, or clash.
+    """
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*plain)
+    schema = T.StructType([*inner.schema.fields, *fields])
+    return inner.mapInArrow(partial(step, text=plain[docs.columns.index(text)]), schema).toDF(*docs.columns, *[f.name for f in fields])
+
+
 def column(name: str) -> Column:
     """The column of exactly that name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

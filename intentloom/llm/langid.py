@@ -190,9 +190,8 @@ def with_language(docs: DataFrame, net: ByteNet, text: str = "text") -> DataFram
     Every window of every whole text is read. Null texts and texts without a letter are `und` with
     score 0. Other columns and repeated rows pass through; an empty table stays empty.
     """
-    docs = docs.drop("lang_pred", "lang_score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return docs.mapInArrow(partial(_predicted, net=net, text=text), schema)
+    new = T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())
+    return common.mapped(docs.drop("lang_pred", "lang_score"), partial(_predicted, net=net), text, *new)
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:

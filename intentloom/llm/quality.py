@@ -226,9 +226,7 @@ def _scored(batches: Iterator[pa.RecordBatch], field: LineField, text: str, out:
 def with_quality(docs: DataFrame, field: LineField, text: str = "text", out: str = "quality_score") -> DataFrame:
     """`docs` with its quality (0 to 1) in column `out`, replacing a column of that name. Texts that are null, empty or
     all white space get the training rows' share of good ones. Other columns and repeated rows pass through; an empty table stays empty."""
-    docs = docs.drop(out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
-    return docs.mapInArrow(partial(_scored, field=field, text=text, out=out), schema)
+    return common.mapped(docs.drop(out), partial(_scored, field=field, out=out), text, T.StructField(out, T.DoubleType()))
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch], field: LineField, doc_id: str, text: str) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,8 @@ from intentloom.llm import common, simhash
 BANDS, ROWS = 30, 5
 #: 64-bit words of a parity map, shingles that meet all hashes at once, candidates that are broadcast (else joined).
 MAP_WORDS, CHUNK, BROADCAST_ROWS = 4, 4096, 250_000
+#: Open members of a bucket in one part.
+PART = 2000
 
 _RNG = np.random.default_rng(97)
 _FACTOR = _RNG.integers(0, 1 << 31, (BANDS * ROWS, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -130,12 +132,14 @@ def links(features: DataFrame, sets_of, least: float) -> DataFrame:
     label = label.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     open_ = met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = common.stored(open_, "open")
-    several = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    several = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / PART).alias("parts")).where("low < high").select("key", "parts")
     open_ = open_.join(several, "key").join(features, "node")
-    a, b = open_.alias("a"), open_.alias("b")
+    # A bucket with many members is split: each part of it meets the whole bucket in a task of its own.
+    a = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("a")
+    b = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("b")
     # A pair is made in the first of its buckets only; its labels differ, so all of them are open.
     first_band = F.get(F.array_intersect("a.keys", "b.keys"), F.lit(0)) == F.col("a.key")
-    more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.node") != F.col("a.center")) & (F.col("a.label") != F.col("b.label")) & _may_reach(least) & first_band)
+    more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.node") != F.col("a.center")) & (F.col("a.label") != F.col("b.label")) & _may_reach(least) & first_band)
     more = more.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     return first.unionByName(checked(more))
 
@@ -150,8 +154,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """
     row, near = common.fresh(docs, "row"), common.fresh(docs, "near")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    schema = T.StructType([*numbered.schema.fields, T.StructField(near, _FEATURES)])
-    prints = common.stored(numbered.mapInArrow(partial(_shingled, width=width, text=text, out=near), schema), "shingled", "zstd")
+    prints = common.stored(common.mapped(numbered, partial(_shingled, width=width, out=near), text, T.StructField(near, _FEATURES)), "shingled", "zstd")
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), common.row_hash(docs).alias("row_hash"), F.col(row).alias("row"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:

@@ -53,9 +53,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, text: str, out:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "simhash", width: int = 4) -> DataFrame:
-    """`docs` with the signed 64-bit fingerprint of each whole text in column `out`."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.LongType())])
-    return docs.mapInArrow(partial(_fingerprints, width=width, text=text, out=out), schema)
+    """`docs` with the signed 64-bit fingerprint of each whole text in column `out`, replacing a column of that name; 0 for null texts and those without words."""
+    return common.mapped(docs.drop(out), partial(_fingerprints, width=width, out=out), text, T.StructField(out, T.LongType()))
 
 
 def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -275,7 +275,9 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = 35, names:
     if width < PHRASE:
         raise ValueError(f"a window holds {PHRASE} words at least")
     docs = docs.drop(*names)
-    blocks = common.blocks_of(docs, text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # column names may have dots
+    text = plain.columns[docs.columns.index(text)]
+    blocks = common.blocks_of(plain, text)
     cells = common.partitions_for(blocks.agg(F.sum("bytes")).first()[0] or 0, CELL_BYTES)
     options = {"text": text, "width": width}
     phrases = blocks.select("blk", "payload").mapInArrow(partial(_phrase_hashes, cells=cells, **options), _POSTED)
@@ -285,7 +287,7 @@ def without_repeats(docs: DataFrame, text: str = "text", width: int = 35, names:
     repeated = common.stored(_back(windows, cells), "windows")
     met = blocks.select("blk", "payload").join(repeated, "blk", "left")
     fields = [T.StructField(n, kind) for n, kind in zip(names, (T.LongType(), T.LongType(), T.StringType()), strict=True)]
-    return met.select("payload", "known").mapInArrow(partial(_cleaned, names=names, **options), T.StructType([*docs.schema.fields, *fields]))
+    return met.select("payload", "known").mapInArrow(partial(_cleaned, names=names, **options), T.StructType([*plain.schema.fields, *fields])).toDF(*docs.columns, *names)
 
 
 def op7_substring(spark, sf_dir: str) -> DataFrame:

@@ -309,9 +309,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Toxicity, text: str, out:
 def with_toxicity(docs: DataFrame, model: Toxicity, text: str = "text", out: str = "toxicity_score") -> DataFrame:
     """`docs` with the toxicity of each whole text (0 to 1) in column `out`, replacing a column of that name. Texts that are null, empty or without a
     matched clause have the score of no evidence. Other columns and repeated rows pass through; an empty table stays empty."""
-    docs = docs.drop(out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
-    return docs.mapInArrow(partial(_scored, model=model, text=text, out=out), schema)
+    return common.mapped(docs.drop(out), partial(_scored, model=model, out=out), text, T.StructField(out, T.DoubleType()))
 
 
 def _matched(batches: Iterator[pa.RecordBatch], model: Toxicity) -> Iterator[pa.RecordBatch]:

@@ -247,3 +247,53 @@ def test_toxicity_on_held_out_documents(spark):
     rows = toxicity.with_toxicity(docs.select("doc_id", "text"), toxicity.fit(docs, labels)).collect()
     held = [(r.toxicity_score >= 0.3, truth[r.doc_id]) for r in rows if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert sum(p for p, y in held if y) >= 0.9 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.03 * len(held)
+
+
+# --- column names ---
+
+
+def test_names_with_dots(spark):
+    from intentloom.llm import langid, quality, shingles, simhash, substring
+
+    rows = [(1, "one line of words.\nand another one of them", 1.0), (2, None, 2.0), (3, "one line of words.\nand another one of them", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` double")
+    plain = lambda f, drop=(): sorted(repr(tuple(r)) for r in f.drop(*drop).collect())
+    model, field, net = toxicity.train(*planted(60, 1)), quality.train(["a b", "| |"], [1, 0]), langid.train(["one line", "und nicht"], ["en", "de"])
+    for call in (
+        lambda d: toxicity.with_toxicity(d, model), lambda d: quality.with_quality(d, field), lambda d: langid.with_language(d, net), lambda d: simhash.with_fingerprints(d), lambda d: simhash.near_duplicates(d),
+        lambda d: shingles.one_of_each(d), lambda d: simhash.one_of_each(d), lambda d: substring.without_repeats(d, width=8),
+    ):
+        got, same = call(docs), call(docs.withColumnRenamed("a.b", "ab"))
+        assert got.columns == [c.replace("ab", "a.b") if c == "ab" else c for c in same.columns] and plain(got) == plain(same)
+
+
+def test_a_band_of_many_unlike_members_is_split(spark, monkeypatch):
+    """One very common shingle set of minima: pairs are compared in parts, and none is lost."""
+    from intentloom.llm import shingles
+
+    monkeypatch.setattr(shingles, "PART", 16)
+    n = 200
+    words = lambda i, k: " ".join(["same"] * 1 + [f"w{i}x{j}" for j in range(30 + k)])
+    rows = [(2 * i, words(i, 0)) for i in range(n)] + [(2 * i + 1, words(i, 1)) for i in range(n)]
+    real = shingles._features
+
+    def crowded(s):
+        node, size, print_, parity, keys = real(s)
+        return node, size, print_, parity, np.append(keys, np.int64(7))  # all share a bucket
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    feats = []
+    import pyarrow as pa
+
+    for s, (i, _) in zip(shingles.shingle_sets(pa.array([t for _, t in rows]), 5), rows, strict=True):
+        node, size, print_, parity, keys = crowded(s)
+        feats.append((node, size, print_, *parity.tolist(), keys.tolist(), i, s.astype(np.uint64).tobytes()))
+    frame = spark.createDataFrame(feats, "node long, size long, print long, m0 long, m1 long, m2 long, m3 long, keys array<long>, i long, shingles binary")
+    edges = shingles.links(frame.drop("i", "shingles"), lambda wanted: wanted.join(frame.select("node", "shingles"), "node"), 0.8)
+    by = {r.node: r.i for r in frame.collect()}
+    low = {i: i for i in by.values()}
+    for r in edges.collect():
+        a, b = sorted((by[r.a], by[r.b]))
+        assert b == a + 1 and a % 2 == 0
+        low[b] = a
+    assert all(low[2 * i + 1] == 2 * i for i in range(n)) and docs.count() == 2 * n
