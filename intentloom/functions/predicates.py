@@ -50,8 +50,8 @@ def any_phrase(blob: Column, phrases: Iterable[str]) -> Column:
     return reduce(or_, [F.contains(blob, F.lit(p.lower())) for p in phrases], F.lit(False))
 
 
-#: 64-bit words of the bitmap of gram hashes, letters of the longest gram.
-BITMAP_WORDS, GRAM = 1 << 14, 5
+#: Bits of a place in the bitmap of gram hashes, places of a gram (they take bits of one hash in turn), letters of the longest gram.
+PLACE_BITS, PLACES, GRAM = 21, 3, 5
 
 
 def phrase_hits_join(frame: DataFrame, key: str, blob: str, lexicon: DataFrame, most: int = 10_000) -> DataFrame:
@@ -101,14 +101,15 @@ def chosen_grams(phrases: DataFrame) -> DataFrame:
     return each.join(often, "gram").groupBy("phrase", "n").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
 
 
-def _place(gram: Column) -> Column:
-    return F.xxhash64(gram).bitwiseAND(64 * BITMAP_WORDS - 1)
+def _place(gram: Column, i: int) -> Column:
+    return F.shiftright(F.xxhash64(gram), i * PLACE_BITS).bitwiseAND((1 << PLACE_BITS) - 1)
 
 
 def gram_bitmap(chosen: DataFrame) -> list[int]:
-    """A bit for the hash of each chosen gram; what reaches the driver is at most the bitmap."""
-    words = chosen.select(F.shiftright(_place(F.col("gram")), 6).alias("w"), F.expr("shiftleft(1L, cast(xxhash64(gram) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = [0] * BITMAP_WORDS
+    """Bits at the places of each chosen gram; what reaches the driver is at most the bitmap."""
+    places = chosen.select(F.explode(F.array(*[_place(F.col("gram"), i) for i in range(PLACES)])).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = [0] * (1 << (PLACE_BITS - 6))
     for w, bits in words.collect():
         out[w] = bits
     return out
@@ -120,9 +121,9 @@ def sent_grams(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     bitmap = F.from_json(F.lit(json.dumps(gram_bitmap(chosen))), "array<bigint>")  # one constant, folded once
 
     def marked(gram: Column) -> Column:
-        at = _place(gram)
-        # The bit is tested in the word's own arithmetic: shifted to the lowest place.
-        return F.call_function("shiftrightunsigned", F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        # A bit is tested by shifting its word; most grams fail at the first.
+        bit = lambda at: F.call_function("shiftrightunsigned", F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        return reduce(and_, [bit(_place(gram, i)) for i in range(PLACES)])
 
     def grams(letters: Column) -> Column:
         of = lambda n: F.transform(letters, lambda c, i: F.concat(c, *[F.get(letters, i + k) for k in range(1, n)]))  # noqa: E731  null past the end

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from intentloom.functions import predicates as P
@@ -41,9 +42,12 @@ def g4(spark, d):
 
 
 def g5(spark, d):
-    docs, found = B.items(spark, d), web.all_leads(spark, d)
+    """The record of a run over all tables: distinct results are observed while leads are counted."""
+    docs, seen = B.items(spark, d), Observation()
+    new = summary.new_lead_counts(web.all_leads(spark, d, seen)).first()[0]
+    counted = spark.createDataFrame([(seen.get["unique_results"], new)], "unique_results long, new_hot_warm long")
     parts = {
-        "unique": summary.unique_results(docs), "new": summary.new_lead_counts(found), "chat": g4(spark, d),
+        "counted": counted, "chat": g4(spark, d),
         "failed": summary.failure_counts(g6(spark, d), "event_type"),
         "sources": summary.counts_map(summary.source_counts(docs).withColumnRenamed("n", "source_counts"), "source", "source_counts"),
     }

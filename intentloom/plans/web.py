@@ -46,10 +46,10 @@ def _scored(spark, d):
     return leads.scored_items(B.items(spark, d), LEX)
 
 
-def all_leads(spark, d):
-    """HOT and WARM leads of all documents, in arrival order."""
+def all_leads(spark, d, seen=None):
+    """HOT and WARM leads of all documents, in arrival order; `seen`, if given, observes the distinct ones."""
     order = identity.arrival(F.col("query_idx"), F.lit(0), F.col("pos"))
-    return leads.web_leads(B.items(spark, d), LEX, B.AS_OF, order=order)
+    return leads.web_leads(B.items(spark, d), LEX, B.AS_OF, order=order, seen=seen)
 
 
 def f1_web_leads(spark, d):
