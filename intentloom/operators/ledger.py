@@ -20,7 +20,7 @@ FILES = 16
 
 
 def _parts(key: str, prefix: int | None) -> Column:
-    return F.coalesce(F.substring(F.col(key), 1, PREFIX if prefix is None else prefix), F.lit(""))
+    return F.coalesce(F.nullif(F.substring(F.col(key), 1, PREFIX if prefix is None else prefix), F.lit("")), F.lit("_"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -52,7 +52,7 @@ def append(frame: DataFrame, path: str, key: str = "lead_id", order: Column | No
     """Stores the rows of `frame` whose key the ledger at `path` lacks, tagged by constant columns, and returns the ledger's rows with these tags.
 
     Of rows that repeat a key the first by `order` stays (else the least row by all its columns), so that a rerun stores the same. A run that broke off is run again under its tags: what it had stored
-    is found, the rest is added. A ledger is always given the `prefix` that it was made with. Rows move by prefix before they are written: a file per partition hit and run.
+    is found, the rest is added. A ledger is always given the `prefix` that it was made with. A null key is never found stored. Rows move by prefix before they are written: a file per partition hit and run.
     """
     spark = frame.sparkSession
     recover(spark, path)
@@ -101,7 +101,7 @@ def compact(spark: SparkSession, path: str, key: str = "lead_id", files: int = F
     if not has_files(spark, path):
         return []
     found = Counter(part.split("prefix=", 1)[1].split("/", 1)[0] for part in spark.read.parquet(path).inputFiles() if "prefix=" in part)
-    many = sorted(unquote(p).replace("__HIVE_DEFAULT_PARTITION__", "") for p, n in found.items() if n > files)
+    many = sorted(unquote(p) for p, n in found.items() if n > files)
     if many:
         rows = read(spark, path)
         rows.where(F.col("prefix").isin(many)).repartition("prefix").sortWithinPartitions("prefix", key).write.mode("overwrite").partitionBy("prefix").parquet(_staged(path))

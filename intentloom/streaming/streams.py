@@ -43,8 +43,8 @@ def stream_first_sights(events: DataFrame, keys: list[str], when: str = "ts", ho
     """
     span = int(pd.Timedelta(horizon) / pd.Timedelta(microseconds=1))
     timed = events.where(F.col(when).isNotNull()).select(*keys, F.col(when).cast("timestamp").alias(when)).withWatermark(when, late)
-    kinds = timed.select(*keys, when).schema
     micros = timed.withColumn("micros_", F.unix_micros(when))
+    kinds = micros.select(*keys, "micros_").schema
 
     def sights(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, waiting = state.get if state.exists else (None, [])
@@ -61,9 +61,10 @@ def stream_first_sights(events: DataFrame, keys: list[str], when: str = "ts", ho
             state.update((last, waiting))
             state.setTimeoutTimestamp(max(passed // 1000, (waiting[0] if waiting else last + span) // 1000) + 1)
         if out:
-            yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(keys, key, strict=True)}, when: pd.to_datetime(out, unit="us")})
+            yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(keys, key, strict=True)}, "micros_": out})
 
-    return micros.groupBy(*keys).applyInPandasWithState(sights, kinds, "last long, waiting array<long>", "append", "EventTimeTimeout")
+    found = micros.groupBy(*keys).applyInPandasWithState(sights, kinds, "last long, waiting array<long>", "append", "EventTimeTimeout")
+    return found.select(*keys, F.timestamp_micros("micros_").alias(when))
 
 
 def stream_counts(events: DataFrame, by: str, when: str = "ts", width: str = "1 day", late: str = "24 hours") -> DataFrame:
