@@ -130,7 +130,8 @@ def scan(
         chat_new=found.agg(F.count("*").alias("chat_new_hot_warm")), sources=summary.counts_map(all_sources.withColumnRenamed("n", "source_counts"), "source", "source_counts"),
     )
     row = record.first()
-    record = spark.createDataFrame([row], record.schema)  # one row, made once
+    record = spark.createDataFrame([row], record.schema)  # one row, made once; its maps with keys in order again
+    record = record.withColumns({c: F.map_from_entries(F.array_sort(F.map_entries(c))) for c in ("source_counts", "source_errors")})
     L.scan_log_sink(record, log)
     first = L.alert_top_k(web, [F.ceil(F.col("query_idx") / 10), "source_ord", "query_idx", "pos"])
     alerts = first.select(L.alert_message().alias("message")).unionByName(L.empty_digest(web, queries, by_source, F.lit(row["errors"])))
