@@ -23,9 +23,10 @@ BUDGET_CHAT = r"(?iU)(?:£|€|\$|₺|₽)\s?\d[\d\s.,]*|\b\d[\d\s.,]*\s?(?:gbp|
 #: A date written in full, perhaps with a time: what both an ISO parser and Spark read alike.
 FULL_DATE = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
 WEEK_DATE = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?=$|[T ])"
-#: Steps from basic ISO forms to extended ones: date, times of three, two and one part, fractions, offsets of two and one part.
+#: Steps from basic ISO forms to extended ones: date, times of three, two and one part, seconds, fractions, offsets of two and one part.
 EXTENDED = (
     (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"), (r"([T ]\d{2})(\d{2})(\d{2})(?=$|[.,Z+-])", "$1:$2:$3"), (r"([T ]\d{2})(\d{2})(?=$|[Z+-])", "$1:$2"), (r"([T ]\d{2})(?=$|[Z+-])", "$1:00"),
+    (r"([T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00"),
     (r"(:\d{2}:\d{2})[.,](\d{1,6})\d*", "$1.$2"), (r"([T ][\d:.]+[+-]\d{2})(\d{2})$", "$1:$2"), (r"([T ][\d:.]+[+-]\d{2})$", "$1:00"),
 )
 
