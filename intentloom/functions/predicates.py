@@ -6,16 +6,19 @@ from being evaluated a second time when a filter on them is pushed below their p
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
-from functools import reduce
+from functools import partial, reduce
 from operator import and_, or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from intentloom.functions import phrases as stretch
 from intentloom.functions.lexicons import ChatLexicon, Pattern, WebLexicon
 from intentloom.functions.text import fold_text, text_or_empty
+from intentloom.session import work_folder
 
 # What counts as a budget in web items and in chat messages.
 BUDGET_WEB = r"(?U)[$€£₺]\s?[\d,.]+|\b\d{2,3}\s?[kKmM]\b|\b\d{4,}\b"
@@ -51,15 +54,15 @@ def any_phrase(blob: Column, phrases: Iterable[str]) -> Column:
     return reduce(or_, [F.contains(blob, F.lit(p.lower())) for p in phrases], F.lit(False))
 
 
-#: Bits of a place in the bitmap of gram hashes, places of a gram (they take bits of one hash in turn), letters of the longest gram.
-PLACE_BITS, PLACES, GRAM = 21, 3, 5
+#: Rows of a lexicon that are sent to all tasks at most; larger ones are joined by a shuffle of what stands in the texts.
+BROADCAST_ROWS = 1_000_000
 
 
 def phrase_hits_join(frame: DataFrame, key: str, blob: str, lexicon: DataFrame, most: int = 10_000) -> DataFrame:
     """(key, hits): as phrase_hits, from a lexicon table with a column phrase. Keys are distinct, one may be null; null phrases don't count, a repeated one counts again.
 
     A table of at most `most` phrases becomes one array that every row is tested against, without a row per pair or a
-    shuffle. A larger one is joined by grams, see phrase_matches. Either way gives the same.
+    shuffle. A larger one is joined with what stands in the texts, see phrase_matches. Either way gives the same.
     """
     phrases = lexicon.where("phrase is not null").groupBy(F.lower("phrase").alias("phrase")).agg(F.count("*").alias("times"))
     found = phrase_matches(frame, key, blob, phrases, most)
@@ -67,72 +70,57 @@ def phrase_hits_join(frame: DataFrame, key: str, blob: str, lexicon: DataFrame,
         each = [r[0] for r in phrases.select("times").distinct().collect()]
         if each in ([], [1]):
             return frame.select(key, F.coalesce(F.size(found), F.lit(0)).alias("hits"))
-        found = frame.select(F.col(key).alias("key_"), F.explode(found).alias("phrase"))
-    hits = found.join(phrases, "phrase").groupBy("key_").agg(F.sum("times").alias("some"))
+        found = frame.select(F.col(key).alias("key_"), F.explode(found).alias("phrase")).join(phrases, "phrase")
+    hits = found.groupBy("key_").agg(F.sum("times").alias("some"))
     return frame.join(hits, F.col(key).eqNullSafe(F.col("key_")), "left").select(key, F.coalesce("some", F.lit(0)).cast("int").alias("hits"))
 
 
 def phrase_matches(frame: DataFrame, key: str, blob: str, phrases: DataFrame, most: int = 10_000) -> Column | DataFrame:
-    """Which of the distinct, non-null `phrases` (column phrase, taken as they are) occur in each row's blob.
+    """Which of the non-null `phrases` (column phrase, taken as they are) occur in each row's blob.
 
-    Up to `most` phrases: an array column for `frame`. More: a table (key_, phrase), by an equality join of texts and phrases by gram. A phrase
-    can only stand in a text that has all its grams, so it is met by one of them: that of GRAM letters (of the whole phrase, if it is shorter) which the fewest
-    phrases have. Texts make grams of the lengths in use only, test each against a bitmap of fixed size of the hashes of those that some phrase
-    is met by, and send the few that pass, without the text; what meets is then tested as a whole. Null blobs match nothing, the empty phrase all others.
+    Up to `most` distinct phrases: an array column for `frame`. More: a table (key_, phrase, and the other columns of `phrases`), a row per key and row of `phrases`. Tasks find
+    the stretches of a text that are phrases by hash (see sent_grams) and these meet the phrases by equality, so neither a text nor a pair that does not match is ever sent. Up to
+    BROADCAST_ROWS of phrases go to where the texts are, and then what follows can be combined before any shuffle. Null blobs match nothing, the empty phrase all others.
     """
-    known = [r[0] for r in phrases.select("phrase").limit(most + 1).collect()]
+    known = [r[0] for r in phrases.select("phrase").distinct().limit(most + 1).collect()]
     if len(known) <= most:
         return F.filter(F.array(*map(F.lit, known)).cast("array<string>"), lambda p: F.contains(F.col(blob), p))
-    text, whole = F.col("blob_"), frame.select(F.col(key).alias("key_"), F.col(blob).alias("blob_"))
-    chosen = chosen_grams(phrases.where("phrase <> ''").select("phrase"))
-    met = sent_grams(whole, chosen).join(chosen, "gram").select("key_", "phrase")
-    # Keys are equal, or null in both.
-    same = met.select(F.col("key_").alias("of_"), "phrase").join(whole, F.col("of_").eqNullSafe(F.col("key_")))
-    found = same.where(F.contains(text, F.col("phrase"))).select("key_", "phrase")
-    if phrases.where("phrase = ''").limit(1).count():
-        found = found.unionByName(whole.where(text.isNotNull()).select("key_", F.lit("").alias("phrase")))
+    spark, path = frame.sparkSession, work_folder(frame.sparkSession, "phrases")
+    phrases.write.parquet(path)  # made once, as it is read several times
+    phrases = spark.read.schema(phrases.schema).parquet(path)
+    few = phrases.count() <= BROADCAST_ROWS
+    texts, empty = frame.select(F.col(key).alias("key_"), F.col(blob).alias("blob_")), phrases.where("phrase = ''")
+    there = phrases.where("phrase <> ''")
+    found = sent_grams(texts, chosen_grams(there)).withColumnRenamed("gram", "phrase").join(F.broadcast(there) if few else there, "phrase")
+    columns = ["key_", *phrases.columns]
+    found = found.select(*columns)
+    if empty.limit(1).count():
+        found = found.unionByName(texts.where("blob_ is not null").select("key_").crossJoin(F.broadcast(empty) if few else empty).select(*columns))
     return found
 
 
 def chosen_grams(phrases: DataFrame) -> DataFrame:
-    """(phrase, gram, n): the gram of n letters that each phrase is met by."""
-    sized = phrases.withColumn("n", F.least(F.lit(GRAM), F.length("phrase")))
-    each = sized.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("phrase") - F.col("n") + 1), lambda i: F.substr("phrase", i, F.col("n"))))))
-    often = each.groupBy("gram").agg(F.count("*").alias("often"))
-    return each.join(often, "gram").groupBy("phrase", "n").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
+    """(phrase, n): the distinct phrases with the length, in bytes, of the stretch that each is met by: the whole of it."""
+    return phrases.select("phrase", F.octet_length("phrase").alias("n")).distinct()
 
 
-def _place(gram: Column, i: int) -> Column:
-    return F.shiftright(F.xxhash64(gram), i * PLACE_BITS).bitwiseAND((1 << PLACE_BITS) - 1)
-
-
-def gram_bitmap(chosen: DataFrame) -> list[int]:
-    """Bits at the places of each chosen gram; what reaches the driver is at most the bitmap."""
-    places = chosen.select(F.explode(F.array(*[_place(F.col("gram"), i) for i in range(PLACES)])).alias("at"))
-    words = places.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    out = [0] * (1 << (PLACE_BITS - 6))
-    for w, bits in words.collect():
-        out[w] = bits
-    return out
+def gram_bitmap(chosen: DataFrame) -> tuple[list[int], int, np.ndarray]:
+    """The lengths of the chosen stretches, the bits of a place and the bitmap of their hashes; what reaches the driver is at most the lengths and the bitmap (16 MB)."""
+    counts = chosen.groupBy("n").agg(F.count("*").alias("phrases")).collect()
+    lengths = sorted(r["n"] for r in counts)
+    followed = [n for n in lengths if n <= stretch.FOLLOWED]
+    bits = stretch.bits_for(sum(r["phrases"] * (1 + sum(n < r["n"] for n in followed)) for r in counts))
+    words = chosen.select("phrase").mapInArrow(partial(stretch.bitmap_words, lengths=lengths, bits=bits), "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return lengths, bits, out.view(np.uint8)
 
 
 def sent_grams(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(key_, gram) of `texts` (key_, blob_): the distinct grams of each text whose hash is in the bitmap of the chosen ones."""
-    lengths = sorted(r[0] for r in chosen.select("n").distinct().collect())
-    bitmap = F.from_json(F.lit(json.dumps(gram_bitmap(chosen))), "array<bigint>")  # one constant, folded once
-
-    def marked(gram: Column) -> Column:
-        # A bit is tested by shifting its word; most grams fail at the first.
-        bit = lambda at: F.call_function("shiftrightunsigned", F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-        return reduce(and_, [bit(_place(gram, i)) for i in range(PLACES)])
-
-    def grams(letters: Column) -> Column:
-        of = lambda n: F.transform(letters, lambda c, i: F.concat(c, *[F.get(letters, i + k) for k in range(1, n)]))  # noqa: E731  null past the end
-        return F.flatten(F.array(*[F.filter(of(n), lambda g: g.isNotNull() & marked(g)) for n in lengths]))
-
-    # The letters are an array of one element to the outer step, so that they are cut once a text.
-    found = F.flatten(F.transform(F.array(F.split("blob_", "")), grams)) if lengths else F.array().cast("array<string>")
-    return texts.where("blob_ is not null").select("key_", F.explode(F.array_distinct(found)).alias("gram"))
+    """(key_, gram) of `texts` (key_, blob_): the distinct stretches of each text whose hash is that of a chosen phrase, and by chance a few others."""
+    lengths, bits, bitmap = gram_bitmap(chosen)
+    kinds = T.StructType([T.StructField("key_", texts.schema["key_"].dataType), T.StructField("gram", T.StringType())])
+    return texts.where("blob_ is not null").mapInArrow(partial(stretch.stretches, lengths=lengths, bits=bits, bitmap=bitmap), kinds)
 
 
 def listing_gate(blob: Column, phrases: Iterable[str]) -> Column:

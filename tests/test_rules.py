@@ -1,5 +1,6 @@
 """Rules worked out by hand on small tables."""
 
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -369,3 +370,23 @@ def test_what_does_not_parse_goes_to_quarantine(spark):
         parsed = read(spark.createDataFrame(list(enumerate([text, text[:-9], "no markup", None, ""])), "query_idx int, xml string"))
         assert [(r.query_idx, r.url, r.title) for r in parsed.items.collect()] == [(0, url, title)]
         assert {r.query_idx: r.fault for r in parsed.quarantined.collect()} == {1: "corrupt", 2: "corrupt", 3: "missing", 4: "missing"}
+
+
+def test_only_what_matches_is_sent(spark):
+    """Words that many phrases share bring nothing to a text that has none of these phrases; before, each was met by a common gram."""
+    lexicon = spark.range(3_000).select(F.concat(F.lit("words "), (F.col("id") % 50).cast("string"), F.lit(" shared "), F.col("id").cast("string"), F.lit("!")).alias("phrase"))
+    texts = spark.range(400).select(F.col("id").alias("key_"), F.concat(F.repeat(F.lit("words shared words 1 shared "), 20), F.when(F.col("id") % 40 == 0, F.lit("words 7 shared 57! words 8 shared 108! words 7 shared 57!")).otherwise("")).alias("blob_"))
+    sent = P.sent_grams(texts, P.chosen_grams(lexicon))
+    assert {r.key_ for r in sent.where("gram = 'words 7 shared 57!'").collect()} == set(range(0, 400, 40)) and 20 <= sent.count() <= 40
+
+
+def test_large_lexicons_equal_brute_force(spark):
+    """Phrases of one letter to more than are followed letter by letter, of letters of one to four bytes, in texts long and short."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ab é\U0001f600") for _ in range(n))
+    texts = [text(rng.choice((0, 1, 7, 60, 900))) for _ in range(120)] + ["", None, text(400_000)]
+    long = [t[at : at + n] for t in texts[:120] if t for at, n in ((0, 90), (3, 200), (len(t) - 70, 70)) if at >= 0]
+    phrases = [p for p in [*long, *(text(rng.randrange(1, 9)) for _ in range(150))] if p]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    got = {r.k: r.hits for r in P.phrase_hits_join(rows, "k", "t", spark.createDataFrame([(p,) for p in phrases], "phrase string"), 5).collect()}
+    assert got == {k: sum(p in t for p in phrases) if t is not None else 0 for k, t in enumerate(texts)}
