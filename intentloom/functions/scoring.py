@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intentloom.functions.lexicons import ChatWeights, WebWeights
@@ -24,13 +24,12 @@ def market_first_match(blob: Column, gazetteer: Gazetteer) -> Column:
     return F.coalesce(*found, F.lit("unknown"))
 
 
-def _matched_terms(frame: DataFrame, key: str, blob: str, gazetteer: DataFrame, term: Column, most: int) -> DataFrame:
-    """(key_, market, market_ord), a row per row of `gazetteer` whose term occurs."""
-    terms = gazetteer.select("market", "market_ord", term.alias("phrase")).where("phrase is not null")
-    found = phrase_matches(frame, key, blob, terms.select("phrase").distinct(), most)
+def _matched_terms(frame: DataFrame, key: str, blob: str, terms: DataFrame, most: int) -> DataFrame:
+    """(key_, and the other columns of `terms`), a row per row of `terms` (column phrase) whose phrase occurs."""
+    found = phrase_matches(frame, key, blob, terms, most)
     if isinstance(found, Column):
-        found = frame.select(F.col(key).alias("key_"), F.explode(found).alias("phrase"))
-    return found.join(terms, "phrase").select("key_", "market", "market_ord")
+        found = frame.select(F.col(key).alias("key_"), F.explode(found).alias("phrase")).join(terms, "phrase")
+    return found.drop("phrase")
 
 
 def _with_market(frame: DataFrame, key: str, best: DataFrame) -> DataFrame:
@@ -41,18 +40,25 @@ def _with_market(frame: DataFrame, key: str, best: DataFrame) -> DataFrame:
 def market_first_match_join(frame: DataFrame, key: str, blob: str, gazetteer: DataFrame, most: int = 10_000) -> DataFrame:
     """`frame` with market as market_first_match gives it, from a table (market, market_ord, term) of any size: of the markets whose terms occur the one of least market_ord.
 
-    Terms are matched as in phrase_matches; a match is a row of two names, combined before the shuffle. Keys are distinct, one may be null. A column market is replaced.
+    Of the rows of a term only the first market counts, before anything is matched. Terms are matched as in phrase_matches; a match is a row of a key and a number, combined before the shuffle. Keys are distinct, one may be null. A column market is replaced.
     """
-    frame = frame.drop("market")
-    found = _matched_terms(frame, key, blob, gazetteer, F.lower("term"), most)
-    return _with_market(frame, key, found.groupBy("key_").agg(F.min_by("market", F.struct("market_ord", "market")).alias("market")))
+    frame, order = frame.drop("market"), F.struct("market_ord", "market")
+    first = gazetteer.where("term is not null").groupBy(F.lower("term").alias("phrase")).agg(F.min(order).alias("first"))
+    # Markets in order as whole numbers: a minimum of these needs no sort. Numbered within their market_ord, of which a market has its own.
+    ranked = gazetteer.select("market_ord", "market").distinct().withColumn("place", F.row_number().over(Window.partitionBy("market_ord").orderBy("market")))
+    ranked = ranked.withColumn("code", F.coalesce(F.col("market_ord").cast("long") * F.lit(1 << 31), F.lit(-(1 << 63))) + F.col("place"))
+    of = ranked.select(F.col("market_ord").alias("ord_"), F.col("market").alias("name_"), "code")
+    terms = first.join(of, F.col("first.market_ord").eqNullSafe(F.col("ord_")) & F.col("first.market").eqNullSafe(F.col("name_"))).select("phrase", "code")
+    least = _matched_terms(frame, key, blob, terms, most).groupBy("key_").agg(F.min("code").alias("code"))
+    return _with_market(frame, key, least.join(ranked.select("code", "market"), "code").drop("code"))
 
 
 def market_argmax_join(frame: DataFrame, key: str, blob: str, gazetteer: DataFrame, most: int = 10_000) -> DataFrame:
     """`frame` with market as market_argmax gives it, from a table (market, market_ord, term) of any size: the market with most of its terms present, of equals that of
     the least market_ord. Terms are compared as they are, repeated ones count again; else as market_first_match_join."""
     frame = frame.drop("market")
-    votes = _matched_terms(frame, key, blob, gazetteer, F.col("term"), most).groupBy("key_", "market").agg(F.count("*").alias("n"), F.min("market_ord").alias("ord"))
+    terms = gazetteer.select("market", "market_ord", F.col("term").alias("phrase")).where("phrase is not null")
+    votes = _matched_terms(frame, key, blob, terms, most).groupBy("key_", "market").agg(F.count("*").alias("n"), F.min("market_ord").alias("ord"))
     best = votes.groupBy("key_").agg(F.max_by("market", F.struct("n", (-F.col("ord")).alias("ord"))).alias("market"))
     return _with_market(frame, key, best)
 

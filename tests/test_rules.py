@@ -390,3 +390,14 @@ def test_large_lexicons_equal_brute_force(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
     got = {r.k: r.hits for r in P.phrase_hits_join(rows, "k", "t", spark.createDataFrame([(p,) for p in phrases], "phrase string"), 5).collect()}
     assert got == {k: sum(p in t for p in phrases) if t is not None else 0 for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("by_table", "rows"), [(S.market_first_match_join, 1)])
+@pytest.mark.parametrize("most", [100, 0])
+def test_repeated_places_are_combined_before_they_match(spark, monkeypatch, by_table, rows, most):
+    """A place that stands in a gazetteer 1,000 times brings a match one row, or one for each of its markets; before, it brought 1,000."""
+    matched, real = [], S._matched_terms
+    monkeypatch.setattr(S, "_matched_terms", lambda *a: matched.append(real(*a)) or matched[-1])
+    table = spark.range(1_000).select(F.when(F.col("id") < 400, "one").otherwise("two").alias("market"), F.when(F.col("id") < 400, 7).otherwise(3).alias("market_ord"), F.lit("place").alias("term"))
+    got = by_table(spark.createDataFrame([(1, "a place"), (2, "none")], "k int, t string"), "k", "t", table, most)
+    assert {r.k: r.market for r in got.collect()} == {1: "two", 2: "unknown"} and matched[0].count() == rows
