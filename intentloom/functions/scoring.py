@@ -57,8 +57,8 @@ def market_argmax_join(frame: DataFrame, key: str, blob: str, gazetteer: DataFra
     """`frame` with market as market_argmax gives it, from a table (market, market_ord, term) of any size: the market with most of its terms present, of equals that of
     the least market_ord. Terms are compared as they are, repeated ones count again; else as market_first_match_join."""
     frame = frame.drop("market")
-    terms = gazetteer.select("market", "market_ord", F.col("term").alias("phrase")).where("phrase is not null")
-    votes = _matched_terms(frame, key, blob, terms, most).groupBy("key_", "market").agg(F.count("*").alias("n"), F.min("market_ord").alias("ord"))
+    terms = gazetteer.where("term is not null").groupBy(F.col("term").alias("phrase"), "market").agg(F.count("*").alias("times"), F.min("market_ord").alias("ord"))
+    votes = _matched_terms(frame, key, blob, terms, most).groupBy("key_", "market").agg(F.sum("times").alias("n"), F.min("ord").alias("ord"))
     best = votes.groupBy("key_").agg(F.max_by("market", F.struct("n", (-F.col("ord")).alias("ord"))).alias("market"))
     return _with_market(frame, key, best)
 

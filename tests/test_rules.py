@@ -392,7 +392,7 @@ def test_large_lexicons_equal_brute_force(spark):
     assert got == {k: sum(p in t for p in phrases) if t is not None else 0 for k, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize(("by_table", "rows"), [(S.market_first_match_join, 1)])
+@pytest.mark.parametrize(("by_table", "rows"), [(S.market_first_match_join, 1), (S.market_argmax_join, 2)])
 @pytest.mark.parametrize("most", [100, 0])
 def test_repeated_places_are_combined_before_they_match(spark, monkeypatch, by_table, rows, most):
     """A place that stands in a gazetteer 1,000 times brings a match one row, or one for each of its markets; before, it brought 1,000."""
