@@ -118,7 +118,7 @@ def h2b(spark, d):
     late = (F.col("event_id") % 11 == 0) & ((day - F.lit(low)) % 4 == 3) & (F.hour("ts") >= 12)
     dealt = events.withColumn("part", F.least(F.when(late, part + 1).otherwise(part), F.lit(7)))
     for i in range(8):
-        dealt.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        dealt.where(F.col("part") == i).drop("part").repartition(1).write.mode("append").parquet(f"{folder}/in")
     raw = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     found = streams.run_to_table(streams.stream_first_sights(raw, ["user_id", "event_type"], horizon="3 days"), f"{folder}/out", f"{folder}/checkpoint")
     return found.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("sight"))

@@ -46,3 +46,18 @@ def test_dedup_forgets_keys_after_the_horizon(spark, tmp_path):
     found = streams.run_to_table(streams.stream_dedup(raw, ["k"], horizon="24 hours").select("k", F.date_diff("ts", F.lit(START)).alias("day"), (F.unix_seconds("ts")).alias("s")), str(tmp_path / "out"), str(tmp_path / "cp"))
     hours = sorted((r.k, (r.s - int((START - datetime(1970, 1, 1)).total_seconds())) // 3600) for r in found.collect())
     assert hours == [("a", 0), ("a", 201), ("b", 0), ("c", 30), ("c", 205)]
+
+
+def test_first_sights_call_by_bucket_and_keep_keys(spark, tmp_path):
+    """Some 3,000 keys take a group of state per bucket, not one each; keys of numbers beyond 2**53 and nulls come back as they were."""
+    big = 1 << 60
+    day = lambda d: F.timestamp_seconds(F.lit(1704067200 + d * 86400))
+    for d in range(3):
+        rows = spark.range(3_000).select(F.when(F.col("id") > 0, F.col("id") + big).alias("k"), F.when(F.col("id") % 2 == 0, F.lit('a "b"\n')).alias("s"), day(d * 2).alias("ts"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    raw = spark.readStream.schema("k long, s string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = streams.run_to_table(streams.stream_first_sights(raw, ["k", "s"], horizon="3 days", buckets=8), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {tuple(r) for r in found.select("k", "s").collect()}
+    assert got == {(None if i == 0 else big + i, 'a "b"\n' if i % 2 == 0 else None) for i in range(3_000)} and found.count() == 3_000
+    state = spark.read.format("statestore").load(str(tmp_path / "cp"))
+    assert 0 < state.count() <= 8
