@@ -101,18 +101,20 @@ def links(features: DataFrame, sets_of, least: float) -> DataFrame:
     """Edges (a, b) between nodes of similarity `least` or more, enough to connect all such pairs that share a band.
 
     `features` has one row per node; sets_of(nodes) gives node, shingles. First every node is compared with the smallest node of each of its buckets, and of
-    its SimHash, as are the smallest nodes of linked SimHashes, and takes the smallest that it is linked to as its label. Nodes of one label are connected, so only
+    its SimHash, as is the smallest node of a SimHash with that of the least SimHash linked to it, and takes the smallest that it is linked to as its label. Nodes of one label are connected, so only
     pairs of different labels remain, in buckets that hold some: a large group of near copies costs a
     comparison per member, not one per pair. Nothing is verified by less than both whole sets.
     """
     slim = features.drop("keys", "print")
     of = features.where("size > 0").select("print", "node")
     tops = common.stored(of.groupBy("print").agg(F.min("node").alias("center")), "tops")
-    near = simhash.links(tops.select(F.col("print").alias("fp")))
+    # Each fingerprint proposes the least that it is linked to, one row whatever the size of its group; what they are linked to besides is for the bands.
+    near = simhash.links(tops.select(F.col("print").alias("fp"))).groupBy("b").agg(F.min("a").alias("a"))
     low, high = tops.select(F.col("print").alias("a"), F.col("center").alias("x")), tops.select(F.col("print").alias("b"), F.col("center").alias("y"))
     alike = near.join(low, "a").join(high, "b").select(F.least("x", "y").alias("center"), F.greatest("x", "y").alias("node"))
     alike = common.stored(alike.unionByName(of.join(tops, "print").where("node <> center").select("center", "node")), "alike")
-    index = features.select("node", F.explode("keys").alias("key"))
+    # Moved once, for the aggregate and the join.
+    index = features.select("node", F.explode("keys").alias("key")).repartition("key")
     buckets = index.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").drop("last")
     met = common.stored(index.join(buckets, "key").select("key", "node", "center"), "met")
     wanted = met.select("node").union(alike.select("node")).union(alike.select("center"))
