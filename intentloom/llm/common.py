@@ -105,7 +105,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path, name in made[before:]:
             drop(spark, path, name)
         del made[before:]
-        spark._jvm.java.lang.System.gc()  # Spark deletes shuffles when the plans that made them are collected
+        _collect(spark)
+
+
+def _collect(spark: SparkSession) -> None:
+    """Spark deletes shuffles when the plans that made them are collected."""
+    spark._jvm.java.lang.System.gc()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -360,6 +365,15 @@ def bucketed(rows: DataFrame, key: str, compression: str, size: int) -> DataFram
     return spark.table(name)
 
 
+def bucketed_rows(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Whole rows, with columns of any names, as a stored table bucketed by their number `key` (see bucketed). They move once, here, whatever their number: what is
+    chosen of them by number later comes to them. Their shuffle is deleted before later steps make theirs."""
+    plain = [f"c{i}" for i in range(len(rows.columns))]
+    found = bucketed(rows.toDF(*plain), plain[rows.columns.index(key)], "zstd", size).toDF(*rows.columns)
+    _collect(rows.sparkSession)
+    return found
+
+
 def packed(rows: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:

@@ -156,7 +156,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """
     row, near = common.fresh(docs, "row"), common.fresh(docs, "near")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    prints = common.stored(common.mapped(numbered, partial(_shingled, width=width, out=near), text, T.StructField(near, _FEATURES)), "shingled", "zstd")
+    # Bucketed by row: the wanted and the surviving rows' numbers come to the texts.
+    prints = common.bucketed_rows(common.mapped(numbered, partial(_shingled, width=width, out=near), text, T.StructField(near, _FEATURES)), row, common.text_bytes(docs, text))
     order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("text_hash"), common.row_hash(docs).alias("row_hash"), F.col(row).alias("row"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:

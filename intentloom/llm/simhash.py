@@ -218,8 +218,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 
         return shingles.one_of_each(docs, doc_id, text, width, least)
     row, print_ = common.fresh(docs, "row"), common.fresh(docs, "simhash")
-    prints = common.stored(with_fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), text, print_, width), "fingerprints", "zstd")
-    # Rows are chosen by numbers; whole rows move once, to meet the choice.
+    # Rows are chosen by numbers; whole rows move once, to be stored by number, and the choice comes to them.
+    prints = common.bucketed_rows(with_fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), text, print_, width), row, common.text_bytes(docs, text))
     order = F.struct(F.xxhash64(text).alias("text_hash"), common.row_hash(docs).alias("row_hash"), F.col(row).alias("row"))
     slim = prints.select(order.alias("first"), F.col(doc_id).alias("id"), F.col(print_).alias("simhash"))
     named = slim.join(_rooted(slim, "id", max_bits), "simhash").where(F.col("id").eqNullSafe(F.col("component_id")))

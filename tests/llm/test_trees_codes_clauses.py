@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from intentloom.llm import common, merkle, shingles, toxicity, vectorcodes
+from intentloom.llm import common, merkle, shingles, simhash, toxicity, vectorcodes
 
 SF = "/root/testdata/sf0.001"
 
@@ -310,3 +310,22 @@ def test_index_proposes_a_row_per_fingerprint(spark, monkeypatch):
     edges = shingles.links(frame, lambda wanted: wanted.join(sets, "node"), 0.8).collect()
     alike = dict(seen)["alike"].count()
     assert alike == len(prints) - 1 and {r.b for r in edges} | {r.a for r in edges} == set(range(1, len(prints) + 1))
+
+
+@pytest.mark.parametrize("least", [0.8, None])
+def test_texts_stay_where_they_are_stored(spark, monkeypatch, least):
+    """The surviving rows' numbers come to the texts, even if they are too many to be broadcast; before, such a join moved all whole rows."""
+    monkeypatch.setattr(common, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(shingles, "BROADCAST_ROWS", 0)
+    rows = [(i, " ".join(f"w{i // 2 * 31 + j}" for j in range(20)), "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").repartition(3)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = simhash.one_of_each(docs, width=5, least=least)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in found.collect()) == list(range(0, 60, 2)) and found.columns == docs.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    above, scan = plan.split("LeftSemi", 1)[1].split("FileScan", 1)
+    assert "Exchange" not in above and "Bucketed: true" in scan.splitlines()[0], plan
