@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from intentloom.operators import ledger
+from intentloom.plans import runs, web
 from intentloom.session import delete
 
 
@@ -84,3 +85,21 @@ def test_compaction_that_broke_off(spark, tmp_path):
     os.remove(path + "-compacting/_SUCCESS")  # a copy that was not finished
     ledger.recover(spark, path)
     assert sorted(map(tuple, ledger.read(spark, path).collect())) == before and not os.path.exists(path + "-compacting")
+
+
+def test_leads_are_made_once_for_all_runs(spark, monkeypatch):
+    """Three runs into the store score each lead once; before, each run made all leads anew."""
+    made, real = spark.sparkContext.accumulator(0), web.all_leads
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def all_leads(spark, d):
+        found = real(spark, d)
+        return found.mapInArrow(counted, found.schema)
+
+    monkeypatch.setattr(web, "all_leads", all_leads)
+    stored = runs.f5(spark, "/root/testdata/sf0.001").collect()
+    assert len(stored) == made.value > 0 and {r.run_id for r in stored} == {"run1", "run2"}
